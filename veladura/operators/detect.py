@@ -23,6 +23,9 @@ from veladura.functions.rules import (
     java_pattern,
 )
 
+# A code point that is not a character.
+MARKER = "\uffff"
+
 HIT = "struct<type:string,value:string,start:int,end:int,context:string,confidence:double>"
 SPAN = "struct<rank:int,type:string,base:double,start:int,value:string>"
 RANKED = "struct<start:int,minus:double,rank:int,type:string,value:string,end:int,context:string,confidence:double>"
@@ -32,6 +35,13 @@ def _empty(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
+def _gaps(text: Column, rule: Rule) -> Column:
+    """Text between the matches. Replacing by a marker and splitting at it reuses the compiled pattern,
+    which a split by the pattern compiles per text; texts that hold the marker are split by the pattern."""
+    marked = F.split(F.regexp_replace(text, java_pattern(rule), MARKER), MARKER, -1)
+    return F.when(F.contains(text, F.lit(MARKER)), F.split(text, java_pattern(rule), -1)).otherwise(marked)
+
+
 def _spans(r: Column) -> Column:
     """Start and value of every match of one rule; gaps are what a split by the same pattern leaves."""
     steps = F.transform(r["found"], lambda m, i: F.struct(F.length(F.get(r["gaps"], i)).alias("gap"), m.alias("value")))
@@ -143,9 +153,7 @@ def with_hits(
             pattern = F.lit(java_pattern(rule))
             match = F.regexp_extract_all(text[i], pattern, F.lit(0))
             found[f"__found{i}_{j}"] = match if rule.gate == "any" else F.when(F.col(f"__gate{i}_{rule.gate}"), match)
-            gaps[f"__gaps{i}_{j}"] = F.when(
-                F.size(F.col(f"__found{i}_{j}")) > 0, F.split(text[i], java_pattern(rule), -1)
-            )
+            gaps[f"__gaps{i}_{j}"] = F.when(F.size(F.col(f"__found{i}_{j}")) > 0, _gaps(text[i], rule))
 
     def hits(i: int) -> Column:
         per_rule = F.filter(
