@@ -97,6 +97,9 @@ def select_rules(
     Cut at plan time: an unwanted pattern never becomes part of the query.
     """
     wanted = None if types is None else set(types)
+    for kind in (custom or {}).values():
+        if not re.fullmatch(r"\w+", kind):
+            raise ValueError(f"a type is a plain word, got {kind!r}")
     rules = [r for r in RULES if wanted is None or r.type in wanted]
     rules += [r for r in OPTIONAL_RULES if r.type in set(optional)]
     for pattern, kind in (custom or {}).items():
@@ -119,23 +122,20 @@ def java_pattern(rule: Rule) -> str:
     return ("(?iuU)" if rule.ignore_case else "(?U)") + rule.pattern
 
 
-def confidence(kind: Column, base: Column, value: Column, context: Column) -> Column:
-    """Base confidence, raised per keyword in the context, lowered for a wrong shape."""
-    low, c = F.lower(context), base
+def confidence(kind: str, base: str, value: str, context: str) -> str:
+    """SQL text: base confidence, raised per keyword in the context, lowered for a wrong shape."""
+    branches = []
     for name, words in KEYWORDS.items():
         raised = base
         for word in words:
-            # One expression per keyword in turn: the sum is capped after each, as doubles.
-            raised = F.least(
-                raised + F.when(F.contains(low, F.lit(word)), F.lit(KEYWORD_BONUS)).otherwise(F.lit(0.0)),
-                F.lit(MAX_CONFIDENCE),
-            )
-        c = F.when(kind == name, raised).otherwise(c)
-    domain = F.substring_index(value, "@", -1)
+            # The sum is capped after each keyword and stays a double: decimals would tie differently.
+            bonus = f"CASE WHEN contains(lower({context}), '{word}') THEN {KEYWORD_BONUS}D ELSE 0D END"
+            raised = f"least({raised} + {bonus}, {MAX_CONFIDENCE}D)"
+        branches.append(f"WHEN {kind} = '{name}' THEN {raised}")
+    mail = f"contains({value}, '@') AND contains(substring_index({value}, '@', -1), '.')"
     penalty = (
-        F.when((kind == "rfc") & ~F.length(value).isin(12, 13), F.lit(LENGTH_PENALTY))
-        .when((kind == "curp") & (F.length(value) != 18), F.lit(LENGTH_PENALTY))
-        .when((kind == "email") & ~(F.contains(value, F.lit("@")) & F.contains(domain, F.lit("."))), F.lit(SHAPE_PENALTY))
-        .otherwise(F.lit(1.0))
+        f"CASE WHEN {kind} = 'rfc' AND length({value}) NOT IN (12, 13) THEN {LENGTH_PENALTY}D "
+        f"WHEN {kind} = 'curp' AND length({value}) <> 18 THEN {LENGTH_PENALTY}D "
+        f"WHEN {kind} = 'email' AND NOT ({mail}) THEN {SHAPE_PENALTY}D ELSE 1D END"
     )
-    return F.least(c * penalty, F.lit(MAX_CONFIDENCE))
+    return f"least((CASE {' '.join(branches)} ELSE {base} END) * {penalty}, {MAX_CONFIDENCE}D)"

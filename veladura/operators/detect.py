@@ -1,7 +1,8 @@
 """Personal-data detection: an array of hits per text, computed row by row in one stage.
 
 The work is split over projections because each step mentions its input several
-times: shared gates, matches per rule, gaps per rule, hits. No shuffle.
+times: shared gates, matches per rule, gaps per rule, hits. Columns of a table are
+done one after the other, which keeps the generated code small. No shuffle.
 """
 
 from __future__ import annotations
@@ -26,13 +27,55 @@ from veladura.functions.rules import (
 # A code point that is not a character.
 MARKER = "\uffff"
 
-HIT = "struct<type:string,value:string,start:int,end:int,context:string,confidence:double>"
+HIT = "struct<type:string,value:string,start:int,`end`:int,context:string,confidence:double>"
 SPAN = "struct<rank:int,type:string,base:double,start:int,value:string>"
-RANKED = "struct<start:int,minus:double,rank:int,type:string,value:string,end:int,context:string,confidence:double>"
+RANKED = "struct<start:int,minus:double,rank:int,type:string,value:string,`end`:int,context:string,confidence:double>"
 
 
-def _empty(kind: str) -> Column:
-    return F.array().cast(f"array<{kind}>")
+def _spans(rules: Sequence[Rule]) -> str:
+    """Start and value of every match of every rule; gaps are what a split by the same pattern leaves.
+
+    One lambda body serves all rules, so the plan does not grow with them.
+    """
+    listed = ", ".join(f"named_struct('type', '{r.type}', 'base', {r.confidence}D)" for r in rules)
+    per_rule = f"""filter(transform(array({listed}), (r, j) -> named_struct(
+      'rank', j, 'type', r.type, 'base', r.base, 'found', get(__found, j), 'gaps', get(__gaps, j))), r -> size(r.found) > 0)"""
+    steps = "transform(r.found, (m, i) -> named_struct('gap', length(get(r.gaps, i)), 'value', m))"
+    return f"""flatten(transform({per_rule}, r -> aggregate(
+      {steps},
+      named_struct('at', 0, 'spans', cast(array() AS array<{SPAN}>)),
+      (acc, s) -> named_struct(
+        'at', acc.at + s.gap + length(s.value),
+        'spans', concat(acc.spans, array(named_struct(
+          'rank', r.rank, 'type', r.type, 'base', r.base, 'start', acc.at + s.gap, 'value', s.value)))),
+      acc -> acc.spans)))"""
+
+
+def _ranked_hits(text: str, spans: str) -> str:
+    """Hits with context and confidence; the leading fields are the sort order of the overlap rule."""
+    first = f"greatest(s.start - {CONTEXT_CHARS}, 0)"
+    stop = "s.start + length(s.value)"
+    contexts = f"""transform({spans}, s -> named_struct('s', s, 'stop', {stop},
+      'context', substr({text}, {first} + 1, {stop} + {CONTEXT_CHARS} - {first})))"""
+    scored = f"""transform({contexts}, c -> named_struct('c', c,
+      'confidence', {confidence("c.s.type", "c.s.base", "c.s.value", "c.context")}))"""
+    return f"""transform({scored}, h -> named_struct(
+      'start', h.c.s.start, 'minus', -h.confidence, 'rank', h.c.s.rank, 'type', h.c.s.type, 'value', h.c.s.value,
+      'end', h.c.stop, 'context', h.c.context, 'confidence', h.confidence))"""
+
+
+def _without_overlaps(hits: str) -> str:
+    """Hits in (start, -confidence, rule) order; a later one replaces the hit it overlaps only if more confident.
+
+    Kept hits are disjoint and arrive by start, so only the last kept one can overlap the next.
+    """
+    apart = "(acc.last IS NULL OR h.start >= acc.last.`end`)"
+    return f"""aggregate({hits},
+      named_struct('kept', cast(array() AS array<{RANKED}>), 'last', cast(null AS {RANKED})),
+      (acc, h) -> named_struct(
+        'kept', CASE WHEN {apart} AND acc.last IS NOT NULL THEN concat(acc.kept, array(acc.last)) ELSE acc.kept END,
+        'last', CASE WHEN {apart} OR h.confidence > acc.last.confidence THEN h ELSE acc.last END),
+      acc -> CASE WHEN acc.last IS NULL THEN acc.kept ELSE concat(acc.kept, array(acc.last)) END)"""
 
 
 def _gaps(text: Column, rule: Rule) -> Column:
@@ -42,85 +85,43 @@ def _gaps(text: Column, rule: Rule) -> Column:
     return F.when(F.contains(text, F.lit(MARKER)), F.split(text, java_pattern(rule), -1)).otherwise(marked)
 
 
-def _spans(r: Column) -> Column:
-    """Start and value of every match of one rule; gaps are what a split by the same pattern leaves."""
-    steps = F.transform(r["found"], lambda m, i: F.struct(F.length(F.get(r["gaps"], i)).alias("gap"), m.alias("value")))
-    return F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), _empty(SPAN).alias("found")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + F.length(s["value"])).alias("at"),
-            F.concat(
-                acc["found"],
-                F.array(
-                    F.struct(
-                        r["rank"].alias("rank"), r["type"].alias("type"), r["base"].alias("base"),
-                        (acc["at"] + s["gap"]).alias("start"), s["value"].alias("value"),
-                    )
-                ),
-            ).alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
-
-
-def _ranked_hits(text: Column, per_rule: Column) -> Column:
-    """Scored hits of all rules; one lambda body serves every rule, so the plan does not grow with them."""
-    def with_context(s: Column) -> Column:
-        end = s["start"] + F.length(s["value"])
-        first = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        return F.struct(
-            *[s[f].alias(f) for f in ("rank", "type", "base", "start", "value")],
-            end.alias("end"),
-            text.substr(first + 1, end + CONTEXT_CHARS - first).alias("context"),
-        )
-
-    def scored(s: Column) -> Column:
-        return F.struct(
-            *[s[f].alias(f) for f in ("rank", "type", "start", "value", "end", "context")],
-            confidence(s["type"], s["base"], s["value"], s["context"]).alias("confidence"),
-        )
-
-    def ranked(s: Column) -> Column:
-        return F.struct(
-            s["start"].alias("start"), (-s["confidence"]).alias("minus"),
-            *[s[f].alias(f) for f in ("rank", "type", "value", "end", "context", "confidence")],
-        )
-
-    spans = F.flatten(F.transform(per_rule, _spans))
-    return F.transform(F.transform(F.transform(spans, with_context), scored), ranked)
+def _add(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    return df.withColumns(columns) if columns else df
 
 
-def _plain(h: Column) -> Column:
-    return F.struct(*[h[f].alias(f) for f in ("type", "value", "start", "end", "context", "confidence")])
+def _hits_of(text: str, rules: Sequence[Rule], min_confidence: float, overlaps: bool) -> Column:
+    # SQL text rather than column calls: one parse instead of thousands of gateway calls.
+    every = f"array_sort(filter({_ranked_hits(text, _spans(rules))}, h -> h.confidence >= {float(min_confidence)}D))"
+    final = f"""transform({every if overlaps else _without_overlaps(every)}, h -> named_struct(
+      'type', h.type, 'value', h.value, 'start', h.start, 'end', h.`end`, 'context', h.context, 'confidence', h.confidence))"""
+    # The partition id makes the column non-deterministic for the optimizer, so a filter on it or an
+    # explode of it is not copied below the detection, where it would run a second time.
+    some = "exists(__gaps, g -> g IS NOT NULL) AND spark_partition_id() >= 0"
+    return F.expr(f"CASE WHEN {some} THEN {final} ELSE cast(array() AS array<{HIT}>) END")
 
 
-def _without_overlaps(hits: Column) -> Column:
-    """Hits in (start, -confidence, rule) order; a later one replaces the hit it overlaps only if more confident.
+def _with_column_hits(df: DataFrame, column: str, out: str, rules: Sequence[Rule], min_confidence: float, overlaps: bool) -> DataFrame:
+    name = "`" + column.replace("`", "``") + "`"
+    text = F.col(name)
+    asked = {r.gate for r in rules} - {"any"}
+    refined = {g: REFINED_GATES[g] for g in sorted(asked & set(REFINED_GATES))}
+    first = sorted((asked & set(GATES)) | {needs for needs, _ in refined.values()})
 
-    Kept hits are disjoint and arrive by start, so only the last kept one can overlap the next.
-    """
-    def step(acc: Column, h: Column) -> Column:
-        last = acc["last"]
-        apart = last.isNull() | (h["start"] >= last["end"])
-        push = apart & last.isNotNull()
-        return F.struct(
-            F.when(push, F.concat(acc["kept"], F.array(last))).otherwise(acc["kept"]).alias("kept"),
-            F.when(apart | (h["confidence"] > last["confidence"]), h).otherwise(last).alias("last"),
-        )
-
-    return F.aggregate(
-        hits,
-        F.struct(_empty(RANKED).alias("kept"), F.lit(None).cast(RANKED).alias("last")),
-        step,
-        lambda acc: F.when(acc["last"].isNull(), acc["kept"]).otherwise(F.concat(acc["kept"], F.array(acc["last"]))),
+    gate = {f"__gate_{g}": GATES[g](text) for g in first}
+    finer = {f"__gate_{g}": F.when(F.col(f"__gate_{needs}"), scan(text)) for g, (needs, scan) in refined.items()}
+    found, gaps = [], []
+    for j, rule in enumerate(rules):
+        match = F.regexp_extract_all(text, F.lit(java_pattern(rule)), F.lit(0))
+        found.append(match if rule.gate == "any" else F.when(F.col(f"__gate_{rule.gate}"), match))
+        gaps.append(F.when(F.size(F.get("__found", F.lit(j))) > 0, _gaps(text, rule)))
+    kept = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    return (
+        _add(_add(df, gate), finer)
+        .withColumn("__found", F.array(*found)).withColumn("__gaps", F.array(*gaps))
+        .select(*kept, _hits_of(name, rules, min_confidence, overlaps).alias(out))
     )
 
 
-def _add(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    return df.withColumns(columns) if columns else df
-
-
 def with_hits(
     df: DataFrame,
     columns: str | Sequence[str] | dict[str, str],
@@ -130,64 +131,21 @@ def with_hits(
 ) -> DataFrame:
     """Adds an array of hits per text column (``hits``, or ``{column: output}``); no hit or null text gives an empty array.
 
-    ``overlaps=True`` keeps every hit above the threshold instead of resolving overlaps.
+    ``overlaps=True`` keeps every hit above the threshold instead of resolving overlaps. Filter rows and
+    choose columns before detection: filters after it stay above it.
     """
     if isinstance(columns, str):
         columns = {columns: "hits"}
     elif not isinstance(columns, dict):
         columns = {c: f"{c}_hits" for c in columns}
-    sources = list(columns)
-    kept = [F.col(f"`{c}`") for c in df.columns]
-    text = {i: F.col(f"`{c}`") for i, c in enumerate(sources)}
-    asked = {r.gate for r in rules} - {"any"}
-    refined = {g: REFINED_GATES[g] for g in sorted(asked & set(REFINED_GATES))}
-    first = sorted((asked & set(GATES)) | {needs for needs, _ in refined.values()})
-
-    gate = {f"__gate{i}_{g}": GATES[g](text[i]) for i in text for g in first}
-    finer = {
-        f"__gate{i}_{g}": F.when(F.col(f"__gate{i}_{needs}"), scan(text[i])) for i in text for g, (needs, scan) in refined.items()
-    }
-    found, gaps = {}, {}
-    for i in text:
-        for j, rule in enumerate(rules):
-            pattern = F.lit(java_pattern(rule))
-            match = F.regexp_extract_all(text[i], pattern, F.lit(0))
-            found[f"__found{i}_{j}"] = match if rule.gate == "any" else F.when(F.col(f"__gate{i}_{rule.gate}"), match)
-            gaps[f"__gaps{i}_{j}"] = F.when(F.size(F.col(f"__found{i}_{j}")) > 0, _gaps(text[i], rule))
-
-    def hits(i: int) -> Column:
-        per_rule = F.filter(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(j).alias("rank"), F.lit(rule.type).alias("type"), F.lit(rule.confidence).alias("base"),
-                        F.col(f"__found{i}_{j}").alias("found"), F.col(f"__gaps{i}_{j}").alias("gaps"),
-                    )
-                    for j, rule in enumerate(rules)
-                ]
-            ),
-            lambda r: F.size(r["found"]) > 0,
-        )
-        scored = F.filter(_ranked_hits(text[i], per_rule), lambda h: h["confidence"] >= F.lit(min_confidence))
-        every = F.array_sort(scored)
-        final = F.transform(every if overlaps else _without_overlaps(every), _plain)
-        some = F.coalesce(*[F.col(f"__gaps{i}_{j}") for j in range(len(rules))]).isNotNull()
-        return F.when(some, final).otherwise(_empty(HIT))
-
-    return (
-        _add(_add(df, gate), finer).withColumns(found).withColumns(gaps)
-        .select(*kept, *[hits(i).alias(columns[c]) for i, c in enumerate(sources)])
-    )
+    for column, out in columns.items():
+        df = _with_column_hits(df, column, out, rules, min_confidence, overlaps)
+    return df
 
 
 def explode_hits(df: DataFrame, hits: str, keys: Sequence[str]) -> DataFrame:
-    """One row per hit. The outer form keeps the optimizer from adding a "has hits" filter, which
-    it would push below the detection and so run the detection twice."""
-    return (
-        df.select(*keys, F.posexplode_outer(hits).alias("hit_ix", "__hit"))
-        .where(F.col("hit_ix").isNotNull())
-        .select(*keys, "hit_ix", "__hit.*")
-    )
+    """One row per hit: keys, position in the hit list, hit fields."""
+    return df.select(*keys, F.posexplode(hits).alias("hit_ix", "__hit")).select(*keys, "hit_ix", "__hit.*")
 
 
 def detect(df: DataFrame, column: str, keys: Sequence[str] = (), rules: Sequence[Rule] = RULES, **options) -> DataFrame:

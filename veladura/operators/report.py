@@ -23,7 +23,7 @@ def pii_totals(marked: DataFrame, hits: str = "hits") -> DataFrame:
 def pii_by_type(marked: DataFrame, hits: str = "hits", by: Sequence[str] = ()) -> DataFrame:
     """Hits per type; only the type leaves the hit array, so the exploded rows stay narrow."""
     kinds = F.transform(hits, lambda h: h["type"])
-    rows = marked.select(*by, F.explode_outer(kinds).alias("type")).where(F.col("type").isNotNull())
+    rows = marked.select(*by, F.explode(kinds).alias("type"))
     return rows.groupBy(*by, "type").agg(F.count("*").alias("n"))
 
 
@@ -47,7 +47,7 @@ def pii_values(hits: Column) -> Column:
 def distinct_values(marked: DataFrame, hits: str, key: str) -> DataFrame:
     """Distinct values per type over the whole table, with their first place and count."""
     pairs = F.transform(hits, lambda h: F.struct(h["type"].alias("type"), h["value"].alias("value"), h["start"].alias("start")))
-    rows = marked.select(key, F.explode_outer(pairs).alias("__p")).where(F.col("__p").isNotNull())
+    rows = marked.select(key, F.explode(pairs).alias("__p"))
     return rows.groupBy(F.col("__p.type").alias("type"), F.col("__p.value").alias("value")).agg(
         F.min(F.struct(F.col(key), F.col("__p.start").alias("start"))).alias("__first"), F.count("*").alias("n")
     ).select("type", "value", F.col(f"__first.{key}").alias("first_id"), F.col("__first.start").alias("first_start"), "n")

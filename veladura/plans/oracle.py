@@ -26,8 +26,6 @@ def _raw(rule: Rule, rank: int) -> str:
     if rule.type == "rfc":
         column, pattern = "norm_rfc", pattern.replace("Ñ", "N")
     pattern = pattern.replace("Núm", "N_m").replace("años", "a_os").replace("año", "a_o")
-    if "°" in pattern:
-        column = "text"
     flag = ", 'i'" if rule.ignore_case else ""
     return (
         f"SELECT kind, id, text, {rank} AS rank, {text(rule.type)} AS type, {rule.confidence}::DOUBLE AS base, "
