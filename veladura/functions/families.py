@@ -37,10 +37,24 @@ class Provider(NamedTuple):
     args: tuple = ()
 
 
+def sql_literal(value) -> str:
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, float):
+        return f"{value!r}D"
+    if isinstance(value, int):
+        return str(value) if -(1 << 31) <= value < 1 << 31 else f"{value}L"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def pool_array(pool: Sequence) -> Column:
+    """Literal array, parsed once instead of built value by value through the gateway."""
+    return F.expr(f"array({', '.join(sql_literal(v) for v in pool)})")
+
+
 def pick(draw: Column, pool: Sequence) -> Column:
     """Uniform choice from a literal pool."""
-    values = F.array(*[F.lit(v) for v in pool])
-    return F.element_at(values, (below(draw, len(pool)) + 1).cast("int"))
+    return F.element_at(pool_array(pool), (below(draw, len(pool)) + 1).cast("int"))
 
 
 def one_type(pool: Sequence) -> list:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veladura.functions import pools
 from veladura.functions.draws import DEFAULT_SEED, digest_byte
-from veladura.functions.families import AS_OF_DAY
+from veladura.functions.families import AS_OF_DAY, pool_array
 from veladura.functions.html import (
     attribute,
     attribute_parts,
@@ -251,7 +251,7 @@ def form_rule(name: Column, kind: Column) -> Column:
 def _record_value(rule: Column, f: Column, digest: Column) -> Column:
     """Field value from the digest of (form, record, field): bytes pick from the pools."""
     def item(pool: Sequence[str], i: int) -> Column:
-        return F.element_at(F.array(*[F.lit(p) for p in pool]), digest_byte(digest, i) % F.lit(len(pool)) + 1)
+        return F.element_at(pool_array(pool), digest_byte(digest, i) % F.lit(len(pool)) + 1)
 
     def sentence(i: int) -> Column:
         first = F.initcap(item(pools.WORDS, i))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veladura.functions import pools
 from veladura.functions.draws import digest_byte, value_digest
-from veladura.functions.families import ALPHANUMERIC, DIGITS, RFC_LETTERS, UPPER
+from veladura.functions.families import ALPHANUMERIC, DIGITS, RFC_LETTERS, UPPER, pool_array
 from veladura.functions.rules import LEVELS, RULES, Rule, select_rules
 from veladura.operators.detect import text_columns, with_hits
 
@@ -76,7 +76,7 @@ def _chars(alphabet: str, digest: Column, first: int, n: int) -> Column:
 def fake_value(kind: Column, digest: Column) -> Column:
     """Invented value of the same type, fixed by the digest of the original: equal values get equal pseudonyms."""
     def item(pool: Sequence[str], i: int) -> Column:
-        return F.element_at(F.array(*[F.lit(p) for p in pool]), digest_byte(digest, i) % F.lit(len(pool)) + 1)
+        return F.element_at(pool_array(pool), digest_byte(digest, i) % F.lit(len(pool)) + 1)
 
     rfc = F.concat(
         _chars(RFC_LETTERS, digest, 0, 4), _chars(DIGITS, digest, 4, 6), _chars(ALPHANUMERIC, digest, 10, 3)

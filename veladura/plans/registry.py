@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from veladura.plans import pii_queries
+from veladura.plans import gen_queries, pii_queries
 
-MODULES = [pii_queries]
+MODULES = [gen_queries, pii_queries]
 
 
 def queries() -> dict:
