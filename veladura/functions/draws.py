@@ -25,13 +25,11 @@ def key32(*parts: object) -> int:
     return int.from_bytes(hashlib.md5(text.encode("utf-8")).digest()[:4], "big")
 
 
-def scramble(x: Column) -> Column:
-    """Bijection on 32-bit integers (two multiplications, three xor-shifts)."""
-    x = x.bitwiseXOR(F.shiftright(x, 16))
-    x = (x * F.lit(MULTIPLIER_A)).bitwiseAND(F.lit(MASK32))
-    x = x.bitwiseXOR(F.shiftright(x, 15))
-    x = (x * F.lit(MULTIPLIER_B)).bitwiseAND(F.lit(MASK32))
-    return x.bitwiseXOR(F.shiftright(x, 16))
+def scramble(x: str) -> str:
+    """SQL text of a bijection on 32-bit integers (two multiplications, three xor-shifts)."""
+    for shift, multiplier in ((16, MULTIPLIER_A), (15, MULTIPLIER_B)):
+        x = f"((({x} ^ shiftright({x}, {shift})) * {multiplier}L) & {MASK32}L)"
+    return f"({x} ^ shiftright({x}, 16))"
 
 
 class DrawPlan:
@@ -45,11 +43,14 @@ class DrawPlan:
     def __init__(self, seed: int = DEFAULT_SEED):
         self.seed = seed
         self.keys: dict[int, str] = {}
+        self.columns: dict[int, Column] = {}
 
     def draw(self, column: str, k: int = 0) -> Column:
         key = key32(self.seed, column, k)
-        name = self.keys.setdefault(key, f"__draw{len(self.keys)}")
-        return F.col(name)
+        if key not in self.keys:
+            self.keys[key] = f"__draw{len(self.keys)}"
+            self.columns[key] = F.col(self.keys[key])
+        return self.columns[key]
 
     def apply(self, df: DataFrame, row_id: str | Column) -> DataFrame:
         ident = F.col(row_id) if isinstance(row_id, str) else row_id
@@ -61,12 +62,9 @@ class DrawPlan:
                 "__high": F.shiftrightunsigned(ident.cast("bigint"), 32),
             }
         )
-        df = df.withColumns(
-            {name: scramble(F.col("__low").bitwiseXOR(F.lit(key).cast("bigint"))) for key, name in self.keys.items()}
-        )
-        return df.withColumns(
-            {name: scramble(F.col(name).bitwiseXOR(F.col("__high"))) for name in self.keys.values()}
-        )
+        df = df.selectExpr("*", *[f"{scramble(f'(__low ^ {key}L)')} AS {name}" for key, name in self.keys.items()])
+        kept = [f"`{c}`" for c in df.columns if not c.startswith("__draw")]
+        return df.selectExpr(*kept, *[f"{scramble(f'({name} ^ __high)')} AS {name}" for name in self.keys.values()])
 
 
 def below(draw: Column, n: int) -> Column:

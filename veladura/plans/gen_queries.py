@@ -17,9 +17,8 @@ from veladura.operators.catalogue import (
     resolve_frame,
 )
 from veladura.operators.generate import generate, generate_over, with_offset_date
-from veladura.plans.gen_oracle import build, generated, scramble
+from veladura.plans.gen_oracle import generated
 from veladura.plans.inputs import table
-from veladura.session import spread
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -226,5 +225,3 @@ def table_to_dataset(spark, sf_dir):
     source = table(spark, sf_dir, "customer")
     return generate_over(source.select(F.col("c_custkey").alias("__id")), "__id", source.columns)
 
-
-__all__ = ["ORACLE", "QUERIES", "build", "scramble", "spread"]

@@ -105,3 +105,81 @@ NOTES_SQL = f"SELECT o_orderkey AS id, {NOTE} AS text FROM orders"
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"{NOTE} AS text")
+
+
+# --- form pages from parts -------------------------------------------------------------------
+
+PART_PAGE = """CASE cast(p_partkey % 7 as int)
+ WHEN 0 THEN concat('<html><body><!-- <form><input name="ghost"></form> --><script>var t="<input name=js>";</script><form action="/p/', cast(p_partkey as string),
+   '?a=1&amp;b=2" method="post" id="f', cast(p_partkey as string), '" name="alta"><label>Nombre</label><input type="text" name="Nombre " required placeholder="a > b">',
+   '<input type="email" name="email" required><input type="number" name="edad" min="18" max="', cast(p_size + 30 as string), '"><select name="pais"><option>M&eacute;xico</option>',
+   '<option value="x"> Espa&#241;a </option><option></option></select><textarea name="comentarios">', p_name, ' <b>', p_brand, '</b></textarea>',
+   '<button type="submit" name="s">Enviar</button></form></body></html>')
+ WHEN 1 THEN concat('<form action=/buscar><input name=q', cast(p_size as string), ' type=search><input type=submit name=go></form><FORM METHOD=Put ID=''f2''>',
+   '<input type=radio name=color value=rojo><input type=radio name=color value=azul><input type="checkbox" name="ok"><input type=text name=telefono_casa></FORM>')
+ WHEN 2 THEN concat('<p>', p_name, '</p><input name="suelto" type="TEL"><input id="porid"><input><button name="b1">', p_brand, '</button><select id=s1><option>1<option>2 &amp; 3</select>')
+ WHEN 3 THEN concat('<p>', p_name, '</p><a href="/parte/', cast(p_partkey as string), '">', p_brand, '</a>')
+ WHEN 4 THEN concat('<form id="dup"><input name="edad" type="number" min="200"><input name="EDAD" type="text"><input type="hidden" name="token" value="',
+   cast(p_partkey as string), '"><input type=range name=nivel max=10><input type="date" name="alta"><input name="clave" pattern="[A-Z]{3}" value=''x"y''>',
+   '<input type="image" name="img"><button name="calc" type="button">Calcular</button><input type="number" name="mal" min="abc" max="7"></form>')
+ WHEN 5 THEN concat('<form name="fuera"><input name="uno"><form name="dentro"><input name="dos"></form><input name="tres"></form><form name="abierto"><input name="ultimo" title="',
+   p_brand, ' name=falso"><textarea id="notas" required> ', p_name, ' </textarea>')
+ ELSE concat('<form action=""><input type="text" name="nombre_completo"><input type="url" name="sitio"><select name="vacio"></select><input type="text" name="email_2"></form>')
+END"""
+PAGE_SHIFT = 1_000_000
+PAGES_SQL = f"SELECT page_id, html FROM pages UNION ALL SELECT {PAGE_SHIFT} + p_partkey AS page_id, {PART_PAGE} AS html FROM part"
+
+
+def form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = table(spark, sf_dir, "part").selectExpr(f"{PAGE_SHIFT} + p_partkey AS page_id", f"{PART_PAGE} AS html")
+    return table(spark, sf_dir, "pages").select("page_id", "html").unionByName(built)
+
+
+# --- API documents from suppliers ------------------------------------------------------------
+
+USER_SCHEMA = (
+    '{"type":"object","properties":{"nombre":{"type":"string"},"email":{"type":"string","example":"ana@example.com"},'
+    '"edad":{"type":"integer"},"activo":{"type":"boolean"},"tipo":{"type":"string","enum":["A","B","C"]},"peso":{"type":"number"},'
+    '"nivel":{"enum":[1,2,3,4,5]},"puntos":{"type":"integer","example":7}}}'
+)
+SPEC = f"""CASE cast(s_suppkey % 5 as int)
+ WHEN 0 THEN concat('{{"openapi":"3.0.0","servers":[{{"url":"https://api', cast(s_suppkey as string), '.example.com/v1"}}],"paths":{{"/usuarios":{{"get":{{"summary":"Lista de ', s_name,
+   '"}},"post":{{"summary":"Alta","description":"Crea","parameters":[{{"name":"x"}}],"requestBody":{{"required":true}},"responses":{{"201":{{}}}}}},"parameters":[]}},"/pedidos/{{id}}":{{"DELETE":{{}},"trace":{{}}}}}},',
+   '"components":{{"schemas":{{"Usuario":{USER_SCHEMA},"Vacio":{{"type":"object"}}}}}}}}')
+ WHEN 1 THEN concat('{{"swagger":"2.0","host":"h', cast(s_suppkey as string), '.example.com","basePath":"/api","paths":{{"/z":{{"get":{{"summary":"Z"}}}},"/a":{{"put":{{}}}}}},',
+   '"definitions":{{"Zeta":{USER_SCHEMA},"Alfa":{{"properties":{{"id":{{"type":"integer"}},"c', cast(s_nationkey as string), '":{{"type":"string"}}}}}}}}}}')
+ WHEN 2 THEN concat('{{"openapi":"3.1.0","host":"no.example.com","schemes":["http"],"components":{{"schemas":{{"Comun":{{"properties":{{"viejo":{{}}}}}},"Solo":{{"properties":{{"s":{{}}}}}}}}}},',
+   '"definitions":{{"Extra":{{}},"Comun":{{"properties":{{"nuevo":{{"type":"string"}},"otro":{{"type":"boolean"}}}}}}}}}}')
+ WHEN 3 THEN concat('{{"openapi":"3.0.0","paths":{{"/roto', cast(s_suppkey as string), '":')
+ ELSE concat('openapi: 3.0.0', chr(10), 'info: ', s_name) END"""
+SPECS_SQL = f"SELECT s_suppkey AS spec_id, {SPEC} AS spec FROM supplier"
+
+
+def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS spec_id", f"{SPEC} AS spec")
+
+
+# --- column lists and job configs from parts and customers -------------------------------------
+
+LIST_TEXT = """CASE cast(p_partkey % 4 as int)
+ WHEN 0 THEN concat(' Nombre, EMAIL ,,', replace(p_name, ' ', ','), ', ', lower(p_type))
+ WHEN 1 THEN concat(p_name, chr(10), ' Edad ', chr(13), chr(10), chr(10), 'ciudad', chr(10), 'Edad')
+ WHEN 2 THEN concat('a,b', chr(10), p_brand, chr(10))
+ ELSE concat(chr(10), '  ', chr(10)) END"""
+LISTS_SQL = f"SELECT p_partkey, {LIST_TEXT} AS content FROM part"
+
+
+def column_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", f"{LIST_TEXT} AS content")
+
+
+JOB_TEXT = """CASE cast(c_custkey % 4 as int)
+ WHEN 0 THEN concat('{"volumen":', cast(c_custkey + 1 as string), ',"columnas":["nombre","', lower(c_mktsegment), '"],"formato":"csv","motor":"python"}')
+ WHEN 1 THEN concat('{"columnas":["email"],"formato":"', lower(c_mktsegment), '"}')
+ WHEN 2 THEN '{"volumen":0}'
+ ELSE concat('{"volumen":-', cast(c_nationkey as string), ',"columnas":[],"formato":"parquet","motor":"rust"}') END"""
+JOBS_SQL = f"SELECT c_custkey, {JOB_TEXT} AS job FROM customer"
+
+
+def job_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{JOB_TEXT} AS job")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from veladura.plans import gen_queries, pii_queries
+from veladura.plans import doc_queries, gen_queries, pii_queries, table_queries
 
-MODULES = [gen_queries, pii_queries]
+MODULES = [gen_queries, table_queries, doc_queries, pii_queries]
 
 
 def queries() -> dict:

@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 
 from veladura.functions.sqltext import plain_number
 from veladura.sinks.sqltext import write_script
+from veladura.sources.files import METRIC, schema_of
 
 BOM = "\ufeff"
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
+TIME_OPTIONS = {"timestampFormat": TIME_FORMAT, "timestampNTZFormat": TIME_FORMAT}
 BATCH = 10_000
 
 
@@ -37,17 +39,15 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", bom: bool = True, mode:
     shown = _text_form(df)
     if bom:
         shown = shown.withColumnRenamed(df.columns[0], BOM + df.columns[0])
-    shown.write.mode(mode).csv(
-        path, header=True, sep=sep, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-        timestampFormat=TIME_FORMAT, timestampNTZFormat=TIME_FORMAT,
+    shown.write.mode(mode).options(**TIME_OPTIONS).csv(
+        path, header=True, sep=sep, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, sep: str = ",") -> DataFrame:
     """Reads back what ``write_csv`` wrote (the header is skipped, so a byte order mark does not matter)."""
-    return spark.read.schema(schema).csv(
-        path, header=True, sep=sep, escape='"', multiLine=True, enforceSchema=True,
-        timestampFormat=TIME_FORMAT, timestampNTZFormat=TIME_FORMAT,
+    return spark.read.schema(schema).options(**TIME_OPTIONS).csv(
+        path, header=True, sep=sep, escape='"', multiLine=True, enforceSchema=True
     )
 
 
@@ -57,14 +57,12 @@ def write_csv_semicolon(df: DataFrame, path: str, mode: str = "error") -> None:
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
     """One object per line with every field, nulls included."""
-    df.write.mode(mode).json(path, ignoreNullFields=False, timestampFormat=TIME_FORMAT, timestampNTZFormat=TIME_FORMAT)
+    df.write.mode(mode).options(**TIME_OPTIONS).json(path, ignoreNullFields=False)
 
 
 def json_record(columns: list[str] | None = None) -> Column:
     """Row as a JSON object with every field."""
-    return F.to_json(
-        F.struct(*(columns or ["*"])), {"ignoreNullFields": "false", "timestampFormat": TIME_FORMAT, "timestampNTZFormat": TIME_FORMAT}
-    )
+    return F.to_json(F.struct(*(columns or ["*"])), {"ignoreNullFields": "false", **TIME_OPTIONS})
 
 
 def json_arrays(df: DataFrame, row_id: str, size: int = BATCH) -> DataFrame:
@@ -118,9 +116,7 @@ def write_metrics(spark: SparkSession, path: str, volume: int, engine: str, seco
             "_motor": config.get("_motor"), "_metadata": dict(config.get("_metadata") or {}) or None,
         },
     }
-    from veladura.sources.files import METRIC, fields
-
-    spark.createDataFrame([row], fields(METRIC)).coalesce(1).write.mode("append").json(path)
+    spark.createDataFrame([row], schema_of(METRIC)).coalesce(1).write.mode("append").json(path)
 
 
 def write_specs(jobs: DataFrame, path: str, mode: str = "error") -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veladura.operators.jobs import JOB, SQL_JOB, column_list, names_from_content, names_from_lines, with_defaults
 
@@ -14,9 +15,8 @@ METRIC = (
 )
 
 
-def fields(struct: str) -> str:
-    """DDL of a struct's fields, as readers want it."""
-    return struct.removeprefix("struct<").removesuffix(">")
+def schema_of(struct: str) -> T.StructType:
+    return T.DataType.fromDDL(struct)
 
 
 def read_texts(spark: SparkSession, path: str, column: str) -> DataFrame:
@@ -54,13 +54,13 @@ def empty_column_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_job_files(spark: SparkSession, path: str) -> DataFrame:
     """JSON job configs, one per file, with defaults filled in."""
-    jobs = spark.read.schema(fields(JOB)).json(path, multiLine=True)
+    jobs = spark.read.schema(schema_of(JOB)).json(path, multiLine=True)
     return with_defaults(jobs.withColumn("path", F.col("_metadata.file_path")), ["path"])
 
 
 def read_sql_job_files(spark: SparkSession, path: str) -> DataFrame:
     """JSON job configs with a database and a table or query part."""
-    jobs = spark.read.schema(fields(SQL_JOB)).json(path, multiLine=True)
+    jobs = spark.read.schema(schema_of(SQL_JOB)).json(path, multiLine=True)
     return sql_job_defaults(jobs.withColumn("path", F.col("_metadata.file_path")), ["path"])
 
 
@@ -78,8 +78,8 @@ def sql_job_defaults(jobs: DataFrame, keys: list[str]) -> DataFrame:
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Run metrics, one JSON document or one JSON line per run."""
-    return spark.read.schema(fields(METRIC)).json(path, multiLine=True)
+    return spark.read.schema(schema_of(METRIC)).json(path, multiLine=True)
 
 
 def read_metric_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(fields(METRIC)).json(path)
+    return spark.read.schema(schema_of(METRIC)).json(path)
