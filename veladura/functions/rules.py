@@ -21,26 +21,26 @@ class Rule(NamedTuple):
 
 # The patterns and base confidences, in the order in which ties are settled.
 RULES: list[Rule] = [
-    Rule("rfc", r"\b[A-ZÑ&]{3,4}[0-9]{6}[A-Z0-9]{3}\b", 0.95, True, "digits3"),
-    Rule("curp", r"\b[A-Z]{4}[0-9]{6}[A-Z]{6}[0-9]{2}\b", 0.95, True, "digits3"),
+    Rule("rfc", r"\b[A-ZÑ&]{3,4}[0-9]{6}[A-Z0-9]{3}\b", 0.95, True, "digits6"),
+    Rule("curp", r"\b[A-Z]{4}[0-9]{6}[A-Z]{6}[0-9]{2}\b", 0.95, True, "digits6"),
     Rule("email", r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b", 0.98, False, "at"),
-    Rule("telefono", r"\b(?:\d{2}\s?)?\d{4}[-.\s]?\d{4}\b|\b\d{10}\b", 0.85, False, "digits3"),
+    Rule("telefono", r"\b(?:\d{2}\s?)?\d{4}[-.\s]?\d{4}\b|\b\d{10}\b", 0.85, False, "digits4"),
     Rule(
         "telefono_movil",
-        r"\b(?:55|56|33|81|44|66|99|77|22|55)[-.\s]?\d{4}[-.\s]?\d{4}\b|\b1\d{9}\b", 0.90, False, "digits3",
+        r"\b(?:55|56|33|81|44|66|99|77|22|55)[-.\s]?\d{4}[-.\s]?\d{4}\b|\b1\d{9}\b", 0.90, False, "digits4",
     ),
-    Rule("ip_address", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", 0.90, False, "digit"),
+    Rule("ip_address", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", 0.90, False, "dotted"),
     Rule("mac_address", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", 0.95, False, "pair_sign"),
-    Rule("uuid", r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", 0.98, True, "pair_sign"),
-    Rule("credit_card", r"\b(?:\d{4}[- ]?){3}\d{4}\b", 0.85, False, "digits3"),
-    Rule("nss", r"\b\d{2,4}\d{2}\d{2}\d{3}\d{1}\b|\b\d{11}\b", 0.80, False, "digits3"),
+    Rule("uuid", r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", 0.98, True, "dash"),
+    Rule("credit_card", r"\b(?:\d{4}[- ]?){3}\d{4}\b", 0.85, False, "digits4"),
+    Rule("nss", r"\b\d{2,4}\d{2}\d{2}\d{3}\d{1}\b|\b\d{11}\b", 0.80, False, "digits10"),
     Rule("placa_auto", r"\b[A-Z]{3}[ -]?\d{3}\b|\b\d{3}[ -]?[A-Z]{3}\b", 0.75, True, "digits3"),
-    Rule("codigo_postal", r"\b[0-9]{5}\b", 0.70, False, "digits3"),
+    Rule("codigo_postal", r"\b[0-9]{5}\b", 0.70, False, "digits5"),
     Rule(
         "fecha_nacimiento",
-        r"\b(?:0[1-9]|[12][0-9]|3[01])[-/](?:0[1-9]|1[0-2])[-/](?:19|20)[0-9]{2}\b", 0.80, False, "digits3",
+        r"\b(?:0[1-9]|[12][0-9]|3[01])[-/](?:0[1-9]|1[0-2])[-/](?:19|20)[0-9]{2}\b", 0.80, False, "year",
     ),
-    Rule("numero_exterior", r"\b(?:No\.?|Núm\.?|#)\s*[0-9]+\b", 0.65, True, "digit"),
+    Rule("numero_exterior", r"\b(?:No\.?|Núm\.?|#)\s*[0-9]+\b", 0.65, True, "number"),
 ]
 
 # Rules that exist but are off unless asked for, with the confidence of a custom rule.
@@ -76,15 +76,35 @@ LEVELS: dict[str, list[str] | None] = {
     "alto": None,
 }
 
-# Cheap scans shared by the rules. Each is implied by the patterns that name it, so
-# skipping a pattern where its gate fails never loses a hit.
+# What the gates read: the text, its shape (digits as 0; null when it has no digit), and
+# whether it has decimal digits other than 0-9, which some patterns accept.
+HAS_DIGIT = r"(?U)\d"
+OTHER_DIGIT = r"[^\P{Nd}0-9]"
+DIGIT_SHAPE = ("123456789", "000000000")
+
+
+def _any(text: Column, *pieces: str) -> Column:
+    found = F.contains(text, F.lit(pieces[0]))
+    for piece in pieces[1:]:
+        found = found | F.contains(text, F.lit(piece))
+    return found
+
+
+# Cheap conditions a hit implies; where one fails its patterns are skipped without losing a hit.
 GATES = {
-    "digit": lambda text: text.rlike(r"(?U)\d"),
-    "at": lambda text: F.contains(text, F.lit("@")),
-    "pair_sign": lambda text: F.contains(text, F.lit("-")) | F.contains(text, F.lit(":")),
+    "digits3": lambda text, shape, other: _any(shape, "000") | other,
+    "digits4": lambda text, shape, other: _any(shape, "0000") | other,
+    "digits5": lambda text, shape, other: _any(shape, "00000"),
+    "digits6": lambda text, shape, other: _any(shape, "000000"),
+    "digits10": lambda text, shape, other: _any(shape, "0000000000") | other,
+    "dotted": lambda text, shape, other: _any(shape, "0.0"),
+    "year": lambda text, shape, other: _any(shape, "/0000", "-0000"),
+    "number": lambda text, shape, other: shape.isNotNull() & _any(text, "#", "No", "no", "NO", "nO", "úm", "Úm", "úM", "ÚM"),
+    "at": lambda text, shape, other: _any(text, "@"),
+    "dash": lambda text, shape, other: _any(text, "-"),
+    "pair_sign": lambda text, shape, other: _any(text, "-", ":"),
 }
-# Second scan for the texts that pass the first.
-REFINED_GATES = {"digits3": ("digit", lambda text: text.rlike(r"(?U)\d{3}"))}
+SHAPE_GATES = {"digits3", "digits4", "digits5", "digits6", "digits10", "dotted", "year", "number"}
 
 
 def select_rules(

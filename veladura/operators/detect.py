@@ -1,7 +1,7 @@
 """Personal-data detection: an array of hits per text, computed row by row in one stage.
 
 The work is split over projections because each step mentions its input several
-times: shared gates, matches per rule, gaps per rule, hits. Columns of a table are
+times: shared gates, marked text per rule, parts per rule, hits. Columns of a table are
 done one after the other, which keeps the generated code small. No shuffle.
 """
 
@@ -15,10 +15,13 @@ from pyspark.sql import types as T
 
 from veladura.functions.rules import (
     CONTEXT_CHARS,
+    DIGIT_SHAPE,
     GATES,
-    REFINED_GATES,
+    HAS_DIGIT,
     MIN_CONFIDENCE,
+    OTHER_DIGIT,
     RULES,
+    SHAPE_GATES,
     Rule,
     confidence,
     java_pattern,
@@ -78,6 +81,68 @@ def _without_overlaps(hits: str) -> str:
       acc -> CASE WHEN acc.last IS NULL THEN acc.kept ELSE concat(acc.kept, array(acc.last)) END)"""
 
 
+def _parts(text: Column, marked: Column, rule: Rule) -> Column:
+    """Text cut at the matches of a rule: gap, match, gap, match, ..., gap; null without a match.
+
+    One pass of the pattern puts a marker on both sides of every match, and the text is cut at the
+    markers. Texts that hold the marker themselves are cut by the pattern, gaps and matches apart.
+    """
+    pattern = java_pattern(rule)
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    apart = F.flatten(F.transform(F.split(text, pattern, -1), lambda g, i: F.array(g, F.get(matches, i))))
+    cut = F.split(marked, MARKER, -1)
+    return F.when(
+        F.contains(marked, F.lit(MARKER)),
+        F.when(F.contains(text, F.lit(MARKER)), F.slice(apart, F.lit(1), F.size(matches) * 2 + 1)).otherwise(cut),
+    )
+
+
+def _spans(rules: Sequence[Rule]) -> str:
+    """Start and value of every match of every rule: the odd parts, placed by the lengths before them.
+
+    One lambda body serves all rules, so the plan does not grow with them.
+    """
+    listed = ", ".join(f"named_struct('type', '{r.type}', 'base', {r.confidence}D)" for r in rules)
+    per_rule = f"""filter(transform(array({listed}), (r, j) -> named_struct(
+      'rank', j, 'type', r.type, 'base', r.base, 'parts', get(__parts, j))), r -> size(r.parts) > 1)"""
+    steps = "transform(r.parts, (p, i) -> named_struct('value', p, 'hit', i % 2 = 1))"
+    return f"""flatten(transform({per_rule}, r -> aggregate(
+      {steps},
+      named_struct('at', 0, 'spans', cast(array() AS array<{SPAN}>)),
+      (acc, s) -> named_struct(
+        'at', acc.at + length(s.value),
+        'spans', CASE WHEN s.hit THEN concat(acc.spans, array(named_struct(
+          'rank', r.rank, 'type', r.type, 'base', r.base, 'start', acc.at, 'value', s.value))) ELSE acc.spans END),
+      acc -> acc.spans)))"""
+
+
+def _ranked_hits(text: str, spans: str) -> str:
+    """Hits with context and confidence; the leading fields are the sort order of the overlap rule."""
+    first = f"greatest(s.start - {CONTEXT_CHARS}, 0)"
+    stop = "s.start + length(s.value)"
+    contexts = f"""transform({spans}, s -> named_struct('s', s, 'stop', {stop},
+      'context', substr({text}, {first} + 1, {stop} + {CONTEXT_CHARS} - {first})))"""
+    scored = f"""transform({contexts}, c -> named_struct('c', c,
+      'confidence', {confidence("c.s.type", "c.s.base", "c.s.value", "c.context")}))"""
+    return f"""transform({scored}, h -> named_struct(
+      'start', h.c.s.start, 'minus', -h.confidence, 'rank', h.c.s.rank, 'type', h.c.s.type, 'value', h.c.s.value,
+      'end', h.c.stop, 'context', h.c.context, 'confidence', h.confidence))"""
+
+
+def _without_overlaps(hits: str) -> str:
+    """Hits in (start, -confidence, rule) order; a later one replaces the hit it overlaps only if more confident.
+
+    Kept hits are disjoint and arrive by start, so only the last kept one can overlap the next.
+    """
+    apart = "(acc.last IS NULL OR h.start >= acc.last.`end`)"
+    return f"""aggregate({hits},
+      named_struct('kept', cast(array() AS array<{RANKED}>), 'last', cast(null AS {RANKED})),
+      (acc, h) -> named_struct(
+        'kept', CASE WHEN {apart} AND acc.last IS NOT NULL THEN concat(acc.kept, array(acc.last)) ELSE acc.kept END,
+        'last', CASE WHEN {apart} OR h.confidence > acc.last.confidence THEN h ELSE acc.last END),
+      acc -> CASE WHEN acc.last IS NULL THEN acc.kept ELSE concat(acc.kept, array(acc.last)) END)"""
+
+
 def _gaps(text: Column, rule: Rule) -> Column:
     """Text between the matches. Replacing by a marker and splitting at it reuses the compiled pattern,
     which a split by the pattern compiles per text; texts that hold the marker are split by the pattern."""
@@ -85,10 +150,6 @@ def _gaps(text: Column, rule: Rule) -> Column:
     return F.when(F.contains(text, F.lit(MARKER)), F.split(text, java_pattern(rule), -1)).otherwise(marked)
 
 
-def _add(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    return df.withColumns(columns) if columns else df
-
-
 def _hits_of(text: str, rules: Sequence[Rule], min_confidence: float, overlaps: bool) -> Column:
     # SQL text rather than column calls: one parse instead of thousands of gateway calls.
     every = f"array_sort(filter({_ranked_hits(text, _spans(rules))}, h -> h.confidence >= {float(min_confidence)}D))"
@@ -96,28 +157,25 @@ def _hits_of(text: str, rules: Sequence[Rule], min_confidence: float, overlaps:
       'type', h.type, 'value', h.value, 'start', h.start, 'end', h.`end`, 'context', h.context, 'confidence', h.confidence))"""
     # The partition id makes the column non-deterministic for the optimizer, so a filter on it or an
     # explode of it is not copied below the detection, where it would run a second time.
-    some = "exists(__gaps, g -> g IS NOT NULL) AND spark_partition_id() >= 0"
+    some = "exists(__parts, p -> size(p) > 1) AND spark_partition_id() >= 0"
     return F.expr(f"CASE WHEN {some} THEN {final} ELSE cast(array() AS array<{HIT}>) END")
 
 
 def _with_column_hits(df: DataFrame, column: str, out: str, rules: Sequence[Rule], min_confidence: float, overlaps: bool) -> DataFrame:
     name = "`" + column.replace("`", "``") + "`"
-    text = F.col(name)
-    asked = {r.gate for r in rules} - {"any"}
-    refined = {g: REFINED_GATES[g] for g in sorted(asked & set(REFINED_GATES))}
-    first = sorted((asked & set(GATES)) | {needs for needs, _ in refined.values()})
-
-    gate = {f"__gate_{g}": GATES[g](text) for g in first}
-    finer = {f"__gate_{g}": F.when(F.col(f"__gate_{needs}"), scan(text)) for g, (needs, scan) in refined.items()}
-    found, gaps = [], []
-    for j, rule in enumerate(rules):
-        match = F.regexp_extract_all(text, F.lit(java_pattern(rule)), F.lit(0))
-        found.append(match if rule.gate == "any" else F.when(F.col(f"__gate_{rule.gate}"), match))
-        gaps.append(F.when(F.size(F.get("__found", F.lit(j))) > 0, _gaps(text, rule)))
+    text, shape, other = F.col(name), F.col("__shape"), F.col("__other")
     kept = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    if SHAPE_GATES & {r.gate for r in rules}:
+        digit = text.rlike(HAS_DIGIT)
+        df = df.withColumn("__shape", F.when(digit, F.translate(text, *DIGIT_SHAPE)))
+        df = df.withColumn("__other", F.when(shape.isNotNull(), text.rlike(OTHER_DIGIT)).otherwise(F.lit(False)))
+    marked, parts = [], []
+    for j, rule in enumerate(rules):
+        mark = F.regexp_replace(text, java_pattern(rule), f"{MARKER}$0{MARKER}")
+        marked.append(mark if rule.gate == "any" else F.when(GATES[rule.gate](text, shape, other), mark))
+        parts.append(_parts(text, F.get("__marked", F.lit(j)), rule))
     return (
-        _add(_add(df, gate), finer)
-        .withColumn("__found", F.array(*found)).withColumn("__gaps", F.array(*gaps))
+        df.withColumn("__marked", F.array(*marked)).withColumn("__parts", F.array(*parts))
         .select(*kept, _hits_of(name, rules, min_confidence, overlaps).alias(out))
     )
 

@@ -10,7 +10,7 @@ from veladura.operators.catalogue import merge
 
 # A catalogue becomes part of the plan, so it has to fit the driver; this is far above any real one.
 MAX_ENTRIES = 20_000
-ENTRY = r"""^\s*(["'])(.+?)\1\s*:\s*(.*?)\s*,?\s*(?:#.*)?$"""
+ENTRY = r"""^\s*(["'])(.+?)\1\s*:\s*(.*?)\s*,?\s*(?:#[^"']*)?$"""
 
 
 def read_dictionary_text(spark: SparkSession, path: str) -> DataFrame:
