@@ -393,13 +393,22 @@ def capital_word(d: Draw) -> Column:
     return F.initcap(word(d))
 
 
+def word_run(d: Draw, n: int, k: int) -> tuple[list[Column], int]:
+    """n words from draw k on, five per draw: the pool has 64 words, so a word is six bits."""
+    words = pool_array(pools.WORDS)
+    picks = [
+        F.element_at(words, (F.shiftright(d(k + i // 5), 6 * (i % 5)).bitwiseAND(F.lit(63)) + 1).cast("int")) for i in range(n)
+    ]
+    return picks, k + -(-n // 5)
+
+
 def sentence_from(d: Draw, words: int, k: int) -> tuple[Column, int]:
     """Sentence of about ``words`` words (two more or fewer)."""
     low, high = max(1, words - 2), words + 2
-    picks = [pick(d(k + 1 + i), pools.WORDS) for i in range(high)]
+    picks, after = word_run(d, high, k + 1)
     picks[0] = F.initcap(picks[0])
     size = (below(d(k), high - low + 1) + low).cast("int")
-    return F.concat(F.array_join(F.slice(F.array(*picks), 1, size), " "), F.lit(".")), k + 1 + high
+    return F.concat(F.array_join(F.slice(F.array(*picks), 1, size), " "), F.lit(".")), after
 
 
 def text(d: Draw, sentences: int = 1, words: int = 6) -> Column:

@@ -46,6 +46,7 @@ AGENTS = [
 ]
 COLOURS = ["Rojo", "Verde", "Azul", "Negro", "Blanco", "Amarillo", "Naranja", "Violeta", "Gris", "Turquesa"]
 LANGUAGES = ["Español", "Inglés", "Francés", "Alemán", "Italiano", "Portugués", "Náhuatl", "Maya", "Japonés", "Árabe"]
+# Sixty-four words: six bits of a draw choose one.
 WORDS = (
     "casa tiempo agua mesa libro noche campo puerta viento ciudad camino fuego luz sombra piedra nube barco "
     "mercado jardín escuela ventana papel reloj montaña playa bosque puente torre plaza río sueño verano invierno "

@@ -16,6 +16,7 @@ from veladura.plans.gen_oracle import generated
 from veladura.plans.gen_queries import EXACT, FALLBACK, FUZZY
 from veladura.plans.inputs import PAGES_SQL, SPECS_SQL, form_pages, specs, table
 from veladura.plans.oracle import text
+from veladura.session import spread
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -31,6 +32,10 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def all_pages(spark, sf_dir) -> DataFrame:
+    return spread(form_pages(spark, sf_dir), "page_id")
+
+
 # --- forms: oracle in rows and windows instead of arrays ---------------------------------------
 
 
@@ -109,7 +114,7 @@ FIELD_OUT = (
 
 
 def field_rows(spark, sf_dir, unique: bool = True) -> DataFrame:
-    return forms.form_fields(form_pages(spark, sf_dir), unique=unique)
+    return forms.form_fields(all_pages(spark, sf_dir), unique=unique)
 
 
 def fields_out(df: DataFrame) -> DataFrame:
@@ -120,7 +125,7 @@ def fields_out(df: DataFrame) -> DataFrame:
 
 @register("form_list", f"WITH {FORMS_SQL} SELECT page_id, form_ix, action, method, form_id, form_name FROM heads")
 def form_list(spark, sf_dir):
-    return forms.form_list(form_pages(spark, sf_dir)).drop("content")
+    return forms.form_list(all_pages(spark, sf_dir)).drop("content")
 
 
 @register("form_fields", f"WITH {FIELDS_SQL} SELECT {FIELD_OUT} FROM fields")
@@ -178,7 +183,7 @@ CONFIG_SQL = f"""WITH {FIELDS_SQL} SELECT h.page_id, h.form_ix, action, method,
 
 @register("form_config", CONFIG_SQL)
 def form_config(spark, sf_dir):
-    config = forms.form_config(form_pages(spark, sf_dir))
+    config = forms.form_config(all_pages(spark, sf_dir))
     return config.withColumns({c: F.array_join(c, ",") for c in ("columns", "field_names")})
 
 
@@ -244,7 +249,7 @@ SELECT page_id, form_ix, record_ix, name, CASE
 
 
 def _records(spark, sf_dir) -> DataFrame:
-    rows = forms.form_records(form_pages(spark, sf_dir), RECORDS)
+    rows = forms.form_records(all_pages(spark, sf_dir), RECORDS)
     return rows.select("page_id", "form_ix", "record_ix", F.explode("record").alias("name", "value"))
 
 
@@ -270,12 +275,12 @@ A_TAGS = f"regexp_extract_all(regexp_replace(html, {text(NOISE)}, '<!>', 'g'), {
     (SELECT page_id, unnest({A_TAGS}) AS tag, generate_subscripts({A_TAGS}, 1) AS ord FROM ({PAGES_SQL}))) WHERE {attr("href")} IS NOT NULL""",
 )
 def fn_html_attr(spark, sf_dir):
-    return forms.links(form_pages(spark, sf_dir))
+    return forms.links(all_pages(spark, sf_dir))
 
 
 @register("fn_html_text", f"SELECT page_id, {shown('html')} AS shown FROM ({PAGES_SQL})")
 def fn_html_text(spark, sf_dir):
-    return form_pages(spark, sf_dir).select("page_id", inner_text(F.col("html")).alias("shown"))
+    return all_pages(spark, sf_dir).select("page_id", inner_text(F.col("html")).alias("shown"))
 
 
 @register(
@@ -285,7 +290,7 @@ def fn_html_text(spark, sf_dir):
 )
 def fn_to_int(spark, sf_dir):
     first = F.regexp_extract("html", tag_pattern("input"), 0)
-    return form_pages(spark, sf_dir).select("page_id", F.trim(attribute_of(first, "max")).try_cast("int").cast("string").alias("highest"))
+    return all_pages(spark, sf_dir).select("page_id", F.trim(attribute_of(first, "max")).try_cast("int").cast("string").alias("highest"))
 
 
 @register("src_pages", "SELECT page_id, url, md5(html) AS html_md5, length(html)::INT AS chars FROM pages")

@@ -157,10 +157,11 @@ def text(d, sentences=1, words=6) -> str:
     parts, k = [], 0
     for _ in range(sentences):
         low, high = max(1, words - 2), words + 2
-        picks = [pick(d(k + 1 + i), pools.WORDS) for i in range(high)]
+        pool = f"[{', '.join(quoted(w) for w in pools.WORDS)}]"
+        picks = [f"list_extract({pool}, ((({d(k + 1 + i // 5)} >> {6 * (i % 5)}) & 63) + 1)::INT)" for i in range(high)]
         picks[0] = initcap(picks[0])
         parts.append(f"array_to_string([{', '.join(picks)}][1:({below(d(k), high - low + 1)} + {low})::INT], ' ') || '.'")
-        k += 1 + high
+        k += 1 - (-high // 5)
     return " || ' ' || ".join(parts)
 
 

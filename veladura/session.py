@@ -20,6 +20,9 @@ def local_session(cores: str = "*", app: str = "veladura") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.sql.session.timeZone", "UTC")
+        # The JVM does not compile methods above 8000 bytes; wide generated projections then run as
+        # smaller methods instead of one interpreted loop.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
