@@ -150,6 +150,10 @@ def _gaps(text: Column, rule: Rule) -> Column:
     return F.when(F.contains(text, F.lit(MARKER)), F.split(text, java_pattern(rule), -1)).otherwise(marked)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _hits_of(text: str, rules: Sequence[Rule], min_confidence: float, overlaps: bool) -> Column:
     # SQL text rather than column calls: one parse instead of thousands of gateway calls.
     every = f"array_sort(filter({_ranked_hits(text, _spans(rules))}, h -> h.confidence >= {float(min_confidence)}D))"
@@ -162,9 +166,9 @@ def _hits_of(text: str, rules: Sequence[Rule], min_confidence: float, overlaps:
 
 
 def _with_column_hits(df: DataFrame, column: str, out: str, rules: Sequence[Rule], min_confidence: float, overlaps: bool) -> DataFrame:
-    name = "`" + column.replace("`", "``") + "`"
+    name = quoted(column)
     text, shape, other = F.col(name), F.col("__shape"), F.col("__other")
-    kept = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    kept = [F.col(quoted(c)) for c in df.columns]
     if SHAPE_GATES & {r.gate for r in rules}:
         digit = text.rlike(HAS_DIGIT)
         df = df.withColumn("__shape", F.when(digit, F.translate(text, *DIGIT_SHAPE)))
@@ -208,7 +212,7 @@ def explode_hits(df: DataFrame, hits: str, keys: Sequence[str]) -> DataFrame:
 
 def detect(df: DataFrame, column: str, keys: Sequence[str] = (), rules: Sequence[Rule] = RULES, **options) -> DataFrame:
     """One row per hit: keys, position in the text's hit list and the hit fields."""
-    marked = with_hits(df.select(*dict.fromkeys([*keys, column])), {column: "__hits"}, rules, **options)
+    marked = with_hits(df.select(*[quoted(c) for c in dict.fromkeys([*keys, column])]), {column: "__hits"}, rules, **options)
     return explode_hits(marked, "__hits", keys)
 
 
@@ -228,9 +232,9 @@ def detect_table(
     columns = text_columns(df, excluded)
     if not columns:
         raise ValueError("no text column to scan")
-    marked = with_hits(df.select(*dict.fromkeys([*keys, *columns])), {c: f"__hits_{c}" for c in columns}, rules)
+    marked = with_hits(df.select(*[quoted(c) for c in dict.fromkeys([*keys, *columns])]), {c: f"__hits_{c}" for c in columns}, rules)
     per_column = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(f"`__hits_{c}`").alias("hits")) for c in columns]
+        *[F.struct(F.lit(c).alias("column"), F.col(quoted(f"__hits_{c}")).alias("hits")) for c in columns]
     )
     listed = marked.select(*keys, F.explode(per_column).alias("__c"))
     listed = listed.select(*keys, F.col("__c.column").alias("column"), F.col("__c.hits").alias("__hits"))

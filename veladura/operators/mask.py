@@ -12,7 +12,7 @@ from veladura.functions import pools
 from veladura.functions.draws import digest_byte, value_digest
 from veladura.functions.families import ALPHANUMERIC, DIGITS, RFC_LETTERS, UPPER, pool_array
 from veladura.functions.rules import LEVELS, RULES, Rule, select_rules
-from veladura.operators.detect import text_columns, with_hits
+from veladura.operators.detect import quoted, text_columns, with_hits
 
 MODES = ("partial", "full", "hash", "fake", "preserve")
 
@@ -208,11 +208,11 @@ def splice(text: Column, masks: Column) -> Column:
 
 def mask_columns(df: DataFrame, hits: Mapping[str, str], config: MaskConfig = MaskConfig()) -> DataFrame:
     """Replaces text columns using hit columns computed before (``{column: hits column}``)."""
-    masks = {f"__masks{i}": masked_hits(F.col(f"`{h}`"), config) for i, h in enumerate(hits.values())}
+    masks = {f"__masks{i}": masked_hits(F.col(quoted(h)), config) for i, h in enumerate(hits.values())}
     prepared = df.withColumns(masks)
     place = {c: f"__masks{i}" for i, c in enumerate(hits)}
     return prepared.select(
-        *[splice(F.col(f"`{c}`"), F.col(place[c])).alias(c) if c in place else F.col(f"`{c}`") for c in df.columns]
+        *[splice(F.col(quoted(c)), F.col(place[c])).alias(c) if c in place else F.col(quoted(c)) for c in df.columns]
     )
 
 
@@ -229,7 +229,7 @@ def mask_table(df: DataFrame, config: MaskConfig = MaskConfig()) -> DataFrame:
     if not columns:
         return df
     hits = {c: f"__hits_{c}" for c in columns}
-    return mask_columns(with_hits(df, hits, config.rules), hits, config).select(*[F.col(f"`{c}`") for c in df.columns])
+    return mask_columns(with_hits(df, hits, config.rules), hits, config).select(*[F.col(quoted(c)) for c in df.columns])
 
 
 def censor(df: DataFrame, column: str, level: str = "alto") -> DataFrame:
