@@ -83,6 +83,16 @@ FAMILY_COLUMNS: dict[str, dict[str, Provider]] = {
 for _name, _columns in FAMILY_COLUMNS.items():
     family_query(_name, _columns)
 
+
+def dates_as_text(name: str, dates: list[str]) -> None:
+    """Dates leave the query as ISO text: clients show a DATE in different ways."""
+    run, sql = QUERIES[name], ORACLE[name]
+    QUERIES[name] = lambda spark, sf_dir: run(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in dates})
+    ORACLE[name] = f"SELECT * REPLACE ({', '.join(f'{c}::VARCHAR AS {c}' for c in dates)}) FROM ({sql})"
+
+
+dates_as_text("F19", ["fecha_nacimiento", "fecha_futura", "fecha_pasada"])
+
 # --- sources --------------------------------------------------------------------------------
 
 PERSON = ["nombre", "email", "edad", "ciudad", "salario", "rfc"]
@@ -106,6 +116,9 @@ def src_generate_rows(spark, sf_dir):
     return with_offset_date(start, "fecha_inicio", "fecha_fin", 1, 30, "o_orderkey")
 
 
+dates_as_text("src_generate_rows", ["fecha_inicio", "fecha_fin"])
+
+
 @register(
     "proj_select",
     f"SELECT salario, nombre, edad FROM ({generated('SELECT o_orderkey FROM orders', 'o_orderkey', ['nombre', 'edad', 'salario'])})",

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veladura.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -76,20 +78,20 @@ NOTE = f"""CASE cast({K} % 9 as int)
  ELSE concat({RFC}, {letter(K)}, ' ', {MAIL}, '; ', {PHONE}, ' ', {PHONE}, ' ', {CARD}, ' ', {padded(f'{K} * 37', 5)})
 END"""
 
-# (table, kind, id expression, text expression)
+# (table, kind, key, id expression, text expression)
 CORPUS = [
-    ("documents", "document", "doc_id", "text"),
-    ("pages", "page", "page_id", "html"),
-    ("conversations", "conversation", "conv_id * 1000 + turn", "text"),
-    ("orders", "note", "o_orderkey", NOTE),
+    ("documents", "document", "doc_id", "doc_id", "text"),
+    ("pages", "page", "page_id", "page_id", "html"),
+    ("conversations", "conversation", "conv_id", "conv_id * 1000 + turn", "text"),
+    ("orders", "note", "o_orderkey", "o_orderkey", NOTE),
 ]
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of all tables that have some: (kind, id, text)."""
+    """Texts of all tables that have some: (kind, id, text), spread over the cores before they are built."""
     parts = [
-        table(spark, sf_dir, name).selectExpr(f"'{kind}' AS kind", f"cast({ident} as bigint) AS id", f"{text} AS text")
-        for name, kind, ident, text in CORPUS
+        spread(table(spark, sf_dir, name), key).selectExpr(f"'{kind}' AS kind", f"cast({ident} as bigint) AS id", f"{text} AS text")
+        for name, kind, key, ident, text in CORPUS
     ]
     frame = parts[0]
     for part in parts[1:]:
@@ -98,7 +100,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CORPUS_SQL = " UNION ALL ".join(
-    f"SELECT '{kind}' AS kind, cast({ident} as bigint) AS id, {text} AS text FROM {name}" for name, kind, ident, text in CORPUS
+    f"SELECT '{kind}' AS kind, cast({ident} as bigint) AS id, {text} AS text FROM {name}" for name, kind, _, ident, text in CORPUS
 )
 NOTES_SQL = f"SELECT o_orderkey AS id, {NOTE} AS text FROM orders"
 

@@ -32,7 +32,7 @@ def register(name: str, sql: str | None = None):
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(corpus(spark, sf_dir), "id")
+    return corpus(spark, sf_dir)
 
 
 def hits_out(df: DataFrame, *more: str) -> DataFrame:
@@ -69,6 +69,15 @@ def pii_custom(spark, sf_dir):
     return hits_out(detect(texts(spark, sf_dir), "text", ["kind", "id"], CUSTOM_RULES), "confidence")
 
 
+EXTENSION_RULES = select_rules(["prioridad"], {r"\b[1-5]-(?:LOW|HIGH|MEDIUM|URGENT)\b": "prioridad"})
+
+
+@register("ext_pattern", f"WITH {kept(rules=EXTENSION_RULES)} SELECT type, value, count(*) AS n FROM hits GROUP BY ALL")
+def ext_pattern(spark, sf_dir):
+    found = detect(texts(spark, sf_dir), "text", ["kind", "id"], EXTENSION_RULES)
+    return found.groupBy("type", "value").agg(F.count("*").alias("n"))
+
+
 KEYWORD_RULES = select_rules(["rfc", "curp", "email", "telefono"])
 
 
