@@ -85,8 +85,11 @@ def test_resolution_order():
 
 def test_resolve_frame_agrees_with_the_plan_time_resolver(spark):
     names = [" Email ", "correo_x", "templo", "motel", "nada", "Edad", "address2", "ñandú"]
-    rows = resolve_frame(spark.createDataFrame([(n,) for n in names], "name string"), catalogue_frame(spark)).collect()
-    assert {r["name"]: r["provider"] for r in rows} == {n: resolve_name(n) for n in names}
+    frame = spark.createDataFrame([(n,) for n in names], "name string")
+    for catalogue in (BASE, catalogue_frame(spark)):
+        rows = resolve_frame(frame, catalogue).collect()
+        assert {r["name"]: r["provider"] for r in rows} == {n: resolve_name(n) for n in names}
+    assert "BroadcastHashJoin" in resolve_frame(frame, BASE)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_provider_texts():

@@ -9,7 +9,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veladura.functions.families import AS_OF_DAY, Provider
+from veladura.functions.families import Provider
 
 # The base column names and the ranges and lists behind them.
 BASE: dict[str, Provider] = {
@@ -261,14 +261,24 @@ def catalogue_frame(spark, catalogue: Mapping[str, Provider] = BASE) -> DataFram
     return spark.createDataFrame(rows, "name string, family string, args array<string>")
 
 
-def resolve_frame(names: DataFrame, catalogue: DataFrame, name: str = "name") -> DataFrame:
+# A catalogue given as a dict is part of the plan and may be broadcast up to this many entries.
+MAX_BROADCAST_ENTRIES = 20_000
+
+
+def resolve_frame(names: DataFrame, catalogue: DataFrame | Mapping[str, Provider], name: str = "name") -> DataFrame:
     """Adds ``provider`` and ``how`` (exact, fuzzy, fallback) to a frame of column names.
 
-    The exact lookup is an equi-join and leaves broadcasting to the optimizer,
-    which knows the size of a built-in catalogue and measures a user's one. The
-    catalogue is the right side of a left join, so names keep their partitioning.
+    The exact lookup is a left equi-join. A dict catalogue has a known size and is broadcast, so the
+    names are not shuffled; for a catalogue table the optimizer decides by its size.
     """
-    entries = catalogue.select(F.lower(F.trim("name")).alias("__entry")).distinct()
+    if not isinstance(catalogue, DataFrame):
+        keys = sorted({entry.strip().lower() for entry in catalogue})
+        entries = names.sparkSession.createDataFrame([(k,) for k in keys], "__entry string")
+        return _resolved(names, F.broadcast(entries) if len(keys) <= MAX_BROADCAST_ENTRIES else entries, name)
+    return _resolved(names, catalogue.select(F.lower(F.trim("name")).alias("__entry")).distinct(), name)
+
+
+def _resolved(names: DataFrame, entries: DataFrame, name: str) -> DataFrame:
     keyed = names.withColumn("__name", F.lower(F.trim(F.col(name))))
     joined = keyed.join(entries, keyed["__name"] == entries["__entry"], "left")
     fuzzy = fuzzy_target(F.col("__name"))
@@ -290,8 +300,3 @@ def override_frame(base: DataFrame, theme: DataFrame) -> DataFrame:
         F.when(F.col("theme_family").isNotNull(), "theme").otherwise("base").alias("origin"),
     )
 
-
-__all__ = [
-    "AS_OF_DAY", "BASE", "FALLBACK", "FUZZY_KEYS", "as_provider", "catalogue_frame", "fuzzy_target", "merge",
-    "override_frame", "parse_provider", "resolve", "resolve_frame", "resolve_name",
-]

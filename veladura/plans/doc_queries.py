@@ -9,7 +9,7 @@ from veladura.functions import pools
 from veladura.functions.families import AS_OF_DAY
 from veladura.functions.html import ANY_TAG, ATTRIBUTE, ENTITIES, NOISE, attribute_of, block_pattern, inner_text, tag_pattern
 from veladura.operators import apispecs, forms
-from veladura.operators.catalogue import catalogue_frame, resolve_frame
+from veladura.operators.catalogue import BASE, resolve_frame
 from veladura.operators.generate import generate_over, stress_volume
 from veladura.operators.jobs import keep_first
 from veladura.plans.gen_oracle import generated
@@ -453,7 +453,7 @@ def api_to_dataset(spark, sf_dir):
 )
 def api_resolve_columns(spark, sf_dir):
     columns = apispecs.api_columns(apispecs.api_schemas(parsed(spark, sf_dir))).select("property")
-    resolved = resolve_frame(columns, catalogue_frame(spark), "property")
+    resolved = resolve_frame(columns, BASE, "property")
     return resolved.groupBy("property", "provider").agg(F.count("*").alias("n"))
 
 

@@ -165,7 +165,7 @@ def names(spark, sf_dir) -> DataFrame:
     FROM (SELECT name, lower(trim(name)) AS clean FROM ({NAME_SQL}))""",
 )
 def join_resolve_provider(spark, sf_dir):
-    return resolve_frame(names(spark, sf_dir), catalogue_frame(spark))
+    return resolve_frame(names(spark, sf_dir), BASE)
 
 
 # A user catalogue with the words of the part names and two base names.

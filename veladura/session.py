@@ -51,4 +51,6 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     one row group is one task. With enough files the frame is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+    # The list stays in the JVM: only its length is asked for.
+    files = len(df._jdf.inputFiles())
+    return df if files >= cores else df.repartition(cores, key)
