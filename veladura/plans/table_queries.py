@@ -153,7 +153,7 @@ def src_jdbc_url(spark, sf_dir):
 
 RUN_COLUMNS = [
     "o_orderkey AS run", "o_orderdate AS timestamp", "o_custkey AS volumen", "o_orderstatus AS motor",
-    "round(o_totalprice / 1000, 2) AS tiempo_segundos",
+    "o_totalprice / 1000 AS tiempo_segundos",
 ]
 RUNS_SQL = f"SELECT {', '.join(RUN_COLUMNS)} FROM orders"
 
