@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +18,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Sends this package's code to the executors, once per application: their Python need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        top = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="llm-code-")) / "veladura_llm_code.zip"
+        with zipfile.ZipFile(path, "w") as code:
+            for f in [top / "__init__.py", *sorted((top / "llm").glob("*.py"))]:
+                code.write(f, f.relative_to(top.parent))
+        context.addPyFile(str(path))
+        _SHIPPED.add(context.applicationId)
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) of any frame; a null text is empty. Other columns, whatever their names, are left out."""
+    shipped(docs.sparkSession)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veladura.llm import quality, secrets, tokencount, wavelet
+from veladura.llm import jaccard, merkle, quality, secrets, tokencount, wavelet
 from veladura.llm.common import documents
 
 
@@ -27,5 +27,13 @@ def op7_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op6_wavelet_ids, op7_quality_ranking)}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
+def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited_pairs(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op6_wavelet_ids, op7_quality_ranking, op9_jaccard_join, op10_merkle)}
 ORACLE: dict[str, str] = {}

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veladura.llm.common import id_and_text
+from veladura.llm.common import id_and_text, shipped
 
 KINDS = ("assign", "access", "hex")
 # The three patterns and the least lengths of what they find.
@@ -289,4 +289,5 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
             k = batch.schema.get_field_index(text_col)
             yield batch.set_column(k, batch.schema.field(k), pa.array([clean(t) for t in batch.column(k).to_pylist()], batch.schema.field(k).type))
 
+    shipped(docs.sparkSession)
     return docs.mapInArrow(rows, docs.schema)
