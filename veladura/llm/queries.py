@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veladura.llm import jaccard, merkle, quality, secrets, tokencount, wavelet
+from veladura.llm import jaccard, lm, merkle, quality, secrets, spm, tokencount, wavelet
 from veladura.llm.common import documents
 
 
@@ -17,6 +17,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.with_limit(tokencount.token_counts(documents(spark, sf_dir)))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encode(documents(spark, sf_dir), with_ids=False)
+
+
+def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(documents(spark, sf_dir))
+
+
 def op6_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(documents(spark, sf_dir))
 
@@ -35,5 +43,5 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_pairs(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op6_wavelet_ids, op7_quality_ranking, op9_jaccard_join, op10_merkle)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_sentencepiece, op4_lattice_lm, op6_wavelet_ids, op7_quality_ranking, op9_jaccard_join, op10_merkle)}
 ORACLE: dict[str, str] = {}
