@@ -1,12 +1,53 @@
-"""The document pipeline: each stage is written as Parquet and read again as the next one's documents."""
+"""The document pipeline: each stage is written as Parquet and read again as the next one's documents.
+
+Every stage but the last returns the columns of documents. Rows: as the operators define them; an empty table goes
+through all stages and gives no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from veladura.llm import decontam, jaccard, quality, secrets, spm
 from veladura.llm.common import documents, written
 
-STAGES: list = []
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the cut stay."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
+    return quality.keep_good(docs, model)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return jaccard.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark stay."""
+    return decontam.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets, plain or wrapped, are replaced, and n_chars follows the text."""
+    columns = docs.columns
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, with the proof that they decode to its text."""
+    return spm.encode(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("jaccard_join", jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scan", secret_scan),
+    ("sentencepiece", sentencepiece),
+]
+# The first stage learns its weights, which SQL cannot express; tests/llm/test_pipeline.py holds the rows against brute force.
 ORACLE_SQL = None
 
 
