@@ -10,9 +10,10 @@ shared shingles before it is verified; of two documents the smaller l counts.
    another prefix (l of the smallest set that may link with it) cannot link and go. It repeats on what is left, and ends when a round drops less than a tenth.
 3. Only for the rest, whole sets are built. Order: rare shingles first, those of at least HEAVY classes last.
    A class whose prefix would make many candidates gets a longer one (the estimate is the sum of list lengths).
-4. Heavy lists are not paired out: the member with the fewest rare shingles is compared with the other members, and
-   links join components; members already joined need no comparison among themselves. Rounds go on while the pairs
-   left between components are many; the rest, and all pairs of short lists, are counted, held against l, verified.
+4. Pairs of short lists are counted, held against l and verified. Heavy lists are not paired out: the member with the
+   fewest rare shingles is compared with the others, links join components, and lists of one component are done, as
+   its members need no comparison among themselves. In each further round four times as many members, drawn by hash,
+   meet those of other components and leave; a list ends when all its members have met or are joined.
 5. Components by smallest label with pointer jumping, each round written to the shared folder.
 
 Nothing is capped: the constants only choose between exact ways. Shingles are compared as 64-bit hashes.
@@ -151,11 +152,12 @@ def postings(sets: DataFrame) -> DataFrame:
                 order = np.argsort(heavy, kind="stable")  # rare ones in hash order, then heavy ones in hash order
                 n = n.as_py()
                 first = n - int(least_overlap(n)) + 1
-                longest = n - first + 1
+                # Beyond the rare shingles a longer prefix would only add heavy lists.
+                longest = max(1, int((~heavy).sum()) - first + 1)
                 # Candidates by the list lengths: for each l, the cost of the longer prefix against what the higher
                 # number of matches saves, taken as cost / l. The least wins; ties go to the shorter prefix.
-                cost = np.cumsum(np.where(heavy, HEAVY, df - 1)[order])[first - 1 :]
-                level = 1 if cost[0] <= COSTLY else 1 + int(np.argmin(cost[:longest] / np.arange(1, longest + 1)))
+                cost = np.cumsum((df - 1)[order])[first - 1 :]
+                level = 1 if longest == 1 or cost[0] <= COSTLY else 1 + int(np.argmin(cost[:longest] / np.arange(1, longest + 1)))
                 taken = order[: first + level - 1]
                 taken = taken[df[taken] > 1]
                 out.append((ident.as_py(), n, level, int((~heavy).sum()), own[taken], heavy[taken]))
@@ -208,7 +210,7 @@ def _close(a: str, b: str):
 
 
 def linked(sets: DataFrame) -> DataFrame | None:
-    """Edges (a, b) between classes that give the same components as all links; None without any."""
+    """(doc_id, label) of the classes that link with another; None without any."""
     lists = written(postings(sets), "jaccard-postings")
     light, heavy = lists.where("not heavy"), lists.where("heavy")
     one = light.select("t", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"))
@@ -223,32 +225,22 @@ def linked(sets: DataFrame) -> DataFrame | None:
         of = lambda c: weight.select(F.col("doc_id").alias(c), F.col("h").alias(f"h{c}"))
         candidates = paired.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.col("c") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= F.least("la", "lb")).select("a", "b")
     edges = written(verified(candidates, sets), "jaccard-links")
-    if heavy.isEmpty():
-        return None if edges.isEmpty() else edges
-    members = written(heavy.select("t", "doc_id", "n", "rare"), "jaccard-heavy")
-    total = members.count()
+    n_edges = edges.count()
+    labels = components(edges) if n_edges else None
+    members, drawn = written(heavy.select("t", "doc_id", "n", "rare"), "jaccard-heavy"), 0
     while True:
-        labels = None if edges.isEmpty() else components(edges)
         at = members.withColumn("label", F.col("doc_id")) if labels is None else members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        at = written(at.select("t", "doc_id", "n", "rare", "label"), "jaccard-members")
-        # Pairs of a list that lie in different components.
-        parts = at.groupBy("t", "label").agg(F.count("*").alias("m"))
-        cross = parts.groupBy("t").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q")).where("s * s > q")
-        left = cross.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).head()[0] or 0
-        if not left:
-            return None if edges.isEmpty() else edges
-        at = at.join(cross.select("t"), "t")
-        if left <= 4 * total:
-            x = at.select("t", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            y = at.select("t", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            pairs = x.join(y, "t").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _close("na", "nb")).select("a", "b").distinct()
-            return edges.unionByName(written(verified(pairs, sets), "jaccard-links"))
-        # The member with the fewest rare shingles is the likeliest centre of its copies; it leaves its lists compared.
-        centres = at.groupBy("t").agg(F.min(F.struct("rare", "doc_id", "n", "label")).alias("c"))
-        met = at.join(centres, "t")
-        pairs = met.where((F.col("label") != F.col("c.label"))).where((5 * F.col("n") >= 4 * F.col("c.n")) & (5 * F.col("c.n") >= 4 * F.col("n"))).select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+        lists = at.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), F.min(F.struct("rare", "doc_id"))["doc_id"].alias("centre")).where("low <> high")
+        at = written(at.join(lists.select("t", "m", "centre"), "t").withColumn("met", (F.col("doc_id") == F.col("centre")) | (F.pmod(F.xxhash64("doc_id", F.lit(drawn)), F.col("m")) < drawn)), "jaccard-members")
+        if at.isEmpty():
+            return labels
+        x = at.where("met").select("t", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+        y = at.select("t", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+        pairs = x.join(y, "t").where((F.col("la") != F.col("lb")) & _close("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         edges = written(edges.unionByName(verified(pairs, sets)), "jaccard-links")
-        members = written(met.where("doc_id <> c.doc_id").select("t", "doc_id", "n", "rare"), "jaccard-heavy")
+        if (now := edges.count()) > n_edges:
+            n_edges, labels = now, components(edges)
+        members, drawn = written(at.where("not met").select("t", "doc_id", "n", "rare"), "jaccard-heavy"), 4 * max(drawn, 1)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,12 +257,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = screened(firsts).join(firsts.select("doc_id", "digest"), "doc_id")
     sets = whole_sets(texts, ids, ids.count())
     sets = written(sets if unique else sets.dropDuplicates(["doc_id"]), "jaccard-sets")
-    edges = linked(sets)
+    labels = linked(sets)
     own = heads.select("doc_id", "n", "digest").join(classes, "digest", "left")
-    if edges is None:
+    if labels is None:
         found = own.withColumn("label", F.col("class"))
     else:
-        labels = components(edges)
         found = own.join(labels.withColumnRenamed("doc_id", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     return found.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("label")).alias("component_id"))
 
