@@ -29,58 +29,14 @@ from veladura.functions.rules import (
 
 # A code point that is not a character.
 MARKER = "\uffff"
+# Elements folded at once, characters of a piece of a long text.
+BLOCK, PIECE = 32, 512
 
 HIT = "struct<type:string,value:string,start:int,`end`:int,context:string,confidence:double>"
 SPAN = "struct<rank:int,type:string,base:double,start:int,value:string>"
 RANKED = "struct<start:int,minus:double,rank:int,type:string,value:string,`end`:int,context:string,confidence:double>"
 
 
-def _spans(rules: Sequence[Rule]) -> str:
-    """Start and value of every match of every rule; gaps are what a split by the same pattern leaves.
-
-    One lambda body serves all rules, so the plan does not grow with them.
-    """
-    listed = ", ".join(f"named_struct('type', '{r.type}', 'base', {r.confidence}D)" for r in rules)
-    per_rule = f"""filter(transform(array({listed}), (r, j) -> named_struct(
-      'rank', j, 'type', r.type, 'base', r.base, 'found', get(__found, j), 'gaps', get(__gaps, j))), r -> size(r.found) > 0)"""
-    steps = "transform(r.found, (m, i) -> named_struct('gap', length(get(r.gaps, i)), 'value', m))"
-    return f"""flatten(transform({per_rule}, r -> aggregate(
-      {steps},
-      named_struct('at', 0, 'spans', cast(array() AS array<{SPAN}>)),
-      (acc, s) -> named_struct(
-        'at', acc.at + s.gap + length(s.value),
-        'spans', concat(acc.spans, array(named_struct(
-          'rank', r.rank, 'type', r.type, 'base', r.base, 'start', acc.at + s.gap, 'value', s.value)))),
-      acc -> acc.spans)))"""
-
-
-def _ranked_hits(text: str, spans: str) -> str:
-    """Hits with context and confidence; the leading fields are the sort order of the overlap rule."""
-    first = f"greatest(s.start - {CONTEXT_CHARS}, 0)"
-    stop = "s.start + length(s.value)"
-    contexts = f"""transform({spans}, s -> named_struct('s', s, 'stop', {stop},
-      'context', substr({text}, {first} + 1, {stop} + {CONTEXT_CHARS} - {first})))"""
-    scored = f"""transform({contexts}, c -> named_struct('c', c,
-      'confidence', {confidence("c.s.type", "c.s.base", "c.s.value", "c.context")}))"""
-    return f"""transform({scored}, h -> named_struct(
-      'start', h.c.s.start, 'minus', -h.confidence, 'rank', h.c.s.rank, 'type', h.c.s.type, 'value', h.c.s.value,
-      'end', h.c.stop, 'context', h.c.context, 'confidence', h.confidence))"""
-
-
-def _without_overlaps(hits: str) -> str:
-    """Hits in (start, -confidence, rule) order; a later one replaces the hit it overlaps only if more confident.
-
-    Kept hits are disjoint and arrive by start, so only the last kept one can overlap the next.
-    """
-    apart = "(acc.last IS NULL OR h.start >= acc.last.`end`)"
-    return f"""aggregate({hits},
-      named_struct('kept', cast(array() AS array<{RANKED}>), 'last', cast(null AS {RANKED})),
-      (acc, h) -> named_struct(
-        'kept', CASE WHEN {apart} AND acc.last IS NOT NULL THEN concat(acc.kept, array(acc.last)) ELSE acc.kept END,
-        'last', CASE WHEN {apart} OR h.confidence > acc.last.confidence THEN h ELSE acc.last END),
-      acc -> CASE WHEN acc.last IS NULL THEN acc.kept ELSE concat(acc.kept, array(acc.last)) END)"""
-
-
 def _parts(text: Column, marked: Column, rule: Rule) -> Column:
     """Text cut at the matches of a rule: gap, match, gap, match, ..., gap; null without a match.
 
@@ -97,6 +53,38 @@ def _parts(text: Column, marked: Column, rule: Rule) -> Column:
     )
 
 
+def running(values: str, kind: str, start: str, join: str) -> str:
+    """For every element of an array what the elements before it come to: sums or maxima, in linear time.
+
+    No accumulator grows: totals of blocks, of blocks of blocks, and per element a fold over at most BLOCK neighbours
+    on each level. ``join`` combines ``x`` and ``y``.
+    """
+    fold = lambda part: f"aggregate({part}, {start}, (x, y) -> cast({join} AS {kind}))"
+    blocks = lambda v: f"CASE WHEN size({v}) = 0 THEN cast(array() AS array<{kind}>) ELSE transform(sequence(0, (size({v}) - 1) div {BLOCK}), b -> {fold(f'slice({v}, b * {BLOCK} + 1, {BLOCK})')}) END"
+    before = lambda v, upper: f"transform({v}, (e, i) -> {fold(f'concat(array({upper}), slice({v}, i div {BLOCK} * {BLOCK} + 1, i % {BLOCK}))')})"
+    top = f"transform(l.s2, (e, i) -> {fold('slice(l.s2, 1, i)')})"
+    s1 = f"transform(array({values}), v -> named_struct('v', v, 's1', {blocks('v')}))"
+    s2 = f"transform({s1}, l -> named_struct('v', l.v, 's1', l.s1, 's2', {blocks('l.s1')}))"
+    o2 = f"transform({s2}, l -> named_struct('v', l.v, 's1', l.s1, 'o2', {top}))"
+    o1 = f"transform({o2}, l -> named_struct('v', l.v, 'o1', {before('l.s1', f'get(l.o2, i div {BLOCK})')}))"
+    return f"transform({o1}, l -> {before('l.v', f'get(l.o1, i div {BLOCK})')})[0]"
+
+
+def stretch(text: str, pieces: str, start: str, size: str) -> str:
+    """``size`` characters of a text from ``start`` (from 0), found in its pieces of PIECE characters.
+
+    ``substr`` of a long text counts characters from its begin, for every hit anew.
+    """
+    first = f"({start}) div {PIECE}"
+    joined = f"array_join(slice({pieces}, {first} + 1, (({start}) + ({size})) div {PIECE} - {first} + 1), '')"
+    return f"CASE WHEN size({pieces}) = 0 THEN substr({text}, ({start}) + 1, {size}) ELSE substr({joined}, ({start}) % {PIECE} + 1, {size}) END"
+
+
+def pieces_of(text: str) -> str:
+    """Pieces of PIECE characters of a long text; none for a short one, where counting is cheaper."""
+    return f"CASE WHEN octet_length({text}) > {4 * PIECE} THEN regexp_extract_all({text}, '(?s).{{1,{PIECE}}}', 0) ELSE cast(array() AS array<string>) END"
+
+
 def _spans(rules: Sequence[Rule]) -> str:
     """Start and value of every match of every rule: the odd parts, placed by the lengths before them.
 
@@ -105,15 +93,11 @@ def _spans(rules: Sequence[Rule]) -> str:
     listed = ", ".join(f"named_struct('type', '{r.type}', 'base', {r.confidence}D)" for r in rules)
     per_rule = f"""filter(transform(array({listed}), (r, j) -> named_struct(
       'rank', j, 'type', r.type, 'base', r.base, 'parts', get(__parts, j))), r -> size(r.parts) > 1)"""
-    steps = "transform(r.parts, (p, i) -> named_struct('value', p, 'hit', i % 2 = 1))"
-    return f"""flatten(transform({per_rule}, r -> aggregate(
-      {steps},
-      named_struct('at', 0, 'spans', cast(array() AS array<{SPAN}>)),
-      (acc, s) -> named_struct(
-        'at', acc.at + length(s.value),
-        'spans', CASE WHEN s.hit THEN concat(acc.spans, array(named_struct(
-          'rank', r.rank, 'type', r.type, 'base', r.base, 'start', acc.at, 'value', s.value))) ELSE acc.spans END),
-      acc -> acc.spans)))"""
+    starts = running("transform(r.parts, p -> length(p))", "int", "0", "x + y")
+    placed = f"zip_with(r.parts, {starts}, (p, at) -> named_struct('value', p, 'start', at))"
+    hits = f"filter({placed}, (s, i) -> i % 2 = 1)"
+    return f"""flatten(transform({per_rule}, r -> transform({hits}, s -> named_struct(
+      'rank', r.rank, 'type', r.type, 'base', r.base, 'start', s.start, 'value', s.value))))"""
 
 
 def _ranked_hits(text: str, spans: str) -> str:
@@ -121,7 +105,7 @@ def _ranked_hits(text: str, spans: str) -> str:
     first = f"greatest(s.start - {CONTEXT_CHARS}, 0)"
     stop = "s.start + length(s.value)"
     contexts = f"""transform({spans}, s -> named_struct('s', s, 'stop', {stop},
-      'context', substr({text}, {first} + 1, {stop} + {CONTEXT_CHARS} - {first})))"""
+      'context', {stretch(text, "__pieces", first, f"{stop} + {CONTEXT_CHARS} - {first}")}))"""
     scored = f"""transform({contexts}, c -> named_struct('c', c,
       'confidence', {confidence("c.s.type", "c.s.base", "c.s.value", "c.context")}))"""
     return f"""transform({scored}, h -> named_struct(
@@ -132,40 +116,39 @@ def _ranked_hits(text: str, spans: str) -> str:
 def _without_overlaps(hits: str) -> str:
     """Hits in (start, -confidence, rule) order; a later one replaces the hit it overlaps only if more confident.
 
-    Kept hits are disjoint and arrive by start, so only the last kept one can overlap the next.
+    Kept hits are disjoint and arrive by start, so only the last kept one can overlap the next. A hit that starts
+    where all before it have ended begins a cluster of its own, so the fold runs cluster by cluster.
     """
     apart = "(acc.last IS NULL OR h.start >= acc.last.`end`)"
-    return f"""aggregate({hits},
-      named_struct('kept', cast(array() AS array<{RANKED}>), 'last', cast(null AS {RANKED})),
+    fold = f"""aggregate(g, named_struct('kept', cast(array() AS array<{RANKED}>), 'last', cast(null AS {RANKED})),
       (acc, h) -> named_struct(
         'kept', CASE WHEN {apart} AND acc.last IS NOT NULL THEN concat(acc.kept, array(acc.last)) ELSE acc.kept END,
         'last', CASE WHEN {apart} OR h.confidence > acc.last.confidence THEN h ELSE acc.last END),
       acc -> CASE WHEN acc.last IS NULL THEN acc.kept ELSE concat(acc.kept, array(acc.last)) END)"""
-
-
-def _gaps(text: Column, rule: Rule) -> Column:
-    """Text between the matches. Replacing by a marker and splitting at it reuses the compiled pattern,
-    which a split by the pattern compiles per text; texts that hold the marker are split by the pattern."""
-    marked = F.split(F.regexp_replace(text, java_pattern(rule), MARKER), MARKER, -1)
-    return F.when(F.contains(text, F.lit(MARKER)), F.split(text, java_pattern(rule), -1)).otherwise(marked)
+    ends = running("transform(a, h -> h.`end`)", "int", "0", "greatest(x, y)")
+    heads = f"filter(zip_with(transform(a, (h, i) -> named_struct('at', i + 1, 'start', h.start)), {ends}, (h, e) -> named_struct('at', h.at, 'new', h.start >= e)), x -> x.new)"
+    groups = "transform(c.heads, (x, i) -> slice(c.a, x.at, coalesce(get(c.heads, i + 1).at, size(c.a) + 1) - x.at))"
+    return f"""transform(transform(array({hits}), a -> named_struct('a', a, 'heads', {heads})),
+      c -> flatten(transform({groups}, g -> CASE WHEN size(g) = 1 THEN g ELSE {fold} END)))[0]"""
 
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _hits_of(text: str, rules: Sequence[Rule], min_confidence: float, overlaps: bool) -> Column:
+def _hits_of(text: str, rules: Sequence[Rule], min_confidence: float, overlaps: bool, guarded: bool) -> Column:
     # SQL text rather than column calls: one parse instead of thousands of gateway calls.
     every = f"array_sort(filter({_ranked_hits(text, _spans(rules))}, h -> h.confidence >= {float(min_confidence)}D))"
     final = f"""transform({every if overlaps else _without_overlaps(every)}, h -> named_struct(
       'type', h.type, 'value', h.value, 'start', h.start, 'end', h.`end`, 'context', h.context, 'confidence', h.confidence))"""
     # The partition id makes the column non-deterministic for the optimizer, so a filter on it or an
-    # explode of it is not copied below the detection, where it would run a second time.
-    some = "exists(__parts, p -> size(p) > 1) AND spark_partition_id() >= 0"
+    # explode of it is not copied below the detection, where it would run a second time. It also keeps filters of
+    # other columns above, so frames that only mask go without.
+    some = "exists(__parts, p -> size(p) > 1)" + " AND spark_partition_id() >= 0" * guarded
     return F.expr(f"CASE WHEN {some} THEN {final} ELSE cast(array() AS array<{HIT}>) END")
 
 
-def _with_column_hits(df: DataFrame, column: str, out: str, rules: Sequence[Rule], min_confidence: float, overlaps: bool) -> DataFrame:
+def _with_column_hits(df: DataFrame, column: str, out: str, rules: Sequence[Rule], min_confidence: float, overlaps: bool, guarded: bool) -> DataFrame:
     name = quoted(column)
     text, shape, other = F.col(name), F.col("__shape"), F.col("__other")
     kept = [F.col(quoted(c)) for c in df.columns]
@@ -180,7 +163,8 @@ def _with_column_hits(df: DataFrame, column: str, out: str, rules: Sequence[Rule
         parts.append(_parts(text, F.get("__marked", F.lit(j)), rule))
     return (
         df.withColumn("__marked", F.array(*marked)).withColumn("__parts", F.array(*parts))
-        .select(*kept, _hits_of(name, rules, min_confidence, overlaps).alias(out))
+        .withColumn("__pieces", F.expr(f"CASE WHEN exists(__parts, p -> size(p) > 1) THEN {pieces_of(name)} ELSE cast(array() AS array<string>) END"))
+        .select(*kept, _hits_of(name, rules, min_confidence, overlaps, guarded).alias(out))
     )
 
 
@@ -190,18 +174,20 @@ def with_hits(
     rules: Sequence[Rule] = RULES,
     min_confidence: float = MIN_CONFIDENCE,
     overlaps: bool = False,
+    guarded: bool = True,
 ) -> DataFrame:
     """Adds an array of hits per text column (``hits``, or ``{column: output}``); no hit or null text gives an empty array.
 
     ``overlaps=True`` keeps every hit above the threshold instead of resolving overlaps. Filter rows and
-    choose columns before detection: filters after it stay above it.
+    choose columns before detection: filters after it stay above it, unless ``guarded=False``, which lets them
+    through and suits frames that do not filter or explode the hits.
     """
     if isinstance(columns, str):
         columns = {columns: "hits"}
     elif not isinstance(columns, dict):
         columns = {c: f"{c}_hits" for c in columns}
     for column, out in columns.items():
-        df = _with_column_hits(df, column, out, rules, min_confidence, overlaps)
+        df = _with_column_hits(df, column, out, rules, min_confidence, overlaps, guarded)
     return df
 
 

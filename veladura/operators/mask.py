@@ -12,7 +12,7 @@ from veladura.functions import pools
 from veladura.functions.draws import digest_byte, value_digest
 from veladura.functions.families import ALPHANUMERIC, DIGITS, RFC_LETTERS, UPPER, pool_array
 from veladura.functions.rules import LEVELS, RULES, Rule, select_rules
-from veladura.operators.detect import quoted, text_columns, with_hits
+from veladura.operators.detect import pieces_of, quoted, stretch, text_columns, with_hits
 
 MODES = ("partial", "full", "hash", "fake", "preserve")
 
@@ -190,20 +190,15 @@ def masked_hits(hits: Column, config: MaskConfig) -> Column:
     )
 
 
-def splice(text: Column, masks: Column) -> Column:
-    """Text with every (start, end, mask) applied: gap and mask per hit, then the tail."""
-    pieces = F.transform(
-        masks,
-        lambda m, i: F.concat(
-            text.substr(
-                F.coalesce(F.get(masks, i - 1)["end"], F.lit(0)) + 1,
-                m["start"] - F.coalesce(F.get(masks, i - 1)["end"], F.lit(0)),
-            ),
-            m["mask"],
-        ),
-    )
-    tail = text.substr(F.element_at(masks, -1)["end"] + 1, F.length(text))
-    return F.when(F.size(masks) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
+def splice(text: str, masks: str) -> Column:
+    """Text column with every (start, end, mask) of a column applied: gap and mask per hit, then the tail."""
+    before = "coalesce(get(c.m, i - 1).`end`, 0)"
+    gaps = f"transform(c.m, (m, i) -> concat({stretch('c.t', 'c.p', before, f'm.start - {before}')}, m.mask))"
+    last = "element_at(c.m, -1).`end`"
+    tail = stretch("c.t", "c.p", last, f"length(c.t) - {last}")
+    # An array of one element binds the text and its pieces, so both are made once a row.
+    bound = f"array(named_struct('t', {text}, 'm', {masks}, 'p', {pieces_of(text)}))"
+    return F.expr(f"CASE WHEN size({masks}) > 0 THEN transform({bound}, c -> concat(array_join({gaps}, ''), {tail}))[0] ELSE {text} END")
 
 
 def mask_columns(df: DataFrame, hits: Mapping[str, str], config: MaskConfig = MaskConfig()) -> DataFrame:
@@ -212,13 +207,13 @@ def mask_columns(df: DataFrame, hits: Mapping[str, str], config: MaskConfig = Ma
     prepared = df.withColumns(masks)
     place = {c: f"__masks{i}" for i, c in enumerate(hits)}
     return prepared.select(
-        *[splice(F.col(quoted(c)), F.col(place[c])).alias(c) if c in place else F.col(quoted(c)) for c in df.columns]
+        *[splice(quoted(c), quoted(place[c])).alias(c) if c in place else F.col(quoted(c)) for c in df.columns]
     )
 
 
 def mask_text(df: DataFrame, column: str, config: MaskConfig = MaskConfig(), hits: str | None = None) -> DataFrame:
     """Masks one text column; adds the hit array as ``hits`` when a name is given."""
-    marked = with_hits(df, {column: hits or "__hits"}, config.rules)
+    marked = with_hits(df, {column: hits or "__hits"}, config.rules, guarded=bool(hits))
     masked = mask_columns(marked, {column: hits or "__hits"}, config)
     return masked if hits else masked.drop("__hits")
 
@@ -229,7 +224,7 @@ def mask_table(df: DataFrame, config: MaskConfig = MaskConfig()) -> DataFrame:
     if not columns:
         return df
     hits = {c: f"__hits_{c}" for c in columns}
-    return mask_columns(with_hits(df, hits, config.rules), hits, config).select(*[F.col(quoted(c)) for c in df.columns])
+    return mask_columns(with_hits(df, hits, config.rules, guarded=False), hits, config).select(*[F.col(quoted(c)) for c in df.columns])
 
 
 def censor(df: DataFrame, column: str, level: str = "alto") -> DataFrame:
