@@ -127,3 +127,29 @@ def test_reports(spark):
     assert [(v["type"], v["values"]) for v in values] == [("email", ["a@b.co"]), ("codigo_postal", ["06500"])]
     first = report.distinct_values(marked, "hits", "id").where("value = 'a@b.co'").first()
     assert (first["first_id"], first["first_start"], first["n"]) == (1, 0, 2)
+
+
+def test_many_hits_in_one_text_take_linear_time(spark):
+    import time
+
+    rules = select_rules(["codigo_postal"])
+
+    def seconds(n):
+        df = spark.createDataFrame([(" ".join(f"CP {i % 90000 + 10000}" for i in range(n)),)], "text string").cache()
+        df.count()
+        began = time.time()
+        assert with_hits(df, "text", rules).select(F.size("hits")).first()[0] == n
+        return time.time() - began
+
+    seconds(32_000)
+    half, whole = min(seconds(32_000) for _ in range(2)), min(seconds(64_000) for _ in range(2))
+    assert whole < 30 and whole <= 2.5 * half + 0.5
+
+
+def test_long_texts_have_the_hits_of_their_parts(spark):
+    part = "ñ😀 RFC: GODE561231GR8 y correo ana@example.com tel 5512345678 CP 06700. "
+    row = with_hits(spark.createDataFrame([(part * 300,), (part,)], "text string"), "text").collect()
+    many, one = (r["hits"] for r in row)
+    assert len(many) == 300 * len(one)
+    assert [(h["value"], h["start"] % len(part)) for h in many[-len(one) :]] == [(h["value"], h["start"]) for h in one]
+    assert all((part * 300)[h["start"] : h["end"]] == h["value"] for h in many)

@@ -13,7 +13,7 @@ RECORD = "Cliente: Ana RFC: ABCD850101XY1 correo ana.perez@mail.com tel 55123456
 
 
 def masked(spark, text, **config):
-    return mask_text(spark.createDataFrame([(text,)], "t string"), "t", MaskConfig(**config)).first()["t"]
+    return mask_text(spark.createDataFrame([(text,)], "t string"), "t", MaskConfig(**{"salt": "s3cret", **config})).first()["t"]
 
 
 @pytest.mark.parametrize(
@@ -40,7 +40,7 @@ def test_modes(spark):
 
 def test_fake_values_are_valid_and_stable(spark):
     df = spark.createDataFrame([(1, RECORD), (2, RECORD + " otra vez")], "id int, t string")
-    fake = mask_text(df, "t", MaskConfig(mode="fake"))
+    fake = mask_text(df, "t", MaskConfig(mode="fake", salt="s3cret"))
     kinds = {}
     for r in detect(fake, "t", ["id"]).collect():
         kinds.setdefault(r["id"], []).append((r["type"], r["value"]))
@@ -88,5 +88,24 @@ def test_null_stays_null_and_unknown_modes_are_refused(spark):
 
 def test_masking_is_one_stage_without_python(spark):
     df = spark.createDataFrame([("a", "b")], "x string, y string")
-    plan = mask_table(df, MaskConfig(mode="fake"))._jdf.queryExecution().executedPlan().toString()
+    plan = mask_table(df, MaskConfig(mode="fake", salt="s3cret"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_filters_reach_the_scan_below_masking(spark, tmp_path):
+    spark.createDataFrame([(i, f"mail a{i}@example.com") for i in range(20)], "id bigint, t string").write.parquet(f"{tmp_path}/t")
+    plan = mask_table(spark.read.parquet(f"{tmp_path}/t"), MaskConfig(mode="full")).where("id = 5")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(id,5)" in plan and plan.count("__pieces") <= 2 * plan.count("Project")
+    assert mask_table(spark.read.parquet(f"{tmp_path}/t"), MaskConfig(mode="full")).where("id = 5").first()["t"] == "mail [EMAIL]"
+
+
+def test_fake_modes_need_a_salt():
+    with pytest.raises(ValueError):
+        MaskConfig(mode="fake")
+    with pytest.raises(ValueError):
+        MaskConfig(modes={"rfc": "preserve"})
+
+
+def test_fake_mails_do_not_collide(spark):
+    ids = spark.range(100_000).selectExpr("concat('user', id, '@example.com') AS t")
+    assert mask_text(ids, "t", MaskConfig(mode="fake", salt="s3cret")).distinct().count() == 100_000

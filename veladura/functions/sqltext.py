@@ -16,18 +16,27 @@ def quote_ident(name: str, dialect: str = "mysql") -> str:
     return f"{quote}{name.replace(quote, quote * 2) if quote else name}{quote}"
 
 
-def escape(text: Column) -> Column:
+def escape(text: Column, dialect: str = "") -> Column:
+    """Quotes doubled; for MySQL, whose strings read backslashes as escapes, those too."""
+    if dialect == "mysql":
+        text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     return F.replace(text, F.lit("'"), F.lit("''"))
 
 
+def time_text(column: Column) -> Column:
+    """Timestamp as text, to the second or, where there are any, with microseconds."""
+    seconds, micros = F.date_format(column, "yyyy-MM-dd HH:mm:ss"), F.date_format(column, "SSSSSS")
+    return F.when(micros == "000000", seconds).otherwise(F.concat(seconds, F.lit("."), micros))
+
+
 def plain_number(value: Column) -> Column:
-    """Double as text without an exponent for magnitudes a decimal can hold."""
+    """Double as text, without an exponent where a decimal holds exactly the same double."""
     text = value.cast("string")
     exact = F.regexp_replace(F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0")
-    return F.when(F.contains(text, F.lit("E")) & text.try_cast("decimal(38,18)").isNotNull(), exact).otherwise(text)
+    return F.when(F.contains(text, F.lit("E")) & (exact.try_cast("double") == text.try_cast("double")), exact).otherwise(text)
 
 
-def literal(column: Column, kind: T.DataType, bool_style: str = "words") -> Column:
+def literal(column: Column, kind: T.DataType, bool_style: str = "words", dialect: str = "") -> Column:
     """SQL literal of a cell; ``bool_style`` is words (TRUE, FALSE) or digits (1, 0)."""
     if isinstance(kind, T.BooleanType):
         yes, no = ("TRUE", "FALSE") if bool_style == "words" else ("1", "0")
@@ -38,17 +47,17 @@ def literal(column: Column, kind: T.DataType, bool_style: str = "words") -> Colu
     elif isinstance(kind, T.NumericType):
         text = column.cast("string")
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        text = F.concat(F.lit("'"), F.date_format(column, "yyyy-MM-dd HH:mm:ss"), F.lit("'"))
+        text = F.concat(F.lit("'"), time_text(column), F.lit("'"))
     elif isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
-        text = F.concat(F.lit("'"), escape(F.to_json(column)), F.lit("'"))
+        text = F.concat(F.lit("'"), escape(F.to_json(column), dialect), F.lit("'"))
     else:
-        text = F.concat(F.lit("'"), escape(column.cast("string")), F.lit("'"))
+        text = F.concat(F.lit("'"), escape(column.cast("string"), dialect), F.lit("'"))
     return F.when(column.isNull(), F.lit("NULL")).otherwise(text)
 
 
-def row_literal(df: DataFrame, bool_style: str = "words") -> Column:
+def row_literal(df: DataFrame, bool_style: str = "words", dialect: str = "") -> Column:
     """``(v1, v2, ...)`` for a row."""
-    cells = [literal(F.col(f"`{f.name}`"), f.dataType, bool_style) for f in df.schema.fields]
+    cells = [literal(F.col(f"`{f.name}`"), f.dataType, bool_style, dialect) for f in df.schema.fields]
     return F.concat(F.lit("("), F.concat_ws(", ", *cells), F.lit(")"))
 
 
@@ -58,10 +67,14 @@ def insert_head(df: DataFrame, table: str, dialect: str) -> str:
 
 
 def sql_type(kind: T.DataType, max_len: Column) -> Column:
-    """Column type; texts by their longest value."""
-    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+    """Column type that holds every value of a Spark type; texts by their longest value, doubles as amounts."""
+    if isinstance(kind, T.LongType):
+        return F.lit("BIGINT")
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
         return F.lit("INT")
-    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+    if isinstance(kind, T.DecimalType):
+        return F.lit(f"DECIMAL({kind.precision},{kind.scale})")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
         return F.lit("DECIMAL(15,2)")
     if isinstance(kind, T.BooleanType):
         return F.lit("BOOLEAN")

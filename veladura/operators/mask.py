@@ -19,7 +19,7 @@ MODES = ("partial", "full", "hash", "fake", "preserve")
 
 @dataclass(frozen=True)
 class MaskConfig:
-    """How hits are replaced. ``modes`` overrides the default mode per type."""
+    """How hits are replaced. ``modes`` overrides the default mode per type; fake and preserve need a secret ``salt``."""
 
     mode: str = "partial"
     modes: Mapping[str, str] = field(default_factory=dict)
@@ -27,12 +27,14 @@ class MaskConfig:
     visible_percent: int = 30
     excluded: Sequence[str] = ()
     rules: Sequence[Rule] = tuple(RULES)
-    salt: str = "veladura"
+    salt: str = ""
 
     def __post_init__(self):
         for mode in [self.mode, *self.modes.values()]:
             if mode not in MODES:
                 raise ValueError(f"unknown mask mode {mode!r}; known: {', '.join(MODES)}")
+        if needs_digest(self) and not self.salt:
+            raise ValueError("the modes fake and preserve need a secret salt")
 
 
 def full_mask(kind: Column) -> Column:
@@ -74,7 +76,10 @@ def _chars(alphabet: str, digest: Column, first: int, n: int) -> Column:
 
 
 def fake_value(kind: Column, digest: Column) -> Column:
-    """Invented value of the same type, fixed by the digest of the original: equal values get equal pseudonyms."""
+    """Invented value of the same type, fixed by the digest of the original: equal values get equal pseudonyms.
+
+    Mail addresses hold 64 bits of the digest. Phones (10^8) and IPv4 addresses (2^32) are too few to keep all values apart.
+    """
     def item(pool: Sequence[str], i: int) -> Column:
         return F.element_at(pool_array(pool), digest_byte(digest, i) % F.lit(len(pool)) + 1)
 
@@ -86,7 +91,7 @@ def fake_value(kind: Column, digest: Column) -> Column:
         _chars(DIGITS, digest, 16, 2),
     )
     mail = F.concat(
-        item(pools.MAIL_FIRST, 0), F.lit("."), item(pools.MAIL_LAST, 1), _chars(DIGITS, digest, 2, 3), F.lit("@"),
+        item(pools.MAIL_FIRST, 0), F.lit("."), item(pools.MAIL_LAST, 1), F.substring(digest, 33, 16), F.lit("@"),
         item(pools.MAIL_DOMAINS, 5),
     )
     phone = F.concat(F.lit("55"), _chars(DIGITS, digest, 0, 8))

@@ -16,7 +16,6 @@ from veladura.plans.gen_oracle import generated
 from veladura.plans.gen_queries import EXACT, FALLBACK, FUZZY
 from veladura.plans.inputs import PAGES_SQL, SPECS_SQL, form_pages, specs, table
 from veladura.plans.oracle import text
-from veladura.session import spread
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -33,7 +32,7 @@ def register(name: str, sql: str | None = None):
 
 
 def all_pages(spark, sf_dir) -> DataFrame:
-    return spread(form_pages(spark, sf_dir), "page_id")
+    return form_pages(spark, sf_dir)
 
 
 # --- forms: oracle in rows and windows instead of arrays ---------------------------------------

@@ -50,14 +50,14 @@ P = Provider
 FAMILY_COLUMNS: dict[str, dict[str, Provider]] = {
     "F01": {"estado_civil": BASE["estado_civil"], "banco": BASE["banco"], "cilindraje": P("choice", (1.0, 1.4, 1.6)), "ram": P("choice", (4, 8, 16))},
     "F02": {"edad": BASE["edad"], "entero": BASE["entero"], "frio": P("int_uniform", (-10, 45)), "numero": P("int_text", (1, 9999)), "segundo": P("int_uniform", (0, 10**9 - 1))},
-    "F03": {"salario": BASE["salario"], "latitud": P("float_uniform", (-90, 90, 6)), "grados": P("float_uniform", (36.0, 39.0, 1))},
+    "F03": {"salario": BASE["salario"], "latitud": P("float_uniform", (-90, 90, 6)), "grados": P("float_uniform", (-12.5, 48.5, 1))},
     "F04": {"clabe": BASE["clabe"], "corto": P("digits", (4,))},
-    "F05": {"id_caos": BASE["id_caos"], "basura": BASE["basura"], "vuelo": P("template", ("??####",))},
-    "F06": {"fijo": P("const", ("ORD-1",)), "uno": P("const", (1,)), "factura": P("template", ("????-########",))},
+    "F05": {"id_caos": BASE["id_caos"], "basura": BASE["basura"], "vuelo": P("template", ("ZK-??##",))},
+    "F06": {"fijo": P("const", ("ORD-1",)), "uno": P("const", (1,)), "factura": P("template", ("##/????/###",))},
     "F07": {"booleano": BASE["booleano"], "bit": P("boolean", (True,))},
     "F08": {
-        "presion": P("concat", (P("int_uniform", (90, 140)), "/", P("int_uniform", (60, 90)))),
-        "hotel": P("concat", (P("company"), " Hotel")), "robot": P("concat", (P("capital_word"), "Bot")),
+        "marcador": P("concat", (P("int_uniform", (0, 7)), ":", P("int_uniform", (0, 5)))),
+        "sede": P("concat", ("Sede ", P("company"))), "clave": P("concat", ("K", P("capital_word"))),
     },
     "F09": {"color_hex": P("hex_color")},
     "F10": {"uuid": BASE["uuid"]},
@@ -190,13 +190,13 @@ def join_override_catalogue(spark, sf_dir):
 USER_TEXTS = {
     "Nivel": "lambda: random.choice(['Básico', 'Medio', 'Alto'])",
     "bit": "lambda: random.choice([0, 1])",
-    "dosis": "random.randint(1, 3)",
-    "temperatura": "lambda: round(random.uniform(36.0, 39.0), 1)",
-    "vuelo": "fake.bothify(text='??####')",
+    "piso": "random.randint(2, 41)",
+    "altura": "lambda: round(random.uniform(-12.5, 48.5), 1)",
+    "serie": "fake.bothify(text='ZK-??##')",
     "medico": "fake.name",
     "lema": "lambda: fake.sentence(nb_words=4)",
-    "hotel": 'lambda: fake.company() + " Hotel"',
-    "presion": 'lambda: f"{random.randint(90, 140)}/{random.randint(60, 90)}"',
+    "sede": 'lambda: fake.company() + " (sede)"',
+    "marcador": 'lambda: f"{random.randint(0, 7)}:{random.randint(0, 5)}"',
     "origen": "hecho a mano",
 }
 USER = merge(USER_TEXTS)

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veladura.session import spread
+from veladura.session import dealt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def letter(number: str) -> str:
@@ -88,10 +88,10 @@ CORPUS = [
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of all tables that have some: (kind, id, text), spread over the cores before they are built."""
+    """Texts of all tables that have some: (kind, id, text)."""
     parts = [
-        spread(table(spark, sf_dir, name), key).selectExpr(f"'{kind}' AS kind", f"cast({ident} as bigint) AS id", f"{text} AS text")
-        for name, kind, key, ident, text in CORPUS
+        table(spark, sf_dir, name).selectExpr(f"'{kind}' AS kind", f"cast({ident} as bigint) AS id", f"{text} AS text")
+        for name, kind, _, ident, text in CORPUS
     ]
     frame = parts[0]
     for part in parts[1:]:

@@ -13,7 +13,6 @@ from veladura.operators.detect import detect, detect_table, text_columns, with_h
 from veladura.operators.mask import MaskConfig, censor, mask_table, mask_text
 from veladura.plans.inputs import CORPUS_SQL, NOTE, corpus, table
 from veladura.plans.oracle import kept, scored, text
-from veladura.session import spread
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -134,7 +133,7 @@ TABLE_SQL = f"SELECT {CARD_SQL} FROM orders"
 
 
 def cards(spark, sf_dir) -> DataFrame:
-    return spread(table(spark, sf_dir, "orders"), "o_orderkey").selectExpr(
+    return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey", f"{NOTE} AS note", "concat('o', cast(o_custkey as string), '@mail.example.com') AS email",
         "o_orderstatus AS estado", "o_totalprice AS total",
     )
@@ -193,7 +192,8 @@ def partial_sql(percent: int = 30, char: str = "*") -> str:
 
 FULL_SQL = "'[' || upper(type) || ']'"
 HASH_SQL = "'HASH_' || substr(sha256(value), 1, 8)"
-DIGEST = "sha256('veladura|' || type || '|' || value)"
+SALT = "veladura"
+DIGEST = f"sha256('{SALT}|' || type || '|' || value)"
 
 
 def byte(i) -> str:
@@ -211,7 +211,7 @@ def item(pool, i: int) -> str:
 RFC_SQL = " || ".join([chars(RFC_LETTERS, 0, 4), chars(DIGITS, 4, 6), chars(ALPHANUMERIC, 10, 3)])
 CURP_SQL = " || ".join([chars(UPPER, 0, 4), chars(DIGITS, 4, 6), chars(UPPER, 10, 6), chars(DIGITS, 16, 2)])
 FAKE_SQL = f"""CASE type WHEN 'rfc' THEN {RFC_SQL} WHEN 'curp' THEN {CURP_SQL}
-  WHEN 'email' THEN {item(pools.MAIL_FIRST, 0)} || '.' || {item(pools.MAIL_LAST, 1)} || {chars(DIGITS, 2, 3)} || '@' || {item(pools.MAIL_DOMAINS, 5)}
+  WHEN 'email' THEN {item(pools.MAIL_FIRST, 0)} || '.' || {item(pools.MAIL_LAST, 1)} || substr({DIGEST}, 33, 16) || '@' || {item(pools.MAIL_DOMAINS, 5)}
   WHEN 'telefono' THEN '55' || {chars(DIGITS, 0, 8)}
   WHEN 'ip_address' THEN concat_ws('.', {byte(0)}, {byte(1)}, {byte(2)}, {byte(3)})
   WHEN 'uuid' THEN substr({DIGEST}, 1, 8) || '-' || substr({DIGEST}, 9, 4) || '-4' || substr({DIGEST}, 14, 3) || '-' ||
@@ -248,15 +248,15 @@ def _mask_query(config: MaskConfig):
 
 
 for _mode, _sql in (("full", FULL_SQL), ("partial", partial_sql()), ("hash", HASH_SQL), ("fake", FAKE_SQL), ("preserve", PRESERVE_SQL)):
-    QUERIES[f"mask_{_mode}"] = _mask_query(MaskConfig(mode=_mode))
+    QUERIES[f"mask_{_mode}"] = _mask_query(MaskConfig(mode=_mode, salt=SALT))
     ORACLE[f"mask_{_mode}"] = masked_sql(_sql)
 
 for _kind, _sql in (("rfc", RFC_SQL), ("curp", CURP_SQL)):
     _rules = select_rules([_kind])
-    QUERIES[f"mask_fake_{_kind}"] = _mask_query(MaskConfig(mode="fake", rules=tuple(_rules)))
+    QUERIES[f"mask_fake_{_kind}"] = _mask_query(MaskConfig(mode="fake", rules=tuple(_rules), salt=SALT))
     ORACLE[f"mask_fake_{_kind}"] = masked_sql(_sql, rules=_rules)
 
-BY_TYPE = MaskConfig(mode="partial", modes={"rfc": "preserve", "email": "fake", "telefono": "full", "uuid": "hash"})
+BY_TYPE = MaskConfig(mode="partial", modes={"rfc": "preserve", "email": "fake", "telefono": "full", "uuid": "hash"}, salt=SALT)
 QUERIES["mask_mode_by_type"] = _mask_query(BY_TYPE)
 ORACLE["mask_mode_by_type"] = masked_sql(
     f"CASE type WHEN 'rfc' THEN {PRESERVE_SQL} WHEN 'email' THEN {FAKE_SQL} WHEN 'telefono' THEN {FULL_SQL} WHEN 'uuid' THEN {HASH_SQL} ELSE {partial_sql()} END"
@@ -338,7 +338,7 @@ def agg_pii_values(spark, sf_dir):
     SELECT type, value, min(id) AS first_id, arg_min(start, id * 1000000 + start) AS first_start, count(*) AS n FROM hits GROUP BY type, value""",
 )
 def agg_pii_distinct_values(spark, sf_dir):
-    source = spread(table(spark, sf_dir, "orders"), "o_orderkey").selectExpr("o_orderkey AS id", f"{NOTE} AS text")
+    source = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"{NOTE} AS text")
     return report.distinct_values(with_hits(source, "text"), "hits", "id")
 
 

@@ -285,7 +285,7 @@ def sink_sql_inserts(spark, sf_dir):
     return single_inserts(literal_rows(spark, sf_dir), "pedidos", "postgresql")
 
 
-DDL_SQL = """'CREATE TABLE `pedidos` (' || chr(10) || '    `o_orderkey` INT,' || chr(10) || '    `o_orderstatus` VARCHAR(' || greatest(255, max(length(o_orderstatus)) + 10) || '),' || chr(10) ||
+DDL_SQL = """'CREATE TABLE `pedidos` (' || chr(10) || '    `o_orderkey` BIGINT,' || chr(10) || '    `o_orderstatus` VARCHAR(' || greatest(255, max(length(o_orderstatus)) + 10) || '),' || chr(10) ||
   '    `o_totalprice` DECIMAL(15,2),' || chr(10) || '    `o_orderdate` TIMESTAMP,' || chr(10) || '    `o_orderpriority` VARCHAR(' || greatest(255, max(length(o_orderpriority)) + 10) || ')' || chr(10) || ');'"""
 
 
@@ -299,7 +299,7 @@ RULE = "-- " + "=" * 44
 
 @register(
     "sink_sql_mode",
-    f"""SELECT concat_ws(chr(10), '{RULE}', '-- Tabla: pedidos', '-- Registros: ' || format('{{:,}}', count(*)), '-- Dialecto: MYSQL', '{RULE}', {DDL_SQL}) AS statement,
+    f"""SELECT concat_ws(chr(10), '{RULE}', '-- table pedidos for mysql', '-- rows ' || count(*), '{RULE}', {DDL_SQL}) AS statement,
     count(*) AS loaded FROM orders""",
 )
 def sink_sql_mode(spark, sf_dir):
@@ -308,8 +308,9 @@ def sink_sql_mode(spark, sf_dir):
     path = scratch_path(spark, "sqlmode")
     write_sql(rows, "script", path, "pedidos", row_id="o_orderkey")
     loaded = spark.read.text(f"{path}/inserts").where(F.startswith("value", F.lit("("))).agg(F.count("*").alias("loaded"))
-    header = script_header(rows, "pedidos", "mysql")
-    return header.withColumn("k", F.lit(1)).join(loaded.withColumn("k", F.lit(1)), "k").drop("k")
+    header = script_header(rows, "pedidos", "mysql").select("statement", F.lit(None).cast("bigint").alias("loaded"))
+    both = header.unionByName(loaded.select(F.lit(None).cast("string").alias("statement"), "loaded"))
+    return both.agg(F.max("statement").alias("statement"), F.max("loaded").alias("loaded"))
 
 
 @register("fn_sql_escape", "SELECT o_orderkey, replace(nota, '''', '''''') AS escaped FROM (" + LITERAL_SQL + ") WHERE nota IS NOT NULL")
@@ -434,11 +435,16 @@ def fn_json_record(spark, sf_dir):
 # --- sinks: written to the scratch folder, read back, compared with the source -------------------------
 
 SINK_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
-SINK_SQL = f"SELECT {', '.join(SINK_COLUMNS)} FROM customer"
+# What text formats may spoil: ids beyond 2^53 and sparse, doubles below any decimal, microseconds.
+SINK_BIG, SINK_TINY = "4611686018427387904 + c_custkey * 1000003 AS big_id", "c_custkey * 1e-20 AS tiny"
+SINK_SQL = (
+    f"SELECT {', '.join(SINK_COLUMNS)}, {SINK_BIG}, {SINK_TINY}, TIMESTAMP '2001-02-03 04:05:06' + to_microseconds((c_custkey % 3) * c_custkey * 123) AS seen_at FROM customer"
+)
 
 
 def sink_rows(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(*SINK_COLUMNS)
+    seen = "TIMESTAMP_NTZ '2001-02-03 04:05:06' + make_dt_interval(0, 0, 0, (c_custkey % 3) * c_custkey * 0.000123) AS seen_at"
+    return table(spark, sf_dir, "customer").selectExpr(*SINK_COLUMNS, SINK_BIG, SINK_TINY, seen)
 
 
 def _round_trip(name: str, format: str, read):
@@ -454,7 +460,7 @@ _round_trip("sink_csv", "csv", lambda spark, path, schema: sink.read_csv(spark,
 _round_trip("sink_csv_semicolon", "excel", lambda spark, path, schema: sink.read_csv(spark, path, schema, ";"))
 _round_trip("sink_jsonl", "jsonl", lambda spark, path, schema: spark.read.schema(schema).json(path))
 _round_trip("sink_parquet", "parquet", lambda spark, path, schema: spark.read.parquet(path))
-_round_trip("sink_xml", "xml", lambda spark, path, schema: spark.read.schema(schema).option("rowTag", "row").xml(path))
+_round_trip("sink_xml", "xml", lambda spark, path, schema: spark.read.schema(schema).options(rowTag="row", **sink.TIME_OPTIONS).xml(path))
 # Any path Spark can write is an object-store path; the scratch folder stands for it here.
 _round_trip("sink_object_store", "parquet", lambda spark, path, schema: spark.read.parquet(path))
 
@@ -480,8 +486,8 @@ def sink_json_array(spark, sf_dir):
 
 @register(
     "sink_metadata",
-    """SELECT * FROM (SELECT 'Fecha generación' AS campo, '2025-01-01 00:00:00' AS valor UNION ALL SELECT 'Volumen', format('{:,}', count(*)) || ' registros' FROM customer
-    UNION ALL SELECT 'Columnas', '5' UNION ALL SELECT 'Motor usado', 'spark' UNION ALL SELECT 'Tiempo generación', '1.50 segundos')""",
+    """SELECT * FROM (SELECT 'written_at' AS property, '2025-01-01 00:00:00' AS value UNION ALL SELECT 'rows', count(*)::VARCHAR FROM customer
+    UNION ALL SELECT 'columns', '8' UNION ALL SELECT 'engine', 'spark' UNION ALL SELECT 'seconds', '1.50')""",
 )
 def sink_metadata(spark, sf_dir):
     rows = sink_rows(spark, sf_dir)

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+READ_PARTITIONS = "veladura.read.partitions"
 
 
 def local_session(cores: str = "*", app: str = "veladura") -> SparkSession:
@@ -29,28 +30,21 @@ def local_session(cores: str = "*", app: str = "veladura") -> SparkSession:
     )
 
 
-_LOCAL_SCRATCH: list[str] = []
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """New folder name in the shared folder of the session; a local one only in local mode."""
+    """New folder name in the shared folder of the session; where it names none, as in tests, it is set to a new local one."""
     shared = spark.conf.get(CHECKPOINT_DIR, None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
-        if not _LOCAL_SCRATCH:
-            _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="veladura-"))
-        shared = _LOCAL_SCRATCH[0]
+        shared = tempfile.mkdtemp(prefix="veladura-")
+        spark.conf.set(CHECKPOINT_DIR, shared)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Uses all cores when the input has fewer files than the cluster has cores.
+def dealt(df: DataFrame) -> DataFrame:
+    """Deals the rows into as many partitions as the caller asks for by READ_PARTITIONS; unset, the splits stay.
 
-    Detection costs far more per row than a shuffle of the text, and a file with
-    one row group is one task. With enough files the frame is left as it is.
+    Small files of one row group are one task each, which a bench on one machine may want otherwise.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    # The list stays in the JVM: only its length is asked for.
-    files = len(df._jdf.inputFiles())
-    return df if files >= cores else df.repartition(cores, key)
+    wanted = df.sparkSession.conf.get(READ_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df

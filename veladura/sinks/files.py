@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veladura.functions.sqltext import plain_number
+from veladura.functions.sqltext import plain_number, time_text
 from veladura.sinks.sqltext import write_script
 from veladura.sources.files import METRIC, schema_of
 
 BOM = "\ufeff"
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
-TIME_OPTIONS = {"timestampFormat": TIME_FORMAT, "timestampNTZFormat": TIME_FORMAT}
+# For reading: with or without microseconds. Writers make the text themselves, see time_text.
+TIME_OPTIONS = {"timestampFormat": f"{TIME_FORMAT}[.SSSSSS]", "timestampNTZFormat": f"{TIME_FORMAT}[.SSSSSS]"}
+TIMES = (T.TimestampType, T.TimestampNTZType)
 BATCH = 10_000
 
 
@@ -29,11 +31,16 @@ def _text_form(df: DataFrame) -> DataFrame:
             return plain_number(c).alias(f.name)
         if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
             return F.to_json(c).alias(f.name)
-        return c
+        return time_text(c).alias(f.name) if isinstance(f.dataType, TIMES) else c
 
     return df.select(*[cell(f) for f in df.schema.fields])
 
 
+def _with_times(df: DataFrame) -> DataFrame:
+    """Timestamps as text, to the microsecond where there are any."""
+    return df.select(*[(time_text(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, TIMES) else F.col(f"`{f.name}`")) for f in df.schema.fields])
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",", bom: bool = True, mode: str = "error") -> None:
     """CSV with header; the byte order mark, when wanted, is part of the first header name."""
     shown = _text_form(df)
@@ -57,7 +64,7 @@ def write_csv_semicolon(df: DataFrame, path: str, mode: str = "error") -> None:
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
     """One object per line with every field, nulls included."""
-    df.write.mode(mode).options(**TIME_OPTIONS).json(path, ignoreNullFields=False)
+    _with_times(df).write.mode(mode).options(**TIME_OPTIONS).json(path, ignoreNullFields=False)
 
 
 def json_record(columns: list[str] | None = None) -> Column:
@@ -71,8 +78,8 @@ def json_arrays(df: DataFrame, row_id: str, size: int = BATCH) -> DataFrame:
     One array of a whole table could only be written by one task, so a table is a
     sequence of arrays.
     """
-    batch = F.floor(F.col(row_id) / F.lit(size)).alias("batch")
-    rows = df.select(batch, F.col(row_id).alias("__id"), json_record(df.columns).alias("__record"))
+    batch = F.expr(f"`{row_id}` div {size}").alias("batch")
+    rows = _with_times(df).select(batch, F.col(row_id).alias("__id"), json_record(df.columns).alias("__record"))
     grouped = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("__id", "__record"))).alias("__rows"))
     records = F.array_join(F.transform("__rows", lambda r: F.concat(F.lit("  "), r["__record"])), ",\n")
     return grouped.select("batch", F.concat(F.lit("[\n"), records, F.lit("\n]")).alias("records"))
@@ -87,20 +94,20 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def write_xml(df: DataFrame, path: str, row_tag: str = "row", mode: str = "error") -> None:
-    df.write.mode(mode).xml(path, rowTag=row_tag)
+    _with_times(df).write.mode(mode).xml(path, rowTag=row_tag)
 
 
 def metadata_frame(spark: SparkSession, volume: int, columns: int, engine: str, seconds: float, at: dt.datetime | None = None) -> DataFrame:
     """Key/value sheet that goes next to exported data."""
     at = at or dt.datetime.now()
     rows = [
-        ("Fecha generación", at.strftime("%Y-%m-%d %H:%M:%S")),
-        ("Volumen", f"{volume:,} registros"),
-        ("Columnas", str(columns)),
-        ("Motor usado", engine),
-        ("Tiempo generación", f"{seconds:.2f} segundos"),
+        ("written_at", at.strftime("%Y-%m-%d %H:%M:%S")),
+        ("rows", str(volume)),
+        ("columns", str(columns)),
+        ("engine", engine),
+        ("seconds", f"{seconds:.2f}"),
     ]
-    return spark.createDataFrame(rows, "campo string, valor string")
+    return spark.createDataFrame(rows, "property string, value string")
 
 
 def write_metadata(df: DataFrame, path: str, volume: int, engine: str, seconds: float, mode: str = "overwrite") -> None:

@@ -20,7 +20,8 @@ def batch_of(row_id: str | None, size: int = BATCH) -> list[Column]:
     Neither needs a numbering over the whole table, and no batch exceeds ``size`` rows.
     """
     if row_id:
-        return [F.floor(F.col(row_id) / F.lit(size)).alias("batch")]
+        # Whole-number division: a double has 53 bits only.
+        return [F.expr(f"`{row_id}` div {size}").alias("batch")]
     place = F.monotonically_increasing_id()
     return [
         F.shiftright(place, 33).alias("part"),
@@ -32,7 +33,7 @@ def insert_batches(df: DataFrame, table: str, dialect: str = "mysql", row_id: st
     """One multi-row INSERT per batch, rows in id order: (batch keys, statement)."""
     order = F.col(row_id) if row_id else F.monotonically_increasing_id()
     keys = batch_of(row_id, size)
-    rows = df.select(*keys, order.alias("__order"), row_literal(df).alias("__row"))
+    rows = df.select(*keys, order.alias("__order"), row_literal(df, dialect=dialect).alias("__row"))
     names = [c for c in rows.columns if not c.startswith("__")]
     grouped = rows.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("__order", "__row"))).alias("__rows"))
     values = F.array_join(F.transform("__rows", lambda r: r["__row"]), ",\n")
@@ -44,15 +45,15 @@ def insert_batches(df: DataFrame, table: str, dialect: str = "mysql", row_id: st
 def single_inserts(df: DataFrame, table: str, dialect: str = "mysql") -> DataFrame:
     """One INSERT per row, booleans as digits."""
     head = insert_head(df, table, dialect)
-    return df.select(F.concat(F.lit(head + " "), row_literal(df, "digits"), F.lit(";")).alias("statement"))
+    return df.select(F.concat(F.lit(head + " "), row_literal(df, "digits", dialect), F.lit(";")).alias("statement"))
 
 
 def script_header(df: DataFrame, table: str, dialect: str) -> DataFrame:
     """Comment lines and DDL; the row count and the text lengths come from the table itself."""
     rule = "-- " + "=" * 44
     lines = [
-        F.lit(rule), F.lit(f"-- Tabla: {table}"), F.concat(F.lit("-- Registros: "), F.format_number("__rows", 0)),
-        F.lit(f"-- Dialecto: {dialect.upper()}"), F.lit(rule), create_statement(df, table, dialect),
+        F.lit(rule), F.lit(f"-- table {table} for {dialect}"), F.concat(F.lit("-- rows "), F.col("__rows").cast("string")),
+        F.lit(rule), create_statement(df, table, dialect),
     ]
     return table_profile(df).select(F.concat_ws("\n", *lines).alias("statement"))
 
