@@ -92,3 +92,13 @@ def test_specs(spark):
             assert body == {"k": False}
     summary = apispecs.api_summary(parsed).where("spec_id = 1").first()
     assert (summary["schemas_count"], summary["endpoints_count"], summary["first_schemas"]) == (3, 2, "Z (4), Y (1), Z2 (1)")
+
+
+def test_references_are_decoded_once(spark):
+    from pyspark.sql import functions as F
+
+    from veladura.functions.html import unescape
+
+    cases = {"&#xE9;&hellip;&mdash;&ordm;": "é…—º", "&#38;lt; &amp;lt;": "&lt; &lt;", "a & b &nope;": "a & b &nope;", "&#8364;&euro;&apos;": "€€'", "": ""}
+    rows = spark.createDataFrame([(c,) for c in cases], "t string").select("t", unescape(F.col("t")).alias("u")).collect()
+    assert {r["t"]: r["u"] for r in rows} == cases

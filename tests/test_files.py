@@ -100,6 +100,9 @@ def test_jdbc_options(monkeypatch):
     assert jdbc.options({"db_type": "mysql", "database": "d", "use_env_vars": False})["url"] == "jdbc:mysql://localhost:3306/d"
     assert jdbc.options({"db_type": "sqlserver", "host": "h", "database": "d"})["url"] == "jdbc:sqlserver://h:1433;databaseName=d"
     assert jdbc.options({"db_type": "sqlite", "sqlite_path": "x.db"})["url"] == "jdbc:sqlite:x.db"
+    assert "table_schema = 'shop'" in jdbc.table_list_query({"db_type": "mysql", "database": "shop"})
+    by = jdbc.query_options({"db_type": "mysql", "database": "d", "query": "SELECT 1 AS a;"}, partitionColumn="a", numPartitions="4")
+    assert by["dbtable"] == "(SELECT 1 AS a) AS q" and by["numPartitions"] == "4" and "query" not in by
     assert "table_schema = 'o''x'" in jdbc.table_list_query({"db_type": "postgresql", "schema": "o'x"})
     for bad in ({"db_type": "oracle", "database": "d"}, {"db_type": "postgresql"}):
         with pytest.raises(ValueError):

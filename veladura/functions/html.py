@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,14 +13,18 @@ ATTRIBUTE = r"""([^\s/>=][^\s/=>]*)(?:\s*=+\s*(?:"([^"]*)"|'([^']*)'|([^>\s"'][^
 ANY_TAG = r"<[^>]*>"
 EDGE_SPACE = r"(?U)^\s+|\s+$"
 
-# The named entities of Spanish and English forms; the ampersand comes last.
+# The named entities that the given pages use, for their SQL; the ampersand comes last.
 ENTITIES = {
     "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ",
     "&aacute;": "á", "&eacute;": "é", "&iacute;": "í", "&oacute;": "ó", "&uacute;": "ú", "&ntilde;": "ñ", "&uuml;": "ü",
     "&Aacute;": "Á", "&Eacute;": "É", "&Iacute;": "Í", "&Oacute;": "Ó", "&Uacute;": "Ú", "&Ntilde;": "Ñ", "&Uuml;": "Ü",
-    "&iexcl;": "¡", "&iquest;": "¿", "&euro;": "€", "&copy;": "©", "&amp;": "&",
+    "&iexcl;": "¡", "&iquest;": "¿", "&euro;": "€", "&copy;": "©", "&middot;": "·", "&amp;": "&",
 }
 
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# The named references of HTML 4, as the standard library lists them, and the apostrophe.
+NAMED = "map('apos', chr(39), " + ", ".join(f"'{n}', decode(unhex('{c:08x}'), 'UTF-32')" for n, c in name2codepoint.items()) + ")"
+
 
 def tag_pattern(name: str) -> str:
     """Opening tag of an element; ``>`` inside quoted attribute values does not end it."""
@@ -39,19 +45,22 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, EDGE_SPACE, "")
 
 
+def _character(code: Column) -> Column:
+    return F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
+def _referenced(m: Column) -> Column:
+    """What one reference stands for; an unknown one stays as it is."""
+    inner = F.substring(m, F.lit(2), F.length(m) - 2)
+    number = F.when(inner.rlike("^#[xX]"), F.conv(F.substring(inner, F.lit(3), F.length(inner)), 16, 10)).when(F.startswith(inner, F.lit("#")), F.substring(inner, F.lit(2), F.length(inner)))
+    return F.coalesce(_character(number.try_cast("bigint")), F.try_element_at(F.expr(NAMED), inner), m)
+
+
 def unescape(text: Column) -> Column:
-    """Named entities of ENTITIES and decimal references."""
-    numbered = F.aggregate(
-        F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,6});"), F.lit(1))),
-        text,
-        lambda acc, n: F.replace(
-            acc, F.concat(F.lit("&#"), n, F.lit(";")), F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint")), 8, "0")), "UTF-32")
-        ),
-    )
-    plain = F.when(F.contains(text, F.lit("&#")), numbered).otherwise(text)
-    for entity, char in ENTITIES.items():
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
+    """Named, decimal and hexadecimal references, each decoded once, in one pass over the text."""
+    bound = F.transform(F.array(text), lambda t: F.struct(F.split(t, REFERENCE, -1).alias("gaps"), F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0)).alias("refs")))
+    joined = F.transform(bound, lambda c: F.array_join(F.transform(c["gaps"], lambda g, i: F.concat(g, F.coalesce(_referenced(F.get(c["refs"], i)), F.lit("")))), ""))[0]
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 def inner_text(html: Column) -> Column:

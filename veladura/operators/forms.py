@@ -191,9 +191,11 @@ def with_fields(forms: DataFrame, content: str = "content", unique: bool = True)
     staged = staged.select(*others, _with_radio_options(F.col("__fields")).alias("__fields"))
     if not unique:
         return staged.withColumnRenamed("__fields", "fields")
-    names = F.transform("__fields", lambda f: f["name"])
-    staged = staged.withColumn("__names", names)
-    first = F.filter("__fields", lambda f, i: F.array_position(F.col("__names"), f["name"]) == i + 1)
+    # Sorted by name and place, the first of a name is the one whose neighbour before has another name.
+    staged = staged.withColumn("__sorted", F.array_sort(F.transform("__fields", lambda f, i: F.struct(f["name"].alias("name"), i.alias("i")))))
+    marked = F.transform("__sorted", lambda x, k: F.struct(x["i"].alias("i"), ((k == 0) | (F.get("__sorted", k - 1)["name"] != x["name"])).alias("new")))
+    staged = staged.withColumn("__first", F.array_sort(F.transform(F.filter(marked, lambda y: y["new"]), lambda y: y["i"])))
+    first = F.transform("__first", lambda i: F.get("__fields", i))
     return staged.select(*others, first.alias("fields"))
 
 

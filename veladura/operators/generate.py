@@ -67,12 +67,13 @@ def generate(
     catalogue: Mapping[str, Provider] = BASE,
     seed: int = DEFAULT_SEED,
     with_id: bool = False,
+    rows_per_partition: int = ROWS_PER_PARTITION,
     **options,
 ) -> DataFrame:
-    """``volume`` synthetic rows; partitions hold about a million rows each."""
+    """``volume`` synthetic rows, the same for any partitioning; give more rows per partition for very large volumes."""
     if volume < 0:
         raise ValueError("volume must not be negative")
-    parts = max(spark.sparkContext.defaultParallelism if volume > 10_000 else 1, -(-volume // ROWS_PER_PARTITION))
+    parts = max(spark.sparkContext.defaultParallelism if volume > 10_000 else 1, -(-volume // rows_per_partition))
     ids = spark.range(0, volume, 1, parts).withColumnRenamed("id", "row_id")
     return generate_over(ids, "row_id", columns, catalogue, seed, keep=["row_id"] if with_id else [], **options)
 

@@ -22,11 +22,11 @@ def read_dictionary_text(spark: SparkSession, path: str) -> DataFrame:
     return parsed.where((F.col("name") != "") & (F.col("provider") != ""))
 
 
-def load_catalogue(entries: DataFrame) -> dict[str, Provider]:
-    """Base catalogue overridden by a (name, provider) table."""
-    rows = entries.select("name", "provider").limit(MAX_ENTRIES + 1).collect()
-    if len(rows) > MAX_ENTRIES:
-        raise ValueError(f"a catalogue may have at most {MAX_ENTRIES} entries")
+def load_catalogue(entries: DataFrame, max_entries: int = MAX_ENTRIES) -> dict[str, Provider]:
+    """Base catalogue overridden by a (name, provider) table; a larger one than ``max_entries`` is an error, never cut."""
+    rows = entries.select("name", "provider").limit(max_entries + 1).collect()
+    if len(rows) > max_entries:
+        raise ValueError(f"a catalogue may have at most {max_entries} entries")
     return merge({r["name"]: _unquoted(r["provider"]) for r in rows})
 
 

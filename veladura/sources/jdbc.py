@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 PORTS = {"postgresql": 5432, "mysql": 3306, "sqlserver": 1433, "sqlite": None}
 DEFAULT_SQLITE = "datos.db"
 DEFAULT_CHUNK = 10_000
-MAX_TABLES = 20
 
 # Where each engine lists its tables.
 TABLE_LISTS = {
@@ -81,21 +80,30 @@ def read_table(spark: SparkSession, config: Mapping[str, object], **reader: str)
     return spark.read.format("jdbc").options(**options(config), dbtable=name, **reader).load()
 
 
-def read_query(spark: SparkSession, config: Mapping[str, object]) -> DataFrame:
+def query_options(config: Mapping[str, object], **reader: str) -> dict[str, str]:
+    """The query as a derived table, which unlike the query option may be read in partitions; rows come in batches."""
     query = str(config["query"]).strip().rstrip(";")
-    return spark.read.format("jdbc").options(**options(config), query=query).load()
+    return {**options(config), "dbtable": f"({query}) AS q", "fetchsize": str(DEFAULT_CHUNK), **reader}
+
+
+def read_query(spark: SparkSession, config: Mapping[str, object], **reader: str) -> DataFrame:
+    """Result of a query. Pass partitionColumn, lowerBound, upperBound and numPartitions to read a large one in parallel."""
+    return spark.read.format("jdbc").options(**query_options(config, **reader)).load()
 
 
 def table_list_query(config: Mapping[str, object]) -> str:
     engine = str(config.get("db_type") or "postgresql")
-    schema = str(config.get("schema") or "public").replace("'", "''")
+    # A MySQL schema is a database.
+    default = {"mysql": config.get("database") or "", "sqlserver": "dbo"}.get(engine, "public")
+    schema = str(config.get("schema") or default).replace("'", "''")
     return TABLE_LISTS[engine].format(schema=schema)
 
 
-def list_tables(spark: SparkSession, config: Mapping[str, object], k: int = MAX_TABLES) -> DataFrame:
-    """First k table names of the database."""
+def list_tables(spark: SparkSession, config: Mapping[str, object], k: int | None = None) -> DataFrame:
+    """Table names of the database in order, or the first k."""
     listed = spark.read.format("jdbc").options(**options(config), query=table_list_query(config)).load()
-    return listed.toDF("table_name").orderBy("table_name").limit(k)
+    ordered = listed.toDF("table_name").orderBy("table_name")
+    return ordered if k is None else ordered.limit(k)
 
 
 def write_table(df: DataFrame, config: Mapping[str, object], table: str, if_exists: str = "append", chunk: int = DEFAULT_CHUNK) -> DataFrame:
