@@ -10,6 +10,7 @@ shared shingles before it is verified; of two documents the smaller l counts.
    another prefix (l of the smallest set that may link with it) cannot link and go. It repeats on what is left, and ends when a round drops less than a tenth.
 3. Only for the rest, whole sets are built. Order: rare shingles first, those of at least HEAVY classes last.
    A class whose prefix would make many candidates gets a longer one (the estimate is the sum of list lengths).
+   Shingles of no other class bound the overlap: classes and pairs that cannot reach the threshold with the rest go.
 4. Pairs of short lists are counted, held against l and verified. Heavy lists are not paired out: the member with the
    fewest rare shingles is compared with the others, links join components, and lists of one component are done, as
    its members need no comparison among themselves. In each further round four times as many members, drawn by hash,
@@ -135,7 +136,10 @@ def whole_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
 
 def postings(sets: DataFrame) -> DataFrame:
-    """(t, doc_id, n, l, rare, heavy): each class under the shingles of its adaptive prefix, lists of one left out."""
+    """(t, doc_id, n, l, s, rare, heavy): each class under the shingles of its adaptive prefix, lists of one left out.
+
+    s: the shingles that another class has too. No overlap exceeds it, so classes with s < 0.8 n are left out.
+    """
     tokens = sets.select("doc_id", F.explode("tokens").alias("t"))
     lists = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
     known = tokens.join(lists, "t").groupBy("doc_id").agg(F.collect_list(F.struct("t", "df")).alias("known"))
@@ -148,6 +152,9 @@ def postings(sets: DataFrame) -> DataFrame:
                 at = np.searchsorted(own, known.values.field("t").to_numpy())
                 df = np.ones(len(own), np.int64)
                 df[at] = known.values.field("df").to_numpy()
+                shared = int((df > 1).sum())
+                if 5 * shared < 4 * len(own):
+                    continue
                 heavy = df >= HEAVY
                 order = np.argsort(heavy, kind="stable")  # rare ones in hash order, then heavy ones in hash order
                 n = n.as_py()
@@ -160,15 +167,18 @@ def postings(sets: DataFrame) -> DataFrame:
                 level = 1 if longest == 1 or cost[0] <= COSTLY else 1 + int(np.argmin(cost[:longest] / np.arange(1, longest + 1)))
                 taken = order[: first + level - 1]
                 taken = taken[df[taken] > 1]
-                out.append((ident.as_py(), n, level, int((~heavy).sum()), own[taken], heavy[taken]))
-            sizes = [len(x[4]) for x in out]
+                out.append((ident.as_py(), n, level, shared, int((~heavy).sum()), own[taken], heavy[taken]))
+            sizes = [len(x[5]) for x in out]
             repeat = lambda k, kind: pa.array(np.repeat(np.array([x[k] for x in out], kind), sizes))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([*(x[4] for x in out), np.zeros(0, np.int64)])), repeat(0, np.int64), repeat(1, np.int32), repeat(2, np.int32), repeat(3, np.int32), pa.array(np.concatenate([*(x[5] for x in out), np.zeros(0, bool)]))],
-                ["t", "doc_id", "n", "l", "rare", "heavy"],
+                [
+                    pa.array(np.concatenate([*(x[5] for x in out), np.zeros(0, np.int64)])), repeat(0, np.int64), *(repeat(k, np.int32) for k in (1, 2, 3, 4)),
+                    pa.array(np.concatenate([*(x[6] for x in out), np.zeros(0, bool)])),
+                ],
+                ["t", "doc_id", "n", "l", "s", "rare", "heavy"],
             )
 
-    return sets.join(known, "doc_id").select("doc_id", "n", "tokens", "known").mapInArrow(rows, "t bigint, doc_id bigint, n int, l int, rare int, heavy boolean")
+    return sets.join(known, "doc_id").select("doc_id", "n", "tokens", "known").mapInArrow(rows, "t bigint, doc_id bigint, n int, l int, s int, rare int, heavy boolean")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -204,19 +214,19 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("doc_id", "label")
 
 
-def _close(a: str, b: str):
-    """Sizes that allow a link."""
-    return (5 * F.col(a) >= 4 * F.col(b)) & (5 * F.col(b) >= 4 * F.col(a))
+def _possible():
+    """Sizes, and shingles shared with anyone, that allow a link of a and b: 0.8 (na + nb) / 1.8 at least in common."""
+    return 9 * F.least("na", "nb", "sa", "sb") >= 4 * (F.col("na") + F.col("nb"))
 
 
 def linked(sets: DataFrame) -> DataFrame | None:
     """(doc_id, label) of the classes that link with another; None without any."""
     lists = written(postings(sets), "jaccard-postings")
     light, heavy = lists.where("not heavy"), lists.where("heavy")
-    one = light.select("t", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"))
-    two = light.select("t", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"))
+    one = light.select("t", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("l").alias("la"))
+    two = light.select("t", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("l").alias("lb"))
     # Lists of fewer than HEAVY classes: at most HEAVY / 2 pairs per posting.
-    paired = one.join(two, "t").where((F.col("a") < F.col("b")) & _close("na", "nb")).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("la").alias("la"), F.first("lb").alias("lb"))
+    paired = one.join(two, "t").where((F.col("a") < F.col("b")) & _possible()).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("la").alias("la"), F.first("lb").alias("lb"))
     # A class with heavy shingles in its prefix may owe its matches to them, so only their number is left out of l.
     weight = heavy.groupBy("doc_id").agg(F.count("*").alias("h"))
     if heavy.isEmpty():
@@ -227,20 +237,20 @@ def linked(sets: DataFrame) -> DataFrame | None:
     edges = written(verified(candidates, sets), "jaccard-links")
     n_edges = edges.count()
     labels = components(edges) if n_edges else None
-    members, drawn = written(heavy.select("t", "doc_id", "n", "rare"), "jaccard-heavy"), 0
+    members, drawn = written(heavy.select("t", "doc_id", "n", "s", "rare"), "jaccard-heavy"), 0
     while True:
         at = members.withColumn("label", F.col("doc_id")) if labels is None else members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         lists = at.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), F.min(F.struct("rare", "doc_id"))["doc_id"].alias("centre")).where("low <> high")
         at = written(at.join(lists.select("t", "m", "centre"), "t").withColumn("met", (F.col("doc_id") == F.col("centre")) | (F.pmod(F.xxhash64("doc_id", F.lit(drawn)), F.col("m")) < drawn)), "jaccard-members")
         if at.isEmpty():
             return labels
-        x = at.where("met").select("t", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        y = at.select("t", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        pairs = x.join(y, "t").where((F.col("la") != F.col("lb")) & _close("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        x = at.where("met").select("t", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("label").alias("la"))
+        y = at.select("t", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("label").alias("lb"))
+        pairs = x.join(y, "t").where((F.col("la") != F.col("lb")) & _possible()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         edges = written(edges.unionByName(verified(pairs, sets)), "jaccard-links")
         if (now := edges.count()) > n_edges:
             n_edges, labels = now, components(edges)
-        members, drawn = written(at.where("not met").select("t", "doc_id", "n", "rare"), "jaccard-heavy"), 4 * max(drawn, 1)
+        members, drawn = written(at.where("not met").select("t", "doc_id", "n", "s", "rare"), "jaccard-heavy"), 4 * max(drawn, 1)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
