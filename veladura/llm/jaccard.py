@@ -8,7 +8,8 @@ shared shingles before it is verified; of two documents the smaller l counts.
 1. Equal sets are one class; its smallest id stands for it.
 2. Screen: in hash order each class takes a prefix of its longest l. Classes with fewer than l shingles that occur in
    another prefix (l of the smallest set that may link with it) cannot link and go. It repeats on what is left, and ends when a round drops less than a tenth.
-3. Only for the rest, whole sets are built. Order: rare shingles first, those of at least HEAVY classes last.
+3. Only for the rest, whole sets are built. Order: rare shingles first, then those of at least HEAVY classes, by
+   frequency.
    A class whose prefix would make many candidates gets a longer one (the estimate is the sum of list lengths).
    Shingles of no other class bound the overlap: classes and pairs that cannot reach the threshold with the rest go.
 4. Pairs of short lists are counted, held against l and verified. Heavy lists are not paired out: the member with the
@@ -136,9 +137,10 @@ def whole_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
 
 def postings(sets: DataFrame) -> DataFrame:
-    """(t, doc_id, n, l, s, rare, heavy): each class under the shingles of its adaptive prefix, lists of one left out.
+    """(t, doc_id, n, l, s, rare, heavy, left): each class under the shingles of its adaptive prefix, lists of one left out.
 
-    s: the shingles that another class has too. No overlap exceeds it, so classes with s < 0.8 n are left out.
+    s: the shingles that another class has too. No overlap exceeds it, so classes with s < 0.8 n are left out. left: those
+    of them that do not stand before t.
     """
     tokens = sets.select("doc_id", F.explode("tokens").alias("t"))
     lists = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
@@ -156,7 +158,8 @@ def postings(sets: DataFrame) -> DataFrame:
                 if 5 * shared < 4 * len(own):
                     continue
                 heavy = df >= HEAVY
-                order = np.argsort(heavy, kind="stable")  # rare ones in hash order, then heavy ones in hash order
+                # Rare ones in hash order, then heavy ones, the most frequent last.
+                order = np.argsort(np.where(heavy, df, 0), kind="stable")
                 n = n.as_py()
                 first = n - int(least_overlap(n)) + 1
                 # Beyond the rare shingles a longer prefix would only add heavy lists.
@@ -167,18 +170,20 @@ def postings(sets: DataFrame) -> DataFrame:
                 level = 1 if longest == 1 or cost[0] <= COSTLY else 1 + int(np.argmin(cost[:longest] / np.arange(1, longest + 1)))
                 taken = order[: first + level - 1]
                 taken = taken[df[taken] > 1]
-                out.append((ident.as_py(), n, level, shared, int((~heavy).sum()), own[taken], heavy[taken]))
+                # Where a shingle is the first that two classes share, those before it are lost to the overlap.
+                left = shared - np.arange(len(taken), dtype=np.int32)
+                out.append((ident.as_py(), n, level, shared, int((~heavy).sum()), own[taken], heavy[taken], left))
             sizes = [len(x[5]) for x in out]
             repeat = lambda k, kind: pa.array(np.repeat(np.array([x[k] for x in out], kind), sizes))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([*(x[5] for x in out), np.zeros(0, np.int64)])), repeat(0, np.int64), *(repeat(k, np.int32) for k in (1, 2, 3, 4)),
-                    pa.array(np.concatenate([*(x[6] for x in out), np.zeros(0, bool)])),
+                    pa.array(np.concatenate([*(x[6] for x in out), np.zeros(0, bool)])), pa.array(np.concatenate([*(x[7] for x in out), np.zeros(0, np.int32)]).astype(np.int32)),
                 ],
-                ["t", "doc_id", "n", "l", "s", "rare", "heavy"],
+                ["t", "doc_id", "n", "l", "s", "rare", "heavy", "left"],
             )
 
-    return sets.join(known, "doc_id").select("doc_id", "n", "tokens", "known").mapInArrow(rows, "t bigint, doc_id bigint, n int, l int, s int, rare int, heavy boolean")
+    return sets.join(known, "doc_id").select("doc_id", "n", "tokens", "known").mapInArrow(rows, "t bigint, doc_id bigint, n int, l int, s int, rare int, heavy boolean, left int")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -235,9 +240,10 @@ def linked(sets: DataFrame) -> DataFrame | None:
         of = lambda c: weight.select(F.col("doc_id").alias(c), F.col("h").alias(f"h{c}"))
         candidates = paired.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.col("c") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= F.least("la", "lb")).select("a", "b")
     edges = written(verified(candidates, sets), "jaccard-links")
+    # In a heavy list only pairs whose first common shingle it is need to meet: the bound is what stands from there on.
     n_edges = edges.count()
     labels = components(edges) if n_edges else None
-    members, drawn = written(heavy.select("t", "doc_id", "n", "s", "rare"), "jaccard-heavy"), 0
+    members, drawn = written(heavy.select("t", "doc_id", "n", F.col("left").alias("s"), "rare"), "jaccard-heavy"), 0
     while True:
         at = members.withColumn("label", F.col("doc_id")) if labels is None else members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         lists = at.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), F.min(F.struct("rare", "doc_id"))["doc_id"].alias("centre")).where("low <> high")
