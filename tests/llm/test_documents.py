@@ -50,6 +50,21 @@ def test_reparameterised_questions(spark):
     assert all(r.n_matched < r.n_windows for r in whole)
 
 
+TRAIN = "A train with 12 cars and 5 engines left Paris with 30 boxes and 8 crates for Berlin."
+
+
+def met(spark, item, *texts):
+    """Per text (n_matched, n_windows, same_values), None where it is not reported."""
+    got = decontam.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
+    return [{r.doc_id: (r.n_matched, r.n_windows, r.same_values) for r in got}.get(k) for k in range(len(texts))]
+
+
+def test_occurrences_hold_on_their_own(spark):
+    first, other = (TRAIN.replace("12", a).replace("5", b).replace("30", c).replace("8 c", f"{d} c") for a, b, c, d in (("10", "7", "20", "9"), ("7", "7", "7", "7")))
+    got = met(spark, TRAIN, TRAIN, first, f"{TRAIN} {first}", other, f"{first} {other} {TRAIN}", f"{first} {other}")
+    assert got == [(11, 11, True), (11, 11, False), (11, 11, True), (11, 11, False), (11, 11, True), (11, 11, False)]
+
+
 @needs_tables
 def test_leaks_against_brute_force(spark):
     import re

@@ -2,10 +2,11 @@
 
 A text becomes template words: numbers, units after a number, and names (capitalised words inside a sentence) turn into
 typed placeholders, the rest is lower-cased; signs are dropped. Windows of WINDOW template words are hashed and joined
-with those of the benchmark, so a question with other numbers, names or units is met too. Then the slots are checked:
-within one document and item a value of the item stands for one value of the document, and the other way round; a
-window whose slots break the prevailing mapping does not count. A document is contaminated by an item if the distinct windows
-left are at least SHARE of the item's.
+with those of the benchmark, so a question with other numbers, names or units is met too. Then the slots are checked
+per occurrence (the hits of one document and item at one distance of their places): a value of the item stands for one
+value of the document, which may stand for several; a window whose slots break the prevailing mapping does not count,
+one with the item's own values always does. A document is contaminated by an item if the distinct windows left, of all
+its occurrences, are at least SHARE of the item's; same_values tells that each of them is met with the item's values.
 
 Rows: windows of texts shorter than WINDOW words do not exist, except that a benchmark item with fewer words is one
 window of its own, sought among windows of its length; windows with fewer than LITERALS words outside placeholders
@@ -76,36 +77,39 @@ def slots(window: Column) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_matched, n_windows, share, same_values) of every contaminated document and item."""
-    texts = id_and_text(docs, id_col, text_col)
+    texts = id_and_text(docs, id_col, text_col).withColumn("digest", F.xxhash64("text"))
     items = written(item_windows(benchmark), "decontam-items")
     n, sizes = items.count(), [r["size"] for r in items.select("size").distinct().collect()]
     keys = items.select("size", "h").distinct()
     # The benchmark's windows are broadcast up to a stated number of rows of 16 bytes; beyond it the optimizer decides.
     small = (lambda x: F.broadcast(x)) if n <= BROADCAST_ROWS else (lambda x: x)
-    words = texts.select("doc_id", templates(F.col("text")).alias("words"))
+    words = texts.select("doc_id", "digest", templates(F.col("text")).alias("words"))
     found = None
     for size in sorted(sizes):
-        places = words.select("doc_id", F.posexplode(windows(F.col("words"), size)).alias("at", "h")).withColumn("size", F.lit(size))
-        hits = places.join(small(keys.where(F.col("size") == size)), ["size", "h"]).select("doc_id", "size", "h", "at")
+        places = words.select("doc_id", "digest", F.posexplode(windows(F.col("words"), size)).alias("at", "h")).withColumn("size", F.lit(size))
+        hits = places.join(small(keys.where(F.col("size") == size)), ["size", "h"]).select("doc_id", "digest", "size", "h", "at")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, n_matched bigint, n_windows bigint, share double, same_values boolean")
-    hits = written(found.groupBy("doc_id").agg(F.collect_set(F.struct("size", "h", "at")).alias("hits")), "decontam-hits")
+    hits = written(found.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("size", "h", "at")).alias("hits")), "decontam-hits")
     # Only documents with hits are read again, for the values in their slots.
     few = hits.count()
     side = F.broadcast(hits) if few <= BROADCAST_ROWS // 50 else hits
-    values = texts.join(side, "doc_id").select("doc_id", "hits", templates(F.col("text")).alias("words"))
-    met = values.select("doc_id", F.explode(F.transform("hits", lambda x: F.struct(x["size"].alias("size"), x["h"].alias("h"), x["at"].alias("at"), slots(F.slice("words", x["at"] + 1, x["size"])).alias("own")))).alias("x")).select("doc_id", "x.*")
-    joined = written(met.distinct().join(small(items), ["size", "h"]), "decontam-met")
-    pairs = joined.select("doc_id", "item_id", F.explode(F.arrays_zip(F.col("slots").alias("theirs"), F.col("own").alias("ours"))).alias("s")).select("doc_id", "item_id", F.col("s.theirs").alias("theirs"), F.col("s.ours").alias("ours"))
-    counted = pairs.groupBy("doc_id", "item_id", "theirs", "ours").agg(F.count("*").alias("c"))
-    best = lambda key, value: counted.groupBy("doc_id", "item_id", key).agg(F.max(F.struct("c", value))[value].alias(value))
-    # A pair holds if either side prefers the other.
-    holding = best("theirs", "ours").join(best("ours", "theirs"), ["doc_id", "item_id", "theirs", "ours"]).groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("theirs", "ours")).alias("holding"))
-    checked = joined.join(holding, ["doc_id", "item_id"], "left").withColumn("pairs", F.zip_with("slots", "own", lambda a, b: F.struct(a.alias("theirs"), b.alias("ours"))))
-    consistent = checked.where((F.size("slots") == 0) | F.forall("pairs", lambda p: F.array_contains("holding", p)))
-    total = consistent.groupBy("doc_id", "item_id").agg(F.countDistinct("h").cast("bigint").alias("n_matched"), F.max("all").cast("bigint").alias("n_windows"), F.bool_and(F.col("slots") == F.col("own")).alias("same_values"))
-    return total.withColumn("share", F.col("n_matched") / F.col("n_windows")).where(F.col("share") >= share).select("doc_id", "item_id", "n_matched", "n_windows", "share", "same_values")
+    values = texts.dropDuplicates(["doc_id", "digest"]).join(side, ["doc_id", "digest"]).select("doc_id", "digest", "hits", templates(F.col("text")).alias("words"))
+    own = F.transform("hits", lambda x: F.struct(x["size"].alias("size"), x["h"].alias("h"), x["at"].alias("at"), slots(F.slice("words", x["at"] + 1, x["size"])).alias("own")))
+    met = values.select("doc_id", "digest", F.explode(own).alias("x")).select("doc_id", "digest", "x.*")
+    joined = written(met.join(small(items), ["size", "h"]).withColumn("lag", F.col("at") - F.col("place")), "decontam-met")
+    occurrence = ["doc_id", "digest", "item_id", "lag"]
+    pairs = joined.select(*occurrence, "place", F.explode(F.arrays_zip(F.col("slots").alias("theirs"), F.col("own").alias("ours"))).alias("s")).select(*occurrence, "place", F.col("s.theirs").alias("theirs"), F.col("s.ours").alias("ours"))
+    counted = pairs.groupBy(*occurrence, "theirs", "ours").agg(F.struct(F.count("*").alias("c"), (-F.min("place")).alias("first")).alias("rank"))
+    # Among equals the values that come first in the item prevail, so ties keep one stretch of it whole.
+    best = counted.groupBy(*occurrence, "theirs").agg(F.max_by("ours", "rank").alias("ours"))
+    holding = best.groupBy(*occurrence).agg(F.map_from_entries(F.collect_list(F.struct("theirs", "ours"))).alias("holding"))
+    checked = joined.join(holding, occurrence, "left").withColumn("pairs", F.zip_with("slots", "own", lambda a, b: F.struct(a.alias("theirs"), b.alias("ours"))))
+    same = F.col("slots") == F.col("own")
+    consistent = checked.where(same | F.forall("pairs", lambda p: F.col("holding")[p["theirs"]] == p["ours"]))
+    total = consistent.groupBy("doc_id", "item_id").agg(F.countDistinct("h").cast("bigint").alias("n_matched"), F.max("all").cast("bigint").alias("n_windows"), F.countDistinct(F.when(same, F.col("h"))).alias("n_same"))
+    return total.withColumn("share", F.col("n_matched") / F.col("n_windows")).where(F.col("share") >= share).select("doc_id", "item_id", "n_matched", "n_windows", "share", (F.col("n_same") == F.col("n_matched")).alias("same_values"))
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
