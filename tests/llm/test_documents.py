@@ -65,6 +65,14 @@ def test_occurrences_hold_on_their_own(spark):
     assert got == [(11, 11, True), (11, 11, False), (11, 11, True), (11, 11, False), (11, 11, True), (11, 11, False)]
 
 
+def test_context_and_case_do_not_hide_a_copy(spark):
+    short = "What is the capital of France?"
+    assert met(spark, short, f"Well. {short}", f"Q: {short}", f'He asked, "{short}', short.lower(), short.upper(), "Q: What is the capital of Spain?") == [(1, 1, True)] * 5 + [(1, 1, False)]
+    assert met(spark, TRAIN, f"Q: {TRAIN}", TRAIN.lower(), TRAIN.upper(), TRAIN.title(), TRAIN.replace(" ", "\n")) == [(11, 11, True)] * 5
+    numbers = "Add 1 2 3 4 5 6 7 8 9 10 and 11 12 13 14 15 16"
+    assert met(spark, numbers, f"so {numbers.lower()}", numbers.replace("1", "3"))[0][2]
+
+
 @needs_tables
 def test_leaks_against_brute_force(spark):
     import re

@@ -8,10 +8,16 @@ value of the document, which may stand for several; a window whose slots break t
 one with the item's own values always does. A document is contaminated by an item if the distinct windows left, of all
 its occurrences, are at least SHARE of the item's; same_values tells that each of them is met with the item's values.
 
+What stands before a window must not decide whether it matches, nor the case of its letters. So a window is hashed in
+several forms, in documents and items alike: its first word as its template word, as literal and, if capitalised, as
+name; all of it also with names as literals; and as plain lower-cased words where numbers and units leave fewer than
+LITERALS others. A copy of the same words, in any case, always meets a form of every window.
+
 Rows: windows of texts shorter than WINDOW words do not exist, except that a benchmark item with fewer words is one
-window of its own, sought among windows of its length; windows with fewer than LITERALS words outside placeholders
-(or half of a short item) tell nothing and are left out; null and empty texts match nothing; repeated rows of one
-doc_id count as one document; items of one text are all reported; empty tables give no rows; other columns are not read.
+window of its own, sought among windows of its length; forms with fewer than LITERALS words outside placeholders
+(or half of a short item) tell nothing and are left out; windows without a telling template form count in the share only
+if the item has no others; null and empty texts match nothing; repeated rows of one doc_id count as one document; items
+of one text are all reported; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ MARK = "\u0001"
 
 
 def templates(text: Column) -> Column:
-    """array<struct<t, v>>: template word and lower-cased word."""
+    """array<struct<t, v, n, c>>: template word, lower-cased word, template word with names as literals, capitalised like a name."""
     signs = F.regexp_replace(text, r"[^\p{L}\p{N}\s.!?,]+|,(?![0-9])", " ")
     marked = F.regexp_replace(signs, r"[.!?]+(?![\p{L}\p{N}])|\n", f" {MARK} ")
     number = lambda w: F.when(F.left(w, F.lit(1)).between("0", "9"), w.rlike(r"^[0-9][0-9.,]*$")).otherwise(False)
@@ -43,8 +49,9 @@ def templates(text: Column) -> Column:
     def words(both: Column) -> Column:
         def word(w: Column, i: Column) -> Column:
             low, before = F.get(both["low"], i), F.coalesce(F.get(both["raw"], i - 1), F.lit(MARK))
-            name = (F.left(w, F.lit(1)) != F.left(low, F.lit(1))) & ((F.length(w) == 1) | (w != F.upper(w))) & (before != MARK) & (before != "")
-            return F.struct(F.when(number(w), "#num").when(number(before) & low.isin(UNITS), "#unit").when((w != low) & name, "#name").otherwise(low).alias("t"), low.alias("v"))
+            capital = (F.left(w, F.lit(1)) != F.left(low, F.lit(1))) & ((F.length(w) == 1) | (w != F.upper(w)))
+            kind = F.when(number(w), "#num").when(number(before) & low.isin(UNITS), "#unit")
+            return F.struct(kind.when(capital & (before != MARK) & (before != ""), "#name").otherwise(low).alias("t"), low.alias("v"), kind.otherwise(low).alias("n"), capital.alias("c"))
 
         return F.filter(F.transform(both["raw"], word), lambda x: ~x["t"].isin("", MARK))
 
@@ -53,26 +60,54 @@ def templates(text: Column) -> Column:
     return F.transform(bound, words)[0]
 
 
-def windows(words: Column, size: int) -> Column:
-    """Hashes of all windows of a size, by place."""
-    hashes = lambda t: F.when(F.size(t) >= size, F.transform(F.sequence(F.lit(1), F.size(t) - size + 1), lambda i: F.xxhash64(F.slice(t, i, size))))
-    return F.transform(F.array(F.transform(words, lambda x: x["t"])), hashes)[0]
+def windows(words: Column, size: int, telling: bool = False) -> Column:
+    """array<array<hash>>: the distinct forms of all windows of a size, by place; telling: only forms with enough literals."""
+    least = LITERALS if size == WINDOW else (size + 1) // 2
+    other = lambda w: (~w.startswith("#")).cast("int")
+    hashed = F.transform(words, lambda x: F.struct(F.xxhash64(x["t"]).alias("t"), F.xxhash64(x["v"]).alias("v"), F.xxhash64(x["n"]).alias("n"), x["c"].alias("c"), other(x["t"]).alias("lt"), other(x["n"]).alias("ln")))
+    columns = F.transform(F.array(hashed), lambda x: F.struct(*[x[k].alias(k) for k in ("t", "v", "n", "c", "lt", "ln")]))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+
+    def forms(b: Column, i: Column) -> Column:
+        """i: place of the first word, from 1."""
+        at = lambda k: F.get(b[k], i - 1)
+        part = lambda k: F.slice(b[k], i + 1, size - 1)
+        bound = F.array(F.struct(F.xxhash64(part("t")).alias("t"), F.xxhash64(part("n")).alias("n"), total(part("ln")).alias("ln"), (total(part("lt")) if telling else F.lit(least)).alias("lt")))
+
+        def of(r: Column) -> Column:
+            plain = r["ln"] + 1 < least
+            told = lambda count, h, also=F.lit(True): F.when(also & (count >= least), h) if telling else F.when(also, h)
+            return F.array_compact(
+                F.array(
+                    told(r["lt"] + at("lt"), F.xxhash64(at("t"), r["t"])), told(r["lt"] + 1, F.xxhash64(at("v"), r["t"])), told(r["lt"], F.xxhash64(F.xxhash64(F.lit("#name")), r["t"]), at("c")),
+                    told(r["ln"] + at("ln"), F.xxhash64(at("n"), r["n"])), told(r["ln"] + 1, F.xxhash64(at("v"), r["n"])), F.when(plain, F.xxhash64(F.slice(b["v"], i, size))) if size == WINDOW else F.lit(None).cast("bigint"),
+                )
+            )
+
+        return F.array_distinct(F.transform(bound, of)[0])
+
+    every = lambda b: F.when(F.size(b["t"]) >= size, F.transform(F.sequence(F.lit(1), F.size(b["t"]) - size + 1), lambda i: forms(b, i)))
+    return F.transform(columns, every)[0]
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(size, h, item_id, place, slots, all): the windows of every item that tell something; all: how many the item has."""
+    """(size, h, item_id, place, key, counts, slots, v, all): the forms of every item's windows.
+
+    key: the window as the item has it; counts: it counts in the share; all: how many do; slots: places of its
+    placeholders; v: its words."""
     items = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), templates(F.coalesce(F.col(text_col), F.lit(""))).alias("words")).where("size(words) > 0").dropDuplicates()
     sized = items.withColumn("size", F.least(F.lit(WINDOW), F.size("words")))
-    cut = sized.select("item_id", "size", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1), lambda i: F.struct(i.alias("place"), F.slice("words", i, F.col("size")).alias("w")))).alias("p")).select("item_id", "size", "p.*")
+    forms = F.lit(None).cast("array<array<bigint>>")
+    for size in range(1, WINDOW + 1):
+        forms = F.when(F.col("size") == size, windows(F.col("words"), size, telling=True)).otherwise(forms)
+    cut = sized.select("item_id", "size", "words", F.posexplode(forms).alias("place", "h")).withColumn("w", F.slice("words", F.col("place") + 1, F.col("size")))
     literal = F.size(F.filter("w", lambda x: ~x["t"].startswith("#")))
-    told = cut.where(literal >= F.least(F.lit(LITERALS), F.ceil(F.col("size") / 2)))
-    rows = told.select("size", F.xxhash64(F.transform("w", lambda x: x["t"])).alias("h"), "item_id", "place", slots(F.col("w")).alias("slots"))
-    return rows.join(rows.groupBy("item_id").agg(F.countDistinct("h").alias("all")), "item_id")
-
-
-def slots(window: Column) -> Column:
-    """The values of a window's placeholders."""
-    return F.transform(F.filter(window, lambda x: x["t"].startswith("#")), lambda x: x["v"])
+    told = cut.withColumn("told", literal >= F.least(F.lit(LITERALS), F.ceil(F.col("size") / 2))).withColumn("key", F.xxhash64(F.transform("w", lambda x: x["t"])))
+    places = F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.get("w", i)["t"].startswith("#") | ((i == 0) & F.get("w", i)["c"]))
+    rows = told.select("size", F.explode("h").alias("h"), "item_id", "place", "key", "told", places.alias("slots"), F.transform("w", lambda x: x["v"]).alias("v"))
+    count = rows.groupBy("item_id").agg(F.countDistinct(F.when(F.col("told"), F.col("key"))).alias("n_told"), F.countDistinct("key").alias("n_any"))
+    counted = rows.join(count, "item_id").withColumn("counts", F.col("told") | (F.col("n_told") == 0))
+    return counted.select("size", "h", "item_id", "place", "key", "counts", "slots", "v", F.when(F.col("n_told") > 0, F.col("n_told")).otherwise(F.col("n_any")).alias("all"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,7 +121,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: s
     words = texts.select("doc_id", "digest", templates(F.col("text")).alias("words"))
     found = None
     for size in sorted(sizes):
-        places = words.select("doc_id", "digest", F.posexplode(windows(F.col("words"), size)).alias("at", "h")).withColumn("size", F.lit(size))
+        places = words.select("doc_id", "digest", F.posexplode(windows(F.col("words"), size)).alias("at", "forms")).select("doc_id", "digest", "at", F.explode("forms").alias("h"), F.lit(size).alias("size"))
         hits = places.join(small(keys.where(F.col("size") == size)), ["size", "h"]).select("doc_id", "digest", "size", "h", "at")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
@@ -96,19 +131,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: s
     few = hits.count()
     side = F.broadcast(hits) if few <= BROADCAST_ROWS // 50 else hits
     values = texts.dropDuplicates(["doc_id", "digest"]).join(side, ["doc_id", "digest"]).select("doc_id", "digest", "hits", templates(F.col("text")).alias("words"))
-    own = F.transform("hits", lambda x: F.struct(x["size"].alias("size"), x["h"].alias("h"), x["at"].alias("at"), slots(F.slice("words", x["at"] + 1, x["size"])).alias("own")))
+    own = F.transform("hits", lambda x: F.struct(x["size"].alias("size"), x["h"].alias("h"), x["at"].alias("at"), F.transform(F.slice("words", x["at"] + 1, x["size"]), lambda y: y["v"]).alias("own")))
     met = values.select("doc_id", "digest", F.explode(own).alias("x")).select("doc_id", "digest", "x.*")
-    joined = written(met.join(small(items), ["size", "h"]).withColumn("lag", F.col("at") - F.col("place")), "decontam-met")
+    # One row per window of an occurrence, whatever forms it was met in.
+    few_items = F.broadcast(items) if n <= BROADCAST_ROWS // 10 else items
+    aligned = met.join(few_items, ["size", "h"]).withColumn("lag", F.col("at") - F.col("place")).drop("h").distinct()
+    joined = written(aligned.withColumn("same", F.col("v") == F.col("own")), "decontam-met")
     occurrence = ["doc_id", "digest", "item_id", "lag"]
-    pairs = joined.select(*occurrence, "place", F.explode(F.arrays_zip(F.col("slots").alias("theirs"), F.col("own").alias("ours"))).alias("s")).select(*occurrence, "place", F.col("s.theirs").alias("theirs"), F.col("s.ours").alias("ours"))
+    both = F.transform("slots", lambda i: F.struct(F.get("v", i).alias("theirs"), F.get("own", i).alias("ours")))
+    pairs = joined.select(*occurrence, "place", F.explode(both).alias("s")).select(*occurrence, "place", "s.theirs", "s.ours")
     counted = pairs.groupBy(*occurrence, "theirs", "ours").agg(F.struct(F.count("*").alias("c"), (-F.min("place")).alias("first")).alias("rank"))
     # Among equals the values that come first in the item prevail, so ties keep one stretch of it whole.
     best = counted.groupBy(*occurrence, "theirs").agg(F.max_by("ours", "rank").alias("ours"))
     holding = best.groupBy(*occurrence).agg(F.map_from_entries(F.collect_list(F.struct("theirs", "ours"))).alias("holding"))
-    checked = joined.join(holding, occurrence, "left").withColumn("pairs", F.zip_with("slots", "own", lambda a, b: F.struct(a.alias("theirs"), b.alias("ours"))))
-    same = F.col("slots") == F.col("own")
-    consistent = checked.where(same | F.forall("pairs", lambda p: F.col("holding")[p["theirs"]] == p["ours"]))
-    total = consistent.groupBy("doc_id", "item_id").agg(F.countDistinct("h").cast("bigint").alias("n_matched"), F.max("all").cast("bigint").alias("n_windows"), F.countDistinct(F.when(same, F.col("h"))).alias("n_same"))
+    checked = joined.join(holding, occurrence, "left")
+    consistent = checked.where(F.col("same") | F.forall("slots", lambda i: F.col("holding")[F.get("v", i)] == F.get("own", i)))
+    kept = F.when(F.col("counts"), F.col("key"))
+    total = consistent.groupBy("doc_id", "item_id").agg(F.countDistinct(kept).cast("bigint").alias("n_matched"), F.max("all").cast("bigint").alias("n_windows"), F.countDistinct(F.when(F.col("same"), kept)).alias("n_same"))
     return total.withColumn("share", F.col("n_matched") / F.col("n_windows")).where(F.col("share") >= share).select("doc_id", "item_id", "n_matched", "n_windows", "share", (F.col("n_same") == F.col("n_matched")).alias("same_values"))
 
 
