@@ -73,6 +73,24 @@ def test_context_and_case_do_not_hide_a_copy(spark):
     assert met(spark, numbers, f"so {numbers.lower()}", numbers.replace("1", "3"))[0][2]
 
 
+def test_passages_against_brute_force(spark):
+    """Each cut of a long item is reported if RUN words in a row are verbatim or the share of its windows is reached."""
+    import random
+
+    draw = random.Random(5)
+    item = [f"{draw.choice('abcdefgh')}{draw.choice(['ta', 'ro', 'mi'])}{k}x" for k in range(300)]
+    cuts = [(draw.randrange(200), n) for n in (8, 12, 13, 14, 20, 60, 94, 100)]
+    texts = [f"Well, {' '.join(item[a : a + n])} and so on" for a, n in cuts] + [f"{' '.join(item[a : a + 12])} but {' '.join(item[a + 12 : a + 24])}" for a, _ in cuts[:2]]
+    windows = lambda w: {tuple(w[k : k + 8]) for k in range(len(w) - 7)}
+    wanted = []
+    for text in texts:
+        words = text.replace(",", "").lower().split()
+        row = any(words[k : k + 13] == item[j : j + 13] for k in range(len(words) - 12) for j in range(288))
+        n = len(windows(words) & windows(item))
+        wanted.append((n, 293, True) if row or n >= 0.3 * 293 else None)
+    assert met(spark, " ".join(item), *texts) == wanted and None in wanted
+
+
 @needs_tables
 def test_leaks_against_brute_force(spark):
     import re

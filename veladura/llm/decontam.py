@@ -6,7 +6,8 @@ with those of the benchmark, so a question with other numbers, names or units is
 per occurrence (the hits of one document and item at one distance of their places): a value of the item stands for one
 value of the document, which may stand for several; a window whose slots break the prevailing mapping does not count,
 one with the item's own values always does. A document is contaminated by an item if the distinct windows left, of all
-its occurrences, are at least SHARE of the item's; same_values tells that each of them is met with the item's values.
+its occurrences, are at least SHARE of the item's, or if RUN words of one occurrence in a row are covered by them, so that
+a passage of a long item is met whatever its share; same_values tells that each of them is met with the item's values.
 
 What stands before a window must not decide whether it matches, nor the case of its letters. So a window is hashed in
 several forms, in documents and items alike: its first word as its template word, as literal and, if capitalised, as
@@ -29,6 +30,7 @@ from veladura.llm.common import id_and_text, written
 
 WINDOW = 8
 SHARE = 0.3
+RUN = 13
 LITERALS = 4
 BROADCAST_ROWS = 1_000_000
 # Measure words that are units after a number.
@@ -148,7 +150,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: s
     consistent = checked.where(F.col("same") | F.forall("slots", lambda i: F.col("holding")[F.get("v", i)] == F.get("own", i)))
     kept = F.when(F.col("counts"), F.col("key"))
     total = consistent.groupBy("doc_id", "item_id").agg(F.countDistinct(kept).cast("bigint").alias("n_matched"), F.max("all").cast("bigint").alias("n_windows"), F.countDistinct(F.when(F.col("same"), kept)).alias("n_same"))
-    return total.withColumn("share", F.col("n_matched") / F.col("n_windows")).where(F.col("share") >= share).select("doc_id", "item_id", "n_matched", "n_windows", "share", (F.col("n_same") == F.col("n_matched")).alias("same_values"))
+    # Sorted distinct places are consecutive where the one `more` further on is `more` larger.
+    more = RUN - WINDOW
+    in_a_row = F.exists(F.transform("places", lambda x, i: F.get("places", i + more) - x), lambda d: d == more)
+    covered = consistent.where(F.col("size") == WINDOW).groupBy(*occurrence).agg(F.array_sort(F.collect_set("place")).alias("places")).where(in_a_row).select("doc_id", "item_id", F.lit(True).alias("run")).distinct()
+    reported = total.join(covered, ["doc_id", "item_id"], "left").withColumn("share", F.col("n_matched") / F.col("n_windows")).where((F.col("share") >= share) | F.col("run"))
+    return reported.select("doc_id", "item_id", "n_matched", "n_windows", "share", (F.col("n_same") == F.col("n_matched")).alias("same_values"))
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
