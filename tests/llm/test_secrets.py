@@ -81,3 +81,12 @@ def test_frames(spark):
     assert (got[1].n_assign, got[1].n_added, got[1].spans) == (1, 1, "assign:2:26,assign:27:59")
     assert got[2].spans == got[3].spans == "" and got[2].base_sha256 == got[3].base_sha256
     assert {r.doc_id: r.text for r in redact(frame).collect()} == {1: "a [secret] [secret] z", 2: None, 3: "clean"}
+
+
+def test_bound_holds_for_packed_data_only(spark):
+    text = "pad " * 50 + wrapped("url", wrapped("entity", SECRET)) + " 100% &#38;"
+    work = Worklist(text, max_decoded=1).run()
+    assert work.unopened == 0 and len(work.found) == 1
+    bomb = base64.b64encode(zlib.compress(b"a" * 3_000_000)).decode()
+    frame = spark.createDataFrame([(1, f"x {bomb} y")], "doc_id bigint, text string")
+    assert [r.text for r in redact(frame, max_decoded=1_000_000).collect()] == ["x [secret] y"]

@@ -6,8 +6,9 @@ when nothing new appears: a layer whose content and place were seen before (a cy
 makes one) is not entered again. A layer keeps, per character, the stretch of the original text it came from, so
 every span is in code points of the original; a hit inside packed data spans the packed run.
 
-MAX_DECODED bounds the characters decoded for one text (an archive bomb); layers beyond it are not opened, which
-n_unopened counts, so nothing is left out silently.
+MAX_DECODED, or GROWTH times the text's length if that is more, bounds the characters that base64 and packed layers give
+for one text (an archive bomb); layers beyond it are not opened, which n_unopened counts, and redact replaces their
+stretches. Decoded escapes only shrink a text and are not bounded.
 
 Rows: every input row gives one row; a null text is empty; an empty text or table gives no spans or rows; repeated rows
 repeat; other columns are not read by find_secrets and kept untouched by redact.
@@ -47,6 +48,7 @@ WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]+={0,2}")
 ALPHABETS = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
 UNPRINTED = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f�]")
 MAX_DECODED = 64 << 20
+GROWTH = 8
 
 SPAN = "struct<kind:string,start:int,stop:int,layer:string,value:string>"
 SCHEMA = f"doc_id bigint, base array<{SPAN}>, found array<{SPAN}>, n_layers int, n_unopened int"
@@ -113,10 +115,11 @@ def as_text(data: bytes) -> str | None:
 
 class Worklist:
     def __init__(self, text: str, max_decoded: int = MAX_DECODED):
-        self.layers, self.seen, self.room = [Layer(text)], set(), max_decoded
+        self.layers, self.seen, self.room = [Layer(text)], set(), max(max_decoded, GROWTH * len(text))
         self.found: dict[tuple[int, int, int], tuple[str, str]] = {}
         self.base: list[tuple[int, int, int]] = []
         self.opened = self.unopened = 0
+        self.closed: list[tuple[int, int]] = []
 
     def run(self) -> Worklist:
         while self.layers:
@@ -132,14 +135,18 @@ class Worklist:
             self._base64(layer)
         return self
 
-    def _add(self, layer: Layer) -> None:
-        if len(layer.text) > self.room:
-            self.unopened += 1
+    def _close(self, start: int, stop: int) -> None:
+        self.unopened += 1
+        self.closed.append((start, stop))
+
+    def _add(self, layer: Layer, bounded: bool = True) -> None:
+        if bounded and len(layer.text) > self.room:
+            self._close(int(layer.starts.min()), int(layer.stops.max()))
             return
         key = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest() + layer.starts[:1].tobytes() + layer.stops[-1:].tobytes()
         if key not in self.seen:
             self.seen.add(key)
-            self.room -= len(layer.text)
+            self.room -= len(layer.text) if bounded else 0
             self.opened += 1
             self.layers.append(layer)
 
@@ -149,7 +156,7 @@ class Worklist:
         while True:
             out, kind, large = unpack(data, self.room)
             if large:
-                self.unopened += 1
+                self._close(*layer.outer(start, stop))
                 return True
             if out is None or hashlib.sha256(out).digest() in inside:
                 break
@@ -178,7 +185,7 @@ class Worklist:
             at = m.end()
         if parts:
             kept = np.arange(at, len(text))
-            self._add(layer.child("".join([*parts, text[at:]]), np.concatenate([*starts, kept]), np.concatenate([*stops, kept + 1]), step))
+            self._add(layer.child("".join([*parts, text[at:]]), np.concatenate([*starts, kept]), np.concatenate([*stops, kept + 1]), step), bounded=False)
 
     def _decoded(self, layer: Layer, m: re.Match, step: str) -> list[tuple[str, int, int]]:
         """(character, start, stop) of an escape run; empty if it stands for no text."""
@@ -271,14 +278,15 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *map(count, KINDS), F.sha2(listed("base"), 256).alias("base_sha256"), listed("found").alias("spans"), (F.size("found") - F.size("base")).cast("bigint").alias("n_added"), "n_unopened")
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """The same rows and columns; stretches that hold a secret, plain or wrapped, are replaced. A null text stays null."""
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", max_decoded: int = MAX_DECODED) -> DataFrame:
+    """The same rows and columns; stretches that hold a secret, plain or wrapped, or stay unopened are replaced. A null text stays null."""
 
     def clean(text: str | None) -> str | None:
         if not text:
             return text
         out, at = [], 0
-        for a, _, b in sorted(Worklist(text).run().found):
+        work = Worklist(text, max_decoded).run()
+        for a, b in sorted([(a, b) for a, _, b in work.found] + work.closed):
             if b > at:
                 out += [text[at:a], mark] if a >= at else []  # a stretch that overlaps the last one goes on with it
                 at = b
