@@ -90,3 +90,23 @@ def test_bound_holds_for_packed_data_only(spark):
     bomb = base64.b64encode(zlib.compress(b"a" * 3_000_000)).decode()
     frame = spark.createDataFrame([(1, f"x {bomb} y")], "doc_id bigint, text string")
     assert [r.text for r in redact(frame, max_decoded=1_000_000).collect()] == ["x [secret] y"]
+
+
+def test_base64_behind_paths_and_in_bytes():
+    run = base64.b64encode(b"token=abcdefghijklmnop").decode().rstrip("=")
+    for before in ("x: ", "https://x.io/cb/", "id_", "a/", "ab/", "abc-"):
+        ((kind, a, b),) = spans(f"{before}{run} z")
+        assert kind == "assign" and len(before) - 1 <= a < b <= len(before) + len(run)
+    for data in (b"\x00\x01\xff" + SECRET.encode() + b"\x00", SECRET.encode("utf-16"), SECRET.encode("utf-16-be")):
+        assert len(spans(f"x {base64.b64encode(data).decode()} y")) == 1
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zlib.compress):
+        members = pack(b"nothing to see here") + pack(b"\x00" + SECRET.encode() + b"\x00")
+        assert len(spans(f"x {base64.b64encode(members).decode()} y")) == 1
+        # A format may store short texts as they are, which gives a second, narrower span.
+        packed = base64.urlsafe_b64encode(pack(SECRET.encode())).decode().rstrip("=")
+        assert ("assign", 16, 16 + len(packed)) in spans(f"https://x.io/cb/{packed} y")
+
+
+def test_broken_member_is_counted():
+    work = Worklist(base64.b64encode(gzip.compress(b"nothing") + b"\x1f\x8b\x08" + b"\xff" * 30).decode()).run()
+    assert work.unopened == 1

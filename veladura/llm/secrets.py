@@ -10,6 +10,11 @@ MAX_DECODED, or GROWTH times the text's length if that is more, bounds the chara
 for one text (an archive bomb); layers beyond it are not opened, which n_unopened counts, and redact replaces their
 stretches. Decoded escapes only shrink a text and are not bounded.
 
+A base64 run is read at all four alignments, as a path or name may stand before it; packed bytes are sought at each of
+them and after every '/', '_' and '-'. Where decoded bytes are not text as a whole, their printable stretches of LEAST_TEXT
+bytes (UTF-8, or UTF-16 of ASCII characters) are layers. Packed streams are read member by member; one that breaks off with an
+error counts in n_unopened, and so do packed members that a single stream leaves unread.
+
 Rows: every input row gives one row; a null text is empty; an empty text or table gives no spans or rows; repeated rows
 repeat; other columns are not read by find_secrets and kept untouched by redact.
 """
@@ -17,7 +22,6 @@ repeat; other columns are not read by find_secrets and kept untouched by redact.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -49,6 +53,13 @@ ALPHABETS = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]
 UNPRINTED = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f�]")
 MAX_DECODED = 64 << 20
 GROWTH = 8
+LEAST_TEXT = 16
+STRETCH = re.compile(
+    rb"(?:[\t-\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+"
+)
+WIDE = re.compile(rb"(?:[\t-\r\x20-\x7e]\x00){16,}|(?:\x00[\t-\r\x20-\x7e]){16,}")
+MAGIC = (b"\x1f\x8b\x08", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd")
 
 SPAN = "struct<kind:string,start:int,stop:int,layer:string,value:string>"
 SCHEMA = f"doc_id bigint, base array<{SPAN}>, found array<{SPAN}>, n_layers int, n_unopened int"
@@ -82,27 +93,45 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def unpack(data: bytes, room: int) -> tuple[bytes | None, str, bool]:
-    """(content, format, too large): content of one packed layer, None if the bytes are not packed."""
+def opener(data: bytes):
+    """(format, a new decompressor) of packed bytes, by their first ones."""
+    if data[:2] == b"\x1f\x8b":
+        return "gzip", zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
+        return "zlib", zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return "bz2", bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return "xz", lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=256 << 20)
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return "zstd", zstandard.ZstdDecompressor(max_window_size=1 << 27)
+    return "", None
+
+
+def unpack(data: bytes, room: int) -> tuple[bytes | None, str, bool, bool]:
+    """(content, format, too large, broken off): content of all members of one packed layer, None if the bytes are not packed."""
+    parts, size, first = [], 0, ""
     try:
-        if data[:2] == b"\x1f\x8b":
-            kind, opened = "gzip", zlib.decompressobj(31)
-        elif data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
-            kind, opened = "zlib", zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            kind, opened = "bz2", bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            kind, opened = "xz", lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=256 << 20)
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(data) as reader:
-                out = reader.read(room + 1)
-            return (None, "zstd", True) if len(out) > room else (out, "zstd", False)
-        else:
-            return None, "", False
-        out = opened.decompress(data, room + 1)
-        return (None, kind, True) if len(out) > room else (out, kind, False)
+        while True:
+            kind, opened = opener(data)
+            if opened is None or (first and kind != first):
+                break
+            if kind == "zstd":
+                with opened.stream_reader(data, read_across_frames=True) as reader:
+                    out, data = reader.read(room - size + 1), b""
+            else:
+                out = opened.decompress(data, room - size + 1)
+                data = opened.unused_data if opened.eof else b""
+            first, size = kind, size + len(out)
+            parts.append(out)
+            if size > room:
+                return None, first, True, False
+            data = data.lstrip(b"\x00")
     except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        return None, "", False
+        if not first:
+            return None, "", False, False
+        return b"".join(parts), first, False, True
+    return (b"".join(parts), first, False, data.startswith(MAGIC)) if first else (None, "", False, False)
 
 
 def as_text(data: bytes) -> str | None:
@@ -113,6 +142,19 @@ def as_text(data: bytes) -> str | None:
     return text if text and not UNPRINTED.search(text) else None
 
 
+def stretches(data: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(text, first byte, byte after the last, per character) of the printable stretches of bytes."""
+    for m in STRETCH.finditer(data):
+        if m.end() - m.start() >= LEAST_TEXT:
+            text = m.group().decode()
+            ends = m.start() + np.cumsum([len(c.encode()) for c in text])
+            yield text, np.concatenate([[m.start()], ends[:-1]]), ends
+    if b"\x00" in data:
+        for m in WIDE.finditer(data):
+            starts = np.arange(m.start(), m.end(), 2)
+            yield m.group().replace(b"\x00", b"").decode("ascii"), starts, starts + 2
+
+
 class Worklist:
     def __init__(self, text: str, max_decoded: int = MAX_DECODED):
         self.layers, self.seen, self.room = [Layer(text)], set(), max(max_decoded, GROWTH * len(text))
@@ -154,10 +196,12 @@ class Worklist:
         """Unpacks bytes that stand at start:stop of a layer, also several times; every character of theirs spans it all."""
         packed, inside = False, set()
         while True:
-            out, kind, large = unpack(data, self.room)
+            out, kind, large, broken = unpack(data, self.room)
             if large:
                 self._close(*layer.outer(start, stop))
                 return True
+            if broken:
+                self._close(*layer.outer(start, stop))
             if out is None or hashlib.sha256(out).digest() in inside:
                 break
             inside.add(hashlib.sha256(out).digest())
@@ -165,7 +209,11 @@ class Worklist:
             if (text := as_text(data)) is not None:
                 n = len(text)
                 self._add(layer.child(text, np.broadcast_to(np.int64(start), n), np.broadcast_to(np.int64(stop), n), step))
-                break
+                return True
+        if packed:
+            for text, _, _ in stretches(data):
+                n = len(text)
+                self._add(layer.child(text, np.broadcast_to(np.int64(start), n), np.broadcast_to(np.int64(stop), n), step))
         return packed
 
     def _escapes(self, layer: Layer, signs: str, pattern: re.Pattern, step: str) -> None:
@@ -234,21 +282,31 @@ class Worklist:
                 self._open(layer, re.sub(r"\s", "", m.group()), places)
 
     def _open(self, layer: Layer, run: str, places: np.ndarray) -> None:
-        body = run.rstrip("=")
-        body = body[: len(body) - (len(body) % 4 == 1)]
-        try:
-            data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-        except binascii.Error:
-            return
+        body = run.rstrip("=").replace("-", "+").replace("_", "/")
+        for k in range(min(4, len(body))):
+            self._aligned(layer, body[k:], places[k:], whole=k == 0)
+        for m in re.finditer("[/_-]", run):
+            k = m.end()
+            if k > 3 and len(body) - k >= LEAST_TEXT and opener(base64.b64decode(body[k : k + 12]))[1]:
+                self._packed(layer, decoded(body[k:]), int(places[k]), int(places[-1]) + 1, "base64")
+
+    def _aligned(self, layer: Layer, body: str, places: np.ndarray, whole: bool) -> None:
+        data = decoded(body)
         if self._packed(layer, data, int(places[0]), int(places[-1]) + 1, "base64"):
             return
-        text = as_text(data)
-        if text is None:
-            return
-        lengths = np.array([len(c.encode()) for c in text])
-        ends = np.cumsum(lengths)
-        starts, stops = places[(ends - lengths) * 4 // 3], places[np.minimum((ends * 4 + 2) // 3, len(places)) - 1] + 1
-        self._add(layer.child(text, starts, stops, "base64"))
+        if whole and (text := as_text(data)) is not None:
+            ends = np.cumsum([len(c.encode()) for c in text])
+            found = [(text, np.concatenate([[0], ends[:-1]]), ends)]
+        else:
+            found = stretches(data)
+        for text, first, after in found:
+            self._add(layer.child(text, places[first * 4 // 3], places[np.minimum((after * 4 + 2) // 3, len(places)) - 1] + 1, "base64"))
+
+
+def decoded(body: str) -> bytes:
+    """Bytes of base64 without padding; a last sign that stands for no byte is left."""
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_decoded: int = MAX_DECODED) -> DataFrame:
