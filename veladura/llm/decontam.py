@@ -62,9 +62,9 @@ def templates(text: Column) -> Column:
     return F.transform(bound, words)[0]
 
 
-def windows(words: Column, size: int, telling: bool = False) -> Column:
+def windows(words: Column, size: Column, telling: bool = False) -> Column:
     """array<array<hash>>: the distinct forms of all windows of a size, by place; telling: only forms with enough literals."""
-    least = LITERALS if size == WINDOW else (size + 1) // 2
+    least = F.least(F.lit(LITERALS), F.ceil(size / 2))
     other = lambda w: (~w.startswith("#")).cast("int")
     hashed = F.transform(words, lambda x: F.struct(F.xxhash64(x["t"]).alias("t"), F.xxhash64(x["v"]).alias("v"), F.xxhash64(x["n"]).alias("n"), x["c"].alias("c"), other(x["t"]).alias("lt"), other(x["n"]).alias("ln")))
     columns = F.transform(F.array(hashed), lambda x: F.struct(*[x[k].alias(k) for k in ("t", "v", "n", "c", "lt", "ln")]))
@@ -74,19 +74,25 @@ def windows(words: Column, size: int, telling: bool = False) -> Column:
         """i: place of the first word, from 1."""
         at = lambda k: F.get(b[k], i - 1)
         part = lambda k: F.slice(b[k], i + 1, size - 1)
-        bound = F.array(F.struct(F.xxhash64(part("t")).alias("t"), F.xxhash64(part("n")).alias("n"), total(part("ln")).alias("ln"), (total(part("lt")) if telling else F.lit(least)).alias("lt")))
+        # Fewer than LITERALS - 1 literals in a row of WINDOW - 1 words leave a placeholder among any LITERALS - 1 of them.
+        some = lambda i: F.get(b["ln"], i) + F.get(b["ln"], i + 1) + F.get(b["ln"], i + 2) < LITERALS - 1
+        few = lambda i: (size == WINDOW) & some(i) & (total(part("ln")) + 1 < LITERALS)
+        bound = F.array(F.struct(F.xxhash64(part("t")).alias("t"), F.xxhash64(part("n")).alias("n"), few(i).alias("plain"), (F.lit(0) if not telling else total(part("ln"))).alias("ln"), (F.lit(0) if not telling else total(part("lt"))).alias("lt")))
 
         def of(r: Column) -> Column:
-            plain = r["ln"] + 1 < least
             told = lambda count, h, also=F.lit(True): F.when(also & (count >= least), h) if telling else F.when(also, h)
-            return F.array_compact(
+            every = F.array_compact(
                 F.array(
                     told(r["lt"] + at("lt"), F.xxhash64(at("t"), r["t"])), told(r["lt"] + 1, F.xxhash64(at("v"), r["t"])), told(r["lt"], F.xxhash64(F.xxhash64(F.lit("#name")), r["t"]), at("c")),
-                    told(r["ln"] + at("ln"), F.xxhash64(at("n"), r["n"])), told(r["ln"] + 1, F.xxhash64(at("v"), r["n"])), F.when(plain, F.xxhash64(F.slice(b["v"], i, size))) if size == WINDOW else F.lit(None).cast("bigint"),
+                    told(r["ln"] + at("ln"), F.xxhash64(at("n"), r["n"])), told(r["ln"] + 1, F.xxhash64(at("v"), r["n"])), F.when(r["plain"], F.xxhash64(F.slice(b["v"], i, size))),
                 )
             )
+            if telling:
+                return F.array_distinct(every)
+            # Most windows have one form only: no name, number or unit first, the rest equal with names as literals.
+            return F.when((at("t") == at("v")) & ~at("c") & (r["t"] == r["n"]) & ~r["plain"], F.array(F.xxhash64(at("t"), r["t"]))).otherwise(F.array_distinct(every))
 
-        return F.array_distinct(F.transform(bound, of)[0])
+        return F.transform(bound, of)[0]
 
     every = lambda b: F.when(F.size(b["t"]) >= size, F.transform(F.sequence(F.lit(1), F.size(b["t"]) - size + 1), lambda i: forms(b, i)))
     return F.transform(columns, every)[0]
@@ -99,10 +105,7 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     placeholders; v: its words."""
     items = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), templates(F.coalesce(F.col(text_col), F.lit(""))).alias("words")).where("size(words) > 0").dropDuplicates()
     sized = items.withColumn("size", F.least(F.lit(WINDOW), F.size("words")))
-    forms = F.lit(None).cast("array<array<bigint>>")
-    for size in range(1, WINDOW + 1):
-        forms = F.when(F.col("size") == size, windows(F.col("words"), size, telling=True)).otherwise(forms)
-    cut = sized.select("item_id", "size", "words", F.posexplode(forms).alias("place", "h")).withColumn("w", F.slice("words", F.col("place") + 1, F.col("size")))
+    cut = sized.select("item_id", "size", "words", F.posexplode(windows(F.col("words"), F.col("size"), telling=True)).alias("place", "h")).withColumn("w", F.slice("words", F.col("place") + 1, F.col("size")))
     literal = F.size(F.filter("w", lambda x: ~x["t"].startswith("#")))
     told = cut.withColumn("told", literal >= F.least(F.lit(LITERALS), F.ceil(F.col("size") / 2))).withColumn("key", F.xxhash64(F.transform("w", lambda x: x["t"])))
     places = F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.get("w", i)["t"].startswith("#") | ((i == 0) & F.get("w", i)["c"]))
@@ -123,7 +126,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: s
     words = texts.select("doc_id", "digest", templates(F.col("text")).alias("words"))
     found = None
     for size in sorted(sizes):
-        places = words.select("doc_id", "digest", F.posexplode(windows(F.col("words"), size)).alias("at", "forms")).select("doc_id", "digest", "at", F.explode("forms").alias("h"), F.lit(size).alias("size"))
+        places = words.select("doc_id", "digest", F.posexplode(windows(F.col("words"), F.lit(size))).alias("at", "forms")).select("doc_id", "digest", "at", F.explode("forms").alias("h"), F.lit(size).alias("size"))
         hits = places.join(small(keys.where(F.col("size") == size)), ["size", "h"]).select("doc_id", "digest", "size", "h", "at")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
