@@ -40,12 +40,17 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors reach; a new local one is set only where the session names none."""
+    """The folder all executors reach. Where the session names none, a new one of this machine in local mode, an error on a cluster."""
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors reach")
+        folder = _LOCAL.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="llm-shared-"))
     return folder.rstrip("/")
 
 
