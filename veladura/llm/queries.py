@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators and the pipeline, with production parameters over whole tables."""
+"""The registered queries of the thirteen operators and the pipeline, with production parameters over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veladura.llm import decontam, exactsub, jaccard, lm, merkle, quality, secrets, spm, tokencount, wavelet
+from veladura.llm import decontam, divergence, exactsub, jaccard, lm, merkle, neighbours, oracle, quality, ranked, secrets, spm, tokencount, wavelet
 from veladura.llm.common import documents
 
 
@@ -51,13 +51,27 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_pairs(documents(spark, sf_dir))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op13_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest(neighbours.graphs(vectors), vectors.where("vec_id % 20 = 0"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_token_counts, op3_sentencepiece, op4_lattice_lm, op5_suffix_dedup,
         op6_wavelet_ids, op7_quality_ranking, op8_template_decontamination, op9_jaccard_join, op10_merkle,
+        op11_ranked_search, op12_source_divergence, op13_hnsw_neighbours,
     )
 }
-# The results need nested decoding, tokenizers, learned weights or byte offsets that SQL lacks, or are too slow there
+# The others need nested decoding, tokenizers, learned weights, byte offsets or graphs that SQL lacks, or are too slow there
 # on whole tables; tests/llm holds them against brute force.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_ranked_search": oracle.RANKED, "op12_source_divergence": oracle.DIVERGENCE}
