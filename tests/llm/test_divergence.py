@@ -40,6 +40,7 @@ def brute(docs, least, top):
 @pytest.mark.parametrize("least, top, held", [(30, 50, 600_000), (4, 3, 20)])
 def test_audit_against_brute_force(spark, monkeypatch, least, top, held):
     monkeypatch.setattr(divergence, "HELD", held)
+    monkeypatch.setattr(divergence, "SUMMED", held)
     draw = random.Random(3)
     words = [f"{a}{b}" for a in "abcdefgh" for b in "xyzé"] + ["ÄRGER", "Zorn", "zorn", "日本", "x1y"]
     docs = []
