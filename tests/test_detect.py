@@ -8,9 +8,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from veladura.functions.rules import KEYWORDS, RULES, select_rules
+from veladura.functions.rules import KEYWORDS, LEVELS, RULES, java_pattern, select_rules
 from veladura.operators import report
-from veladura.operators.detect import MARKER, detect, detect_table, text_columns, with_hits
+from veladura.operators.detect import MARKER, HitSet, detect, detect_table, text_columns, with_hit_sets, with_hits
+from veladura.operators.mask import censor_levels
 
 
 def model_confidence(kind, value, context, base):
@@ -153,3 +154,22 @@ def test_long_texts_have_the_hits_of_their_parts(spark):
     assert len(many) == 300 * len(one)
     assert [(h["value"], h["start"] % len(part)) for h in many[-len(one) :]] == [(h["value"], h["start"]) for h in one]
     assert all((part * 300)[h["start"] : h["end"]] == h["value"] for h in many)
+
+
+def test_rule_sets_share_one_detection(spark):
+    """Several sets from one pass of every pattern equal those found apart; the sets' order must agree."""
+    draw = random.Random(9)
+    parts = ["ana@x.com", "5512345678", "10.0.0.1", "rfc: ABCD800101XY1", "CP 01234", "edad: 33", " ", "x"]
+    texts = spark.createDataFrame([(i, " ".join(draw.choices(parts, k=6))) for i in range(200)], "id int, t string")
+    low, medium = select_rules(LEVELS["bajo"]), select_rules(LEVELS["medio"])
+    sets = {"all": HitSet(), "every": HitSet(overlaps=True), "sure": HitSet(min_confidence=0.9), "low": HitSet(tuple(low)), "medium": HitSet(tuple(medium))}
+    together = with_hit_sets(texts, "t", sets)
+    for out, wanted in sets.items():
+        apart = with_hits(texts, {"t": "h"}, wanted.rules, wanted.min_confidence, wanted.overlaps)
+        assert together.select("id", out).collect() == apart.select("id", "h").collect(), out
+    plan = censor_levels(texts, "t", ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    mail = next(r for r in RULES if r.type == "email")
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    assert plan.count(f", {java_pattern(mail)}, {MARKER}$0{MARKER}") == 1
+    with pytest.raises(ValueError):
+        with_hit_sets(texts, "t", {"a": HitSet(), "b": HitSet(tuple(reversed(RULES)))})

@@ -1,8 +1,14 @@
 from __future__ import annotations
 
+import collections
 import json
+import random
+import re
+import time
 
-from veladura.operators import apispecs, forms
+from pyspark.sql import functions as F
+
+from veladura.operators import apispecs, forms, report
 from veladura.operators.jobs import keep_first
 
 PAGE = """<html><!-- <form><input name=ghost></form> --><script>var a='<input name="js">'</script>
@@ -48,6 +54,58 @@ def test_config_and_records(spark):
         assert 18 <= int(record["edad"]) <= 99 and record["pais"] in ("México", "España") and record["r"] in ("a", "b") and "@" in record["email"]
 
 
+def test_places_of_forms(spark):
+    """first_char and n_chars cut the inner HTML out of the page without comments, scripts and styles."""
+    clean = forms.without_noise(F.col("html"))
+    rows = forms.form_list(pages(spark)).join(pages(spark).select("page_id", clean.alias("clean")), "page_id").where("page_id = 1").orderBy("form_ix").collect()
+    inner = [r["clean"][r["first_char"] : r["first_char"] + r["n_chars"]] for r in rows]
+    assert inner[0].startswith('<input type="text"') and inner[0].endswith("<input name=after>") and inner[1:] == ["<input name=inner>", "<input name=last>"]
+
+
+def model(html):
+    """Forms of a page by a stack, as the names of their inputs."""
+    open_, found = [], []
+    for tag in re.findall(r"<form>|</form>|<input name=\w+>", html):
+        if tag == "<form>":
+            open_.append(len(found))
+            found.append([])
+        elif tag == "</form>":
+            open_ = open_[:-1]
+        else:
+            for i in open_:
+                found[i].append(tag[12:-1])
+    return found
+
+
+def test_nested_and_unclosed_forms(spark):
+    draw = random.Random(2)
+    html = ["".join(draw.choice(["<form>", "</form>", f"<input name=n{draw.randrange(9)}>", "text"]) for _ in range(60)) for _ in range(150)]
+    frame = spark.createDataFrame(list(enumerate(html)), "page_id int, html string")
+    every = collections.defaultdict(list)
+    for r in forms.form_fields(frame, unique=False).orderBy("page_id", "form_ix", "field_ix").collect():
+        every[r["page_id"], r["form_ix"]].append(r["name"])
+    first = {(r["page_id"], r["form_ix"]): r["field_names"] for r in forms.form_config(frame).collect()}
+    for k, page in enumerate(html):
+        for i, names in enumerate(model(page)):
+            assert every.get((k, i), []) == names and first[k, i] == list(dict.fromkeys(names))
+
+
+def test_many_unclosed_forms_and_radios(spark):
+    """Work grows with the page: headers of unclosed forms copy no text, options of a radio group are gathered once."""
+    took = []
+    for n in (500, 4000):
+        page = spark.createDataFrame([(1, "<form><input name=a>" * n)], "page_id int, html string")
+        began = time.time()
+        rows = forms.form_list(page).agg({"n_chars": "sum", "form_ix": "count"}).first()
+        took.append(time.time() - began)
+        assert (rows["count(form_ix)"], rows["sum(n_chars)"]) == (n, sum(20 * k + 14 for k in range(n)))
+    assert took[1] < 10
+    group = "".join(f"<input type=radio name=r{i % 40} value={i}>" for i in range(4000))
+    rows = forms.form_fields(spark.createDataFrame([(1, f"<form><input name=r3>{group}</form>")], "page_id int, html string")).orderBy("field_ix").collect()
+    assert [r["name"] for r in rows[:3]] == ["r3", "r0", "r1"] and len(rows) == 40
+    assert rows[0]["options"] == [] and rows[1]["options"] == [str(i) for i in range(0, 4000, 40)]
+
+
 def test_keep_first_is_by_order(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 3, None)], "k string, o int, v string")
     assert sorted(map(tuple, keep_first(df, ["k"], "o").collect())) == [("a", 1, "y"), ("b", 3, None)]
@@ -94,9 +152,46 @@ def test_specs(spark):
     assert (summary["schemas_count"], summary["endpoints_count"], summary["first_schemas"]) == (3, 2, "Z (4), Y (1), Z2 (1)")
 
 
-def test_references_are_decoded_once(spark):
-    from pyspark.sql import functions as F
+def test_repeated_keys_and_broken_documents(spark):
+    """What Python's reader makes of a document: the last of repeated keys, in the place of the first; the rest is rejected."""
+    repeated = '{"openapi":"3.0.0","paths":{},"openapi":"3.0.1","paths":{"/a":{"get":{},"put":{},"get":{"summary":"x"}},"/b":{},"/a":{"post":{"summary":"1","summary":"2"}}},' \
+        '"components":{"schemas":{"S":{"properties":{"p":{},"q":{"type":"integer"},"p":{"type":"boolean","type":"number"}}},"T":{},"S":{"properties":{"z":{},"y":{"type":"number"},"z":{"type":"integer"}}}}}}'
+    broken = ['{"a":1} x', '{"a":1}{"b":2}', '{"a":1},{"b":2}', "{'a':1}", '{"a":', "[]", "", None, '{"a":01}']
+    rows = [(0, repeated), *enumerate(broken, 1), (50, ' {"openapi":"3.0.0","openapi":"3.0.1","paths":{}} ')]
+    parsed = apispecs.parse_specs(spark.createDataFrame(rows, "spec_id int, spec string"))
+    assert sorted(r["spec_id"] for r in apispecs.rejected(parsed).collect()) == list(range(1, len(broken) + 1))
+    versions = {r[0]: r[1] for r in apispecs.accepted(parsed).select("spec_id", apispecs.api_version(parsed["doc"])).collect()}
+    assert versions == {0: "3.0.1", 50: "3.0.1"}
+    first = parsed.where("spec_id = 0")
+    schemas = apispecs.api_schemas(first)
+    assert [(r["schema"], r["n_properties"]) for r in schemas.orderBy("schema_ix").collect()] == [("S", 2), ("T", 0)]
+    assert [(r["property"], r["type"]) for r in apispecs.api_columns(schemas).orderBy("property_ix").collect()] == [("z", "integer"), ("y", "number")]
+    assert [(r["path"], r["method"], r["summary"]) for r in apispecs.api_endpoints(first).collect()] == [("/a", "POST", "2")]
+    assert json.loads(repeated)["paths"]["/a"] == {"post": {"summary": "2"}}
+
+
+def test_summaries_tell_how_many_more(spark):
+    doc = {"openapi": "3.0.0", "paths": {f"/p{i}": {"get": {}, "post": {}} for i in range(6)}, "components": {"schemas": {f"S{i}": {} for i in range(9)}}}
+    row = apispecs.api_summary(apispecs.parse_specs(spark.createDataFrame([(1, json.dumps(doc))], "spec_id int, spec string"))).first()
+    assert (row["schemas_count"], row["more_schemas"], row["endpoints_count"], row["more_endpoints"]) == (9, 4, 12, 7)
+    assert row["first_endpoints"] == "GET /p0, POST /p0, GET /p1, POST /p1, GET /p2"
+    groups = spark.createDataFrame([(k, i) for k, n in (("a", 40), ("b", 2), (None, 7)) for i in range(n)], "g string, v int").repartition(5)
+    shown = report.preview_groups(groups, ["g"], 3, [F.desc("v")])
+    got = sorted(((r["g"], r["place"], r["v"], r["more"]) for r in shown.collect()), key=str)
+    assert got == sorted([("a", 1, 39, 37), ("a", 2, 38, 37), ("a", 3, 37, 37), ("b", 1, 1, 0), ("b", 2, 0, 0), (None, 1, 6, 4), (None, 2, 5, 4), (None, 3, 4, 4)], key=str)
+    assert "WindowGroupLimit" in shown._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_schema_has_its_own_columns(spark):
+    docs = [{"components": {"schemas": {"A": {"properties": {"email": {}, "edad": {}}}, "Leer": {}}}}, {"definitions": {"A": {"properties": {"zeta": {}, "Nombre": {}, "alfa": {}}}}}]
+    parsed = apispecs.parse_specs(spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "spec_id bigint, spec string"))
+    rows = apispecs.schema_datasets(apispecs.api_schemas(parsed), 3).withColumn("names", F.map_keys("record")).collect()
+    records = {(r["spec_id"], r["schema"], r["record_ix"]): r["record"] for r in rows}
+    assert {(r["spec_id"], r["schema"], r["record_ix"]): r["names"] for r in rows} == {(0, "A", i): ["email", "edad"] for i in range(3)} | {(1, "A", i): ["zeta", "Nombre", "alfa"] for i in range(3)}
+    assert all("@" in r["email"] and 18 <= int(r["edad"]) <= 90 for (d, _, _), r in records.items() if d == 0) and len({r["email"] for (d, _, _), r in records.items() if d == 0}) == 3
 
+
+def test_references_are_decoded_once(spark):
     from veladura.functions.html import unescape
 
     cases = {"&#xE9;&hellip;&mdash;&ordm;": "é…—º", "&#38;lt; &amp;lt;": "&lt; &lt;", "a & b &nope;": "a & b &nope;", "&#8364;&euro;&apos;": "€€'", "": ""}

@@ -5,7 +5,9 @@ from pathlib import Path
 
 import pytest
 
-from veladura.functions.sqltext import plain_number
+from veladura.functions.jsontext import is_object
+from veladura.functions.sqltext import create_table, plain_number
+from veladura.operators.numbering import numbered, staged
 from veladura.operators.generate import generate
 from veladura.session import scratch_path
 from veladura.sinks import files as sink
@@ -23,7 +25,11 @@ def test_column_files(spark, tmp_path):
     for r in rows:
         found.setdefault(Path(r["path"]).name, []).append(r["name"])
     assert found == {"a.txt": ["nombre", "email", "nombre"], "b.txt": ["a", "b", "c"]}
-    assert [Path(r["path"]).name for r in source.empty_column_files(spark, str(tmp_path / "*.txt")).collect()] == ["c.txt"]
+    (tmp_path / "d.txt").write_bytes("a\u00f1o".encode("latin-1"))
+    (tmp_path / "e.txt").write_bytes(b"a,b\r")
+    rejected = source.rejected_column_files(spark, str(tmp_path / "*.txt")).collect()
+    assert sorted((Path(r["path"]).name, r["problem"]) for r in rejected) == [("c.txt", "no names"), ("d.txt", "not UTF-8")]
+    assert [r["name"] for r in source.read_column_files(spark, str(tmp_path / "e.txt")).collect()] == ["a,b"]
     assert [r["name"] for r in source.read_column_lines(spark, str(tmp_path / "b.txt")).collect()] == ["a, b,,c"]
 
 
@@ -31,6 +37,11 @@ def test_job_and_metric_files(spark, tmp_path):
     (tmp_path / "job.json").write_text(json.dumps({"volumen": 500, "columnas": ["nombre"]}, indent=1), encoding="utf-8")
     job = source.read_job_files(spark, str(tmp_path / "job.json")).first()
     assert (job["volumen"], job["columnas"], job["formato"], job["motor"]) == (500, ["nombre"], "excel", "python")
+    (tmp_path / "bad.json").write_text('{"volumen": 5', encoding="utf-8")
+    assert source.read_job_files(spark, str(tmp_path / "*.json")).count() == 1
+    assert [(Path(r["path"]).name, r["problem"]) for r in source.rejected_files(spark, str(tmp_path / "*.json"), is_object).collect()] == [("bad.json", "not a JSON object")]
+    (tmp_path / "lines.jsonl").write_text('{"volumen":7}\n\n[1]\n', encoding="utf-8")
+    assert sorted((r["volumen"], r["problem"]) for r in source.read_job_lines(spark, str(tmp_path / "lines.jsonl")).collect()) == [(7, None), (1000, "not a JSON object")]
     (tmp_path / "sql.json").write_text(json.dumps({"database": {"database": "d"}, "query": {"table": "t"}}), encoding="utf-8")
     sql = source.read_sql_job_files(spark, str(tmp_path / "sql.json")).first()
     assert (sql["volumen"], sql["connection_type"], sql["database"], sql["schema"], sql["table"], sql["query_provided"]) == (1000, "postgresql", "d", "public", "t", False)
@@ -40,6 +51,61 @@ def test_job_and_metric_files(spark, tmp_path):
     assert [r["volumen"] for r in rows] == [10, 20] and rows[0]["config"]["_metadata"]["fuente"] == "x"
 
 
+def test_sparse_ids_fill_batches(spark):
+    """A thousand ids with gaps of a thousand are two statements of 500, in id order, for one range and for many."""
+    rows = spark.range(1000).selectExpr("id * 1000 + 5 AS id", "cast(id as string) AS t").repartition(7)
+    listed = sorted(insert_batches(rows, "t", row_id="id").collect(), key=lambda b: b["batch"])
+    assert [b["statement"].count("\n(") for b in listed] == [500, 500]
+    ids = [int(line.split(",")[0].strip("(")) for b in listed for line in b["statement"].split("\n")[1:]]
+    assert ids == [i * 1000 + 5 for i in range(1000)]
+    assert sorted(b["statement"].count("\n(") for b in insert_batches(rows, "t").collect()) == [500, 500]
+
+
+@pytest.mark.parametrize("range_rows", [10, 64, 10**6])
+def test_numbers_without_gaps(spark, range_rows):
+    ids = [None, None, *range(-300, 300, 7), 5, 5, 2**60, -(2**60)]
+    rows = spark.createDataFrame([(i,) for i in ids], "id bigint").repartition(5)
+    got = sorted((r["row_ix"], r["id"]) for r in numbered(staged(rows), "id", range_rows).collect())
+    assert [ix for ix, _ in got] == list(range(len(ids))) and [i for _, i in got] == sorted(ids, key=lambda i: (i is not None, i or 0))
+    assert sorted(r["row_ix"] for r in numbered(staged(rows)).collect()) == list(range(len(ids)))
+    assert numbered(staged(rows.where("1 = 0")), "id").count() == 0
+    times = rows.selectExpr("timestamp_seconds(id % 1000) AS at").where("at IS NOT NULL")
+    assert [r["at"] for r in numbered(staged(times), "at", range_rows).orderBy("row_ix").collect()] == sorted(r["at"] for r in times.collect())
+
+
+def test_types_hold_every_double(spark):
+    def ddl(values, dialect="mysql"):
+        return create_table(spark.createDataFrame([(v,) for v in values], "x double"), "t", dialect).first()[0].split("`x` " if dialect == "mysql" else '"x" ')[1].split("\n")[0]
+
+    assert ddl([1.5, -22.25, None]) == "DECIMAL(15,2)" and ddl([]) == "DECIMAL(15,2)" and ddl([None]) == "DECIMAL(15,2)"
+    assert ddl([0.125, 3.0]) == "DECIMAL(15,3)" and ddl([123456789012345.0, 0.5]) == "DECIMAL(17,2)" and ddl([1e18, 0.5]) == "DECIMAL(21,2)"
+    assert ddl([1e-20]) == "DOUBLE" and ddl([1e300, 1.0], "postgresql") == "DOUBLE PRECISION" and ddl([float("nan"), 2.5]) == "DECIMAL(15,2)"
+    assert ddl([0.000001]) == "DECIMAL(15,6)"
+
+
+def test_exports_compute_the_frame_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    rows = spark.range(1200).selectExpr("id", "concat('t', id) AS t", "id / 8.0D AS x").repartition(3).mapInArrow(seen, "id bigint, t string, x double")
+    run = sink.write(rows, "sql", str(tmp_path / "s"), table="t", row_id="id", metadata=str(tmp_path / "m"), metrics=str(tmp_path / "r"))
+    assert calls.value == 1200 and (run.rows, run.columns) == (1200, 3) and run.seconds > 0
+    ddl = spark.read.text(str(tmp_path / "s/ddl"), wholetext=True).first()[0]
+    assert "-- rows 1200" in ddl and "`x` DECIMAL(15,3)" in ddl and "`t` VARCHAR(255)" in ddl
+    assert spark.read.text(str(tmp_path / "s/inserts")).where("value LIKE '(%'").count() == 1200
+    sheet = {r["property"]: r["value"] for r in spark.read.csv(str(tmp_path / "m"), header=True).collect()}
+    assert (sheet["rows"], sheet["columns"], sheet["engine"]) == ("1200", "3", "spark") and float(sheet["seconds"]) > 0
+    line = source.read_metric_lines(spark, str(tmp_path / "r")).first()
+    assert line["volumen"] == 1200 and line["config"]["columnas"] == ["id", "t", "x"] and line["config"]["formato"] == "sql" and line["tiempo_segundos"] > 0
+    for format in ("csv", "jsonl", "parquet", "json_array"):
+        before = calls.value
+        assert sink.write(rows, format, str(tmp_path / format)).rows == 1200 and calls.value - before == 1200
+
+
 def test_pages_and_specs_are_whole_files(spark, tmp_path):
     (tmp_path / "p.html").write_text("<form>\n<input name=x>\n</form>", encoding="utf-8")
     row = source.read_pages(spark, str(tmp_path / "p.html")).first()

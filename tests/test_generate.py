@@ -7,9 +7,22 @@ import pytest
 from pyspark.sql import functions as F
 
 from veladura.functions.families import AS_OF, Provider
-from veladura.operators.catalogue import BASE, FAKER_METHODS, catalogue_frame, merge, parse_provider, resolve, resolve_frame, resolve_name
-from veladura.operators.generate import generate, generate_over, with_offset_date
-from veladura.sources.dictionary import load_catalogue, read_dictionary_text
+from veladura.operators.catalogue import (
+    BASE,
+    FAKER_METHODS,
+    args_text,
+    catalogue_frame,
+    merge,
+    override_frame,
+    parse_provider,
+    provider_of,
+    providers,
+    resolve,
+    resolve_frame,
+    resolve_name,
+)
+from veladura.operators.generate import generate, generate_named, generate_over, with_offset_date
+from veladura.sources.dictionary import load_catalogue, load_theme, read_dictionary_text
 
 
 def luhn(number: str) -> bool:
@@ -139,3 +152,43 @@ def test_fixed_columns_errors_and_dates(spark):
     gaps = with_offset_date(start, "fecha_pasada", "fin", 1, 30, "row_id").selectExpr("datediff(fin, fecha_pasada) AS d").collect()
     assert all(1 <= r["d"] <= 30 for r in gaps)
     assert isinstance(start.first()["fecha_pasada"], dt.date)
+
+
+def test_values_by_name_equal_columns(spark):
+    """The long form draws the same values as the wide one, for exact, fuzzy and unknown names and nested providers."""
+    catalogue = merge({"sede": 'lambda: fake.company() + " (sede)"', "nivel": "lambda: random.choice(['a', 'b'])", "fijo": "x"})
+    columns = [*catalogue, "Correo personal", "desconocido", " Edad "]
+    ids = spark.range(40).selectExpr("id * 4294967311 AS rid")
+    wide = {r["rid"]: r.asDict() for r in generate_over(ids, "rid", columns, catalogue, keep=["rid"]).select("rid", *[F.col(f"`{c}`").cast("string") for c in columns]).collect()}
+    names = spark.createDataFrame([(c,) for c in columns], "name string")
+    rows = generate_named(ids.crossJoin(names), "rid", "name", catalogue).collect()
+    with pytest.raises(ValueError):
+        generate_named(ids.crossJoin(names), "rid", "name", {"x": Provider("word")})
+    assert len(rows) == 40 * len(columns) and all(wide[r["rid"]][r["name"]] == r["value"] for r in rows)
+
+
+def test_merged_catalogue_generates(spark, tmp_path):
+    """The theme wins by name, in it the last entry, with family and arguments together; nested providers survive the table."""
+    assert all(provider_of(p.family, args_text(p)) == p for p in [*BASE.values(), Provider("concat", (Provider("choice", ("a", 2, 1.5)), "-", Provider("company")))])
+    entries = [(" Edad", "digits", "[3]", 5), ("edad", "int_uniform", "[1,1]", 9), ("EDAD", "word", "[]", 7), ("nuevo", "const", '["ñ"]', 0)]
+    theme = spark.createDataFrame(entries, "name string, family string, args string, ordinal bigint")
+    merged = override_frame(catalogue_frame(spark), theme)
+    found = providers(merged)
+    assert found == {**BASE, "edad": Provider("int_uniform", (1, 1)), "nuevo": Provider("const", ("ñ",))}
+    assert {r["name"] for r in merged.where("origin = 'theme'").collect()} == {"edad", "nuevo"}
+    assert generate(spark, 2, ["edad", "nuevo"], found).collect() == [(1, "ñ"), (1, "ñ")]
+    with pytest.raises(ValueError):
+        providers(merged, 3)
+    (tmp_path / "a.txt").write_text('"x": "uno",\n"x": "dos",\n', encoding="utf-8")
+    (tmp_path / "b.txt").write_text("'x': 'tres'\n", encoding="utf-8")
+    assert load_theme(read_dictionary_text(spark, str(tmp_path / "*.txt"))) == {"x": Provider("const", ("tres",))}
+
+
+def test_dates_count_from_a_given_day(spark):
+    columns = ["fecha_futura", "fecha_pasada", "fecha", "fecha_hora"]
+    today, later = (generate(spark, 60, columns, as_of=day).collect() for day in (AS_OF, AS_OF + dt.timedelta(days=400)))
+    for a, b in zip(today, later, strict=True):
+        assert b["fecha_futura"] - a["fecha_futura"] == b["fecha_pasada"] - a["fecha_pasada"] == dt.timedelta(days=400)
+        assert 1 <= (b["fecha_futura"] - AS_OF).days - 400 <= 30
+    early = generate(spark, 60, ["fecha", "fecha_hora"], as_of=dt.date(1970, 1, 8)).collect()
+    assert all("1970-01-01" <= r["fecha"] <= "1970-01-08" and r["fecha_hora"] < dt.datetime(1970, 1, 8) for r in early)

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from veladura.operators.generate import generate_over
 from veladura.operators.mask import mask_text
+from veladura.sinks import folders
 from veladura.streaming import streams
 
 
@@ -27,11 +29,32 @@ def test_late_rows_are_dropped(spark, tmp_path):
         part.rename(part.with_name(f"e{i}.parquet"))
     stream = streams.read_table_stream(spark, str(tmp_path / "in"), "e", spark.createDataFrame([], schema).schema, max_files=1)
     counts = streams.stream_pii_counts(stream, "t", "ts").select(F.col("window.start").cast("string").alias("w"), "type", "n")
-    streams.run_updates_to_files(counts, str(tmp_path / "out"), str(tmp_path / "c"))
-    got = {r["w"]: r["n"] for r in streams.latest_counts(spark, str(tmp_path / "out"), ["w", "type"]).collect()}
+    streams.run_keyed(counts, str(tmp_path / "out"), str(tmp_path / "c"), ["w", "type"], every=2)
+    got = {r["w"]: r["n"] for r in streams.keyed_state(spark, str(tmp_path / "out"), ["w", "type"]).collect()}
     # a batch drops what was late at the end of the batch before the last: the fourth file does not count
     assert got == {"2024-01-01 10:00:00": 1, "2024-01-02 10:00:00": 3}
 
 
+def test_keyed_state_is_bounded(spark, tmp_path):
+    """A hundred batches over seven keys leave two states and the batches since the one before; batches may be repeated."""
+    path, wanted = str(tmp_path / "state"), {}
+    with pytest.raises(ValueError):
+        streams.keyed_state(spark, path, ["k"])
+    for i in range(100):
+        rows = [(i % 7, "a", i), ((i * 3) % 7, "b", -i)]
+        wanted |= {(k, t): n for k, t, n in rows}
+        batch = spark.createDataFrame(rows, "k int, t string, n int").coalesce(1)
+        streams.upsert(batch, i, path, ["k", "t"])
+        if i in (4, 9, 57):
+            streams.upsert(batch, i, path, ["k", "t"])
+        if i in (4, 10, 58, 99):
+            assert {(r["k"], r["t"]): r["n"] for r in streams.keyed_state(spark, path, ["k", "t"]).collect()} == wanted
+    left = folders.names(spark, path)
+    assert left == ["b" + f"{i:010d}" for i in range(90, 100)] + ["s0000000089", "s0000000099"]
+    # A batch that a finished state holds is passed over, also when its own table is gone.
+    streams.upsert(spark.createDataFrame([(0, "a", 1)], "k int, t string, n int"), 50, path, ["k", "t"])
+    assert folders.names(spark, path) == left
+
+
 def test_rate_rows(spark):
     assert streams.rate_rows(spark, 5).isStreaming

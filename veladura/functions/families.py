@@ -26,7 +26,7 @@ LETTERS = LOWER + UPPER
 RFC_LETTERS = UPPER + "Ñ&"
 ALPHANUMERIC = UPPER + DIGITS
 
-# "Today" for the date families: generated data must not change from day to day.
+# "Today" for the date families unless a caller names another day: generated data must not change from day to day.
 AS_OF = dt.date(2025, 1, 1)
 EPOCH = dt.date(1970, 1, 1)
 AS_OF_DAY = (AS_OF - EPOCH).days
@@ -154,10 +154,10 @@ def template(d: Draw, pattern: str) -> Column:
     return joined(parts)
 
 
-def concat(d: Draw, *parts) -> Column:
+def concat(d: Draw, *parts, as_of: int = AS_OF_DAY) -> Column:
     """Composite value; nested providers get their own block of draws."""
     columns = [
-        build(p, lambda k, block=i: d(1000 * (block + 1) + k)).cast("string") if isinstance(p, Provider) else F.lit(str(p))
+        build(p, lambda k, block=i: d(1000 * (block + 1) + k), as_of).cast("string") if isinstance(p, Provider) else F.lit(str(p))
         for i, p in enumerate(parts)
     ]
     return joined(columns)
@@ -361,19 +361,19 @@ def password(d: Draw) -> Column:
 # --- dates ---------------------------------------------------------------------
 
 
-def date_between(d: Draw, first: int, last: int) -> Column:
-    """Date between two day offsets from AS_OF."""
-    return F.date_from_unix_date((below(d(0), int(last) - int(first) + 1) + F.lit(AS_OF_DAY + int(first))).cast("int"))
+def date_between(d: Draw, first: int, last: int, as_of: int = AS_OF_DAY) -> Column:
+    """Date between two day offsets from a day."""
+    return F.date_from_unix_date((below(d(0), int(last) - int(first) + 1) + F.lit(as_of + int(first))).cast("int"))
 
 
-def date_text(d: Draw) -> Column:
+def date_text(d: Draw, as_of: int = AS_OF_DAY) -> Column:
     """ISO date since 1970 as text."""
-    return date_between(d, -AS_OF_DAY, 0).cast("string")
+    return date_between(d, -as_of, 0, as_of).cast("string")
 
 
-def datetime_past(d: Draw) -> Column:
+def datetime_past(d: Draw, as_of: int = AS_OF_DAY) -> Column:
     """Second since 1970, as a zone-free timestamp."""
-    seconds = below(d(0), AS_OF_DAY * 86400).cast("decimal(18,6)")
+    seconds = below(d(0), as_of * 86400).cast("decimal(18,6)")
     return F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
@@ -431,7 +431,12 @@ FAMILIES: dict[str, Callable[..., Column]] = {
 }
 
 
-def build(provider: Provider, d: Draw) -> Column:
+# Families that ask what day it is, and the one that passes the question on.
+DATED = {"date_between", "date_text", "datetime_past", "concat"}
+
+
+def build(provider: Provider, d: Draw, as_of: int = AS_OF_DAY) -> Column:
+    """Column of a provider; as_of: the day, since 1970, that dates are counted from."""
     if provider.family not in FAMILIES:
         raise ValueError(f"unknown family {provider.family!r}; known: {', '.join(FAMILIES)}")
-    return FAMILIES[provider.family](d, *provider.args)
+    return FAMILIES[provider.family](d, *provider.args, **({"as_of": as_of} if provider.family in DATED else {}))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import json
 import re
 from collections.abc import Mapping
 
@@ -256,9 +257,22 @@ def fuzzy_target(name: Column) -> Column:
     return rule
 
 
+def args_text(provider: Provider) -> str:
+    """Arguments as JSON; a provider inside them is an object of its family and arguments."""
+    return json.dumps(provider.args, ensure_ascii=False, separators=(",", ":"), default=str) if not any(isinstance(a, Provider) for a in provider.args) else (
+        "[" + ",".join(json.dumps({"family": a.family, "args": json.loads(args_text(a))}, ensure_ascii=False, separators=(",", ":")) if isinstance(a, Provider) else json.dumps(a, ensure_ascii=False) for a in provider.args) + "]"
+    )
+
+
+def provider_of(family: str, args: str | None) -> Provider:
+    """Provider from a catalogue row."""
+    return Provider(family, tuple(provider_of(a["family"], json.dumps(a["args"])) if isinstance(a, dict) else a for a in json.loads(args or "[]")))
+
+
 def catalogue_frame(spark, catalogue: Mapping[str, Provider] = BASE) -> DataFrame:
-    rows = [(name, p.family, [str(a) for a in p.args]) for name, p in catalogue.items()]
-    return spark.createDataFrame(rows, "name string, family string, args array<string>")
+    """(name, family, args, ordinal) rows of a catalogue; args are JSON."""
+    rows = [(name, p.family, args_text(p), i) for i, (name, p) in enumerate(catalogue.items())]
+    return spark.createDataFrame(rows, "name string, family string, args string, ordinal bigint")
 
 
 # A catalogue given as a dict is part of the plan and may be broadcast up to this many entries.
@@ -290,13 +304,25 @@ def _resolved(names: DataFrame, entries: DataFrame, name: str) -> DataFrame:
 
 
 def override_frame(base: DataFrame, theme: DataFrame) -> DataFrame:
-    """Base catalogue table with a theme table over it; the theme wins by name."""
-    t = theme.select(F.lower(F.trim("name")).alias("name"), "family")
-    t = t.groupBy("name").agg(F.min("family").alias("theme_family"))
-    b = base.select("name", F.col("family").alias("base_family"))
-    return b.join(t, "name", "full_outer").select(
-        "name",
-        F.coalesce("theme_family", "base_family").alias("family"),
-        F.when(F.col("theme_family").isNotNull(), "theme").otherwise("base").alias("origin"),
+    """Base catalogue table with a theme table over it: the theme wins by name, and in each the last entry by ``ordinal``.
+
+    Families and arguments go together, so the merged table generates: see ``providers``.
+    """
+    def last(entries: DataFrame, out: str) -> DataFrame:
+        named = entries.select(F.lower(F.trim("name")).alias("name"), "family", "args", "ordinal")
+        return named.groupBy("name").agg(F.max_by(F.struct("family", "args"), "ordinal").alias(out))
+
+    merged = last(base, "base").join(last(theme, "theme"), "name", "full_outer")
+    kept = F.coalesce("theme", "base")
+    return merged.select(
+        "name", kept["family"].alias("family"), kept["args"].alias("args"),
+        F.when(F.col("theme").isNotNull(), "theme").otherwise("base").alias("origin"),
     )
 
+
+def providers(entries: DataFrame, max_entries: int = MAX_BROADCAST_ENTRIES) -> dict[str, Provider]:
+    """A catalogue table as a dict; a larger one than ``max_entries`` is an error, never cut."""
+    rows = entries.select("name", "family", "args").limit(max_entries + 1).collect()
+    if len(rows) > max_entries:
+        raise ValueError(f"a catalogue may have at most {max_entries} entries")
+    return {r["name"]: provider_of(r["family"], r["args"]) for r in rows}

@@ -7,7 +7,8 @@ done one after the other, which keeps the generated code small. No shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,10 +137,22 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _hits_of(text: str, rules: Sequence[Rule], min_confidence: float, overlaps: bool, guarded: bool) -> Column:
+@dataclass(frozen=True)
+class HitSet:
+    """What one array of hits holds: hits of some rules above a threshold, without overlaps unless asked for."""
+
+    rules: Sequence[Rule] = tuple(RULES)
+    min_confidence: float = MIN_CONFIDENCE
+    overlaps: bool = False
+
+
+def _every(text: str, rules: Sequence[Rule], min_confidence: float) -> str:
+    return f"array_sort(filter({_ranked_hits(text, _spans(rules))}, h -> h.confidence >= {float(min_confidence)}D))"
+
+
+def _hits_of(every: str, wanted: HitSet, guarded: bool) -> Column:
     # SQL text rather than column calls: one parse instead of thousands of gateway calls.
-    every = f"array_sort(filter({_ranked_hits(text, _spans(rules))}, h -> h.confidence >= {float(min_confidence)}D))"
-    final = f"""transform({every if overlaps else _without_overlaps(every)}, h -> named_struct(
+    final = f"""transform({every if wanted.overlaps else _without_overlaps(every)}, h -> named_struct(
       'type', h.type, 'value', h.value, 'start', h.start, 'end', h.`end`, 'context', h.context, 'confidence', h.confidence))"""
     # The partition id makes the column non-deterministic for the optimizer, so a filter on it or an
     # explode of it is not copied below the detection, where it would run a second time. It also keeps filters of
@@ -148,7 +161,22 @@ def _hits_of(text: str, rules: Sequence[Rule], min_confidence: float, overlaps:
     return F.expr(f"CASE WHEN {some} THEN {final} ELSE cast(array() AS array<{HIT}>) END")
 
 
-def _with_column_hits(df: DataFrame, column: str, out: str, rules: Sequence[Rule], min_confidence: float, overlaps: bool, guarded: bool) -> DataFrame:
+def _union(sets: Sequence[HitSet]) -> list[Rule]:
+    """All rules of the sets, in an order that agrees with that of every set."""
+    union = list(max((w.rules for w in sets), key=len))
+    for wanted in sets:
+        places = [union.index(r) if r in union else -1 for r in wanted.rules]
+        if -1 in places or places != sorted(places):
+            raise ValueError("rule sets that are found together must be parts of the largest, in its order")
+    return union
+
+
+def with_hit_sets(df: DataFrame, column: str, sets: Mapping[str, HitSet], guarded: bool = True) -> DataFrame:
+    """Adds several arrays of hits of one text column from one detection: every pattern passes over a text once.
+
+    Each set's rules must be among those of the largest set and in its order (the order decides between equals).
+    """
+    rules = _union(list(sets.values()))
     name = quoted(column)
     text, shape, other = F.col(name), F.col("__shape"), F.col("__other")
     kept = [F.col(quoted(c)) for c in df.columns]
@@ -161,11 +189,21 @@ def _with_column_hits(df: DataFrame, column: str, out: str, rules: Sequence[Rule
         mark = F.regexp_replace(text, java_pattern(rule), f"{MARKER}$0{MARKER}")
         marked.append(mark if rule.gate == "any" else F.when(GATES[rule.gate](text, shape, other), mark))
         parts.append(_parts(text, F.get("__marked", F.lit(j)), rule))
-    return (
-        df.withColumn("__marked", F.array(*marked)).withColumn("__parts", F.array(*parts))
-        .withColumn("__pieces", F.expr(f"CASE WHEN exists(__parts, p -> size(p) > 1) THEN {pieces_of(name)} ELSE cast(array() AS array<string>) END"))
-        .select(*kept, _hits_of(name, rules, min_confidence, overlaps, guarded).alias(out))
-    )
+    staged = df.withColumn("__marked", F.array(*marked)).withColumn("__parts", F.array(*parts))
+    # The marked copies of the text end here: only the parts go on.
+    staged = staged.select(*kept, "__parts", F.expr(f"CASE WHEN exists(__parts, p -> size(p) > 1) THEN {pieces_of(name)} ELSE cast(array() AS array<string>) END").alias("__pieces"))
+    lowest = min(w.min_confidence for w in sets.values())
+    every = _every(name, rules, lowest)
+    if len(sets) == 1:
+        return staged.select(*kept, *(_hits_of(every, w, guarded).alias(out) for out, w in sets.items()))
+    staged = staged.withColumn("__every", F.expr(f"CASE WHEN exists(__parts, p -> size(p) > 1) THEN {every} ELSE cast(array() AS array<{RANKED}>) END"))
+
+    def part(wanted: HitSet) -> str:
+        tests = [f"h.rank IN ({', '.join(str(rules.index(r)) for r in wanted.rules)})"] * (len(wanted.rules) < len(rules))
+        tests += [f"h.confidence >= {float(wanted.min_confidence)}D"] * (wanted.min_confidence > lowest)
+        return f"filter(__every, h -> {' AND '.join(tests)})" if tests else "__every"
+
+    return staged.select(*kept, *(_hits_of(part(w), w, guarded).alias(out) for out, w in sets.items()))
 
 
 def with_hits(
@@ -187,7 +225,7 @@ def with_hits(
     elif not isinstance(columns, dict):
         columns = {c: f"{c}_hits" for c in columns}
     for column, out in columns.items():
-        df = _with_column_hits(df, column, out, rules, min_confidence, overlaps, guarded)
+        df = with_hit_sets(df, column, {out: HitSet(rules, min_confidence, overlaps)}, guarded)
     return df
 
 

@@ -1,7 +1,9 @@
 """HTML forms to rows: forms of a page, their fields, and synthetic records for them.
 
 One page is one row and every step is an expression over it, so extraction needs
-no shuffle; only reports over many forms aggregate.
+no shuffle; only reports over many forms aggregate. A page is cut once, at its form tags, into gaps. Every form is a
+stretch of gaps, found by the depth of the tags, and its fields are stretches of the page's elements, which are read
+gap by gap: nested or unclosed forms copy no text. An element ends where a form begins or ends.
 """
 
 from __future__ import annotations
@@ -24,94 +26,80 @@ from veladura.functions.html import (
     unescape,
     without_noise,
 )
+from veladura.operators.detect import running
 
 HAS_FIELDS = r"(?i)<(?:form|input|select|textarea)"
 LOOSE_FIELDS = r"(?i)<(?:input|select|textarea)[\s/>]"
 LOOSE = "loose_inputs"
-FORM_CLOSE = r"(?i)</form\s*>"
+FORM_TAG = "(?i)(?:" + tag_pattern("form").removeprefix("(?i)") + r"|</form\s*>)"
 OPTION = r"(?is)<option(?:[\s/][^>]*)?>(.*?)(?=<option[\s/>]|</option|</select|<optgroup|</optgroup|\z)"
 FIELD_COLUMNS = [
     "name", "type", "id", "placeholder", "required", "options", "default_value", "min_value", "max_value", "pattern", "visible",
 ]
 
 
-def _content(pieces: Column, i: Column) -> Column:
-    """Page part inside form i: up to its own closing tag, over nested forms, or to the end when unclosed."""
-    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("text"))
+# (i, end) of every form: its tag is event i, it ends at event end, or at the number of events when unclosed. Between
+# two depths the tags go up and down in turn, so an opening tag's closing one is the next tag of its level.
+SPANS = f"""transform(transform(transform(
+  array(transform(__events, t -> if(startswith(t, '</'), -1, 1))), a -> named_struct('s', a, 'b', {running("a", "int", "0", "x + y")})),
+  c -> array_sort(transform(c.s, (w, k) -> named_struct('level', get(c.b, k) + greatest(w, 0), 'i', k, 'open', w > 0)))),
+  d -> array_sort(transform(filter(transform(d, (w, k) -> named_struct('i', w.i, 'end', if(get(d, k + 1).level = w.level, get(d, k + 1).i, size(d)), 'open', w.open)), w -> w.open),
+    w -> named_struct('i', w.i, 'end', w.`end`))))[0]"""
+# Characters before every event.
+PLACES = running("transform(__gaps, (g, k) -> length(g) + coalesce(length(get(__events, k)), 0))", "int", "0", "x + y")
 
-    def step(acc: Column, piece: Column) -> Column:
-        parts = F.split(piece, FORM_CLOSE, -1)
-        closes = F.size(parts) - 1
-        ends = closes >= acc["depth"]
-        return (
-            F.when(acc["depth"] == 0, acc)
-            .when(
-                ends,
-                F.struct(
-                    F.lit(0).alias("depth"),
-                    F.concat(acc["text"], F.array_join(F.slice(parts, F.lit(1), F.greatest(acc["depth"], F.lit(1))), "")).alias("text"),
-                ),
-            )
-            .otherwise(F.struct((acc["depth"] - closes + 1).alias("depth"), F.concat(acc["text"], piece).alias("text")))
-        )
 
-    rest = F.slice(pieces, i + 2, F.size(pieces))
-    return F.aggregate(rest, start, step, lambda acc: acc["text"])
-
-
-def form_list(pages: DataFrame, html: str = "html", keys: Sequence[str] = ("page_id",)) -> DataFrame:
-    """One row per form with action, method, id, name and inner HTML. A page without forms but with
-    fields gives one pseudo-form over the whole page; ``form_ix`` numbers the forms of a page."""
+def _cut(pages: DataFrame, html: str, keys: Sequence[str]) -> DataFrame:
+    """keys, __html without noise, __events (form tags), __gaps (texts between them) and __spans of every page that has fields."""
     with_fields = pages.where(F.col(html).rlike(HAS_FIELDS)).select(*keys, without_noise(F.col(html)).alias("__html"))
-    opened = with_fields.withColumns(
-        {
-            "__opens": F.regexp_extract_all("__html", F.lit(tag_pattern("form")), F.lit(0)),
-            "__pieces": F.split("__html", tag_pattern("form"), -1),
-        }
-    )
-    real = F.transform(
-        "__opens", lambda tag, i: F.struct(tag.alias("tag"), _content(F.col("__pieces"), i).alias("content"))
-    )
-    loose = F.when(
-        F.col("__html").rlike(LOOSE_FIELDS),
-        F.array(F.struct(F.lit(None).cast("string").alias("tag"), F.col("__html").alias("content"))),
-    )
-    listed = opened.select(
-        *keys, F.when(F.size("__opens") > 0, real).otherwise(loose).alias("__forms")
-    ).select(*keys, F.posexplode_outer("__forms").alias("form_ix", "__form")).where(F.col("form_ix").isNotNull())
-    tag = F.col("__form.tag")
-    parsed = listed.withColumn("__parts", F.struct(*attribute_parts(tag))).withColumn(
-        "__attrs", F.when(tag.isNotNull(), attributes(F.col("__parts")))
-    )
+    clean = F.col("__html")
+    none = F.array().cast("array<string>")
+    opened = with_fields.withColumn("__events", F.when(clean.rlike(tag_pattern("form")), F.regexp_extract_all(clean, F.lit(FORM_TAG), F.lit(0))).otherwise(none))
+    some = F.size("__events") > 0
+    loose = F.when(clean.rlike(LOOSE_FIELDS), F.expr("array(named_struct('i', -1, 'end', 0))"))
+    return opened.withColumns({"__gaps": F.when(some, F.split(clean, FORM_TAG, -1)).otherwise(F.array(clean)), "__spans": F.when(some, F.expr(SPANS)).otherwise(loose)})
+
+
+def _headed(forms: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns with action, method, id and name read from the form's tag; the pseudo-form has none."""
+    tag = F.col("tag")
+    parsed = forms.withColumn("__parts", F.struct(*attribute_parts(tag))).withColumn("__attrs", F.when(tag.isNotNull(), attributes(F.col("__parts"))))
     attrs = F.col("__attrs")
-    return parsed.select(
-        *keys,
-        "form_ix",
+    heads = [
         F.coalesce(attribute(attrs, "action"), F.lit("")).alias("action"),
         F.upper(F.coalesce(attribute(attrs, "method"), F.lit("GET"))).alias("method"),
         F.when(tag.isNull(), F.lit(LOOSE)).otherwise(attribute(attrs, "id")).alias("form_id"),
         F.when(tag.isNull(), F.lit(LOOSE)).otherwise(attribute(attrs, "name")).alias("form_name"),
-        F.col("__form.content").alias("content"),
-    )
+    ]
+    return parsed.select(*[h if c is None else c for c in columns for h in (heads if c is None else [c])])
 
 
-def _elements(content: Column) -> Column:
-    """Raw elements in the order inputs, selects, textareas, buttons."""
-    def blocks(name: str, kind: int) -> Column:
-        opening = "(?i)^" + tag_pattern(name).removeprefix("(?i)")
-        return F.transform(
-            F.regexp_extract_all(content, F.lit(block_pattern(name)), F.lit(0)),
-            lambda b: F.struct(
-                F.lit(kind).alias("kind"), F.regexp_extract(b, opening, 0).alias("tag"),
-                F.regexp_replace(b, opening, "").alias("body"),
-            ),
-        )
+def form_list(pages: DataFrame, html: str = "html", keys: Sequence[str] = ("page_id",)) -> DataFrame:
+    """One row per form with action, method, id, name and its place. A page without forms but with
+    fields gives one pseudo-form over the whole page; ``form_ix`` numbers the forms of a page.
+    ``first_char`` and ``n_chars`` place the inner HTML in the page without comments, scripts and styles."""
+    placed = _cut(pages, html, keys).withColumn("__places", F.expr(PLACES))
+    spans = """transform(__spans, s -> named_struct('tag', get(__events, s.i), 'first_char', get(__places, s.i + 1),
+      'n_chars', get(__places, s.`end`) + length(get(__gaps, s.`end`)) - get(__places, s.i + 1)))"""
+    listed = placed.select(*keys, F.posexplode_outer(F.expr(spans)).alias("form_ix", "__form")).where(F.col("form_ix").isNotNull())
+    return _headed(listed.select(*keys, "form_ix", "__form.*"), [*keys, "form_ix", None, "first_char", "n_chars"])
+
+
+def _blocks(gap: Column, name: str, kind: int) -> Column:
+    opening = "(?i)^" + tag_pattern(name).removeprefix("(?i)")
+    return F.transform(
+        F.regexp_extract_all(gap, F.lit(block_pattern(name)), F.lit(0)),
+        lambda b: F.struct(F.lit(kind).alias("kind"), F.regexp_extract(b, opening, 0).alias("tag"), F.regexp_replace(b, opening, "").alias("body")),
+    )
+
 
+def _elements(gap: Column) -> Column:
+    """Raw elements of a gap: inputs, selects, textareas, buttons, each an array."""
     inputs = F.transform(
-        F.regexp_extract_all(content, F.lit(tag_pattern("input")), F.lit(0)),
+        F.regexp_extract_all(gap, F.lit(tag_pattern("input")), F.lit(0)),
         lambda t: F.struct(F.lit(0).alias("kind"), t.alias("tag"), F.lit("").alias("body")),
     )
-    return F.concat(inputs, blocks("select", 1), blocks("textarea", 2), blocks("button", 3))
+    return F.array(inputs, _blocks(gap, "select", 1), _blocks(gap, "textarea", 2), _blocks(gap, "button", 3))
 
 
 def _number(text: Column) -> Column:
@@ -156,52 +144,57 @@ def _field(e: Column) -> Column:
     )
 
 
-def _with_radio_options(fields: Column) -> Column:
-    """A radio group is several tags: its options are the values of all of them."""
-    def options(f: Column) -> Column:
-        same = F.filter(fields, lambda g: (g["type"] == "radio") & (g["name"] == f["name"]))
-        values = F.filter(F.transform(same, lambda g: g["default_value"]), lambda v: v.isNotNull() & (v != ""))
-        return F.when(f["type"] == "radio", values).otherwise(f["options"])
+# A form's fields sorted by name and place; runs of one name are groups, found without comparing pairs.
+SORTED = "array_sort(transform(__fields, (f, i) -> named_struct('name', f.name, 'i', i, 'f', f)))"
+STARTS = "filter(transform(__sorted, (x, k) -> named_struct('k', k, 'new', k = 0 OR get(__sorted, k - 1).name <> x.name)), x -> x.new)"
+RUNS = "transform(__starts, (x, g) -> slice(__sorted, x.k + 1, coalesce(get(__starts, g + 1).k, size(__sorted)) - x.k))"
 
-    return F.transform(
-        fields,
-        lambda f: F.struct(*[(options(f) if c == "options" else f[c]).alias(c) for c in FIELD_COLUMNS]),
-    )
 
+def _with_groups(staged: DataFrame, others: Sequence[str], unique: bool) -> DataFrame:
+    """others, fields: all of raw ``__fields`` or the first of each name. A radio group is several tags: its options are the values of all of them."""
+    values = "filter(transform(filter(r, x -> x.f.type = 'radio'), x -> x.f.default_value), v -> v <> '')"
+    field = ", ".join(f"'{c}', " + ("if(x.f.type = 'radio', v, x.f.options)" if c == "options" else f"x.f.{c}") for c in FIELD_COLUMNS)
+    members = "slice(r, 1, 1)" if unique else "r"
+    given = f"flatten(transform({RUNS}, r -> transform(array({values}), v -> transform({members}, x -> named_struct('i', x.i, 'f', named_struct({field}))))[0]))"
+    sorted_ = staged.withColumn("__sorted", F.expr(SORTED)).withColumn("__starts", F.expr(STARTS))
+    return sorted_.select(*others, F.expr(f"transform(array_sort({given}), x -> x.f)").alias("fields"))
 
-def with_fields(forms: DataFrame, content: str = "content", unique: bool = True) -> DataFrame:
-    """Replaces the inner HTML by ``fields``; ``unique`` keeps the first field of each name."""
-    others = [c for c in forms.columns if c != content]
-    staged = forms.withColumn("__elements", _elements(F.col(content)))
-    staged = staged.withColumn(
-        "__elements",
-        F.transform(
-            "__elements",
-            lambda e: F.struct(e["kind"].alias("kind"), e["body"].alias("body"), F.struct(*attribute_parts(e["tag"])).alias("parts")),
-        ),
+
+def forms_with_fields(pages: DataFrame, html: str = "html", keys: Sequence[str] = ("page_id",), unique: bool = True) -> DataFrame:
+    """One row per form: keys, form_ix, action, method, id, name and ``fields``; ``unique`` keeps the first field of each name."""
+    found = _cut(pages, html, keys).withColumn("__found", F.transform("__gaps", _elements))
+    kept = [*keys, "__events", "__spans"]
+    kinds = range(4)
+    counted = found.select(
+        *kept, *(F.flatten(F.transform("__found", lambda x: x[k])).alias(f"__flat{k}") for k in kinds),
+        *(F.expr(running(f"transform(__found, x -> size(x[{k}]))", "int", "0", "x + y")).alias(f"__before{k}") for k in kinds),
     )
-    parsed = F.transform(
+    sizes, starts = [f"size(__flat{k})" for k in kinds], [f"__before{k}" for k in kinds]
+    read = F.transform(
         F.transform(
-            "__elements",
+            F.transform(
+                F.concat(*(f"__flat{k}" for k in kinds)),
+                lambda e: F.struct(e["kind"].alias("kind"), e["body"].alias("body"), F.struct(*attribute_parts(e["tag"])).alias("parts")),
+            ),
             lambda e: F.struct(e["kind"].alias("kind"), e["body"].alias("body"), attributes(e["parts"]).alias("attrs")),
         ),
         _field,
     )
-    staged = staged.select(*others, F.filter(parsed, lambda f: f["wanted"]).alias("__fields"))
-    staged = staged.select(*others, _with_radio_options(F.col("__fields")).alias("__fields"))
-    if not unique:
-        return staged.withColumnRenamed("__fields", "fields")
-    # Sorted by name and place, the first of a name is the one whose neighbour before has another name.
-    staged = staged.withColumn("__sorted", F.array_sort(F.transform("__fields", lambda f, i: F.struct(f["name"].alias("name"), i.alias("i")))))
-    marked = F.transform("__sorted", lambda x, k: F.struct(x["i"].alias("i"), ((k == 0) | (F.get("__sorted", k - 1)["name"] != x["name"])).alias("new")))
-    staged = staged.withColumn("__first", F.array_sort(F.transform(F.filter(marked, lambda y: y["new"]), lambda y: y["i"])))
-    first = F.transform("__first", lambda i: F.get("__fields", i))
-    return staged.select(*others, first.alias("fields"))
+    parsed = counted.select(*kept, *starts, *(F.expr(x).alias(f"__size{k}") for k, x in enumerate(sizes)), read.alias("__read"))
+    # The fields of a form: of each kind the stretch that its gaps hold.
+    parts = [
+        f"slice(__read, {' + '.join(f'__size{j}' for j in range(k)) or '0'} + get(__before{k}, s.i + 1) + 1, coalesce(get(__before{k}, s.`end` + 1), __size{k}) - get(__before{k}, s.i + 1))"
+        for k in kinds
+    ]
+    spans = f"transform(__spans, s -> named_struct('tag', get(__events, s.i), 'fields', filter(concat({', '.join(parts)}), f -> f.wanted)))"
+    listed = parsed.select(*keys, F.posexplode_outer(F.expr(spans)).alias("form_ix", "__form")).where(F.col("form_ix").isNotNull())
+    headed = _headed(listed.select(*keys, "form_ix", F.col("__form.tag").alias("tag"), F.col("__form.fields").alias("__fields")), [*keys, "form_ix", None, "__fields"])
+    return _with_groups(headed, [*keys, "form_ix", "action", "method", "form_id", "form_name"], unique)
 
 
 def form_fields(pages: DataFrame, html: str = "html", keys: Sequence[str] = ("page_id",), unique: bool = True) -> DataFrame:
     """One row per field: keys, form_ix, field_ix and the field attributes."""
-    fielded = with_fields(form_list(pages, html, keys), unique=unique)
+    fielded = forms_with_fields(pages, html, keys, unique)
     rows = fielded.select(*keys, "form_ix", F.posexplode_outer("fields").alias("field_ix", "__f"))
     return rows.where(F.col("field_ix").isNotNull()).select(*keys, "form_ix", "field_ix", "__f.*")
 
@@ -213,7 +206,7 @@ def choose_fields(fields: DataFrame, indices: Sequence[int]) -> DataFrame:
 
 def form_config(pages: DataFrame, html: str = "html", keys: Sequence[str] = ("page_id",)) -> DataFrame:
     """Form header, generator columns (buttons left out) and field counts, one row per form."""
-    fielded = with_fields(form_list(pages, html, keys))
+    fielded = forms_with_fields(pages, html, keys)
     usable = F.filter("fields", lambda f: f["type"] != "button")
     return fielded.select(
         *keys, "form_ix", "action", "method", "form_id", "form_name",
@@ -283,7 +276,7 @@ def _record_value(rule: Column, f: Column, digest: Column) -> Column:
 
 def form_records(pages: DataFrame, n: int, html: str = "html", keys: Sequence[str] = ("page_id",), seed: int = DEFAULT_SEED) -> DataFrame:
     """``n`` synthetic records per form as a map from field name to text value."""
-    fielded = with_fields(form_list(pages, html, keys))
+    fielded = forms_with_fields(pages, html, keys)
     rows = fielded.select(*keys, "form_ix", "fields", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("record_ix"))
     place = F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys], F.col("form_ix"), F.col("record_ix"))
     keyed = F.transform(
@@ -308,5 +301,5 @@ def links(pages: DataFrame, html: str = "html", keys: Sequence[str] = ("page_id"
 
 
 __all__ = [
-    "choose_fields", "form_config", "form_fields", "form_list", "form_records", "form_rule", "links", "unescape", "with_fields",
+    "choose_fields", "form_config", "form_fields", "form_list", "form_records", "form_rule", "forms_with_fields", "links", "unescape",
 ]

@@ -12,7 +12,7 @@ from veladura.functions import pools
 from veladura.functions.draws import digest_byte, value_digest
 from veladura.functions.families import ALPHANUMERIC, DIGITS, RFC_LETTERS, UPPER, pool_array
 from veladura.functions.rules import LEVELS, RULES, Rule, select_rules
-from veladura.operators.detect import pieces_of, quoted, stretch, text_columns, with_hits
+from veladura.operators.detect import HitSet, pieces_of, quoted, stretch, text_columns, with_hit_sets, with_hits
 
 MODES = ("partial", "full", "hash", "fake", "preserve")
 
@@ -235,3 +235,13 @@ def mask_table(df: DataFrame, config: MaskConfig = MaskConfig()) -> DataFrame:
 def censor(df: DataFrame, column: str, level: str = "alto") -> DataFrame:
     """Partial masking by level: bajo, medio or, for anything else, every rule."""
     return mask_text(df, column, MaskConfig(rules=tuple(select_rules(LEVELS.get(level)))))
+
+
+def censor_levels(df: DataFrame, column: str, keys: Sequence[str], levels: Sequence[str] = tuple(LEVELS)) -> DataFrame:
+    """(level, keys, column): the text partially masked at several levels, from one detection."""
+    hits = {f"__hits_{i}": HitSet(tuple(select_rules(LEVELS.get(level)))) for i, level in enumerate(levels)}
+    marked = with_hit_sets(df.select(*[quoted(c) for c in dict.fromkeys([*keys, column])]), column, hits)
+    masks = marked.withColumns({f"__masks_{i}": masked_hits(F.col(f"__hits_{i}"), MaskConfig()) for i in range(len(levels))})
+    each = [F.struct(F.lit(level).alias("level"), splice(quoted(column), f"__masks_{i}").alias(column)) for i, level in enumerate(levels)]
+    listed = masks.select(*[quoted(k) for k in keys], F.explode(F.array(*each)).alias("__level"))
+    return listed.select(F.col("__level.level").alias("level"), *[quoted(k) for k in keys], F.col(f"__level.{quoted(column)}").alias(column))

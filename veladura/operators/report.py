@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 EXTRA_WIDTH, MAX_WIDTH = 3, 50
 
@@ -71,5 +70,14 @@ def preview(df: DataFrame, k: int, order: Sequence[str | Column]) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def is_text(field: T.StructField) -> bool:
-    return isinstance(field.dataType, T.StringType)
+def preview_groups(df: DataFrame, by: Sequence[str], k: int, order: Sequence[str | Column]) -> DataFrame:
+    """First k rows of every group with their ``place`` and how many ``more`` the group has.
+
+    The limit on the place reaches below the shuffle, so a task hands on k rows of a group at most, and a group of any
+    size is one count per task.
+    """
+    first = df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k)
+    counts = df.groupBy(*by).agg(F.count("*").alias("__n"))
+    same = [F.col(f"__f.{c}").eqNullSafe(F.col(f"__c.{c}")) for c in by]
+    joined = first.alias("__f").join(counts.alias("__c"), same)
+    return joined.select(*[F.col(f"__f.{c}") for c in by], F.col("place"), *[F.col(f"__f.{c}") for c in df.columns if c not in by], F.greatest(F.col("__n") - k, F.lit(0)).alias("more"))

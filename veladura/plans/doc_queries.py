@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veladura.functions import pools
@@ -10,12 +10,14 @@ from veladura.functions.families import AS_OF_DAY
 from veladura.functions.html import ANY_TAG, ATTRIBUTE, ENTITIES, NOISE, attribute_of, block_pattern, inner_text, tag_pattern
 from veladura.operators import apispecs, forms
 from veladura.operators.catalogue import BASE, resolve_frame
-from veladura.operators.generate import generate_over, stress_volume
+from veladura.operators.generate import stress_volume
 from veladura.operators.jobs import keep_first
 from veladura.plans.gen_oracle import generated
-from veladura.plans.gen_queries import EXACT, FALLBACK, FUZZY
+from veladura.plans.gen_queries import EXACT, FALLBACK, FUZZY, unpivoted
 from veladura.plans.inputs import PAGES_SQL, SPECS_SQL, form_pages, specs, table
 from veladura.plans.oracle import text
+from veladura.session import scratch_path
+from veladura.sources import files as source
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -124,7 +126,7 @@ def fields_out(df: DataFrame) -> DataFrame:
 
 @register("form_list", f"WITH {FORMS_SQL} SELECT page_id, form_ix, action, method, form_id, form_name FROM heads")
 def form_list(spark, sf_dir):
-    return forms.form_list(all_pages(spark, sf_dir)).drop("content")
+    return forms.form_list(all_pages(spark, sf_dir)).drop("first_char", "n_chars")
 
 
 @register("form_fields", f"WITH {FIELDS_SQL} SELECT {FIELD_OUT} FROM fields")
@@ -282,26 +284,48 @@ def fn_html_text(spark, sf_dir):
     return all_pages(spark, sf_dir).select("page_id", inner_text(F.col("html")).alias("shown"))
 
 
+INPUT_TAGS = f"regexp_extract_all(html, {text(tag_pattern('input'))})"
+
+
 @register(
     "fn_to_int",
-    f"SELECT page_id, try_cast(trim({attr('max')}) AS INT)::VARCHAR AS highest FROM (SELECT page_id, {attrs('tag')} AS attrs FROM "
-    f"(SELECT page_id, regexp_extract(html, {text(tag_pattern('input'))}, 0) AS tag FROM ({PAGES_SQL})))",
+    f"SELECT page_id, input_ix, try_cast(trim({attr('min')}) AS INT)::VARCHAR AS lowest, try_cast(trim({attr('max')}) AS INT)::VARCHAR AS highest FROM (SELECT page_id, (ord - 1)::INT AS input_ix, {attrs('tag')} AS attrs FROM "
+    f"(SELECT page_id, unnest({INPUT_TAGS}) AS tag, generate_subscripts({INPUT_TAGS}, 1) AS ord FROM ({PAGES_SQL})))",
 )
 def fn_to_int(spark, sf_dir):
-    first = F.regexp_extract("html", tag_pattern("input"), 0)
-    return all_pages(spark, sf_dir).select("page_id", F.trim(attribute_of(first, "max")).try_cast("int").cast("string").alias("highest"))
+    tags = F.regexp_extract_all("html", F.lit(tag_pattern("input")), F.lit(0))
+    rows = all_pages(spark, sf_dir).select("page_id", F.posexplode(tags).alias("input_ix", "tag"))
+    return rows.select("page_id", "input_ix", *[F.trim(attribute_of(F.col("tag"), a)).try_cast("int").cast("string").alias(n) for a, n in (("min", "lowest"), ("max", "highest"))])
+
+
+# Ten pages to a file, and a file that is not UTF-8.
+PAGE_FILES_SQL = "SELECT page_id // 10 AS file, string_agg(replace(replace(html, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10) ORDER BY page_id) || chr(10) AS html FROM pages GROUP BY ALL"
+FOREIGN = 999_999
+
+
+def numbered_path() -> Column:
+    return F.regexp_extract("path", "file=([0-9]+)", 1).cast("bigint").alias("file")
 
 
-@register("src_pages", "SELECT page_id, url, md5(html) AS html_md5, length(html)::INT AS chars FROM pages")
+@register(
+    "src_pages",
+    f"SELECT file, md5(html) AS html_md5, length(html)::INT AS chars, NULL::VARCHAR AS problem FROM ({PAGE_FILES_SQL}) UNION ALL SELECT {FOREIGN}, NULL, NULL, 'not UTF-8'",
+)
 def src_pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(
-        "page_id", "url", F.md5("html").alias("html_md5"), F.length("html").alias("chars")
-    )
+    """Pages written to files and read back as whole files, with the one that is no text."""
+    path = scratch_path(spark, "pages")
+    rows = table(spark, sf_dir, "pages").select(F.expr("page_id div 10").alias("file"), "page_id", "html")
+    rows.repartition("file").sortWithinPartitions("file", "page_id").drop("page_id").write.partitionBy("file").text(path)
+    foreign = spark.createDataFrame([("<p>ma\u00f1ana</p>",)], "html string").coalesce(1)
+    foreign.write.option("encoding", "ISO-8859-1").csv(f"{path}/file={FOREIGN}")
+    read = source.read_pages(spark, f"{path}/*/part-*").select(numbered_path(), F.md5("html").alias("html_md5"), F.length("html").alias("chars"), F.lit(None).cast("string").alias("problem"))
+    bad = source.rejected_files(spark, f"{path}/*/part-*").select(numbered_path(), F.lit(None).cast("string").alias("html_md5"), F.lit(None).cast("int").alias("chars"), "problem")
+    return read.unionByName(bad)
 
 
 # --- API documents -------------------------------------------------------------------------------
 
-DOCS_SQL = f"docs AS (SELECT spec_id, spec::JSON AS doc FROM ({SPECS_SQL}) WHERE starts_with(ltrim(spec), '{{') AND json_valid(spec))"
+DOCS_SQL = f"docs AS (SELECT spec_id, clean::JSON AS doc FROM ({SPECS_SQL}) WHERE starts_with(ltrim(clean), '{{') AND json_valid(clean))"
 ENTRIES = "map_entries(CAST(coalesce({x}, '{{}}'::JSON) AS MAP(VARCHAR, JSON)))"
 
 
@@ -363,11 +387,10 @@ def fn_url_join(spark, sf_dir):
 
 @register("fn_json_path", f"WITH {DOCS_SQL} SELECT spec_id, doc->'servers'->0->>'url' AS server, coalesce(doc->>'basePath', '/') AS base_path FROM docs")
 def fn_json_path(spark, sf_dir):
-    v = F.try_parse_json("spec")
     docs = apispecs.accepted(parsed(spark, sf_dir))
     return docs.select(
-        "spec_id", F.try_variant_get(v, "$.servers[0].url", "string").alias("server"),
-        F.coalesce(F.try_variant_get(v, "$.basePath", "string"), F.lit("/")).alias("base_path"),
+        "spec_id", F.get_json_object("spec", "$.servers[0].url").alias("server"),
+        F.coalesce(F.get_json_object("spec", "$.basePath"), F.lit("/")).alias("base_path"),
     )
 
 
@@ -412,7 +435,10 @@ def filter_http_method(spark, sf_dir):
     SELECT d.spec_id, {BASE_URL} AS base_url, (SELECT count(*) FROM schemas s WHERE s.spec_id = d.spec_id)::INT AS schemas_count,
     (SELECT count(*) FROM endpoints e WHERE e.spec_id = d.spec_id)::INT AS endpoints_count,
     coalesce((SELECT string_agg(schema || ' (' || n_properties || ')', ', ' ORDER BY schema_ix) FROM schemas s WHERE s.spec_id = d.spec_id AND schema_ix < 5), '') AS first_schemas,
-    0 AS more_schemas FROM docs d""",
+    greatest((SELECT count(*) FROM schemas s WHERE s.spec_id = d.spec_id) - 5, 0)::INT AS more_schemas,
+    coalesce((SELECT string_agg(method || ' ' || path, ', ' ORDER BY path_ix, method_ix) FROM (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY path_ix, method_ix) AS place FROM endpoints) e
+      WHERE e.spec_id = d.spec_id AND place <= 5), '') AS first_endpoints,
+    greatest((SELECT count(*) FROM endpoints e WHERE e.spec_id = d.spec_id) - 5, 0)::INT AS more_endpoints FROM docs d""",
 )
 def api_summary(spark, sf_dir):
     return apispecs.api_summary(parsed(spark, sf_dir))
@@ -432,17 +458,26 @@ def schema_records(spark, sf_dir):
     return apispecs.request_bodies(apispecs.api_schemas(parsed(spark, sf_dir)), 2)
 
 
-# Which generator columns the documents ask for, and the table made from one of the schemas.
+# Every document's schemas as tables of their own columns.
+DATASET_ROWS = 2
+DATASET_NAMES = [
+    "nombre", "email", "edad", "activo", "tipo", "peso", "nivel", "puntos", "id", *(f"c{i}" for i in range(25)), "viejo", "s", "nuevo", "otro", *(f"email_{k}" for k in range(8)),
+]
+DATASET_SQL = unpivoted(
+    generated(f"SELECT spec_id * {DATASET_ROWS} + i AS id_, spec_id, i AS record_ix FROM ({SPECS_SQL}), (SELECT unnest(range({DATASET_ROWS}))::INT AS i)", "id_", DATASET_NAMES, ["spec_id", "record_ix"]),
+    DATASET_NAMES, ["spec_id", "record_ix"],
+)
+
+
 @register(
     "api_to_dataset",
-    generated("SELECT s_suppkey FROM supplier", "s_suppkey", ["nombre", "email", "edad", "activo", "tipo", "peso", "nivel", "puntos"], ["s_suppkey"]),
+    f"""WITH {COLUMNS_SQL}, v AS ({DATASET_SQL}) SELECT c.spec_id, c.schema, v.record_ix, string_agg(c.property || '=' || v.value, '|' ORDER BY c.property_ix) AS record
+    FROM columns c JOIN v ON v.spec_id = c.spec_id AND v.name = c.property GROUP BY ALL""",
 )
 def api_to_dataset(spark, sf_dir):
-    schemas = apispecs.api_schemas(parsed(spark, sf_dir)).where("schema = 'Usuario'")
-    # The columns of one schema: a handful of names from the first document that has it.
-    first = apispecs.api_columns(schemas.orderBy("spec_id").limit(1)).orderBy("property_ix").select("property").collect()
-    ids = table(spark, sf_dir, "supplier").select("s_suppkey")
-    return generate_over(ids, "s_suppkey", [r[0] for r in first], keep=["s_suppkey"])
+    records = apispecs.schema_datasets(apispecs.api_schemas(parsed(spark, sf_dir)), DATASET_ROWS)
+    pairs = F.transform(F.map_entries("record"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return records.select("spec_id", "schema", "record_ix", F.array_join(pairs, "|").alias("record"))
 
 
 @register(

@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veladura.functions import pools
+from veladura.functions.draws import DEFAULT_SEED
 from veladura.functions.families import Provider
 from veladura.operators.catalogue import (
     BASE,
     FALLBACK,
     FUZZY_KEYS,
+    args_text,
     catalogue_frame,
     merge,
     override_frame,
     parse_provider,
+    providers,
     resolve_frame,
 )
-from veladura.operators.generate import generate, generate_over, with_offset_date
-from veladura.plans.gen_oracle import generated
+from veladura.operators.generate import generate, generate_named, generate_over, with_offset_date
+from veladura.plans.gen_oracle import generated, scramble
 from veladura.plans.inputs import table
+from veladura.plans.oracle import text
+from veladura.session import scratch_path
+from veladura.sources.dictionary import load_catalogue, read_dictionary_text
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -168,25 +175,47 @@ def join_resolve_provider(spark, sf_dir):
     return resolve_frame(names(spark, sf_dir), BASE)
 
 
-# A user catalogue with the words of the part names and two base names.
-THEME_SQL = """SELECT unnest(string_split(p_name, ' ')) AS name, 'word' AS family FROM part UNION ALL SELECT 'Edad', 'digits' FROM part"""
+# A user catalogue of the words of the part names, with entries that contradict each other, and a base name twice.
+THEME_SQL = """SELECT unnest(string_split(p_name, ' ')) AS name, CASE WHEN p_partkey % 2 = 0 THEN 'word' ELSE 'color' END AS family, '[]' AS args, p_partkey AS ordinal FROM part
+  UNION ALL SELECT 'Edad', 'digits', '[3]', 1 UNION ALL SELECT ' edad ', 'int_uniform', '[5,9]', 2"""
+SAMPLE_ID = 7
+THEMED = {**BASE, "edad": Provider("int_uniform", (5, 9))}
+DRAWN = scramble(scramble(f"xor({SAMPLE_ID}::BIGINT, ('0x' || substr(md5('{DEFAULT_SEED}|' || name || '|0'), 1, 8))::BIGINT)"))
+
+
+def _pooled(pool) -> str:
+    return f"list_extract([{', '.join(text(p) for p in pool)}], ((({DRAWN}) * {len(pool)}) >> 32)::INT + 1)"
+
+
+def unpivoted(sql: str, columns, keep) -> str:
+    """(keep, name, value) rows of generated columns, values as text."""
+    wide = f"SELECT {', '.join(keep)}, {', '.join(f'CAST({chr(34)}{c}{chr(34)} AS VARCHAR) AS {chr(34)}{c}{chr(34)}' for c in columns)} FROM ({sql})"
+    return f"SELECT {', '.join(keep)}, name, value FROM (UNPIVOT ({wide}) ON COLUMNS(* EXCLUDE ({', '.join(keep)})) INTO NAME name VALUE value)"
 
 
 @register(
     "join_override_catalogue",
-    f"""SELECT coalesce(t.name, b.name) AS name, coalesce(t.family, b.family) AS family, CASE WHEN t.name IS NULL THEN 'base' ELSE 'theme' END AS origin
-    FROM (SELECT DISTINCT lower(trim(name)) AS name, family FROM ({THEME_SQL})) t
-    FULL JOIN (VALUES {', '.join(f"('{n}', '{p.family}')" for n, p in BASE.items())}) b(name, family) ON t.name = b.name""",
+    f"""WITH b(name, family, args) AS (VALUES {', '.join(f"('{n}', '{p.family}', {text(args_text(p))})" for n, p in BASE.items())}),
+    t AS (SELECT lower(trim(name)) AS name, arg_max({{'family': family, 'args': args}}, ordinal) AS e FROM ({THEME_SQL}) GROUP BY ALL),
+    m AS (SELECT coalesce(t.name, b.name) AS name, coalesce(t.e.family, b.family) AS family, coalesce(t.e.args, b.args) AS args,
+      CASE WHEN t.name IS NULL THEN 'base' ELSE 'theme' END AS origin FROM t FULL JOIN b ON t.name = b.name),
+    v AS ({unpivoted(generated(f"SELECT {SAMPLE_ID} AS row_", "row_", list(THEMED), ["row_"], catalogue=THEMED), list(THEMED), ["row_"])})
+    SELECT m.*, CASE WHEN origin = 'base' OR m.name = 'edad' THEN v.value WHEN family = 'word' THEN {_pooled(pools.WORDS)} ELSE {_pooled(pools.COLOURS)} END AS sample
+    FROM m LEFT JOIN v ON v.name = m.name""".replace("|| name ||", "|| m.name ||"),
 )
 def join_override_catalogue(spark, sf_dir):
+    """The merged table, and a value that each of its entries generates."""
     parts = table(spark, sf_dir, "part")
-    theme = parts.selectExpr("explode(split(p_name, ' ')) AS name", "'word' AS family").unionByName(
-        parts.selectExpr("'Edad' AS name", "'digits' AS family")
-    )
-    return override_frame(catalogue_frame(spark), theme)
+    theme = parts.selectExpr("explode(split(p_name, ' ')) AS name", "CASE WHEN p_partkey % 2 = 0 THEN 'word' ELSE 'color' END AS family", "'[]' AS args", "p_partkey AS ordinal")
+    twice = spark.createDataFrame([("Edad", "digits", "[3]", 1), (" edad ", "int_uniform", "[5,9]", 2)], "name string, family string, args string, ordinal bigint")
+    merged = override_frame(catalogue_frame(spark), theme.unionByName(twice))
+    path = scratch_path(spark, "catalogue")
+    merged.write.parquet(path)
+    stored = spark.read.parquet(path)
+    return generate_named(stored.withColumn("row_", F.lit(SAMPLE_ID)), "row_", "name", providers(stored), out="sample").drop("row_")
 
 
-# A user dictionary given as text, parsed and drawn for every order.
+# User dictionaries as files, drawn for every order; of two entries of a name the later file's counts.
 USER_TEXTS = {
     "Nivel": "lambda: random.choice(['Básico', 'Medio', 'Alto'])",
     "bit": "lambda: random.choice([0, 1])",
@@ -201,11 +230,21 @@ USER_TEXTS = {
 }
 USER = merge(USER_TEXTS)
 USER_COLUMNS = [name.lower() for name in USER_TEXTS]
+FIRST_FILE = ["# temas", "GENERABLES = {", '    "piso": "viejo",', "    'medico': fake.city,  # luego otro", "}"]
 
-QUERIES["ext_catalogue"] = lambda spark, sf_dir: generate_over(
-    order_ids(spark, sf_dir), "o_orderkey", [*USER_COLUMNS, "edad"], USER, keep=["o_orderkey"]
-)
-ORACLE["ext_catalogue"] = generated("SELECT o_orderkey FROM orders", "o_orderkey", [*USER_COLUMNS, "edad"], ["o_orderkey"], catalogue=USER)
+
+def user_files(spark) -> str:
+    path = scratch_path(spark, "dictionaries")
+    second = ["GENERABLES = {", *[f'    "{n}": {text(t) if t == "hecho a mano" else t},' for n, t in USER_TEXTS.items()], "}"]
+    for name, lines in (("a", FIRST_FILE), ("b", second)):
+        spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{path}/{name}")
+    return f"{path}/*/*.txt"
+
+
+@register("ext_catalogue", generated("SELECT o_orderkey FROM orders", "o_orderkey", [*USER_COLUMNS, "edad"], ["o_orderkey"], catalogue=USER))
+def ext_catalogue(spark, sf_dir):
+    user = load_catalogue(read_dictionary_text(spark, user_files(spark)))
+    return generate_over(order_ids(spark, sf_dir), "o_orderkey", [*USER_COLUMNS, "edad"], user, keep=["o_orderkey"])
 
 
 @register(

@@ -144,7 +144,21 @@ USER_SCHEMA = (
     '"edad":{"type":"integer"},"activo":{"type":"boolean"},"tipo":{"type":"string","enum":["A","B","C"]},"peso":{"type":"number"},'
     '"nivel":{"enum":[1,2,3,4,5]},"puntos":{"type":"integer","example":7}}}'
 )
-SPEC = f"""CASE cast(s_suppkey % 5 as int)
+# Keys that objects repeat: the last value counts, at the place of the first.
+REPEATED_SPEC = (
+    """concat('{"openapi":"3.0.0","paths":{"/x":{"get":{}}},"openapi":"3.0.', cast(s_nationkey as string), '","paths":{"/b":{"get":{"summary":"uno"}},"/c":{"put":{}},"/b":{"post":{"summary":"', """
+    """s_name, '"},"get":{}}},"definitions":{"Doble":{"properties":{"viejo":{}}},"Otro":{},"Doble":{"properties":{"nombre":{"type":"string"},"edad":{"type":"integer"}}}}}')"""
+)
+CLEAN_SPEC = (
+    """concat('{"openapi":"3.0.', cast(s_nationkey as string), '","paths":{"/b":{"post":{"summary":"', s_name, """
+    """'"},"get":{}},"/c":{"put":{}}},"definitions":{"Doble":{"properties":{"nombre":{"type":"string"},"edad":{"type":"integer"}}},"Otro":{}}}')"""
+)
+# More schemas and endpoints than a summary shows.
+LARGE_SPEC = (
+    "concat('{\"swagger\":\"2.0\",\"host\":\"grande.example.com\",\"paths\":{" + ",".join(f'"/r{i}":{{"get":{{}},"post":{{}}}}' for i in range(6)) + "},\"definitions\":{"
+    + ",".join(f'"S{i}":{{"properties":{{' + ",".join(f'"email_{k}":{{"type":"string"}}' for k in range(i)) + "}}" for i in range(9)) + "}}')"
+)
+SPEC = f"""CASE cast(s_suppkey % 7 as int)
  WHEN 0 THEN concat('{{"openapi":"3.0.0","servers":[{{"url":"https://api', cast(s_suppkey as string), '.example.com/v1"}}],"paths":{{"/usuarios":{{"get":{{"summary":"Lista de ', s_name,
    '"}},"post":{{"summary":"Alta","description":"Crea","parameters":[{{"name":"x"}}],"requestBody":{{"required":true}},"responses":{{"201":{{}}}}}},"parameters":[]}},"/pedidos/{{id}}":{{"DELETE":{{}},"trace":{{}}}}}},',
    '"components":{{"schemas":{{"Usuario":{USER_SCHEMA},"Vacio":{{"type":"object"}}}}}}}}')
@@ -153,8 +167,11 @@ SPEC = f"""CASE cast(s_suppkey % 5 as int)
  WHEN 2 THEN concat('{{"openapi":"3.1.0","host":"no.example.com","schemes":["http"],"components":{{"schemas":{{"Comun":{{"properties":{{"viejo":{{}}}}}},"Solo":{{"properties":{{"s":{{}}}}}}}}}},',
    '"definitions":{{"Extra":{{}},"Comun":{{"properties":{{"nuevo":{{"type":"string"}},"otro":{{"type":"boolean"}}}}}}}}}}')
  WHEN 3 THEN concat('{{"openapi":"3.0.0","paths":{{"/roto', cast(s_suppkey as string), '":')
- ELSE concat('openapi: 3.0.0', chr(10), 'info: ', s_name) END"""
-SPECS_SQL = f"SELECT s_suppkey AS spec_id, {SPEC} AS spec FROM supplier"
+ WHEN 4 THEN concat('openapi: 3.0.0', chr(10), 'info: ', s_name)
+ WHEN 5 THEN {REPEATED_SPEC}
+ ELSE {LARGE_SPEC} END"""
+# clean: the same documents without repeated keys.
+SPECS_SQL = f"SELECT s_suppkey AS spec_id, {SPEC} AS spec, CASE WHEN s_suppkey % 7 = 5 THEN {CLEAN_SPEC} ELSE {SPEC} END AS clean FROM supplier"
 
 
 def specs(spark: SparkSession, sf_dir: str) -> DataFrame:

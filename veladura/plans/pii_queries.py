@@ -9,8 +9,8 @@ from veladura.functions import pools
 from veladura.functions.families import ALPHANUMERIC, DIGITS, RFC_LETTERS, UPPER
 from veladura.functions.rules import LEVELS, OPTIONAL_RULES, RULES, Rule, select_rules
 from veladura.operators import report
-from veladura.operators.detect import detect, detect_table, text_columns, with_hits
-from veladura.operators.mask import MaskConfig, censor, mask_table, mask_text
+from veladura.operators.detect import HitSet, detect, detect_table, text_columns, with_hit_sets, with_hits
+from veladura.operators.mask import MaskConfig, censor_levels, mask_table, mask_text
 from veladura.plans.inputs import CORPUS_SQL, NOTE, corpus, table
 from veladura.plans.oracle import kept, scored, text
 
@@ -104,7 +104,7 @@ def pii_detect(spark, sf_dir):
     USING (kind, id) WHERE s.n > h.n""",
 )
 def pii_overlap(spark, sf_dir):
-    marked = with_hits(with_hits(texts(spark, sf_dir), {"text": "candidates"}, overlaps=True), {"text": "kept"})
+    marked = with_hit_sets(texts(spark, sf_dir), "text", {"candidates": HitSet(overlaps=True), "kept": HitSet()})
     counts = marked.select(
         "kind", "id", F.size("candidates").cast("bigint").alias("candidates"), F.size("kept").cast("bigint").alias("kept")
     )
@@ -286,9 +286,7 @@ def query_mask_table(spark, sf_dir):
     ),
 )
 def mask_censor_level(spark, sf_dir):
-    source = texts(spark, sf_dir)
-    parts = [masked_out(censor(source, "text", level)).withColumn("level", F.lit(level)) for level in LEVELS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("level", "kind", "id", "masked")
+    return censor_levels(texts(spark, sf_dir), "text", ["kind", "id"]).withColumnRenamed("text", "masked")
 
 
 # --- reports ------------------------------------------------------------------------------

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veladura.functions import sqltext
-from veladura.functions.sqltext import create_table, literal, quote_ident, sql_type
+from veladura.functions.sqltext import create_table, literal, measures_of, quoted_ident, sql_type
 from veladura.operators import jobs, report
+from veladura.operators.numbering import numbered, staged
 from veladura.plans.gen_oracle import generated
 from veladura.plans.inputs import (
     CORPUS_SQL,
@@ -25,7 +24,7 @@ from veladura.plans.oracle import kept, text
 from veladura.plans.pii_queries import masked_sql, partial_sql
 from veladura.session import scratch_path
 from veladura.sinks import files as sink
-from veladura.sinks.sqltext import insert_batches, script_header, single_inserts, write_sql
+from veladura.sinks.sqltext import insert_batches, single_inserts, write_sql
 from veladura.sources import files as source
 from veladura.sources.jdbc import url_column
 from veladura.streaming import streams
@@ -55,18 +54,43 @@ def _list_sql(names: str) -> str:
     return f"SELECT p_partkey, (generate_subscripts(names, 1) - 1)::INT AS ordinal, unnest(names) AS name FROM (SELECT p_partkey, {names} AS names FROM ({LISTS_SQL}))"
 
 
-@register("src_spec_txt", _list_sql(LINES_SQL))
-def src_spec_txt(spark, sf_dir):
-    return jobs.column_list(column_texts(spark, sf_dir), jobs.names_from_lines(F.col("content")), ["p_partkey"])
+# Column lists as files: many lists one after another, lines to lines, comma lists on one line.
+LIST_FILES = 40
 
 
-def name_lists(spark, sf_dir) -> DataFrame:
-    return jobs.column_list(column_texts(spark, sf_dir), jobs.names_from_content(F.col("content")), ["p_partkey"])
+def list_files(spark, sf_dir, kind: str, separator: str) -> str:
+    path = scratch_path(spark, "lists")
+    rows = column_texts(spark, sf_dir).where(kind).select(F.expr(f"p_partkey % {LIST_FILES}").alias("file"), "p_partkey", "content")
+    rows.repartition("file").sortWithinPartitions("file", "p_partkey").drop("p_partkey").write.option("lineSep", separator).partitionBy("file").text(path)
+    return f"{path}/*/part-*"
+
+
+def _files_sql(names: str, kind: str, separator: str) -> str:
+    files = f"SELECT p_partkey % {LIST_FILES} AS file, string_agg(content, {separator} ORDER BY p_partkey) || {separator} AS content FROM ({LISTS_SQL}) WHERE {kind} GROUP BY ALL"
+    return f"SELECT file, (generate_subscripts(names, 1) - 1)::INT AS ordinal, unnest(names) AS name FROM (SELECT file, {names} AS names FROM ({files}))"
+
+
+ONE_LINE, LINES = "p_partkey % 4 = 0", "p_partkey % 4 <> 0"
+
+
+def file_number() -> Column:
+    return F.regexp_extract("path", "file=([0-9]+)", 1).cast("bigint").alias("file")
+
+
+@register("src_spec_txt", _files_sql(LINES_SQL, "true", "chr(10)"))
+def src_spec_txt(spark, sf_dir):
+    return source.read_column_lines(spark, list_files(spark, sf_dir, "true", "\n")).select(file_number(), "ordinal", "name")
 
 
-@register("src_spec_csvline", _list_sql(CONTENT_SQL))
+@register("src_spec_csvline", f"SELECT 'comma' AS form, * FROM ({_files_sql(CONTENT_SQL, ONE_LINE, text(','))}) UNION ALL SELECT 'lines', * FROM ({_files_sql(CONTENT_SQL, LINES, 'chr(10)')})")
 def src_spec_csvline(spark, sf_dir):
-    return name_lists(spark, sf_dir)
+    forms = (("comma", ONE_LINE, ","), ("lines", LINES, "\n"))
+    one, other = (source.read_column_files(spark, list_files(spark, sf_dir, kind, separator)).select(F.lit(form).alias("form"), file_number(), "ordinal", "name") for form, kind, separator in forms)
+    return one.unionByName(other)
+
+
+def name_lists(spark, sf_dir) -> DataFrame:
+    return jobs.column_list(column_texts(spark, sf_dir), jobs.names_from_content(F.col("content")), ["p_partkey"])
 
 
 @register(
@@ -99,9 +123,31 @@ JOB_SQL = f"""SELECT c_custkey, coalesce((j->>'volumen')::BIGINT, 1000) AS volum
   coalesce(j->>'formato', 'excel') AS formato, coalesce(j->>'motor', 'python') AS motor FROM (SELECT c_custkey, job::JSON AS j FROM ({JOBS_SQL}))"""
 
 
-@register("src_spec_json", JOB_SQL)
+@register("src_spec_json", f"SELECT NULL::VARCHAR AS problem, volumen, columnas, formato, motor, count(*) AS n FROM ({JOB_SQL}) GROUP BY ALL UNION ALL SELECT 'not a JSON object', 1000, '', 'excel', 'python', 1")
 def src_spec_json(spark, sf_dir):
-    return jobs.parse_jobs(job_texts(spark, sf_dir), "job", ["c_custkey"]).withColumn("columnas", F.array_join("columnas", ","))
+    """Configs written one per line, with a line that is none, and read back."""
+    path = scratch_path(spark, "jobs")
+    job_texts(spark, sf_dir).select("job").write.text(path)
+    spark.createDataFrame([('{"volumen": 5',)], "job string").coalesce(1).write.mode("append").text(path)
+    jobs_read = source.read_job_lines(spark, path).withColumn("columnas", F.array_join("columnas", ","))
+    return jobs_read.groupBy("problem", "volumen", "columnas", "formato", "motor").agg(F.count("*").alias("n"))
+
+
+SQL_JOB_TEXT = """concat('{"database":{"type":"', CASE n_nationkey % 3 WHEN 0 THEN 'mysql' WHEN 1 THEN 'postgresql' ELSE 'sqlserver' END, '","database":"', n_name, '"', CASE WHEN n_nationkey % 2 = 0 THEN ',"schema":"ventas"' ELSE '' END,
+  '},"query":{', CASE WHEN n_nationkey % 4 = 0 THEN '"sql":"SELECT 1"' ELSE '"table":"t"' END, '}', CASE WHEN n_nationkey % 5 = 0 THEN ',"volumen":25' ELSE '' END, '}')"""
+
+
+@register(
+    "src_spec_sql",
+    """SELECT n_nationkey AS file, CASE WHEN n_nationkey % 5 = 0 THEN 25 ELSE 1000 END::BIGINT AS volumen, CASE n_nationkey % 3 WHEN 0 THEN 'mysql' WHEN 1 THEN 'postgresql' ELSE 'sqlserver' END AS connection_type,
+    n_name AS database, CASE WHEN n_nationkey % 2 = 0 THEN 'ventas' ELSE 'public' END AS schema, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE 't' END AS table, n_nationkey % 4 = 0 AS query_provided FROM nation""".replace("AS table,", 'AS "table",'),
+)
+def src_spec_sql(spark, sf_dir):
+    """A config file per nation, read as whole files."""
+    path = scratch_path(spark, "sqljobs")
+    rows = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS file", f"{SQL_JOB_TEXT} AS job")
+    rows.repartition("file").write.partitionBy("file").text(path)
+    return source.read_sql_job_files(spark, f"{path}/*/part-*").select(file_number(), "volumen", "connection_type", "database", "schema", "table", "query_provided")
 
 
 REPAIR_SQL = f"""SELECT c_custkey, CASE WHEN volumen > 0 THEN volumen ELSE 100 END AS volumen, CASE WHEN columnas = '' THEN 'nombre,email' ELSE columnas END AS columnas,
@@ -127,10 +173,11 @@ def filter_valid_volume(spark, sf_dir):
     )
 
 
-@register("fn_default", f"SELECT c_custkey, coalesce(volumen, -1) AS volumen, formato FROM ({JOB_SQL})")
+@register("fn_default", f"SELECT c_custkey, coalesce((j->>'volumen')::BIGINT, -1) AS volumen, coalesce(j->>'motor', 'none') AS motor, j->>'motor' IS NULL AS missing FROM (SELECT c_custkey, job::JSON AS j FROM ({JOBS_SQL}))")
 def fn_default(spark, sf_dir):
-    given = jobs.parse_jobs(job_texts(spark, sf_dir), "job", ["c_custkey"])
-    return given.select("c_custkey", F.coalesce("volumen", F.lit(-1)).alias("volumen"), "formato")
+    """Defaults for fields that most of the given texts lack."""
+    raw = job_texts(spark, sf_dir).select("c_custkey", F.from_json("job", jobs.JOB).alias("j")).select("c_custkey", "j.*")
+    return raw.select("c_custkey", F.coalesce("volumen", F.lit(-1)).alias("volumen"), F.coalesce("motor", F.lit("none")).alias("motor"), F.isnull("motor").alias("missing"))
 
 
 @register(
@@ -177,9 +224,23 @@ def src_metrics(spark, sf_dir):
     )
 
 
-@register("sink_metrics", f"SELECT motor, count(*) AS runs, sum(volumen)::BIGINT AS total_rows FROM ({RUNS_SQL}) GROUP BY motor")
+METRIC_RUNS = {"F": "csv", "O": "jsonl", "P": "parquet"}
+
+
+@register(
+    "sink_metrics",
+    "SELECT count(*) AS volumen, 'spark' AS motor, f.format AS formato, 'o_orderkey,o_custkey' AS columnas, true AS timed FROM orders "
+    f"JOIN (VALUES {', '.join(str(x) for x in METRIC_RUNS.items())}) f(status, format) ON o_orderstatus = f.status GROUP BY f.format",
+)
 def sink_metrics(spark, sf_dir):
-    return stored_metrics(spark, sf_dir).groupBy("motor").agg(F.count("*").alias("runs"), F.sum("volumen").alias("total_rows"))
+    """Three exports, each of which adds the line of its run; rows and seconds are measured while it writes."""
+    path = scratch_path(spark, "runs")
+    for status, format in METRIC_RUNS.items():
+        rows = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status).select("o_orderkey", "o_custkey")
+        sink.write(rows, format, scratch_path(spark, "run"), metrics=path)
+    return source.read_metric_lines(spark, path).select(
+        "volumen", "motor", F.col("config.formato").alias("formato"), F.array_join("config.columnas", ",").alias("columnas"), (F.col("tiempo_segundos") > 0).alias("timed")
+    )
 
 
 @register("agg_throughput", f"SELECT motor, round(sum(volumen) / sum(tiempo_segundos), 6) AS rows_per_second FROM ({RUNS_SQL}) GROUP BY motor")
@@ -195,7 +256,7 @@ def agg_session_totals(spark, sf_dir):
 
 # --- aggregates and previews over tables -----------------------------------------------------------
 
-WIDE = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+WIDE = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
 
 @register("agg_max_len", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", max(length({c}::VARCHAR))::INT AS max_len FROM customer" for c in WIDE))
@@ -214,20 +275,29 @@ def agg_column_width(spark, sf_dir):
     return report.column_widths(table(spark, sf_dir, "customer").select(*WIDE)).unionByName(pages)
 
 
-@register("topk_preview", "SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 15")
+@register(
+    "topk_preview",
+    """SELECT c_mktsegment, place, c_custkey, c_name, c_acctbal, n - 15 AS more FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey)::INT AS place,
+    greatest(count(*) OVER (PARTITION BY c_mktsegment), 15) AS n FROM customer) WHERE place <= 15""",
+)
 def topk_preview(spark, sf_dir):
-    return report.preview(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), 15, [F.desc("c_acctbal"), "c_custkey"])
+    rows = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", "c_name", "c_acctbal")
+    return report.preview_groups(rows, ["c_mktsegment"], 15, [F.desc("c_acctbal"), "c_custkey"])
 
 
-@register("win_batch", "SELECT o_orderkey // 500 AS batch, count(*) AS n, min(o_orderkey) AS first_id FROM orders GROUP BY ALL")
+# Ids with gaps: full batches must not depend on their values.
+SPARSE_ID = "o_orderkey * 1000 + o_orderkey % 7"
+
+
+@register("win_batch", f"SELECT row_ix // 500 AS batch, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM (SELECT {SPARSE_ID} AS id, row_number() OVER (ORDER BY {SPARSE_ID}) - 1 AS row_ix FROM orders) GROUP BY ALL")
 def win_batch(spark, sf_dir):
-    batch = F.floor(F.col("o_orderkey") / 500).alias("batch")
-    return table(spark, sf_dir, "orders").groupBy(batch).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_id"))
+    rows = staged(table(spark, sf_dir, "orders").selectExpr(f"{SPARSE_ID} AS id"))
+    batches = numbered(rows, "id", range_rows=4_000).groupBy(F.expr("row_ix div 500").alias("batch"))
+    return batches.agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 # --- SQL text --------------------------------------------------------------------------------------
 
-ORDER_SCHEMA = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 # An apostrophe, a null and a truth value per row make the literals worth testing.
 LITERAL_COLUMNS = [
     "o_orderkey", "o_orderstatus = 'F' AS cerrado", "CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS total", "o_orderdate",
@@ -258,13 +328,18 @@ def _head(quote: str) -> str:
     return f"INSERT INTO {quote}pedidos{quote} ({names}) VALUES"
 
 
-BATCHES_SQL = f"""SELECT o_orderkey // 500 AS batch, '{_head("`")}' || chr(10) || string_agg({_row('TRUE', 'FALSE')}, ',' || chr(10) ORDER BY o_orderkey) || ';' AS statement
-  FROM ({LITERAL_SQL}) GROUP BY ALL"""
+SPARSE_SQL = f"SELECT * REPLACE ({SPARSE_ID} AS o_orderkey) FROM ({LITERAL_SQL})"
+BATCHES_SQL = f"""SELECT batch, '{_head("`")}' || chr(10) || string_agg({_row('TRUE', 'FALSE')}, ',' || chr(10) ORDER BY o_orderkey) || ';' AS statement
+  FROM (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS batch FROM ({SPARSE_SQL})) GROUP BY batch"""
+
+
+def sparse_rows(spark, sf_dir) -> DataFrame:
+    return literal_rows(spark, sf_dir).withColumn("o_orderkey", F.expr(SPARSE_ID))
 
 
 @register("win_last_row", f"SELECT batch, right(statement, 2) AS ending, length(statement)::INT AS size FROM ({BATCHES_SQL})")
 def win_last_row(spark, sf_dir):
-    batches = insert_batches(literal_rows(spark, sf_dir), "pedidos", row_id="o_orderkey")
+    batches = insert_batches(sparse_rows(spark, sf_dir), "pedidos", row_id="o_orderkey")
     return batches.select("batch", F.right("statement", F.lit(2)).alias("ending"), F.length("statement").alias("size"))
 
 
@@ -272,7 +347,7 @@ def win_last_row(spark, sf_dir):
 def sink_sql_script(spark, sf_dir):
     """Script files written and read back line by line."""
     path = scratch_path(spark, "script")
-    sink.write(literal_rows(spark, sf_dir), "sql", path, table="pedidos", row_id="o_orderkey")
+    sink.write(sparse_rows(spark, sf_dir), "sql", path, table="pedidos", row_id="o_orderkey")
     lines = spark.read.text(f"{path}/inserts")
     return lines.groupBy(F.trim("value").alias("line")).agg(F.count("*").alias("n"))
 
@@ -285,13 +360,31 @@ def sink_sql_inserts(spark, sf_dir):
     return single_inserts(literal_rows(spark, sf_dir), "pedidos", "postgresql")
 
 
-DDL_SQL = """'CREATE TABLE `pedidos` (' || chr(10) || '    `o_orderkey` BIGINT,' || chr(10) || '    `o_orderstatus` VARCHAR(' || greatest(255, max(length(o_orderstatus)) + 10) || '),' || chr(10) ||
-  '    `o_totalprice` DECIMAL(15,2),' || chr(10) || '    `o_orderdate` TIMESTAMP,' || chr(10) || '    `o_orderpriority` VARCHAR(' || greatest(255, max(length(o_orderpriority)) + 10) || ')' || chr(10) || ');'"""
+# All columns of orders, a double that no decimal holds and one with three decimals.
+DDL_EXTRA = ["o_orderkey * 1e-20 AS tiny", "o_custkey / 8.0D AS eighths"]
+TEXT_TYPE = "'VARCHAR(' || greatest(255, max(length({c})) + 10) || ')'"
+PRICE_TYPE = "'DECIMAL(' || greatest(15, max(length(split_part(abs(o_totalprice)::VARCHAR, '.', 1))) + 2) || ',2)'"
+EIGHTHS_TYPE = "'DECIMAL(15,' || max(CASE WHEN o_custkey % 8 = 0 THEN 2 WHEN o_custkey % 4 = 0 THEN 2 WHEN o_custkey % 2 = 0 THEN 2 ELSE 3 END) || ')'"
+DDL_TYPES = {
+    "o_orderkey": "'BIGINT'", "o_custkey": "'BIGINT'", "o_orderstatus": TEXT_TYPE.format(c="o_orderstatus"), "o_totalprice": PRICE_TYPE, "o_orderdate": "'TIMESTAMP'",
+    "o_orderpriority": TEXT_TYPE.format(c="o_orderpriority"), "tiny": "'{double}'", "eighths": EIGHTHS_TYPE,
+}
+
+
+def ddl_sql(quote: str = "`", double: str = "DOUBLE") -> str:
+    lines = " || ',' || chr(10) || ".join(f"'    {quote}{c}{quote} ' || {t.format(double=double)}" for c, t in DDL_TYPES.items())
+    return f"'CREATE TABLE {quote}pedidos{quote} (' || chr(10) || {lines} || chr(10) || ');'"
 
 
-@register("sink_sql_ddl", f"SELECT {DDL_SQL} AS statement FROM orders")
+def ddl_rows(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr("*", *DDL_EXTRA).select(*DDL_TYPES)
+
+
+@register("sink_sql_ddl", f"""SELECT 'mysql' AS dialect, {ddl_sql()} AS statement FROM orders UNION ALL SELECT 'postgresql', {ddl_sql('"', "DOUBLE PRECISION")} FROM orders""")
 def sink_sql_ddl(spark, sf_dir):
-    return create_table(table(spark, sf_dir, "orders").select(*ORDER_SCHEMA), "pedidos")
+    rows = ddl_rows(spark, sf_dir)
+    one = lambda d: create_table(rows, "pedidos", d).select(F.lit(d).alias("dialect"), "statement")
+    return one("mysql").unionByName(one("postgresql"))
 
 
 RULE = "-- " + "=" * 44
@@ -299,18 +392,16 @@ RULE = "-- " + "=" * 44
 
 @register(
     "sink_sql_mode",
-    f"""SELECT concat_ws(chr(10), '{RULE}', '-- table pedidos for mysql', '-- rows ' || count(*), '{RULE}', {DDL_SQL}) AS statement,
+    f"""SELECT concat_ws(chr(10), '{RULE}', '-- table pedidos for mysql', '-- rows ' || count(*), '{RULE}', {ddl_sql()}) AS statement,
     count(*) AS loaded FROM orders""",
 )
 def sink_sql_mode(spark, sf_dir):
-    """Script mode: header and inserts; the rows are counted from the written statements."""
-    rows = table(spark, sf_dir, "orders").select(*ORDER_SCHEMA)
+    """Script mode: both files read back; the rows are counted from the written statements."""
     path = scratch_path(spark, "sqlmode")
-    write_sql(rows, "script", path, "pedidos", row_id="o_orderkey")
+    write_sql(ddl_rows(spark, sf_dir), "script", path, "pedidos", row_id="o_orderkey")
     loaded = spark.read.text(f"{path}/inserts").where(F.startswith("value", F.lit("("))).agg(F.count("*").alias("loaded"))
-    header = script_header(rows, "pedidos", "mysql").select("statement", F.lit(None).cast("bigint").alias("loaded"))
-    both = header.unionByName(loaded.select(F.lit(None).cast("string").alias("statement"), "loaded"))
-    return both.agg(F.max("statement").alias("statement"), F.max("loaded").alias("loaded"))
+    header = spark.read.text(f"{path}/ddl", wholetext=True).select(F.regexp_replace("value", "\n$", "").alias("statement"))
+    return header.join(loaded)
 
 
 @register("fn_sql_escape", "SELECT o_orderkey, replace(nota, '''', '''''') AS escaped FROM (" + LITERAL_SQL + ") WHERE nota IS NOT NULL")
@@ -329,20 +420,34 @@ def fn_sql_literal(spark, sf_dir):
     return rows.select("o_orderkey", *cells)
 
 
-@register("fn_quote_ident", "SELECT c_custkey, '`c_name`' AS mysql, '\"c_name\"' AS postgresql, 'c_name' AS sqlite FROM customer")
+ODD_NAME = "concat(c_mktsegment, ' `', cast(c_nationkey as string), '` ', chr(34), 'x', chr(34))"
+
+
+@register(
+    "fn_quote_ident",
+    f"""SELECT c_custkey, '`' || replace(name, '`', '``') || '`' AS mysql, '"' || replace(name, '"', '""') || '"' AS postgresql, name AS sqlite
+    FROM (SELECT c_custkey, {ODD_NAME} AS name FROM customer)""",
+)
 def fn_quote_ident(spark, sf_dir):
-    quoted = [F.lit(quote_ident("c_name", d)).alias(d) for d in ("mysql", "postgresql", "sqlite")]
-    return table(spark, sf_dir, "customer").select("c_custkey", *quoted)
+    names = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{ODD_NAME} AS name")
+    return names.select("c_custkey", *[quoted_ident(F.col("name"), d).alias(d) for d in ("mysql", "postgresql", "sqlite")])
 
 
 @register(
     "fn_sql_type",
-    """SELECT doc_id, CASE WHEN n > 1000 THEN 'TEXT' WHEN n > 255 THEN 'VARCHAR(' || least(n, 4000) || ')' ELSE 'VARCHAR(' || greatest(255, n + 10) || ')' END AS sql_type
+    """SELECT doc_id, CASE WHEN n > 1000 THEN 'TEXT' WHEN n > 255 THEN 'VARCHAR(' || least(n, 4000) || ')' ELSE 'VARCHAR(' || greatest(255, n + 10) || ')' END AS sql_type,
+    CASE WHEN doc_id % 5 = 0 AND n > 0 THEN 'FLOAT(53)' WHEN n % 2 = 1 AND doc_id % 5 <> 0 THEN 'DECIMAL(15,3)' ELSE 'DECIMAL(15,2)' END AS number_type
     FROM (SELECT doc_id, length(text) AS n FROM documents)""",
 )
 def fn_sql_type(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", sql_type(T.StringType(), F.length("text")).alias("sql_type"))
+    """Types of one-document tables, from the measures of their column of texts and their column of doubles."""
+    number = F.when(F.col("doc_id") % 5 == 0, F.length("text") * F.lit(1e-25)).otherwise(F.length("text") / F.lit(8.0))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.struct("text").alias("t"), number.alias("number"))
+    profile = docs.groupBy("doc_id").agg(F.max(F.length("t.text")).alias("longest"), *measures_of(docs)[-3:])
+    digits = F.struct(*(F.col(f"__2_{k}").alias(k) for k in ("whole", "scale", "plain")))
+    return profile.select(
+        "doc_id", sql_type(T.StringType(), F.col("longest")).alias("sql_type"), sql_type(T.DoubleType(), digits, "sqlserver").alias("number_type")
+    )
 
 
 # --- other scalars -----------------------------------------------------------------------------------
@@ -424,7 +529,11 @@ JSON_ROW = """'{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_m
 
 
 def json_rows(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name", "CASE WHEN c_custkey % 3 <> 0 THEN concat(c_mktsegment, 'ñ') END AS c_mktsegment")
+    return json_rows_of(table(spark, sf_dir, "customer"))
+
+
+def json_rows_of(customers: DataFrame) -> DataFrame:
+    return customers.selectExpr("c_custkey", "c_name", "CASE WHEN c_custkey % 3 <> 0 THEN concat(c_mktsegment, 'ñ') END AS c_mktsegment")
 
 
 @register("fn_json_record", f"SELECT {JSON_ROW} AS record FROM customer")
@@ -461,8 +570,18 @@ _round_trip("sink_csv_semicolon", "excel", lambda spark, path, schema: sink.read
 _round_trip("sink_jsonl", "jsonl", lambda spark, path, schema: spark.read.schema(schema).json(path))
 _round_trip("sink_parquet", "parquet", lambda spark, path, schema: spark.read.parquet(path))
 _round_trip("sink_xml", "xml", lambda spark, path, schema: spark.read.schema(schema).options(rowTag="row", **sink.TIME_OPTIONS).xml(path))
-# Any path Spark can write is an object-store path; the scratch folder stands for it here.
-_round_trip("sink_object_store", "parquet", lambda spark, path, schema: spark.read.parquet(path))
+
+
+@register("sink_object_store", f"SELECT * FROM ({SINK_SQL}) WHERE c_mktsegment IN (SELECT max(c_mktsegment) FROM customer)")
+def sink_object_store(spark, sf_dir):
+    """Keys under one prefix per value, as object stores lay them out; any path Spark can write will do, the scratch folder
+    stands for it. Reading one prefix lists and reads no other."""
+    rows, path = sink_rows(spark, sf_dir), scratch_path(spark, "objects")
+    sink.write(rows, "parquet", path, partition_by=["c_mktsegment"])
+    stored = spark.read.parquet(path)
+    last = stored.agg(F.max("c_mktsegment")).first()[0]
+    return stored.where(F.col("c_mktsegment") == last).select(*rows.columns)
+
 
 
 @register("sink_dispatch", "SELECT format, count(*) AS n FROM customer, (VALUES ('csv'), ('json'), ('parquet')) f(format) GROUP BY format")
@@ -478,20 +597,27 @@ def sink_dispatch(spark, sf_dir):
 
 @register(
     "sink_json_array",
-    f"SELECT c_custkey // 1000 AS batch, '[' || chr(10) || string_agg('  ' || {JSON_ROW}, ',' || chr(10) ORDER BY c_custkey) || chr(10) || ']' AS records FROM customer GROUP BY ALL",
+    f"SELECT batch, '[' || chr(10) || string_agg('  ' || record, ',' || chr(10) ORDER BY c_custkey) || chr(10) || ']' AS records "
+    f"FROM (SELECT c_custkey, {JSON_ROW} AS record, (row_number() OVER (ORDER BY c_custkey) - 1) // 1000 AS batch FROM (SELECT * REPLACE (c_custkey * 1013 AS c_custkey) FROM customer)) GROUP BY batch",
 )
 def sink_json_array(spark, sf_dir):
-    return sink.json_arrays(json_rows(spark, sf_dir), "c_custkey", 1000)
+    sparse = table(spark, sf_dir, "customer").withColumn("c_custkey", F.col("c_custkey") * 1013)
+    return sink.json_arrays(json_rows_of(sparse), "c_custkey", 1000)
 
 
 @register(
     "sink_metadata",
-    """SELECT * FROM (SELECT 'written_at' AS property, '2025-01-01 00:00:00' AS value UNION ALL SELECT 'rows', count(*)::VARCHAR FROM customer
-    UNION ALL SELECT 'columns', '8' UNION ALL SELECT 'engine', 'spark' UNION ALL SELECT 'seconds', '1.50')""",
+    """SELECT 'written_at' AS property, 'true' AS value UNION ALL SELECT 'rows', count(*)::VARCHAR FROM customer
+    UNION ALL SELECT 'columns', '8' UNION ALL SELECT 'engine', 'spark' UNION ALL SELECT 'seconds', 'true'""",
 )
 def sink_metadata(spark, sf_dir):
-    rows = sink_rows(spark, sf_dir)
-    return sink.metadata_frame(spark, rows.count(), len(rows.columns), "spark", 1.5, dt.datetime(2025, 1, 1))
+    """The sheet next to an export, read back; of the time and the seconds it tells that they are such."""
+    path = scratch_path(spark, "metadata")
+    sink.write(sink_rows(spark, sf_dir), "csv", scratch_path(spark, "exported"), metadata=path)
+    sheet = spark.read.csv(path, header=True)
+    told = F.when(F.col("property") == "written_at", (F.col("value").try_cast("timestamp") <= F.current_timestamp()).cast("string"))
+    told = told.when(F.col("property") == "seconds", (F.col("value").try_cast("double") > 0).cast("string"))
+    return sheet.select("property", told.otherwise(F.col("value")).alias("value"))
 
 
 @register("sink_spec", JOB_SQL)
@@ -542,6 +668,6 @@ def stream_pii_counts(spark, sf_dir):
     counts = streams.stream_pii_counts(texts, "text", "ts", window="1 day", delay="40 days")
     path = scratch_path(spark, "stream-counts")
     flat = counts.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "type", "n")
-    streams.run_updates_to_files(flat, f"{path}/out", f"{path}/state")
-    return streams.latest_counts(spark, f"{path}/out", ["day", "type"])
+    streams.run_keyed(flat, f"{path}/out", f"{path}/state", ["day", "type"])
+    return streams.keyed_state(spark, f"{path}/out", ["day", "type"])
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veladura.functions.sqltext import plain_number, time_text
-from veladura.sinks.sqltext import write_script
+from veladura.operators.numbering import measured, staged
+from veladura.sinks.sqltext import batches, write_script
 from veladura.sources.files import METRIC, schema_of
 
 BOM = "\ufeff"
@@ -36,9 +39,13 @@ def _text_form(df: DataFrame) -> DataFrame:
     return df.select(*[cell(f) for f in df.schema.fields])
 
 
+def _with_times_of(df: DataFrame) -> list[Column]:
+    """Columns with timestamps as text, to the microsecond where there are any."""
+    return [(time_text(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, TIMES) else F.col(f"`{f.name}`")) for f in df.schema.fields]
+
+
 def _with_times(df: DataFrame) -> DataFrame:
-    """Timestamps as text, to the microsecond where there are any."""
-    return df.select(*[(time_text(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, TIMES) else F.col(f"`{f.name}`")) for f in df.schema.fields])
+    return df.select(*_with_times_of(df))
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", bom: bool = True, mode: str = "error") -> None:
@@ -72,20 +79,20 @@ def json_record(columns: list[str] | None = None) -> Column:
     return F.to_json(F.struct(*(columns or ["*"])), {"ignoreNullFields": "false", **TIME_OPTIONS})
 
 
-def json_arrays(df: DataFrame, row_id: str, size: int = BATCH) -> DataFrame:
-    """JSON arrays of up to ``size`` records each, by unique integer row id: (batch, records).
+def json_arrays(df: DataFrame, row_id: str | None = None, size: int = BATCH) -> DataFrame:
+    """JSON arrays of ``size`` records each (the last one: the rest), in id order or as the rows come: (batch, records).
 
     One array of a whole table could only be written by one task, so a table is a
     sequence of arrays.
     """
-    batch = F.expr(f"`{row_id}` div {size}").alias("batch")
-    rows = _with_times(df).select(batch, F.col(row_id).alias("__id"), json_record(df.columns).alias("__record"))
-    grouped = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("__id", "__record"))).alias("__rows"))
-    records = F.array_join(F.transform("__rows", lambda r: F.concat(F.lit("  "), r["__record"])), ",\n")
-    return grouped.select("batch", F.concat(F.lit("[\n"), records, F.lit("\n]")).alias("records"))
+    rows = staged(df)
+    record = F.to_json(F.struct(*_with_times_of(df)), {"ignoreNullFields": "false", **TIME_OPTIONS})
+    listed = batches(rows, [record.alias("text")], row_id, size)
+    records = F.array_join(F.transform("rows", lambda r: F.concat(F.lit("  "), r["text"])), ",\n")
+    return listed.select("batch", F.concat(F.lit("[\n"), records, F.lit("\n]")).alias("records"))
 
 
-def write_json_arrays(df: DataFrame, path: str, row_id: str, size: int = BATCH, mode: str = "error") -> None:
+def write_json_arrays(df: DataFrame, path: str, row_id: str | None = None, size: int = BATCH, mode: str = "error") -> None:
     json_arrays(df, row_id, size).select("records").write.mode(mode).text(path)
 
 
@@ -97,21 +104,31 @@ def write_xml(df: DataFrame, path: str, row_tag: str = "row", mode: str = "error
     _with_times(df).write.mode(mode).xml(path, rowTag=row_tag)
 
 
-def metadata_frame(spark: SparkSession, volume: int, columns: int, engine: str, seconds: float, at: dt.datetime | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Run:
+    """What an export wrote, measured while it wrote it."""
+
+    rows: int
+    columns: int
+    seconds: float
+    engine: str = "spark"
+
+
+def metadata_frame(spark: SparkSession, run: Run, at: dt.datetime | None = None) -> DataFrame:
     """Key/value sheet that goes next to exported data."""
     at = at or dt.datetime.now()
     rows = [
         ("written_at", at.strftime("%Y-%m-%d %H:%M:%S")),
-        ("rows", str(volume)),
-        ("columns", str(columns)),
-        ("engine", engine),
-        ("seconds", f"{seconds:.2f}"),
+        ("rows", str(run.rows)),
+        ("columns", str(run.columns)),
+        ("engine", run.engine),
+        ("seconds", f"{run.seconds:.2f}"),
     ]
     return spark.createDataFrame(rows, "property string, value string")
 
 
-def write_metadata(df: DataFrame, path: str, volume: int, engine: str, seconds: float, mode: str = "overwrite") -> None:
-    metadata_frame(df.sparkSession, volume, len(df.columns), engine, seconds).coalesce(1).write.mode(mode).csv(path, header=True)
+def write_metadata(spark: SparkSession, path: str, run: Run, mode: str = "overwrite") -> None:
+    metadata_frame(spark, run).coalesce(1).write.mode(mode).csv(path, header=True)
 
 
 def write_metrics(spark: SparkSession, path: str, volume: int, engine: str, seconds: float, config: Mapping[str, object]) -> None:
@@ -131,8 +148,12 @@ def write_specs(jobs: DataFrame, path: str, mode: str = "error") -> None:
     jobs.write.mode(mode).json(path)
 
 
-def write(df: DataFrame, format: str, path: str, **options) -> None:
-    """Exports a frame by format name; formats that need a row id or table take it as an option."""
+def write(df: DataFrame, format: str, path: str, metadata: str | None = None, metrics: str | None = None, config: Mapping[str, object] | None = None, **options) -> Run:
+    """Exports a frame by format name; formats that need a row id or table take it as an option.
+
+    The rows are counted while they are written. ``metadata`` and ``metrics`` name folders for the sheet of this run and
+    for the run's line among others.
+    """
     if not df.columns:
         raise ValueError("nothing to export: the frame has no columns")
     writers = {
@@ -141,4 +162,16 @@ def write(df: DataFrame, format: str, path: str, **options) -> None:
     }
     if format not in writers:
         raise ValueError(f"unknown format {format!r}; known: {', '.join(writers)}")
-    writers[format](df, path, **options)
+    began = time.monotonic()
+    if format == "sql":
+        rows = write_script(df, path, **options)
+    else:
+        seen, observation = measured(df)
+        writers[format](seen, path, **options)
+        rows = int(observation.get["__rows"])
+    run = Run(rows, len(df.columns), time.monotonic() - began)
+    if metadata:
+        write_metadata(df.sparkSession, metadata, run)
+    if metrics:
+        write_metrics(df.sparkSession, metrics, run.rows, run.engine, run.seconds, {"volumen": run.rows, "columnas": df.columns, "formato": format, **(config or {})})
+    return run

@@ -15,6 +15,7 @@ from veladura.operators.catalogue import BASE
 from veladura.operators.detect import with_hits
 from veladura.operators.generate import generate_over
 from veladura.operators.mask import MaskConfig, mask_text
+from veladura.sinks.folders import names, remove
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, max_files: int = 1000) -> DataFrame:
@@ -69,20 +70,64 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def run_updates_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Runs an aggregate stream in update mode; each micro-batch overwrites its own folder, so a
-    repeated batch leaves no duplicates."""
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/b{batch_id:06d}")
+# A state is rewritten after so many micro-batches.
+COMPACT_EVERY = 10
 
+
+def _tables(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
+    """Micro-batches of the finished states (s) and updates (b) in a folder."""
+    found = names(spark, path, written=True)
+    return [int(n[1:]) for n in found if n[0] == "s"], [int(n[1:]) for n in found if n[0] == "b"]
+
+
+def _latest(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The row of the last micro-batch of every key; partial aggregation, one row per key and task."""
+    others = [c for c in updates.columns if c not in keys]
+    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch_id").alias("__last"))
+    return last.select(*keys, *[F.col(f"__last.{c}").alias(c) for c in others])
+
+
+def _current(spark: SparkSession, path: str) -> DataFrame | None:
+    states, updates = _tables(spark, path)
+    base = states[-1] if states else -1
+    parts = [f"{path}/s{base:010d}"] * bool(states) + [f"{path}/b{b:010d}" for b in updates if b > base]
+    return spark.read.parquet(*parts) if parts else None
+
+
+def upsert(batch: DataFrame, batch_id: int, path: str, keys: Sequence[str], every: int = COMPACT_EVERY) -> None:
+    """Adds a micro-batch of changed keys to a keyed state in a folder.
+
+    A batch is a table of its own; every so many batches the state of all keys is written anew, and what the state before
+    it covers is removed. So the folder holds two states and at most twice ``every`` batches, whatever has been
+    processed, and a reader that listed it keeps its files for ``every`` batches. A repeated batch writes the same table again, or
+    is passed over when a state holds it already.
+    """
+    spark = batch.sparkSession
+    states, _ = _tables(spark, path)
+    if states and states[-1] >= batch_id:
+        return
+    batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{path}/b{batch_id:010d}")
+    if (batch_id + 1) % every:
+        return
+    _latest(_current(spark, path), keys).write.mode("overwrite").parquet(f"{path}/s{batch_id:010d}")
+    if states:
+        for name in names(spark, path):
+            if int(name[1:]) <= states[-1] and name != f"s{states[-1]:010d}":
+                remove(spark, f"{path}/{name}")
+
+
+def run_keyed(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], every: int = COMPACT_EVERY) -> None:
+    """Runs an aggregate stream in update mode over what is there now, into a keyed state that ``keyed_state`` reads."""
     query = (
-        stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
-        .outputMode("update").trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(lambda batch, batch_id: upsert(batch, batch_id, path, keys, every))
+        .option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
-def latest_counts(spark: SparkSession, path: str, keys: Sequence[str], value: str = "n") -> DataFrame:
-    """Last state of every key that ``run_updates_to_files`` wrote."""
-    updates = spark.read.parquet(f"{path}/b*")
-    return updates.groupBy(*keys).agg(F.max_by(value, "batch_id").alias(value))
+def keyed_state(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """Last row of every key of a state; an error where nothing was written yet."""
+    current = _current(spark, path)
+    if current is None:
+        raise ValueError(f"no state in {path}")
+    return _latest(current, keys).drop("batch_id")
