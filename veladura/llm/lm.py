@@ -10,8 +10,8 @@ Weights: the vocabulary's own scores are the start (a merge-rank table, scores 0
 piece, so the model learns from all training texts. The counts of the expected pieces are bounded by the vocabulary.
 
 Base line: sum over tokens of log10((c + 1) / (N + V + 1)) over training counts. Words that make at least one token in
-FREQUENT (so at most FREQUENT words, a proven bound) are sent to the tasks; all others go once, as postings, to where
-their counts are.
+FREQUENT (so at most FREQUENT words, a proven bound) are solved once and sent to the tasks with their counts; all others
+go, as postings, to where their counts are, and are solved there.
 
 Rows: every input row gives one row; a null text is empty and has its end only; repeated rows repeat; a null id counts
 by the text 'null' for the split; without training rows every count is 0 and the vocabulary's weights stay; an empty
@@ -35,7 +35,6 @@ from veladura.llm.lattice import SPACE, PieceTable, by_length, expected, margina
 SIGN = SPACE.encode()
 FREQUENT = 100_000
 FLUSH = 300_000
-CACHE_LIMIT = 600_000
 PRIOR = 1_000.0
 ROUNDS = 2
 
@@ -110,51 +109,56 @@ def _logs(p: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return x[:size], x[size:]
 
 
-class Scorer:
-    """Log10 probabilities of words, solved per batch for those the cache lacks."""
+def word_scores(words: list[bytes], table: PieceTable, weights: Weights) -> np.ndarray:
+    """Log10 probability of every word."""
+    values = np.zeros(len(words))
+    for places, matrix in by_length([SIGN + w for w in words], table.longest):
+        values[places] = marginal(table, matrix, weights.log_p, weights.log_byte) / np.log(10)
+    return values
 
-    def __init__(self, model: bytes, weights: Weights):
-        self.table, self.weights, self.known = PieceTable(model), weights, {}
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > CACHE_LIMIT:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
-        for places, matrix in by_length([SIGN + w for w in new], self.table.longest):
-            values = marginal(self.table, matrix, self.weights.log_p, self.weights.log_byte) / np.log(10)
-            self.known.update(zip((new[i] for i in places), values.tolist(), strict=True))
+def _frequent(counts: DataFrame, n: int, model, shared) -> dict[bytes, tuple[float, float]]:
+    """Word -> (log10 of its count and one, log10 probability) of the words that make one token in FREQUENT, at most so many."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = PieceTable(model.value)
+        for batch in batches:
+            yield batch.append_column("p", pa.array(word_scores(batch.column(0).to_pylist(), table, shared.value)))
+
+    solved = counts.where(F.col("c") * FREQUENT >= n).mapInArrow(solve, "word binary, c bigint, p double")
+    return {bytes(r.word): (float(np.log10(r.c + 1)), r.p) for r in solved.collect()}
 
 
 SCORED = "key bigint, doc_id bigint, held_out boolean, n bigint, known bigint, base double, score double, word binary, keys array<bigint>"
 
 
-def _scan(texts: DataFrame, model, shared) -> DataFrame:
+def _scan(texts: DataFrame, shared) -> DataFrame:
     """Two kinds of rows: documents with what frequent words give, and rare words with the keys of their documents."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, frequent = shared.value
-        scorer, end = Scorer(model.value, weights), weights.log_end / np.log(10)
+        log_end, frequent = shared.value
+        end = log_end / np.log(10)
         key = TaskContext.get().partitionId() << 36
         names = [x.split(" ")[0] for x in SCORED.split(", ")]
         for whole in batches:
             for k in range(0, whole.num_rows, 2000):
                 batch = whole.slice(k, 2000)
                 cut = [t.encode().lower().split() for t in batch.column(1).to_pylist()]
-                scorer.learn(set().union(*cut))
                 rare: dict[bytes, list[int]] = defaultdict(list)
                 keys, known, base, score = [], [], [], []
                 for words in cut:
-                    met, total = 0, 0.0
+                    met, total, p = 0, 0.0, end
                     for w in words:
                         if (x := frequent.get(w)) is None:
                             rare[w].append(key)
                         else:
-                            total += x
+                            total += x[0]
+                            p += x[1]
                             met += 1
                     keys.append(key)
                     known.append(met)
                     base.append(total)
-                    score.append(sum(map(scorer.known.__getitem__, words)) + end)
+                    score.append(p)
                     key += 1
                 none = lambda n, kind: pa.nulls(n, kind)
                 m, r = len(cut), len(rare)
@@ -168,6 +172,28 @@ def _scan(texts: DataFrame, model, shared) -> DataFrame:
     return texts.mapInArrow(rows, SCORED)
 
 
+def _rare(postings: DataFrame, model, shared) -> DataFrame:
+    """(key, x, m, p) summed over a document's rare words: logarithms of counts, words with one, log10 probabilities.
+
+    postings: (word, keys, c) by word, so that the rows of a word are neighbours; each is solved once a batch.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = PieceTable(model.value)
+        for batch in batches:
+            words = batch.column(0).dictionary_encode()
+            p = word_scores(words.dictionary.to_pylist(), table, shared.value)[words.indices.to_numpy()]
+            lists, c = batch.column(1), batch.column(2)
+            sizes = np.diff(lists.offsets.to_numpy())
+            keys, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            counted = c.is_valid().to_numpy(zero_copy_only=False)
+            x = np.log10(c.fill_null(0).to_numpy() + 1.0)
+            total = lambda v: np.bincount(place, np.repeat(v, sizes), len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total(x)), pa.array(total(counted).astype(np.int64)), pa.array(total(p))], ["key", "x", "m", "p"])
+
+    return postings.mapInArrow(rows, "key bigint, x double, m bigint, p double").groupBy("key").agg(*(F.sum(k).alias(k) for k in ("x", "m", "p")))
+
+
 def scores(docs: DataFrame, path: str | None = None, modulus: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); rows of the held-out remainder teach nothing."""
     spark = docs.sparkSession
@@ -180,14 +206,14 @@ def scores(docs: DataFrame, path: str | None = None, modulus: int = 7, held: int
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
     n, v = total + ends, distinct + (ends > 0)
     weights = learn(counts, ends, model)
-    # At most FREQUENT words can make one token in FREQUENT each.
-    frequent = {bytes(r.word): float(np.log10(r.c + 1)) for r in counts.where(F.col("c") * FREQUENT >= n).collect()}
-    scanned = written(_scan(texts, model, spark.sparkContext.broadcast((weights, frequent))), "lm-scanned")
-    rare = scanned.where("word is not null").select("word", "keys").join(counts, "word")
-    found = rare.select(F.explode("keys").alias("key"), F.log10(F.col("c") + 1).alias("x")).groupBy("key").agg(F.sum("x").alias("x"), F.count("*").alias("m"))
-    rows = scanned.where("word is null").drop("word", "keys").join(found, "key", "left")
+    shared = spark.sparkContext.broadcast(weights)
+    frequent = _frequent(counts, n, model, shared)
+    scanned = written(_scan(texts, spark.sparkContext.broadcast((weights.log_end, frequent))), "lm-scanned")
+    postings = scanned.where("word is not null").select("word", "keys").join(counts, "word", "left")
+    rows = scanned.where("word is null").drop("word", "keys").join(_rare(postings, model, shared), "key", "left")
     end_base, end_known = float(np.log10(ends + 1)), int(ends > 0)
     return rows.select(
         "doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("m", F.lit(0)) + end_known).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("x", F.lit(0.0)) + end_base - F.col("n") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("x", F.lit(0.0)) + end_base - F.col("n") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"),
+        (F.col("score") + F.coalesce("p", F.lit(0.0))).alias("score"),
     )
