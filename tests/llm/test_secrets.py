@@ -3,13 +3,16 @@ from __future__ import annotations
 import base64
 import bz2
 import gzip
+import io
 import lzma
 import re
 import urllib.parse
 import zlib
 
 import pytest
+import zstandard
 
+from veladura.llm import secrets
 from veladura.llm.secrets import KINDS, Worklist, digest, find_secrets, redact
 
 SECRET = "password=hunter2hunter2x"
@@ -110,3 +113,19 @@ def test_base64_behind_paths_and_in_bytes():
 def test_broken_member_is_counted():
     work = Worklist(base64.b64encode(gzip.compress(b"nothing") + b"\x1f\x8b\x08" + b"\xff" * 30).decode()).run()
     assert work.unopened == 1
+
+
+def test_packed_data_that_wants_too_much_memory_is_told_and_replaced(spark):
+    """Dictionaries and windows above the decoders' bounds: counted as unopened and cut out, not passed over."""
+    secret = b"token=abcdefghijklmnop " * 3
+    large = lzma.compress(secret, format=lzma.FORMAT_XZ, filters=[{"id": lzma.FILTER_LZMA2, "dict_size": 1 << 30}])
+    wide = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=28)).stream_writer
+    buffer = io.BytesIO()
+    with wide(buffer, closefd=False) as out:
+        out.write(secret)
+    texts = [f"look: {base64.b64encode(x).decode()} end" for x in (large, buffer.getvalue(), lzma.compress(secret))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in secrets.find_secrets(frame).collect()}
+    assert [rows[i].n_unopened > 0 for i in range(3)] == [True, True, False] and len(rows[2].found) == 1
+    clean = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
+    assert all(clean[i].startswith("look: [secret]") and len(clean[i]) < 40 for i in range(3))

@@ -109,8 +109,11 @@ def opener(data: bytes):
 
 
 def unpack(data: bytes, room: int) -> tuple[bytes | None, str, bool, bool]:
-    """(content, format, too large, broken off): content of all members of one packed layer, None if the bytes are not packed."""
-    parts, size, first = [], 0, ""
+    """(content, format, too large, broken off): content of all members of one packed layer, None if the bytes are not packed.
+
+    Too large is also what wants a larger dictionary than its format's decoder may hold here.
+    """
+    parts, size, first, kind = [], 0, "", ""
     try:
         while True:
             kind, opened = opener(data)
@@ -127,7 +130,9 @@ def unpack(data: bytes, room: int) -> tuple[bytes | None, str, bool, bool]:
             if size > room:
                 return None, first, True, False
             data = data.lstrip(b"\x00")
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
+    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError) as error:
+        if isinstance(error, (lzma.LZMAError, zstandard.ZstdError)) and "memory" in str(error).lower():
+            return None, kind, True, False
         if not first:
             return None, "", False, False
         return b"".join(parts), first, False, True
