@@ -10,7 +10,7 @@ from veladura.llm import decontam, exactsub, jaccard, lm, merkle, quality, secre
 
 LONG = "All work and no play makes a dull day. " * 3000
 ROWS = [(1, None), (2, ""), (3, "one two three four five six"), (3, "one two three four five six"), (None, "no id here"), (4, "one two three four five six"), (5, LONG), (6, " \n\t "), (7, "x")]
-CLASHING = ["t", "n", "h", "first", "c", "key", "word", "label", "class", "digest", "size", "place", "words", "parts", "th", "kept", "score", "y", "x", "text_", "__range"]
+CLASHING = ["t", "n", "h", "first", "c", "key", "word", "label", "class", "digest", "size", "place", "words", "parts", "th", "kept", "score", "y", "x", "text_", "__range", "__copy", "__leak", "copy_id", "Near_Key", "leak_id", "leak_digest", "row", "near_key_"]
 
 
 @pytest.fixture(scope="module")
@@ -63,4 +63,19 @@ def test_stages_keep_columns(spark, table, tmp_path):
             assert out.columns == frame.columns
             assert out.count() <= frame.count()
         assert corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).count() == frame.count()
-    assert sorted(r.doc_id or 0 for r in corpus_pipeline.STAGES[1][1](spark, table, str(tmp_path)).collect()) == [0, 1, 2, 3, 3, 5, 6, 7]
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.STAGES[1][1](spark, table, str(tmp_path)).collect()) == [0, 1, 2, 3, 5, 6, 7]
+
+
+def test_rows_decide_not_ids(spark):
+    """Of two texts under one id only the copy goes; equal rows and rows without an id leave one of each text; leaks go by text."""
+    own, other, third = ("one two three four five six seven", "a text of its own that nobody else has", "something quite different stands in here")
+    rows = [(1, own), (5, own), (5, other), (6, third), (6, third), (None, own), (None, "no id and alone here today"), (None, "no id and alone here today"), (7, None), (7, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.keep_one(frame).collect()), key=str)
+    assert kept == sorted([(1, own), (5, other), (6, third), (None, "no id and alone here today"), (7, None), (7, None)], key=str)
+    found = {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(frame).collect()}
+    assert found == {(1, 1), (5, 1), (5, 5), (6, 6), (None, 1), (None, None), (7, 7)}
+    items = spark.createDataFrame([(1, own)], "item_id bigint, text string")
+    left = sorted(((r.doc_id, r.text) for r in decontam.remove_leaks(frame, items).collect()), key=str)
+    assert left == sorted([r for r in rows if r[1] != own], key=str)
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(frame, items).collect()} == {(1, 1), (5, 1), (None, 1)}

@@ -61,6 +61,14 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that a frame does not have, in any case of its letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_of_id(modulus: int, id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo; a null id counts as the text 'null'."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")) % modulus

@@ -17,8 +17,8 @@ LITERALS others. A copy of the same words, in any case, always meets a form of e
 Rows: windows of texts shorter than WINDOW words do not exist, except that a benchmark item with fewer words is one
 window of its own, sought among windows of its length; forms with fewer than LITERALS words outside placeholders
 (or half of a short item) tell nothing and are left out; windows without a telling template form count in the share only
-if the item has no others; null and empty texts match nothing; repeated rows of one doc_id count as one document; items
-of one text are all reported; empty tables give no rows; other columns are not read.
+if the item has no others; null and empty texts match nothing; equal rows are one document, texts of one id, or without an
+id, are judged apart; items of one text are all reported; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,13 +26,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veladura.llm.common import id_and_text, written
+from veladura.llm.common import fresh, id_and_text, written
 
 WINDOW = 8
 SHARE = 0.3
 RUN = 13
 LITERALS = 4
 BROADCAST_ROWS = 1_000_000
+SLOTS_LEAST, SLOTS_MOST = 1 << 14, 1 << 18
+# Stands for a null id in joins, so -2^63 itself is shown as null.
+NULL_ID = -(2**63)
 # Measure words that are units after a number.
 UNITS = (
     "kg g mg lb lbs oz ton tons km m cm mm mi mile miles yard yards ft foot feet inch inches meter meters metre metres kilometer kilometers kilometre kilometres "
@@ -115,22 +118,48 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     return counted.select("size", "h", "item_id", "place", "key", "counts", "slots", "v", F.when(F.col("n_told") > 0, F.col("n_told")).otherwise(F.col("n_any")).alias("all"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_matched, n_windows, share, same_values) of every contaminated document and item."""
-    texts = id_and_text(docs, id_col, text_col).withColumn("digest", F.xxhash64("text"))
+def item_words(items: DataFrame) -> bytes:
+    """A table of bytes, one set for every slot that the hash of a word of the items falls in: a word whose slot is not set is in no item."""
+    words = items.select(F.explode("v").alias("w")).distinct()
+    slots = min(SLOTS_MOST, max(SLOTS_LEAST, 1 << (8 * words.count()).bit_length()))
+    table = bytearray(slots)
+    for row in words.select(F.pmod(F.xxhash64("w"), F.lit(slots)).alias("slot")).distinct().collect():
+        table[row.slot] = 1
+    return bytes(table)
+
+
+def candidates(words: Column, size: int, table: bytes) -> Column:
+    """array<struct<at, forms>>: the windows all of whose words may stand in a window of an item, and their forms.
+
+    In every form of a window a word is a placeholder, which its template word or its capital tells, or the word itself,
+    which must be one of the items'. So no window that meets an item is left out; of common text few windows stay.
+    """
+    slot = lambda w: F.pmod(F.xxhash64(w["v"]), F.lit(len(table))).cast("int") + 1
+    may = lambda w: w["t"].startswith("#") | w["c"] | (F.substring(F.lit(table), slot(w), F.lit(1)) == F.lit(b"\x01"))
+    bound = F.transform(F.array(words), lambda w: F.struct(w.alias("w"), F.transform(w, may).alias("may")))
+    starts = lambda b: F.when(F.size(b["w"]) >= size, F.filter(F.sequence(F.lit(1), F.size(b["w"]) - (size - 1)), lambda i: ~F.array_contains(F.slice(b["may"], i, size), False)))
+    found = lambda b: F.transform(starts(b), lambda i: F.struct((i - 1).alias("at"), windows(F.slice(b["w"], i, size), F.lit(size))[0].alias("forms")))
+    return F.transform(bound, found)[0]
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, share: float, id_col: str, text_col: str) -> DataFrame:
+    """The same as leaks, by text: digest tells texts of one id apart."""
+    none = F.lit(NULL_ID)
+    texts = id_and_text(docs, id_col, text_col).withColumns({"doc_id": F.coalesce("doc_id", none), "digest": F.xxhash64("text")})
     items = written(item_windows(benchmark), "decontam-items")
     n, sizes = items.count(), [r["size"] for r in items.select("size").distinct().collect()]
     keys = items.select("size", "h").distinct()
     # The benchmark's windows are broadcast up to a stated number of rows of 16 bytes; beyond it the optimizer decides.
     small = (lambda x: F.broadcast(x)) if n <= BROADCAST_ROWS else (lambda x: x)
     words = texts.select("doc_id", "digest", templates(F.col("text")).alias("words"))
+    table = item_words(items)
     found = None
     for size in sorted(sizes):
-        places = words.select("doc_id", "digest", F.posexplode(windows(F.col("words"), F.lit(size))).alias("at", "forms")).select("doc_id", "digest", "at", F.explode("forms").alias("h"), F.lit(size).alias("size"))
+        places = words.select("doc_id", "digest", F.explode(candidates(F.col("words"), size, table)).alias("x")).select("doc_id", "digest", "x.at", F.explode("x.forms").alias("h"), F.lit(size).alias("size"))
         hits = places.join(small(keys.where(F.col("size") == size)), ["size", "h"]).select("doc_id", "digest", "size", "h", "at")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, n_matched bigint, n_windows bigint, share double, same_values boolean")
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, digest bigint, item_id bigint, n_matched bigint, n_windows bigint, share double, same_values boolean")
     hits = written(found.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("size", "h", "at")).alias("hits")), "decontam-hits")
     # Only documents with hits are read again, for the values in their slots.
     few = hits.count()
@@ -152,16 +181,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: s
     checked = joined.join(holding, occurrence, "left")
     consistent = checked.where(F.col("same") | F.forall("slots", lambda i: F.col("holding")[F.get("v", i)] == F.get("own", i)))
     kept = F.when(F.col("counts"), F.col("key"))
-    total = consistent.groupBy("doc_id", "item_id").agg(F.countDistinct(kept).cast("bigint").alias("n_matched"), F.max("all").cast("bigint").alias("n_windows"), F.countDistinct(F.when(F.col("same"), kept)).alias("n_same"))
+    total = consistent.groupBy("doc_id", "digest", "item_id").agg(F.countDistinct(kept).cast("bigint").alias("n_matched"), F.max("all").cast("bigint").alias("n_windows"), F.countDistinct(F.when(F.col("same"), kept)).alias("n_same"))
     # Sorted distinct places are consecutive where the one `more` further on is `more` larger.
     more = RUN - WINDOW
     in_a_row = F.exists(F.transform("places", lambda x, i: F.get("places", i + more) - x), lambda d: d == more)
-    covered = consistent.where(F.col("size") == WINDOW).groupBy(*occurrence).agg(F.array_sort(F.collect_set("place")).alias("places")).where(in_a_row).select("doc_id", "item_id", F.lit(True).alias("run")).distinct()
-    reported = total.join(covered, ["doc_id", "item_id"], "left").withColumn("share", F.col("n_matched") / F.col("n_windows")).where((F.col("share") >= share) | F.col("run"))
-    return reported.select("doc_id", "item_id", "n_matched", "n_windows", "share", (F.col("n_same") == F.col("n_matched")).alias("same_values"))
+    covered = consistent.where(F.col("size") == WINDOW).groupBy(*occurrence).agg(F.array_sort(F.collect_set("place")).alias("places")).where(in_a_row).select(*occurrence[:3], F.lit(True).alias("run")).distinct()
+    reported = total.join(covered, occurrence[:3], "left").withColumn("share", F.col("n_matched") / F.col("n_windows")).where((F.col("share") >= share) | F.col("run"))
+    return reported.select(F.nullif("doc_id", none).alias("doc_id"), "digest", "item_id", "n_matched", "n_windows", "share", (F.col("n_same") == F.col("n_matched")).alias("same_values"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, n_matched, n_windows, share, same_values) of every contaminated document and item."""
+    return _leaks(docs, benchmark, share, id_col, text_col).drop("digest")
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of documents that no item contaminates, all columns as they were."""
-    bad = written(leaks(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__leak")).distinct(), "decontam-bad")
-    return docs.join(bad, docs[id_col] == F.col("__leak"), "left_anti")
+    """The rows whose text no item contaminates, all columns as they were; texts of one id, or without one, are judged apart."""
+    ident, digest = fresh("leak_id", docs.columns), fresh("leak_digest", docs.columns)
+    found = _leaks(docs, benchmark, SHARE, id_col, text_col).select(F.col("doc_id").alias(ident), F.col("digest").alias(digest)).distinct()
+    bad = written(found, "decontam-bad")
+    same = docs[id_col].cast("bigint").eqNullSafe(bad[ident]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == bad[digest])
+    return docs.join(bad, same, "left_anti")

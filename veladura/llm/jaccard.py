@@ -20,9 +20,9 @@ shared shingles before it is verified; of two documents the smaller l counts.
 
 Nothing is capped: the constants only choose between exact ways. Shingles are compared as 64-bit hashes.
 
-Rows: every input row gives one row; repeated rows repeat; ids name documents, so of different texts under one id the
-links are those of the one with the smallest digest; a null text is empty: no shingles, linked with nothing; a null id gives a null component and takes part in no link; an
-empty table gives no rows; other columns are not read.
+Rows: every input row is a document and gives one row, also where ids repeat or lack (rows then get a key of their own);
+a component's id is its smallest, null where none of its documents has one; a null text is empty: no shingles, linked
+with nothing; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veladura.llm.bytebpe import _Cache
-from veladura.llm.common import id_and_text, written
+from veladura.llm.common import fresh, id_and_text, written
 
 WORDS = 5
 HEAVY = 24
@@ -259,30 +259,54 @@ def linked(sets: DataFrame) -> DataFrame | None:
         members, drawn = written(at.where("not met").select("t", "doc_id", "n", "s", "rare"), "jaccard-heavy"), 4 * max(drawn, 1)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
-    texts = id_and_text(docs, id_col, text_col)
+def _near(texts: DataFrame) -> DataFrame:
+    """(doc_id, n, component) of every row of (doc_id, text); the ids are unique and not null."""
     heads = written(prefixes(texts), "jaccard-heads")
-    named = heads.where("n > 0 and doc_id is not null")
+    named = heads.where("n > 0")
     classes = written(named.groupBy("digest").agg(F.min("doc_id").alias("class")), "jaccard-classes")
     firsts = named.join(classes, (named.doc_id == classes["class"]) & (named.digest == classes.digest), "left_semi")
-    unique = named.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
-    if not unique:
-        firsts = firsts.groupBy("doc_id").agg(F.min(F.struct("digest", "n", "head")).alias("s")).select("doc_id", "s.*")
     firsts = written(firsts.select("doc_id", "n", "head", "digest"), "jaccard-firsts")
     ids = screened(firsts).join(firsts.select("doc_id", "digest"), "doc_id")
-    sets = whole_sets(texts, ids, ids.count())
-    sets = written(sets if unique else sets.dropDuplicates(["doc_id"]), "jaccard-sets")
-    labels = linked(sets)
+    labels = linked(written(whole_sets(texts, ids, ids.count()), "jaccard-sets"))
     own = heads.select("doc_id", "n", "digest").join(classes, "digest", "left")
     if labels is None:
         found = own.withColumn("label", F.col("class"))
     else:
         found = own.join(labels.withColumnRenamed("doc_id", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    return found.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("label")).alias("component_id"))
+    return found.select("doc_id", "n", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("label")).alias("component"))
+
+
+def _unique(docs: DataFrame, id_col: str) -> bool:
+    ids = docs.select(F.col(id_col).cast("bigint").alias("i"))
+    return ids.groupBy("i").agg(F.count("*").alias("c")).where("c > 1 or i is null").isEmpty()
+
+
+def _near_rows(keyed: DataFrame, key: str, id_col: str, text_col: str) -> DataFrame:
+    """(key, doc_id, n, component, first) of rows told apart by a key column: the key of their component, and of its first row by id (rows without one last)."""
+    found = _near(id_and_text(keyed, key, text_col)).withColumnRenamed("doc_id", "near_key")
+    own = keyed.select(F.col(key).alias("near_key"), F.col(id_col).cast("bigint").alias("doc_id"))
+    joined = written(found.join(own, "near_key"), "jaccard-rows")
+    firsts = joined.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "near_key")).alias("first"))
+    return joined.join(firsts, "component")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row. Texts of one id, or without one, are documents of their own."""
+    if _unique(docs, id_col):
+        return _near(id_and_text(docs, id_col, text_col)).select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.col("component").alias("component_id"))
+    texts = id_and_text(docs, id_col, text_col)
+    keyed = written(texts.withColumn("near_key", F.monotonically_increasing_id()), "jaccard-keyed")
+    found = _near_rows(keyed, "near_key", "doc_id", "text")
+    return found.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose document has the smallest id of its component, all columns as they were."""
-    found = written(near_duplicates(docs, id_col, text_col), "jaccard-components").where("component_id < doc_id").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(found, docs[id_col] == F.col("__copy"), "left_anti")
+    """One row of each component, that of the smallest id (one of equal rows; without any id one of the rows), all columns as they were."""
+    if _unique(docs, id_col):
+        copy = fresh("copy_id", docs.columns)
+        found = written(near_duplicates(docs, id_col, text_col), "jaccard-components").where("component_id < doc_id").select(F.col("doc_id").alias(copy))
+        return docs.join(found, docs[id_col] == found[copy], "left_anti")
+    key, copy = fresh("near_key", docs.columns), fresh("copy_key", docs.columns)
+    keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "jaccard-keyed")
+    copies = _near_rows(keyed, key, id_col, text_col).where("near_key <> first.near_key").select(F.col("near_key").alias(copy))
+    return keyed.join(copies, keyed[key] == copies[copy], "left_anti").select(*docs.columns)
