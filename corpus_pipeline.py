@@ -1,7 +1,7 @@
 """The document pipeline: each stage is written as Parquet and read again as the next one's documents.
 
-Every stage but the last returns the columns of documents. Rows: as the operators define them; an empty table goes
-through all stages and gives no rows.
+Every stage but the last returns the columns of documents, one row of each component of near-duplicates stays, whatever
+the ids. Rows otherwise: as the operators define them; an empty table goes through all stages and gives no rows.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ STAGES = [
     ("secret_scan", secret_scan),
     ("sentencepiece", sentencepiece),
 ]
-# The first stage learns its weights, which SQL cannot express; tests/llm/test_pipeline.py holds the rows against brute force.
+# The first stage learns its weights, which SQL cannot express; tests/llm/test_corpus.py holds the rows against brute force.
 ORACLE_SQL = None
 
 
