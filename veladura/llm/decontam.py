@@ -45,24 +45,51 @@ UNITS = (
 MARK = "\u0001"
 
 
-def templates(text: Column) -> Column:
-    """array<struct<t, v, n, c>>: template word, lower-cased word, template word with names as literals, capitalised like a name."""
+SPACES = " \t\n\x0b\x0c\r"
+
+
+def marked(text: Column) -> Column:
+    """The text with spaces for signs, and MARK before each word that follows the end of a sentence or line."""
     signs = F.regexp_replace(text, r"[^\p{L}\p{N}\s.!?,]+|,(?![0-9])", " ")
-    marked = F.regexp_replace(signs, r"[.!?]+(?![\p{L}\p{N}])|\n", f" {MARK} ")
+    return F.btrim(F.regexp_replace(signs, r"(?:(?:[.!?]+(?![\p{L}\p{N}])|\n)\s*)+", f" {MARK}"), F.lit(SPACES + MARK))
+
+
+def cut(text: Column) -> Column:
+    """Words of a text; none of an empty one."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, r"\s+"))
+
+
+def bare(mark: Column) -> Column:
+    return F.replace(mark, F.lit(MARK), F.lit(""))
+
+
+def capitalised(w: Column, low: Column) -> Column:
+    """Like a name: a capital first, but not all of them."""
+    return (F.left(w, F.lit(1)) != F.left(low, F.lit(1))) & ((F.length(w) == 1) | (w != F.upper(w)))
+
+
+def template_word(b: Column, j: Column) -> Column:
+    """struct<t, v, n, c> of word j, from 0: template word, lower-cased word, template word with names as literals, capitalised like a name.
+
+    b: struct of the words with their marks (mark)."""
     number = lambda w: F.when(F.left(w, F.lit(1)).between("0", "9"), w.rlike(r"^[0-9][0-9.,]*$")).otherwise(False)
+    before = F.coalesce(F.get(b["mark"], j - 1), F.lit(""))
+    told = F.transform(F.array(F.get(b["mark"], j)), lambda m: F.struct(bare(m).alias("w"), F.lower(bare(m)).alias("low"), ((j == 0) | F.startswith(m, F.lit(MARK))).alias("first")))
 
-    def words(both: Column) -> Column:
-        def word(w: Column, i: Column) -> Column:
-            low, before = F.get(both["low"], i), F.coalesce(F.get(both["raw"], i - 1), F.lit(MARK))
-            capital = (F.left(w, F.lit(1)) != F.left(low, F.lit(1))) & ((F.length(w) == 1) | (w != F.upper(w)))
-            kind = F.when(number(w), "#num").when(number(before) & low.isin(UNITS), "#unit")
-            return F.struct(kind.when(capital & (before != MARK) & (before != ""), "#name").otherwise(low).alias("t"), low.alias("v"), kind.otherwise(low).alias("n"), capital.alias("c"))
+    def of_word(x: Column) -> Column:
+        w, low, first = x["w"], x["low"], x["first"]
+        capital = capitalised(w, low)
+        kind = F.when(number(w), "#num").when(low.isin(UNITS) & ~first & number(bare(before)), "#unit")
+        return F.struct(kind.when(capital & ~first, "#name").otherwise(low).alias("t"), low.alias("v"), kind.otherwise(low).alias("n"), capital.alias("c"))
 
-        return F.filter(F.transform(both["raw"], word), lambda x: ~x["t"].isin("", MARK))
+    return F.transform(told, of_word)[0]
 
+
+def templates(text: Column) -> Column:
+    """array<struct<t, v, n, c>>: the template words of a text."""
     # Arrays of one element bind what several parts of a lambda use, so it is computed once a row.
-    bound = F.transform(F.array(marked), lambda m: F.struct(F.split(m, r"\s+").alias("raw"), F.split(F.lower(m), r"\s+").alias("low")))
-    return F.transform(bound, words)[0]
+    bound = F.transform(F.array(marked(text)), lambda m: F.struct(cut(m).alias("mark")))
+    return F.transform(bound, lambda b: F.transform(b["mark"], lambda w, j: template_word(b, j)))[0]
 
 
 def windows(words: Column, size: Column, telling: bool = False) -> Column:
@@ -118,28 +145,61 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     return counted.select("size", "h", "item_id", "place", "key", "counts", "slots", "v", F.when(F.col("n_told") > 0, F.col("n_told")).otherwise(F.col("n_any")).alias("all"))
 
 
-def item_words(items: DataFrame) -> bytes:
-    """A table of bytes, one set for every slot that the hash of a word of the items falls in: a word whose slot is not set is in no item."""
-    words = items.select(F.explode("v").alias("w")).distinct()
-    slots = min(SLOTS_MOST, max(SLOTS_LEAST, 1 << (8 * words.count()).bit_length()))
+ANY, GRAM = "*", 3
+
+
+def item_grams(items: DataFrame, size: int) -> bytes:
+    """A table of bytes, one set for every slot that the hash of GRAM neighbouring words of an item falls in, any of which may also be ANY.
+
+    Words whose slot is not set stand together in no item of windows of that size.
+    """
+    gram = min(GRAM, size)
+    told = lambda j: [F.array(F.get("v", j + k), F.lit(ANY)) for k in range(gram)]
+    grams = items.where(F.col("size") == size).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(size - gram)), lambda j: F.struct(*(x.alias(f"w{k}") for k, x in enumerate(told(j)))))).alias("g")).select("g.*").distinct()
+    for k in range(gram):
+        grams = grams.withColumn(f"w{k}", F.explode(f"w{k}"))
+    grams = grams.distinct()
+    slots = min(SLOTS_MOST, max(SLOTS_LEAST, 1 << (4 * grams.count()).bit_length()))
     table = bytearray(slots)
-    for row in words.select(F.pmod(F.xxhash64("w"), F.lit(slots)).alias("slot")).distinct().collect():
+    for row in grams.select(F.pmod(F.xxhash64(*grams.columns), F.lit(slots)).alias("slot")).distinct().collect():
         table[row.slot] = 1
     return bytes(table)
 
 
-def candidates(words: Column, size: int, table: bytes) -> Column:
-    """array<struct<at, forms>>: the windows all of whose words may stand in a window of an item, and their forms.
+def candidates(mark: Column, size: int, table: bytes) -> Column:
+    """array<struct<at, forms>>: the windows of a marked text whose neighbouring words may all stand together in an item, and their forms.
 
-    In every form of a window a word is a placeholder, which its template word or its capital tells, or the word itself,
-    which must be one of the items'. So no window that meets an item is left out; of common text few windows stay.
+    In every form of a window a word is a number, a unit, capitalised (ANY here), or itself one of an item's words, beside
+    its neighbours there. Each window holds a gram whose place is a multiple of its number of grams, so those are looked at
+    first, and the windows around them only where they are set. No window that meets an item is left out, while of common
+    text few stay; only for those template words are formed.
     """
-    slot = lambda w: F.pmod(F.xxhash64(w["v"]), F.lit(len(table))).cast("int") + 1
-    may = lambda w: w["t"].startswith("#") | w["c"] | (F.substring(F.lit(table), slot(w), F.lit(1)) == F.lit(b"\x01"))
-    bound = F.transform(F.array(words), lambda w: F.struct(w.alias("w"), F.transform(w, may).alias("may")))
-    starts = lambda b: F.when(F.size(b["w"]) >= size, F.filter(F.sequence(F.lit(1), F.size(b["w"]) - (size - 1)), lambda i: ~F.array_contains(F.slice(b["may"], i, size), False)))
-    found = lambda b: F.transform(starts(b), lambda i: F.struct((i - 1).alias("at"), windows(F.slice(b["w"], i, size), F.lit(size))[0].alias("forms")))
-    return F.transform(bound, found)[0]
+    gram = min(GRAM, size)
+    step = size - gram + 1
+
+    def word(b: Column, j: Column) -> Column:
+        def told(w: Column) -> Column:
+            low, first = F.lower(w), F.left(w, F.lit(1))
+            return F.when(capitalised(w, low) | first.between("0", "9") | low.isin(UNITS), ANY).otherwise(low)
+
+        return F.transform(F.array(bare(F.get(b["mark"], j))), told)[0]
+
+    def hit(b: Column, j: Column) -> Column:
+        slot = F.pmod(F.xxhash64(*(word(b, j + k) for k in range(gram))), F.lit(len(table))).cast("int") + 1
+        return F.substring(F.lit(table), slot, F.lit(1)) == F.lit(b"\x01")
+
+    def near(b: Column, j: Column) -> Column:
+        """Starts of the windows that hold the gram at j and have only set grams."""
+        low, high = F.greatest(j - (step - 1), F.lit(0)), F.least(j, F.size(b["mark"]) - size)
+        return F.when(low <= high, F.filter(F.sequence(low, high), lambda i: F.forall(F.sequence(i, i + (step - 1)), lambda k: hit(b, k)))).otherwise(F.array().cast("array<int>"))
+
+    def of_text(b: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(b["mark"]) - gram, F.lit(step))
+        starts = F.flatten(F.transform(F.filter(places, lambda j: hit(b, j)), lambda j: near(b, j)))
+        window = lambda i: F.transform(F.sequence(i, i + (size - 1)), lambda j: template_word(b, j))
+        return F.when(F.size(b["mark"]) >= size, F.transform(starts, lambda i: F.struct(i.alias("at"), windows(window(i), F.lit(size))[0].alias("forms"))))
+
+    return F.transform(F.transform(F.array(mark), lambda m: F.struct(cut(m).alias("mark"))), of_text)[0]
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, share: float, id_col: str, text_col: str) -> DataFrame:
@@ -151,11 +211,11 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, share: float, id_col: str, tex
     keys = items.select("size", "h").distinct()
     # The benchmark's windows are broadcast up to a stated number of rows of 16 bytes; beyond it the optimizer decides.
     small = (lambda x: F.broadcast(x)) if n <= BROADCAST_ROWS else (lambda x: x)
-    words = texts.select("doc_id", "digest", templates(F.col("text")).alias("words"))
-    table = item_words(items)
+    texts_marked = texts.select("doc_id", "digest", marked(F.col("text")).alias("mark"))
     found = None
     for size in sorted(sizes):
-        places = words.select("doc_id", "digest", F.explode(candidates(F.col("words"), size, table)).alias("x")).select("doc_id", "digest", "x.at", F.explode("x.forms").alias("h"), F.lit(size).alias("size"))
+        table = item_grams(items, size)
+        places = texts_marked.select("doc_id", "digest", F.explode(candidates(F.col("mark"), size, table)).alias("x")).select("doc_id", "digest", "x.at", F.explode("x.forms").alias("h"), F.lit(size).alias("size"))
         hits = places.join(small(keys.where(F.col("size") == size)), ["size", "h"]).select("doc_id", "digest", "size", "h", "at")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
