@@ -102,11 +102,6 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 CORPUS_SQL = " UNION ALL ".join(
     f"SELECT '{kind}' AS kind, cast({ident} as bigint) AS id, {text} AS text FROM {name}" for name, kind, _, ident, text in CORPUS
 )
-NOTES_SQL = f"SELECT o_orderkey AS id, {NOTE} AS text FROM orders"
-
-
-def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"{NOTE} AS text")
 
 
 # --- form pages from parts -------------------------------------------------------------------
