@@ -33,7 +33,8 @@ SHARE = 0.3
 RUN = 13
 LITERALS = 4
 BROADCAST_ROWS = 1_000_000
-SLOTS_LEAST, SLOTS_MOST = 1 << 14, 1 << 18
+# The table of an item's grams is part of the plan, whose text the driver keeps several times: at most 64 KB.
+SLOTS_LEAST, SLOTS_MOST = 1 << 14, 1 << 16
 # Stands for a null id in joins, so -2^63 itself is shown as null.
 NULL_ID = -(2**63)
 # Measure words that are units after a number.
