@@ -20,6 +20,20 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "gen")).collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_tables_may_be_files_or_folders(spark, tmp_path):
+    """A table in one file, and one in a folder of several; other tables of the folder are not read."""
+    rows = spark.range(300).selectExpr("id", "concat('ip 10.0.0.', cast(id % 250 as string)) AS t")
+    for at, n in (("several", 4), ("one", 1)):
+        rows.repartition(n).write.parquet(str(tmp_path / at / "docs.parquet"))
+        rows.selectExpr("-id AS id", "t").write.parquet(str(tmp_path / at / "other.parquet"))
+    whole = tmp_path / "one" / "docs.parquet"
+    next(whole.glob("part-*")).rename(tmp_path / "one" / "docs-0.parquet")
+    for at in ("several", "one"):
+        stream = streams.read_table_stream(spark, str(tmp_path / at), "docs", rows.schema)
+        streams.run_to_files(stream, str(tmp_path / f"{at}-out"), str(tmp_path / f"{at}-state"))
+        assert sorted(map(tuple, spark.read.parquet(str(tmp_path / f"{at}-out")).collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     schema = "ts timestamp, t string"
     for i, when in enumerate(["2024-01-01 10:00:00", "2024-01-02 10:00:00", "2024-01-02 10:05:00", "2024-01-01 10:30:00", "2024-01-02 10:10:00"]):

@@ -19,11 +19,8 @@ from veladura.sinks.folders import names, remove
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, max_files: int = 1000) -> DataFrame:
-    """Parquet files of one table in a folder, as they arrive."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").option("maxFilesPerTrigger", max_files)
-        .parquet(folder)
-    )
+    """Parquet files of one table in a folder, as they arrive; what is named for the table may be a file or a folder of files."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{folder}/{name}*.parquet")
 
 
 def rate_rows(spark: SparkSession, rows_per_second: int) -> DataFrame:
