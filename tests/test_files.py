@@ -9,6 +9,7 @@ from veladura.functions.jsontext import is_object
 from veladura.functions.sqltext import create_table, plain_number
 from veladura.operators.numbering import numbered, staged
 from veladura.operators.generate import generate
+from veladura.plans.table_queries import sink_object_store, sink_rows
 from veladura.session import scratch_path
 from veladura.sinks import files as sink
 from veladura.sinks.sqltext import insert_batches, single_inserts, write_sql
@@ -135,6 +136,14 @@ def test_json_formats(spark, tmp_path):
     assert [len(json.loads(r["records"])) for r in arrays] == [10, 10, 5]
 
 
+def test_object_store_gives_every_row_back(spark, tmp_path):
+    """All prefixes, with texts that look like numbers, empty ones and nulls."""
+    rows = [(i, f"c{i}", i % 3, i * 1.5, m) for i, m in enumerate(["A", "B", "7", "", None, "B", "A"])]
+    spark.createDataFrame(rows, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    found = sink_object_store(spark, str(tmp_path)).orderBy("c_custkey")
+    assert [tuple(r)[:5] for r in found.collect()] == rows and found.columns == sink_rows(spark, str(tmp_path)).columns
+
+
 def test_unknown_or_empty_exports_are_refused(spark, tmp_path):
     with pytest.raises(ValueError):
         sink.write(sample(spark), "docx", str(tmp_path / "x"))
