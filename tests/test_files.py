@@ -4,11 +4,13 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from veladura.functions.jsontext import is_object
 from veladura.functions.sqltext import create_table, plain_number
 from veladura.operators.numbering import numbered, staged
 from veladura.operators.generate import generate
+from veladura.plans import inputs, table_queries
 from veladura.plans.table_queries import sink_object_store, sink_rows
 from veladura.session import scratch_path
 from veladura.sinks import files as sink
@@ -136,6 +138,29 @@ def test_json_formats(spark, tmp_path):
     assert [len(json.loads(r["records"])) for r in arrays] == [10, 10, 5]
 
 
+def test_slim_tables_are_dealt_by_rows(spark, tmp_path):
+    """One file of one row group gives tasks of about so many rows, and the same rows; few rows stay where they are."""
+    spark.range(12_001).selectExpr("if(id = 0, null, id) AS k", "'x' AS v").coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    rows = inputs.table(spark, str(tmp_path), "t", 1000)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == 13 and max(sizes) < 1000
+    whole = inputs.table(spark, str(tmp_path), "t")
+    assert whole.exceptAll(rows).count() == rows.exceptAll(whole).count() == 0
+    assert inputs.table(spark, str(tmp_path), "t", 20_000).rdd.getNumPartitions() == whole.rdd.getNumPartitions()
+
+
+def test_queries_deal_their_slim_tables(spark, tmp_path, monkeypatch):
+    """Pages made of parts and exported customers: a task gets a bounded number of rows, whatever the file."""
+    monkeypatch.setattr(inputs, "PAGES_PER_TASK", 50)
+    monkeypatch.setattr(table_queries, "EXPORTED_PER_TASK", 50)
+    spark.range(400).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "1 AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1, "<input name=a>")], "page_id bigint, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.range(400).selectExpr("id AS c_custkey", "'n' AS c_name", "1 AS c_nationkey", "1.5D AS c_acctbal", "'m' AS c_mktsegment").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    for frame, n in ((inputs.form_pages(spark, str(tmp_path)), 401), (sink_rows(spark, str(tmp_path)), 400)):
+        sizes = [r["count"] for r in frame.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == n and max(sizes) <= 60
+
+
 def test_object_store_gives_every_row_back(spark, tmp_path):
     """All prefixes, with texts that look like numbers, empty ones and nulls."""
     rows = [(i, f"c{i}", i % 3, i * 1.5, m) for i, m in enumerate(["A", "B", "7", "", None, "B", "A"])]

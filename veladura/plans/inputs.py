@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from veladura.session import dealt
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+# Rows of the slim tables that a task turns into pages, notes or exported text.
+PAGES_PER_TASK, NOTES_PER_TASK, EXPORTED_PER_TASK = 5_000, 25_000, 50_000
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, per_task: int | None = None) -> DataFrame:
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"), per_task)
 
 
 def letter(number: str) -> str:
@@ -90,7 +94,7 @@ CORPUS = [
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of all tables that have some: (kind, id, text)."""
     parts = [
-        table(spark, sf_dir, name).selectExpr(f"'{kind}' AS kind", f"cast({ident} as bigint) AS id", f"{text} AS text")
+        table(spark, sf_dir, name, NOTES_PER_TASK if kind == "note" else None).selectExpr(f"'{kind}' AS kind", f"cast({ident} as bigint) AS id", f"{text} AS text")
         for name, kind, _, ident, text in CORPUS
     ]
     frame = parts[0]
@@ -128,7 +132,7 @@ PAGES_SQL = f"SELECT page_id, html FROM pages UNION ALL SELECT {PAGE_SHIFT} + p_
 
 
 def form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = table(spark, sf_dir, "part").selectExpr(f"{PAGE_SHIFT} + p_partkey AS page_id", f"{PART_PAGE} AS html")
+    built = table(spark, sf_dir, "part", PAGES_PER_TASK).selectExpr(f"{PAGE_SHIFT} + p_partkey AS page_id", f"{PART_PAGE} AS html")
     return table(spark, sf_dir, "pages").select("page_id", "html").unionByName(built)
 
 

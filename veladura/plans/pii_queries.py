@@ -11,7 +11,7 @@ from veladura.functions.rules import LEVELS, OPTIONAL_RULES, RULES, Rule, select
 from veladura.operators import report
 from veladura.operators.detect import HitSet, detect, detect_table, text_columns, with_hit_sets, with_hits
 from veladura.operators.mask import MaskConfig, censor_levels, mask_table, mask_text
-from veladura.plans.inputs import CORPUS_SQL, NOTE, corpus, table
+from veladura.plans.inputs import CORPUS_SQL, NOTE, NOTES_PER_TASK, corpus, table
 from veladura.plans.oracle import kept, scored, text
 
 QUERIES: dict = {}
@@ -133,7 +133,7 @@ TABLE_SQL = f"SELECT {CARD_SQL} FROM orders"
 
 
 def cards(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(
+    return table(spark, sf_dir, "orders", NOTES_PER_TASK).selectExpr(
         "o_orderkey", f"{NOTE} AS note", "concat('o', cast(o_custkey as string), '@mail.example.com') AS email",
         "o_orderstatus AS estado", "o_totalprice AS total",
     )

@@ -12,6 +12,7 @@ from veladura.operators import jobs, report
 from veladura.operators.numbering import numbered, staged
 from veladura.plans.gen_oracle import generated
 from veladura.plans.inputs import (
+    EXPORTED_PER_TASK,
     CORPUS_SQL,
     JOBS_SQL,
     LISTS_SQL,
@@ -553,7 +554,7 @@ SINK_SQL = (
 
 def sink_rows(spark, sf_dir) -> DataFrame:
     seen = "TIMESTAMP_NTZ '2001-02-03 04:05:06' + make_dt_interval(0, 0, 0, (c_custkey % 3) * c_custkey * 0.000123) AS seen_at"
-    return table(spark, sf_dir, "customer").selectExpr(*SINK_COLUMNS, SINK_BIG, SINK_TINY, seen)
+    return table(spark, sf_dir, "customer", EXPORTED_PER_TASK).selectExpr(*SINK_COLUMNS, SINK_BIG, SINK_TINY, seen)
 
 
 def _round_trip(name: str, format: str, read):
