@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from veladura.functions.rules import KEYWORDS, LEVELS, RULES, java_pattern, select_rules
 from veladura.operators import report
-from veladura.operators.detect import MARKER, HitSet, detect, detect_table, text_columns, with_hit_sets, with_hits
+from veladura.operators.detect import MARKER, HitSet, detect, detect_table, running, text_columns, with_hit_sets, with_hits
 from veladura.operators.mask import censor_levels
+from veladura.plans import inputs, pii_queries
 
 
 def model_confidence(kind, value, context, base):
@@ -173,3 +174,26 @@ def test_rule_sets_share_one_detection(spark):
     assert plan.count(f", {java_pattern(mail)}, {MARKER}$0{MARKER}") == 1
     with pytest.raises(ValueError):
         with_hit_sets(texts, "t", {"a": HitSet(), "b": HitSet(tuple(reversed(RULES)))})
+
+
+def test_running_over_one_block_or_many(spark):
+    """Sums and maxima before each element, for arrays up to, at and over a block, empty and null ones."""
+    sizes = [0, 1, 31, 32, 33, 1023, 1024, 1100]
+    rows = spark.createDataFrame([([i * 7 % 13 for i in range(n)],) for n in sizes] + [(None,)], "a array<int>")
+    found = rows.select("a", F.expr(running("a", "int", "0", "x + y")).alias("sums"), F.expr(running("a", "int", "0", "greatest(x, y)")).alias("tops")).collect()
+    for a, sums, tops in found:
+        assert sums == (None if a is None else [sum(a[:i]) for i in range(len(a))])
+        assert tops == (None if a is None else [max(a[:i], default=0) for i in range(len(a))])
+
+
+def test_notes_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """Orders of one file become notes in tasks of a bounded number of rows, alone and among the other texts."""
+    for module in (inputs, pii_queries):
+        monkeypatch.setattr(module, "NOTES_PER_TASK", 50)
+    orders = spark.range(400).selectExpr("id AS o_orderkey", "id AS o_custkey", "'O' AS o_orderstatus", "1.5D AS o_totalprice", "'1-URGENT' AS o_orderpriority")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    for name, columns in (("documents", "doc_id bigint, text string"), ("pages", "page_id bigint, html string"), ("conversations", "conv_id bigint, turn int, text string")):
+        spark.createDataFrame([], columns).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for frame in (pii_queries.cards(spark, str(tmp_path)), inputs.corpus(spark, str(tmp_path))):
+        sizes = [r["count"] for r in frame.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 400 and max(sizes) <= 60

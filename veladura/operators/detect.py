@@ -58,17 +58,19 @@ def running(values: str, kind: str, start: str, join: str) -> str:
     """For every element of an array what the elements before it come to: sums or maxima, in linear time.
 
     No accumulator grows: totals of blocks, of blocks of blocks, and per element a fold over at most BLOCK neighbours
-    on each level. ``join`` combines ``x`` and ``y``.
+    on each level. An array of one block, as most texts give, is folded at once. ``join`` combines ``x`` and ``y``.
     """
     fold = lambda part: f"aggregate({part}, {start}, (x, y) -> cast({join} AS {kind}))"
     blocks = lambda v: f"CASE WHEN size({v}) = 0 THEN cast(array() AS array<{kind}>) ELSE transform(sequence(0, (size({v}) - 1) div {BLOCK}), b -> {fold(f'slice({v}, b * {BLOCK} + 1, {BLOCK})')}) END"
     before = lambda v, upper: f"transform({v}, (e, i) -> {fold(f'concat(array({upper}), slice({v}, i div {BLOCK} * {BLOCK} + 1, i % {BLOCK}))')})"
     top = f"transform(l.s2, (e, i) -> {fold('slice(l.s2, 1, i)')})"
-    s1 = f"transform(array({values}), v -> named_struct('v', v, 's1', {blocks('v')}))"
+    s1 = f"transform(array(v), v -> named_struct('v', v, 's1', {blocks('v')}))"
     s2 = f"transform({s1}, l -> named_struct('v', l.v, 's1', l.s1, 's2', {blocks('l.s1')}))"
     o2 = f"transform({s2}, l -> named_struct('v', l.v, 's1', l.s1, 'o2', {top}))"
     o1 = f"transform({o2}, l -> named_struct('v', l.v, 'o1', {before('l.s1', f'get(l.o2, i div {BLOCK})')}))"
-    return f"transform({o1}, l -> {before('l.v', f'get(l.o1, i div {BLOCK})')})[0]"
+    short = f"transform(v, (e, i) -> {fold('slice(v, 1, i)')})"
+    long = f"transform({o1}, l -> {before('l.v', f'get(l.o1, i div {BLOCK})')})[0]"
+    return f"transform(array({values}), v -> CASE WHEN size(v) <= {BLOCK} THEN {short} ELSE {long} END)[0]"
 
 
 def stretch(text: str, pieces: str, start: str, size: str) -> str:
