@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -70,3 +71,27 @@ def test_wavelet_matrix(n):
     for value in (0, 5, 7, 9, 50256):
         assert matrix.occurrences(value) == np.flatnonzero(ids == value).tolist()
         assert matrix.rank(value, n // 2) == int((ids[: n // 2] == value).sum())
+
+
+def test_many_texts_at_once(library, monkeypatch):
+    """Ids of texts cut together, plain ones and others side by side, whatever the chunks; a slice of a longer array."""
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        source = f.read()
+    bpe = ByteBpe(source, prove_whole_tokens(source))
+    draw = random.Random(6)
+    plain = ["a", "Ze", "é", "ŋ", "1", "23", " ", "  ", "\n", "\t", "\r", "'", "'s", "'re", "'ve", "'ll", "'d", "'l", ".", "...", "_", " word", "ion\n"]
+    some = ["", *("".join(draw.choices(plain if draw.random() < 0.7 else plain + SIGNS + ["×", "ɐ", "\x00"], k=draw.randint(0, 25))) for _ in range(3000)), ""]
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in some]
+    for size in (1, 60, 1000, 8 << 20):
+        monkeypatch.setattr("veladura.llm.bytebpe.CHUNK_BYTES", size)
+        assert [x.tolist() for x in bpe.ids_of(pa.array(["x", *some]).slice(1))] == wanted
+
+
+def test_words_before_signs(library):
+    """Words before signs and line ends are merged once, not once for each of what follows them."""
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        source = f.read()
+    bpe = ByteBpe(source, prove_whole_tokens(source))
+    texts = [f" onntshansh{sign} x{i}" for i, sign in enumerate([".", ",", "!", "\n", ".\n", "?", ";", ":"])]
+    assert [x.tolist() for x in bpe.ids_of(pa.array(texts))] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert bpe.merged == 1

@@ -2,13 +2,22 @@
 
 A text is cut before spaces, which are always pre-token borders; the piece is the unit of the caches. What a
 vocabulary string encodes to alone is proven once per file, so a pre-token found there needs no merge.
+
+For ids, texts of plain characters are cut many at once: borders are found by classes of neighbouring bytes, pre-tokens
+are numbered by Arrow's dictionary, and each distinct one is looked up once. Other texts go one by one.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import string
+from array import array
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -17,6 +26,11 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 # A space between white space and white space, or the end, is no border of its own.
 UNCUT = re.compile(r"\s (?!\S)")
 CACHE_LIMIT = 400_000
+# Bytes of texts that are cut at once; classes of bytes: what a plain text has none of, letters, digits, signs, the space, other white space.
+CHUNK_BYTES = 8 << 20
+ODD, LETTER, DIGIT, SIGN, BLANK, SPACE = range(6)
+# The endings that the pattern names first.
+ENDINGS = [b"s", b"t", b"re", b"ve", b"m", b"ll", b"d"]
 
 
 def byte_letters() -> list[str]:
@@ -73,6 +87,46 @@ class Splitter:
         return self.find.findall(text)
 
 
+class Cutter:
+    """Pre-token borders of many texts at once, in UTF-8, for texts of ASCII and Latin letters that the library classes as the pattern does."""
+
+    def __init__(self, splitter: Splitter):
+        self.kinds = np.full(256, LETTER, np.uint8)
+        self.kinds[:128] = ODD
+        for kind, members in ((LETTER, string.ascii_letters), (DIGIT, string.digits), (SIGN, string.punctuation), (BLANK, " "), (SPACE, "\t\n\r")):
+            self.kinds[list(members.encode())] = kind
+        self.latin = np.zeros(1 << 11, bool)
+        for c in range(0xC0, 0x250):
+            self.latin[c] = len(splitter.parts(f"a{chr(c)}a")) == 1 and splitter.find.fullmatch(f"a{chr(c)}a") is not None
+
+    def borders(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places where pre-tokens begin, and places of characters that are not plain; wrong in the texts that hold such."""
+        kind = self.kinds[chars]
+        heads = np.flatnonzero(chars >= 0xC0)
+        tails = chars[np.minimum(heads + 1, len(chars) - 1)] & 0x3F
+        plain = (chars[heads] < 0xE0) & self.latin[(chars[heads].astype(np.int32) & 0x1F) << 6 | tails]
+        odd = np.concatenate([np.flatnonzero(kind == ODD), heads[~plain]])
+        # A space stays with the word after it; of white space before a word, the last character stands apart from the others.
+        space = kind >= BLANK
+        word_next = np.append(~space[1:], False)
+        word_next[ends[ends > 0] - 1] = False
+        border = np.empty(len(chars), bool)
+        border[0] = True
+        border[1:] = np.where(space[1:], ~space[:-1] | word_next[1:], (kind[1:] != kind[:-1]) & (kind[:-1] != BLANK))
+        border[starts[starts < len(chars)]] = True
+        signs = np.flatnonzero(border & (chars == ord("'")))
+        if len(signs):
+            left = ends[np.searchsorted(ends, signs, "right")] - signs
+            for ending in ENDINGS:
+                met = left > len(ending)
+                for k, c in enumerate(ending, 1):
+                    met &= chars[np.minimum(signs + k, len(chars) - 1)] == c
+                after = signs[met] + len(ending) + 1
+                border[signs[met] + 1] = False
+                border[after[(after < len(chars)) & (kind[np.minimum(after, len(chars) - 1)] == LETTER)]] = True
+        return np.flatnonzero(border), odd
+
+
 class _Cache(dict):
     """make(key) for absent keys; emptied when full, so that its memory is bounded whatever the corpus."""
 
@@ -105,12 +159,22 @@ class ByteBpe:
         self.letters = {b: c for b, c in enumerate(byte_letters())}
         self.counts, self.spaced_counts = _Cache(self._count), _Cache(lambda p: self._count(" " + p))
         self.bytes, self.spaced_bytes = _Cache(self._id_bytes), _Cache(lambda p: self._id_bytes(" " + p))
+        self.proven_bytes = {p.encode(): i.to_bytes(4, "little") for p, i in proven.items()}
+        self.words = _Cache(self._word_bytes)
+        self.cutter = Cutter(self.splitter)
         self.merged = 0
 
     def _merge(self, pre_token: str) -> list[int]:
         self.merged += 1
         return [t.id for t in self.model.tokenize(pre_token.encode().decode("latin-1").translate(self.letters))]
 
+    def _word_bytes(self, word: bytes) -> bytes:
+        known = self.proven_bytes.get(word)
+        if known is not None:
+            return known
+        self.merged += 1
+        return array("I", [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))]).tobytes()
+
     def _count(self, unit: str) -> int:
         return sum(1 if p in self.proven else len(self._merge(p)) for p in self.splitter.split(unit))
 
@@ -153,6 +217,53 @@ class ByteBpe:
         return b"".join(out)
 
 
+    def ids_of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of every text of a string array, in order, as unsigned 32-bit integers."""
+        texts = texts.cast(pa.large_string())
+        at, ends = 0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        while at < len(texts):
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, "right")))
+            yield from self._ids_of_chunk(texts.slice(at, to - at), ends[at:to] - before)
+            at = to
+
+    def _ids_of_chunk(self, texts: pa.Array, ends: np.ndarray) -> list[np.ndarray]:
+        starts, size = np.concatenate([[0], ends[:-1]]), int(ends[-1])
+        if not size:
+            return [np.zeros(0, "<u4")] * len(texts)
+        _, places, data = texts.buffers()
+        data = data.slice(int(np.frombuffer(places, np.int64)[texts.offset]), size)
+        chars = np.frombuffer(data, np.uint8)
+        borders, odd = self.cutter.borders(chars, starts, ends)
+        slow = np.zeros(len(texts), bool)
+        slow[np.searchsorted(ends, odd, "right")] = True
+        raw = memoryview(data)
+        for special in self.special:
+            places = [m.start() for m in re.finditer(re.escape(special.encode()), raw)]
+            slow[np.searchsorted(ends, places, "right")] = True
+        if slow.any():
+            # What is encoded one by one is no word here.
+            borders = borders[~slow[np.searchsorted(ends, borders, "right")]]
+        if not len(borders):
+            return [np.frombuffer(self.id_bytes(t), "<u4") for t in texts.to_pylist()]
+        # A word ends where the next begins; before a text of another kind, with its own text.
+        last = ends[np.searchsorted(ends, borders, "right")]
+        stops = np.minimum(np.append(borders[1:], size), last)
+        offsets = np.concatenate([borders, stops[-1:]])
+        if (stops[:-1] != borders[1:]).any():
+            gaps = np.flatnonzero(stops[:-1] != borders[1:])
+            offsets = np.insert(offsets, gaps + 1, stops[gaps])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), data])
+        if len(offsets) - 1 != len(borders):
+            words = words.take(pa.array(np.searchsorted(offsets, borders)))
+        told = words.dictionary_encode()
+        values = pa.array(map(self.words.__getitem__, told.dictionary.to_pylist()), pa.large_binary())
+        ids = np.frombuffer(values.take(told.indices).buffers()[2], "<u4")
+        places = np.concatenate([[0], np.cumsum(pc.binary_length(values).to_numpy()[told.indices.to_numpy()] // 4)])
+        low, high = (places[np.searchsorted(borders, x)] for x in (starts, ends))
+        return [np.frombuffer(self.id_bytes(texts[i].as_py()), "<u4") if s else ids[a:b] for i, (s, a, b) in enumerate(zip(slow.tolist(), low.tolist(), high.tolist(), strict=True))]
+
+
 _LOADED: dict[int, ByteBpe] = {}
 
 

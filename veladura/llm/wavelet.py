@@ -43,7 +43,7 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         zeros, planes, ranks, rest = [], [], [], ids
         for k in reversed(range(bits)):
-            bit = ((rest >> k) & 1).astype(bool)
+            bit = (rest & rest.dtype.type(1 << k)) != 0
             packed = np.packbits(bit)
             counts = np.bitwise_count(np.pad(packed, (0, -len(packed) % (BLOCK // 8)))).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint32)
             ranks.append(np.concatenate([np.zeros(1, np.uint32), np.cumsum(counts, dtype=np.uint32)]))
@@ -113,7 +113,8 @@ class WaveletMatrix:
             bit = np.unpackbits(self.planes[k], count=self.n).view(bool)
             out = np.empty_like(values)
             out[~bit] = values[: self.zeros[k]]
-            out[bit] = values[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
+            values[self.zeros[k] :] |= kind(1 << (self.bits - 1 - k))
+            out[bit] = values[self.zeros[k] :]
             values = out
         return values
 
@@ -156,7 +157,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
     shard_ids = SHARD_IDS
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = loaded(*shared.value), end_id.to_bytes(4, "little")
+        bpe = loaded(*shared.value)
         bits = max(end_id, bpe.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length()
         kind = np.uint16 if bits <= 16 else np.uint32
         names, held, part, total = [], [], 0, 0
@@ -168,8 +169,8 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
             return pa.RecordBatch.from_arrays(columns, ["first_id", "part", "n_ids", "data"])
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(bpe.id_bytes(text) + end, "<u4").astype(kind)
+            for name, found in zip(batch.column(0).to_pylist(), bpe.ids_of(batch.column(1)), strict=True):
+                ids = np.append(found.astype(kind), kind(end_id))
                 if held and total + len(ids) > shard_ids:
                     yield row()
                     names, held, part, total = [], [], part + 1, 0
