@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veladura.operators import apispecs, forms, report
 from veladura.operators.jobs import keep_first
+from veladura.plans import inputs
 
 PAGE = """<html><!-- <form><input name=ghost></form> --><script>var a='<input name="js">'</script>
 <form action="/submit?a=1&amp;b=2" method="post" id=f1><input type="text" name="Nombre " required placeholder="a > b"><input type='email' name='email' required>
@@ -197,3 +198,20 @@ def test_references_are_decoded_once(spark):
     cases = {"&#xE9;&hellip;&mdash;&ordm;": "é…—º", "&#38;lt; &amp;lt;": "&lt; &lt;", "a & b &nope;": "a & b &nope;", "&#8364;&euro;&apos;": "€€'", "": ""}
     rows = spark.createDataFrame([(c,) for c in cases], "t string").select("t", unescape(F.col("t")).alias("u")).collect()
     assert {r["t"]: r["u"] for r in rows} == cases
+
+
+def test_attributes_are_looked_up_beforehand(spark):
+    """A field's type decides a dozen of its columns; it is searched among the attributes of its tag as it is and as an input's, no more."""
+    plan = forms.forms_with_fields(pages(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f".name = {a})") for a in ("type", "min", "max", "pattern", "placeholder")] == [2, 1, 1, 1, 1]
+
+
+def test_pages_and_parts_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """Pages of one row group are dealt as parts are, and no row is lost or doubled."""
+    monkeypatch.setattr(inputs, "PAGES_PER_TASK", 10)
+    rows = spark.range(40).selectExpr("id AS page_id", "concat('<form><input name=a', id, '></form>') AS html")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.range(40).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "1 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    dealt = inputs.form_pages(spark, str(tmp_path))
+    assert dealt.rdd.getNumPartitions() == 8
+    assert sorted(r.page_id for r in dealt.select("page_id").collect()) == [*range(40), *(inputs.PAGE_SHIFT + i for i in range(40))]

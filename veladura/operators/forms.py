@@ -33,6 +33,7 @@ LOOSE_FIELDS = r"(?i)<(?:input|select|textarea)[\s/>]"
 LOOSE = "loose_inputs"
 FORM_TAG = "(?i)(?:" + tag_pattern("form").removeprefix("(?i)") + r"|</form\s*>)"
 OPTION = r"(?is)<option(?:[\s/][^>]*)?>(.*?)(?=<option[\s/>]|</option|</select|<optgroup|</optgroup|\z)"
+GIVEN = ["name", "id", "placeholder", "required", "value", "min", "max", "pattern"]
 FIELD_COLUMNS = [
     "name", "type", "id", "placeholder", "required", "options", "default_value", "min_value", "max_value", "pattern", "visible",
 ]
@@ -106,12 +107,18 @@ def _number(text: Column) -> Column:
     return F.trim(text).try_cast("int")
 
 
+def _given(e: Column) -> Column:
+    """An element with the attributes that a field is made of, looked up before its columns share them, and its type as an input."""
+    raw_type = attribute(e["attrs"], "type")
+    given = [attribute(e["attrs"], a).alias(f"a_{a}") for a in GIVEN]
+    return F.struct(e["kind"].alias("kind"), e["body"].alias("body"), raw_type.alias("a_type"), F.lower(F.coalesce(raw_type, F.lit("text"))).alias("input_type"), *given)
+
+
 def _field(e: Column) -> Column:
     def get(name: str) -> Column:
-        return attribute(e["attrs"], name)
+        return e[f"a_{name}"]
 
-    kind, raw_type = e["kind"], get("type")
-    input_type = F.lower(F.coalesce(raw_type, F.lit("text")))
+    kind, raw_type, input_type = e["kind"], get("type"), e["input_type"]
     kind_type = (
         F.when(kind == 0, input_type).when(kind == 1, F.lit("select")).when(kind == 2, F.lit("textarea")).otherwise(F.lit("button"))
     )
@@ -178,7 +185,7 @@ def forms_with_fields(pages: DataFrame, html: str = "html", keys: Sequence[str]
             ),
             lambda e: F.struct(e["kind"].alias("kind"), e["body"].alias("body"), attributes(e["parts"]).alias("attrs")),
         ),
-        _field,
+        lambda e: F.transform(F.array(_given(e)), _field)[0],
     )
     parsed = counted.select(*kept, *starts, *(F.expr(x).alias(f"__size{k}") for k, x in enumerate(sizes)), read.alias("__read"))
     # The fields of a form: of each kind the stretch that its gaps hold.

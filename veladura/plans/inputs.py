@@ -133,7 +133,7 @@ PAGES_SQL = f"SELECT page_id, html FROM pages UNION ALL SELECT {PAGE_SHIFT} + p_
 
 def form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = table(spark, sf_dir, "part", PAGES_PER_TASK).selectExpr(f"{PAGE_SHIFT} + p_partkey AS page_id", f"{PART_PAGE} AS html")
-    return table(spark, sf_dir, "pages").select("page_id", "html").unionByName(built)
+    return table(spark, sf_dir, "pages", PAGES_PER_TASK).select("page_id", "html").unionByName(built)
 
 
 # --- API documents from suppliers ------------------------------------------------------------
