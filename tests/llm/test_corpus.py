@@ -134,3 +134,15 @@ def test_pipeline_against_its_parts(spark):
     assert all(r.round_trip for r in got.values())
     plain = {i for i in got if not secrets.Worklist(docs[i]).run().found}
     assert 0 < len(plain) <= len(got)
+
+
+def test_table_of_grams_leaves_few_places(spark, monkeypatch):
+    """A table of a fixed size tells most words apart from an item's, and every window of an item passes it."""
+    monkeypatch.setattr(decontam, "BYTES_LEAST", 1 << 13)
+    monkeypatch.setattr(decontam, "BYTES_MOST", 1 << 13)
+    windows = [(8, [f"w{(8 * i + j) * 7919 % 10007}x" for j in range(8)]) for i in range(100)]
+    table = decontam.item_grams(spark.createDataFrame(windows, "size int, v array<string>"), 8)
+    assert len(table) == 1 << 13 and max(table) < 128 and sum(x.bit_count() for x in table) < 0.15 * 7 * len(table)
+    texts = spark.createDataFrame([(i, "z " * i + " ".join(v)) for i, (_, v) in enumerate(windows)], "i int, mark string")
+    found = texts.select("i", F.transform(decontam.candidates(F.col("mark"), 8, table), lambda x: x["at"]).alias("at")).collect()
+    assert len(found) == 100 and all(r.i in r.at for r in found)

@@ -33,8 +33,9 @@ SHARE = 0.3
 RUN = 13
 LITERALS = 4
 BROADCAST_ROWS = 1_000_000
-# The table of an item's grams is part of the plan, whose text the driver keeps several times: at most 64 KB.
-SLOTS_LEAST, SLOTS_MOST = 1 << 14, 1 << 16
+# The table of an item's grams is part of the plan, whose text the driver keeps several times: at most 64 KB, of seven slots to
+# a byte, so that each byte is a character.
+BYTES_LEAST, BYTES_MOST, SLOTS = 1 << 14, 1 << 16, 7
 # Stands for a null id in joins, so -2^63 itself is shown as null.
 NULL_ID = -(2**63)
 # Measure words that are units after a number.
@@ -150,7 +151,7 @@ ANY, GRAM = "*", 3
 
 
 def item_grams(items: DataFrame, size: int) -> bytes:
-    """A table of bytes, one set for every slot that the hash of GRAM neighbouring words of an item falls in, any of which may also be ANY.
+    """A table of slots, SLOTS bits of every byte, one set for each that the hash of GRAM neighbouring words of an item falls in, any of which may also be ANY.
 
     Words whose slot is not set stand together in no item of windows of that size.
     """
@@ -160,13 +161,19 @@ def item_grams(items: DataFrame, size: int) -> bytes:
     for k in range(gram):
         grams = grams.withColumn(f"w{k}", F.explode(f"w{k}"))
     grams = grams.distinct()
-    slots = min(SLOTS_MOST, max(SLOTS_LEAST, 1 << (4 * grams.count()).bit_length()))
-    table = bytearray(slots)
-    for row in grams.select(F.pmod(F.xxhash64(*grams.columns), F.lit(slots)).alias("slot")).distinct().collect():
-        table[row.slot] = 1
+    size_of_table = min(BYTES_MOST, max(BYTES_LEAST, 1 << (4 * grams.count()).bit_length()))
+    byte, bit = slot(F.xxhash64(*grams.columns), size_of_table)
+    table = bytearray(size_of_table)
+    for row in grams.select(byte.alias("byte"), bit.alias("bit")).groupBy("byte").agg(F.expr("bit_or(shiftleft(1, bit))").alias("bits")).collect():
+        table[row.byte] = row.bits
     return bytes(table)
 
 
+def slot(h: Column, size_of_table: int) -> tuple[Column, Column]:
+    """Byte and bit of a hash in a table."""
+    return F.pmod(h, F.lit(size_of_table)).cast("int"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(SLOTS)).cast("int")
+
+
 def candidates(mark: Column, size: int, table: bytes) -> Column:
     """array<struct<at, forms>>: the windows of a marked text whose neighbouring words may all stand together in an item, and their forms.
 
@@ -186,8 +193,11 @@ def candidates(mark: Column, size: int, table: bytes) -> Column:
         return F.transform(F.array(bare(F.get(b["mark"], j))), told)[0]
 
     def hit(b: Column, j: Column) -> Column:
-        slot = F.pmod(F.xxhash64(*(word(b, j + k) for k in range(gram))), F.lit(len(table))).cast("int") + 1
-        return F.substring(F.lit(table), slot, F.lit(1)) == F.lit(b"\x01")
+        def is_set(h: Column) -> Column:
+            byte, bit = slot(h, len(table))
+            return F.getbit(F.ascii(F.substring(F.lit(table), byte + 1, F.lit(1)).cast("string")), bit) == 1
+
+        return F.transform(F.array(F.xxhash64(*(word(b, j + k) for k in range(gram)))), is_set)[0]
 
     def near(b: Column, j: Column) -> Column:
         """Starts of the windows that hold the gram at j and have only set grams."""
