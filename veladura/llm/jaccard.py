@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veladura.llm.bytebpe import _Cache
-from veladura.llm.common import fresh, id_and_text, written
+from veladura.llm.common import fresh, id_and_text, portions, written
 
 WORDS = 5
 HEAVY = 24
@@ -83,7 +83,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
-        for batch in batches:
+        for batch in portions(batches):
             sizes, digests, heads = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, hashes)
@@ -124,7 +124,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
-        for batch in batches:
+        for batch in portions(batches):
             wanted = batch.column(2).to_pylist()
             sets = [shingles(t, hashes) for t in batch.column(1).to_pylist()]
             same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(sets, wanted, strict=True)]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veladura.llm.common import crc_of_id, id_and_text, shipped
+from veladura.llm.common import crc_of_id, id_and_text, portions, shipped
 
 MAX_LABELLED = 20_000
 PAIRS_PER_DOCUMENT = 8
@@ -104,7 +104,7 @@ def fit_pairs(good: np.ndarray, bad: np.ndarray, bad_share: float, cut_at: float
 
 
 def _measured(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    for batch in batches:
+    for batch in portions(batches):
         x = np.array([features(t or "") for t in batch.column(column).to_pylist()], float)
         yield batch, x
 

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veladura.llm.common import id_and_text, shipped
+from veladura.llm.common import id_and_text, portions, shipped
 
 KINDS = ("assign", "access", "hex")
 # The three patterns and the least lengths of what they find.
@@ -319,7 +319,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("layer", pa.string()), ("value", pa.string())]))
-        for batch in batches:
+        for batch in portions(batches):
             base, found, opened, unopened = [], [], [], []
             for text in batch.column(1).to_pylist():
                 work = Worklist(text, max_decoded).run()
@@ -356,7 +356,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", max_
         return "".join([*out, text[at:]])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             k = batch.schema.get_field_index(text_col)
             yield batch.set_column(k, batch.schema.field(k), pa.array([clean(t) for t in batch.column(k).to_pylist()], batch.schema.field(k).type))
 

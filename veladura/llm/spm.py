@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veladura.llm.common import id_and_text, tokenizer_path
+from veladura.llm.common import id_and_text, portions, tokenizer_path
 from veladura.llm.lattice import SPACE, PieceTable, by_length, viterbi
 
 SIGN = SPACE.encode()
@@ -63,21 +63,19 @@ class Codec:
 
 def _encoded(batches: Iterator[pa.RecordBatch], model: bytes, with_ids: bool) -> Iterator[pa.RecordBatch]:
     codec = Codec(model)
-    for whole in batches:
-        for k in range(0, whole.num_rows, 500):
-            batch = whole.slice(k, 500)
-            texts = batch.column(1).to_pylist()
-            cut = [codec.words(t) for t in texts]
-            codec.learn(set().union(*cut))
-            ids = [np.frombuffer(b"".join(map(codec.known.__getitem__, c)), np.uint32) for c in cut]
-            same = [codec.decode(i) == t for i, t in zip(ids, texts, strict=True)]
-            columns = [batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(same, pa.bool_())]
-            names = ["doc_id", "n_pieces", "ids_crc32", "round_trip"]
-            if with_ids:
-                offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32))))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+    for batch in portions(batches):
+        texts = batch.column(1).to_pylist()
+        cut = [codec.words(t) for t in texts]
+        codec.learn(set().union(*cut))
+        ids = [np.frombuffer(b"".join(map(codec.known.__getitem__, c)), np.uint32) for c in cut]
+        same = [codec.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+        columns = [batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(same, pa.bool_())]
+        names = ["doc_id", "n_pieces", "ids_crc32", "round_trip"]
+        if with_ids:
+            offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32))))
+            names.append("ids")
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
