@@ -20,38 +20,40 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veladura.llm.common import crc_of_id, id_and_text, tokenizer_path, written
-from veladura.llm.lattice import SPACE, PieceTable, by_length, expected, marginal
+from veladura.llm.common import crc_of_id, gathered, id_and_text, tokenizer_path, weighed, written
+from veladura.llm.lattice import SPACE, PieceTable, by_length, expected, marginal, table_of
 
 SIGN = SPACE.encode()
 FREQUENT = 100_000
-FLUSH = 300_000
 PRIOR = 1_000.0
 ROUNDS = 2
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, lower-cased in A-Z and cut at ASCII white space, and the place of each one's text."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, place = cut.flatten(), pc.list_parent_indices(cut).to_numpy()
+    # White space at either end of a text leaves an empty string.
+    some = pc.binary_length(words).to_numpy() > 0
+    return (words, place) if some.all() else (words.filter(pa.array(some)), place[some])
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c) over all texts; words are lower-cased in A-Z and cut at ASCII white space."""
+    """(word, c) over all texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        part = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "c"])
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(text.encode().lower().split())
-                if len(counts) > FLUSH:
-                    yield part()
-                    counts.clear()
-        yield part()
+        for batch in weighed(batches, 0):
+            counts = pc.value_counts(words_of(batch.column(0))[0])
+            yield pa.RecordBatch.from_arrays([counts.field("values").cast(pa.binary()), counts.field("counts").cast(pa.int64())], ["word", "c"])
 
     return texts.select("text").mapInArrow(rows, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -78,8 +80,7 @@ def start_weights(table: PieceTable) -> tuple[np.ndarray, np.ndarray]:
 
 def learn(counts: DataFrame, n_texts: int, model, rounds: int = ROUNDS, prior: float = PRIOR) -> Weights:
     """Expectation-maximisation over all words. model: the broadcast vocabulary file."""
-    table = PieceTable(model.value)
-    pieces, raw = start_weights(table)
+    pieces, raw = start_weights(table_of(model.value))
     first = np.concatenate([pieces, raw])
     size, end = len(pieces), 0.05
     uses = first * (1 - end)
@@ -87,8 +88,8 @@ def learn(counts: DataFrame, n_texts: int, model, rounds: int = ROUNDS, prior: f
         log_p, log_byte = _logs(uses, size)
 
         def rows(batches: Iterator[pa.RecordBatch], log_p=log_p, log_byte=log_byte) -> Iterator[pa.RecordBatch]:
-            own, total = PieceTable(model.value), np.zeros(size + 256)
-            for batch in batches:
+            own, total = table_of(model.value), np.zeros(size + 256)
+            for batch in gathered(batches):
                 words, c = [SIGN + w for w in batch.column(0).to_pylist()], batch.column(1).to_numpy()
                 for places, matrix in by_length(words, own.longest):
                     total += np.concatenate(expected(own, matrix, c[places], log_p, log_byte))
@@ -117,16 +118,17 @@ def word_scores(words: list[bytes], table: PieceTable, weights: Weights) -> np.n
     return values
 
 
-def _frequent(counts: DataFrame, n: int, model, shared) -> dict[bytes, tuple[float, float]]:
-    """Word -> (log10 of its count and one, log10 probability) of the words that make one token in FREQUENT, at most so many."""
+def _frequent(counts: DataFrame, n: int, model, shared) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words that make one token in FREQUENT, at most so many, with the log10 of their count and one and their log10 probability."""
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = PieceTable(model.value)
+        table = table_of(model.value)
         for batch in batches:
             yield batch.append_column("p", pa.array(word_scores(batch.column(0).to_pylist(), table, shared.value)))
 
     solved = counts.where(F.col("c") * FREQUENT >= n).mapInArrow(solve, "word binary, c bigint, p double")
-    return {bytes(r.word): (float(np.log10(r.c + 1)), r.p) for r in solved.collect()}
+    found = solved.collect()
+    return [bytes(r.word).decode() for r in found], np.log10(np.array([r.c for r in found], float) + 1), np.array([r.p for r in found], float)
 
 
 SCORED = "key bigint, doc_id bigint, held_out boolean, n bigint, known bigint, base double, score double, word binary, keys array<bigint>"
@@ -136,38 +138,28 @@ def _scan(texts: DataFrame, shared) -> DataFrame:
     """Two kinds of rows: documents with what frequent words give, and rare words with the keys of their documents."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_end, frequent = shared.value
-        end = log_end / np.log(10)
+        log_end, (frequent, x, p) = shared.value
+        end, frequent = log_end / np.log(10), pa.array(frequent, pa.string())
         key = TaskContext.get().partitionId() << 36
         names = [x.split(" ")[0] for x in SCORED.split(", ")]
-        for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                batch = whole.slice(k, 2000)
-                cut = [t.encode().lower().split() for t in batch.column(1).to_pylist()]
-                rare: dict[bytes, list[int]] = defaultdict(list)
-                keys, known, base, score = [], [], [], []
-                for words in cut:
-                    met, total, p = 0, 0.0, end
-                    for w in words:
-                        if (x := frequent.get(w)) is None:
-                            rare[w].append(key)
-                        else:
-                            total += x[0]
-                            p += x[1]
-                            met += 1
-                    keys.append(key)
-                    known.append(met)
-                    base.append(total)
-                    score.append(p)
-                    key += 1
-                none = lambda n, kind: pa.nulls(n, kind)
-                m, r = len(cut), len(rare)
-                n = pa.array([len(w) + 1 for w in cut], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), batch.column(0), batch.column(2), n, pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), none(m, pa.binary()), none(m, pa.list_(pa.int64()))], names
-                )
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([*(none(r, t) for t in kinds), pa.array(list(rare), pa.binary()), pa.array(list(rare.values()), pa.list_(pa.int64()))], names)
+        none = lambda n, kind: pa.nulls(n, kind)
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        for batch in weighed(batches, 1):
+            words, place = words_of(batch.column(1))
+            found = pc.index_in(words, value_set=frequent.cast(words.type))
+            met = found.is_valid().to_numpy(zero_copy_only=False)
+            at, of, m = found.drop_null().to_numpy(), place[met], batch.num_rows
+            total = lambda v, of=of, m=m: pa.array(np.bincount(of, v[at] if len(at) else None, m).astype(float))  # noqa: E731, B023
+            n, known = np.bincount(place, minlength=m) + 1, np.bincount(of, minlength=m)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(key, key + m)), batch.column(0), batch.column(2), pa.array(n), pa.array(known), total(x), pc.add(total(p), end), none(m, pa.binary()), none(m, pa.list_(pa.int64()))], names
+            )
+            rare = words.filter(pa.array(~met)).dictionary_encode()
+            codes, r = rare.indices.to_numpy(), len(rare.dictionary)
+            keys = key + place[~met][np.argsort(codes, kind="stable")]
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *np.bincount(codes, minlength=r)], dtype=np.int32), pa.array(keys, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(none(r, t) for t in kinds), rare.dictionary.cast(pa.binary()), lists], names)
+            key += m
 
     return texts.mapInArrow(rows, SCORED)
 
@@ -179,8 +171,8 @@ def _rare(postings: DataFrame, model, shared) -> DataFrame:
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = PieceTable(model.value)
-        for batch in batches:
+        table = table_of(model.value)
+        for batch in gathered(batches):
             words = batch.column(0).dictionary_encode()
             p = word_scores(words.dictionary.to_pylist(), table, shared.value)[words.indices.to_numpy()]
             lists, c = batch.column(1), batch.column(2)
