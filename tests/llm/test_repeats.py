@@ -97,3 +97,17 @@ def test_components_against_brute_force(spark):
     rows = list(enumerate(texts))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == classes(rows)
+
+
+def test_lists_are_shuffled_and_written_once(spark, monkeypatch):
+    """Before, counts of shingles and their rows were shuffled apart, and the heads of classes written a second time."""
+    tokens = spark.range(200).selectExpr("id AS doc_id", "id % 150 AS t")
+    shared = jaccard._shared(tokens)
+    assert shared._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r.doc_id, r.t, r.df) for r in shared.collect()} == {(i, i % 150, 2) for i in range(200) if i % 150 < 50}
+    columns = {}
+    monkeypatch.setattr(jaccard, "written", lambda df, name, real=jaccard.written, **o: columns.setdefault(name, df.columns) and real(df, name, **o))
+    rows = [(i, " ".join(f"w{i % 3}x{k}" for k in range(30))) for i in range(9)]
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i % 3 for i in range(9)}
+    assert [n for n, c in columns.items() if "head" in c] == ["jaccard-heads"]

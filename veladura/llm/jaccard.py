@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veladura.llm.bytebpe import _Cache
@@ -98,20 +98,23 @@ def prefixes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id bigint, n int, digest binary, head array<bigint>")
 
 
-def screened(heads: DataFrame) -> DataFrame:
-    """Ids of the classes that may link at all."""
-    left, count = heads, None
+def _shared(tokens: DataFrame) -> DataFrame:
+    """(doc_id, t, df) of the shingles that more than one of the (doc_id, t) have; their rows meet once, counts and rows are not shuffled apart."""
+    return tokens.withColumn("df", F.count("*").over(Window.partitionBy("t"))).where("df > 1")
+
+
+def screened(heads: DataFrame, classes: DataFrame) -> DataFrame:
+    """Ids of the classes that may link at all. heads: (doc_id, head) of these documents and others, classes: (doc_id, n)."""
+    kept, count, left = classes, None, classes.count()
     while True:
-        tokens = left.select("doc_id", F.explode("head").alias("t"))
-        often = tokens.groupBy("t").count().where("count > 1").select("t")
-        shared = tokens.join(often, "t").groupBy("doc_id").agg(F.count("*").alias("shared"))
-        kept = written(left.select("doc_id", "n").join(shared, "doc_id").where(F.col("shared") >= F.expr("(4 * n + 4) div 5 div 16 + 1")).select("doc_id"), "jaccard-screen")
-        now = kept.count()
-        if count is not None and now > 0.9 * count or not now:
+        tokens = heads.join(_small(kept.select("doc_id"), left), "doc_id", "left_semi").select("doc_id", F.explode("head").alias("t"))
+        shared = _shared(tokens).groupBy("doc_id").agg(F.count("*").alias("shared"))
+        kept = written(classes.select("doc_id", "n").join(shared, "doc_id").where(F.col("shared") >= F.expr("(4 * n + 4) div 5 div 16 + 1")).select("doc_id"), "jaccard-screen")
+        left = kept.count()
+        if count is not None and left > 0.9 * count or not left:
             return kept
         # The lists of the classes left are a part of the first ones; a second round is worth it where most go.
-        count = now
-        left = heads.join(_small(kept, now), "doc_id", "left_semi")
+        count = left
 
 
 def _small(ids: DataFrame, n: int) -> DataFrame:
@@ -143,8 +146,7 @@ def postings(sets: DataFrame) -> DataFrame:
     of them that do not stand before t.
     """
     tokens = sets.select("doc_id", F.explode("tokens").alias("t"))
-    lists = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
-    known = tokens.join(lists, "t").groupBy("doc_id").agg(F.collect_list(F.struct("t", "df")).alias("known"))
+    known = _shared(tokens).groupBy("doc_id").agg(F.collect_list(F.struct("t", "df")).alias("known"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,9 +266,10 @@ def _near(texts: DataFrame) -> DataFrame:
     heads = written(prefixes(texts), "jaccard-heads")
     named = heads.where("n > 0")
     classes = written(named.groupBy("digest").agg(F.min("doc_id").alias("class")), "jaccard-classes")
-    firsts = named.join(classes, (named.doc_id == classes["class"]) & (named.digest == classes.digest), "left_semi")
-    firsts = written(firsts.select("doc_id", "n", "head", "digest"), "jaccard-firsts")
-    ids = screened(firsts).join(firsts.select("doc_id", "digest"), "doc_id")
+    # Their heads are not written a second time.
+    firsts = named.select("doc_id", "n", "digest").join(classes, (named.doc_id == classes["class"]) & (named.digest == classes.digest), "left_semi")
+    firsts = written(firsts, "jaccard-firsts")
+    ids = screened(named.select("doc_id", "head"), firsts).join(firsts.select("doc_id", "digest"), "doc_id")
     labels = linked(written(whole_sets(texts, ids, ids.count()), "jaccard-sets"))
     own = heads.select("doc_id", "n", "digest").join(classes, "digest", "left")
     if labels is None:
